@@ -3,18 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filmspark.llm import feistel, simhash
+from filmspark.llm import feistel, mixing, nndescent, pst, simhash, suffix, tiff, toxicity, viterbi, warc
 from filmspark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 5) != 0)
+    held_out = F.coalesce(toxicity.remainder("doc_id", 5) == 0, F.lit(False))
+    return toxicity.toxicity_scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op2_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op3_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi.encoded_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(table(spark, sf_dir, "documents"))
+
+
 def op5_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.tiff_round_trip(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"), length=50)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_feistel_sharding, op8_simhash_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_suffix_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.scores(table(spark, sf_dir, "documents"), toxicity.remainder("doc_id", 7) != 2)
+
+
+def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_nn_descent_near_dedup, op3_sentencepiece_viterbi, op4_poisson_mixing, op5_feistel_sharding,
+        op6_tiff_pages, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_suffix_tree_scoring, op10_warc_normaliser,
+    )
+}
+ORACLES: dict[str, str] = {"op4_poisson_mixing": mixing.poisson_sql()}
