@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from filmspark.plans import scalar_queries, timeline_queries
+
+_MODULES = (timeline_queries, scalar_queries)
+
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: s for m in _MODULES for name, s in m.ORACLES.items()}
