@@ -69,7 +69,14 @@ def vector_samples(spark: SparkSession, d: str) -> DataFrame:
 def with_features(e: DataFrame) -> DataFrame:
     """Features of small gray images `px` (array of int): 8-bin histograms, row sums as an edge histogram, neighbour bits as a hash."""
     mean = F.aggregate("px", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("px")
-    bins = lambda k: F.array(*[F.size(F.filter("px", lambda x, i=i: F.floor(x / k) == i)).cast("double") for i in range(8)])
+
+    def bins(width: int):
+        # a filter's function may take an index as its second argument, so the bin is bound outside
+        def within(i: int):
+            return lambda x: F.floor(x / width) == i
+
+        return F.array(*[F.size(F.filter("px", within(i))).cast("double") for i in range(8)])
+
     rows = F.array(*[F.aggregate(F.slice("px", 8 * i + 1, 8), F.lit(0).cast("long"), lambda a, x: a + x).cast("double") for i in range(8)])
     # bit i: the next value of the image is larger
     bits = F.expr("aggregate(sequence(0, 62), 0L, (a, i) -> a + if(px[i + 1] > px[i], shiftleft(1L, i), 0L))")
