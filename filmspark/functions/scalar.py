@@ -183,6 +183,7 @@ def human_size(size: Column | str) -> Column:
 
 
 def human_bitrate(bits: Column | str) -> Column:
+    """Bits a second in bps, Kbps or Mbps; a tie of the written decimals goes up."""
     x = _col(bits).cast("double")
     return F.when(x >= 1e6, F.format_string("%.2f Mbps", x / 1e6)).when(x >= 1e3, F.format_string("%.1f Kbps", x / 1e3)).otherwise(F.format_string("%.0f bps", x))
 

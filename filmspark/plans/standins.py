@@ -121,4 +121,4 @@ def sql(ctes: str | list[str], body: str, **more: str) -> str:
     """A statement over stand-ins (names, in order of need) and further common tables."""
     names = ctes.split() if isinstance(ctes, str) else ctes
     parts = [f"{n} AS ({SQL[n]})" for n in names] + [f"{n} AS ({t})" for n, t in more.items()]
-    return f"WITH RECURSIVE {', '.join(parts)}\n{body}"
+    return f"WITH RECURSIVE {', '.join(parts)}\n{body}" if parts else body
