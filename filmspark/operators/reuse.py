@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmspark.functions.distances import REUSE, centred, centred_distance, reuse_score
+from filmspark.functions.distances import REUSE
 
 _HISTS = ["hist", "color_hist", "edge_hist"]
+_PART = 2048
+_SLACK = 1e-6
 
 
 def reference_pairs(bw_files: DataFrame, color_files: DataFrame) -> DataFrame:
@@ -16,28 +20,72 @@ def reference_pairs(bw_files: DataFrame, color_files: DataFrame) -> DataFrame:
     return a.join(color_files.select("rel_path", F.col("path").alias("color_path")), "rel_path")
 
 
+class _Side:
+    """Features of one side of a part as matrices."""
+
+    def __init__(self, pdf: pd.DataFrame) -> None:
+        self.luma, self.black = pdf.mean_luma.to_numpy(float), pdf.black_ratio.to_numpy(float)
+        self.gray = np.stack(pdf.gray_small.to_numpy()).astype(np.int32)
+        self.hash = np.stack(pdf.dhash.to_numpy()).astype(np.int64).view(np.uint64)
+        self.hist = {}
+        for c in _HISTS:
+            x = np.stack(pdf[c].to_numpy()).astype(float)
+            x = x - x.mean(1, keepdims=True)
+            self.hist[c] = (x, (x * x).sum(1))
+
+
+def _scores(a: _Side, k: int, b: _Side, rows: np.ndarray, bits: int) -> np.ndarray:
+    """reuse_score of a's row k and the given rows of b."""
+    part = {
+        "gray_small": np.abs(b.gray[rows] - a.gray[k]).sum(1) / a.gray.shape[1] / 255, "dhash": np.bitwise_count(b.hash[rows] ^ a.hash[k]).sum(1) / bits,
+        "mean_luma": np.abs(b.luma[rows] - a.luma[k]) / 255, "black_ratio": np.abs(b.black[rows] - a.black[k]),
+    }
+    for c in _HISTS:
+        (x, xx), (y, yy) = a.hist[c], b.hist[c]
+        low = xx[k] * yy[rows]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(low > 1e-12, (y[rows] @ x[k]) / np.sqrt(low), 1.0)
+        part[c] = np.where(np.isnan(low), 1.0, np.clip(1 - r, 0, 2))
+    return sum(w * part[c] for c, w in REUSE.items())
+
+
 def reuse_references(shots: DataFrame, library: DataFrame, threshold: float = 0.025, bits: int = 256) -> DataFrame:
     """shots: shot_id and features; library: path and features. shot_id, path, score: for each shot the library still with the least score, if that is at most `threshold`; the least path of equals.
+    Scores are compared with nine decimals.
 
     No term of the score is negative, and the gray distance is at least the difference of the mean lumas. So only stills within 255 * threshold / (gray + luma weight) of a
-    shot's luma can match: both sides are put into luma buckets of that width, a still into its own and both next ones, and joined on the bucket. Hash bits that
-    differ prune further before a vector is read. Very dark or common lumas make large buckets: library rows are dealt over salts by path, and each shot goes to all salts of its bucket.
+    shot's luma can match: both sides are put into luma buckets of that width, a still into its own and both next ones, and meet by bucket. Common lumas make large buckets: both
+    sides of one are dealt over parts of about 2,048 rows, and every part of one side meets every part of the other. In a task hash bits prune further before vectors are compared.
     """
-    slack = 1e-6
-    width = 255 * (threshold + slack) / (REUSE["gray_small"] + REUSE["mean_luma"])
-    names = [*REUSE]
-
-    def side(df: DataFrame, key: str) -> DataFrame:
-        f = F.struct(*[centred(F.col(c)).alias(c) if c in _HISTS else F.col(c) for c in names])
-        return df.select(key, F.col("mean_luma").alias("l"), F.floor(F.col("mean_luma") / width).alias("b"), f.alias("f"))
-
-    lib = side(library, "path").withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    # one salt for each 4,096 stills of a bucket
-    salts = lib.groupBy("b").agg(F.ceil(F.count("*") / 4096).cast("int").alias("n"))
-    lib = lib.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("path"), F.col("n").cast("long")).cast("int")).drop("n")
-    mine = side(shots, "shot_id").join(salts, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    pairs = mine.alias("s").join(lib.alias("c"), ["b", "salt"]).where(F.abs(F.col("s.l") - F.col("c.l")) <= width)
-    differing = F.aggregate(F.zip_with("s.f.dhash", "c.f.dhash", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    pairs = pairs.where(differing <= (threshold + slack) / REUSE["dhash"] * bits)
-    scored = pairs.select("shot_id", "path", reuse_score(F.col("s.f"), F.col("c.f"), bits, centred_distance).alias("score")).where(F.col("score") <= threshold)
-    return scored.groupBy("shot_id").agg(F.min(F.struct("score", "path")).alias("m")).select("shot_id", "m.path", "m.score")
+    width = 255 * (threshold + _SLACK) / (REUSE["gray_small"] + REUSE["mean_luma"])
+    most_bits = (threshold + _SLACK) / REUSE["dhash"] * bits
+    bucket = F.floor(F.col("mean_luma") / width)
+    mine = shots.select("shot_id", *REUSE).withColumn("b", bucket)
+    lib = library.select("path", *REUSE).withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    parts = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / _PART).cast("int").alias(name))
+    sizes = parts(mine, "n").join(parts(lib, "m"), "b")
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = mine.join(sizes, "b").withColumn("p", part("shot_id", "n")).withColumn("q", every("m")).drop("n", "m")
+    lib = lib.join(sizes, "b").withColumn("q", part("path", "m")).withColumn("p", every("n")).drop("n", "m")
+    kind = dict(shots.dtypes)["shot_id"]
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            a, b = _Side(x), _Side(y)
+            path = y.path.to_numpy(object)
+            for k in range(len(x)):
+                rows = np.flatnonzero(np.abs(b.luma - a.luma[k]) <= width)
+                rows = rows[np.bitwise_count(b.hash[rows] ^ a.hash[k]).sum(1) <= most_bits]
+                if len(rows):
+                    s = np.round(_scores(a, k, b, rows, bits), 9)
+                    least = s.min()
+                    if least <= threshold:
+                        out.append((x.shot_id.iloc[k], min(path[rows[s == least]]), float(least)))
+        return pd.DataFrame(out, columns=["shot_id", "path", "score"])
+
+    lib = lib.toDF(*lib.columns)  # both sides may come from one table
+    keys = ["b", "p", "q"]
+    best = mine.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(meet, f"shot_id {kind}, path string, score double")
+    return best.groupBy("shot_id").agg(F.min(F.struct("score", "path")).alias("m")).select("shot_id", "m.path", "m.score")
