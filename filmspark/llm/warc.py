@@ -103,29 +103,70 @@ def read_record(content: bytes, offset: int, length: int) -> tuple[dict[str, str
     return parse_header(head), block
 
 
+Batches = Iterator[pa.RecordBatch]
+
+_PLACE = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("digest", pa.string())])
+_NORMAL = pa.schema([("archive", pa.string()), ("content", pa.binary()), ("index", pa.list_(_PLACE)), ("error", pa.string())])
+_RECORD = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+
+
+def _written(batches: Batches, archive_bytes: int) -> Batches:
+    squeeze, parts, held, name = None, [], 0, None
+
+    def closed() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([name]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())], names=["archive", "content"])
+
+    for b in batches:
+        for k in range(b.num_rows):
+            fields = [(x["key"], x["value"]) for x in b.column(1)[k].as_py()]
+            payload = b.column(2)[k].as_py() or b""
+            if squeeze is None:
+                squeeze, parts, held, name = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0, str(b.column(0)[k].as_py())
+            parts.append(squeeze.compress(header_bytes([*fields, ("Content-Length", str(len(payload)))]) + payload + _END))
+            held += len(payload)
+            if held >= archive_bytes:
+                yield closed()
+                squeeze = None
+    if squeeze is not None:
+        yield closed()
+
+
+def _normalised(batches: Batches) -> Batches:
+    for b in batches:
+        for name, content in zip(b.column(0), b.column(1), strict=True):
+            try:
+                data, index = normalise_bytes(content.as_py() or b"")
+                error = None
+                rows = [{"offset": o, "length": n, "type": h.get("warc-type"), "id": h.get("warc-record-id"), "digest": h.get("warc-payload-digest")} for o, n, h in index]
+            except ValueError as e:
+                data, rows, error = None, [], str(e)
+            yield pa.RecordBatch.from_pylist([{"archive": name.as_py(), "content": data, "index": rows, "error": error}], schema=_NORMAL)
+
+
+def _read(batches: Batches) -> Batches:
+    for b in batches:
+        for name, content, index in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            data, rows, held = content.as_py() or b"", [], 0
+            for place in index.as_py() or []:
+                fields, block = read_record(data, place["offset"], place["length"])
+                rows.append({"archive": name.as_py(), "offset": place["offset"], "type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "fields": list(fields.items()), "block": block})
+                held += len(block)
+                if held > _PIECE * 4:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+
+
+_RECORD_COLUMNS = "archive string, offset long, type string, id string, fields map<string, string>, block binary"
+
+
 def write_archives(df: DataFrame, name_col: str, header_col: str, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Pack rows into archives, each one gzip stream: rows (archive, content). header_col: array of (key, value) structs without Content-Length.
 
     Rows keep their order within a task; an archive is closed at `archive_bytes`, so a task holds about one archive. A null payload is empty.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, parts, held, name = None, [], 0, None
-        for b in batches:
-            for k in range(b.num_rows):
-                fields = [(x["key"], x["value"]) for x in b.column(1)[k].as_py()]
-                payload = b.column(2)[k].as_py() or b""
-                if squeeze is None:
-                    squeeze, parts, held, name = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0, str(b.column(0)[k].as_py())
-                parts.append(squeeze.compress(header_bytes([*fields, ("Content-Length", str(len(payload)))]) + payload + _END))
-                held += len(payload)
-                if held >= archive_bytes:
-                    yield pa.record_batch([pa.array([name]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())], names=["archive", "content"])
-                    squeeze = None
-        if squeeze is not None:
-            yield pa.record_batch([pa.array([name]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())], names=["archive", "content"])
-
-    return df.select(name_col, header_col, payload_col).mapInArrow(run, "archive string, content binary")
+    return df.select(name_col, header_col, payload_col).mapInArrow(lambda b: _written(b, archive_bytes), "archive string, content binary")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -134,44 +175,17 @@ def normalise(archives: DataFrame) -> DataFrame:
     index: array of (offset, length, type, id, digest). An empty or null content is an archive without records. A damaged
     archive keeps a row with null content and the reason in `error`, so that one bad file never stops a crawl.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content in zip(b.column(0), b.column(1), strict=True):
-                try:
-                    data, index = normalise_bytes(content.as_py() or b"")
-                    error = None
-                    rows = [{"offset": o, "length": n, "type": h.get("warc-type"), "id": h.get("warc-record-id"), "digest": h.get("warc-payload-digest")} for o, n, h in index]
-                except ValueError as e:
-                    data, rows, error = None, [], str(e)
-                yield pa.RecordBatch.from_pylist([{"archive": name.as_py(), "content": data, "index": rows, "error": error}], schema=_NORMAL)
-
-    return archives.select("archive", "content").mapInArrow(run, "archive string, content binary, index array<struct<offset: long, length: long, type: string, id: string, digest: string>>, error string")
-
-
-_PLACE = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("digest", pa.string())])
-_NORMAL = pa.schema([("archive", pa.string()), ("content", pa.binary()), ("index", pa.list_(_PLACE)), ("error", pa.string())])
-_RECORD = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+    return archives.select("archive", "content").mapInArrow(_normalised, "archive string, content binary, index array<struct<offset: long, length: long, type: string, id: string, digest: string>>, error string")
 
 
 def read_records(normal: DataFrame) -> DataFrame:
     """Every record of normalised archives, each read alone by its place in the index: archive, offset, type, id, fields (map), block."""
+    return normal.select("archive", "content", "index").mapInArrow(_read, _RECORD_COLUMNS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, content, index in zip(b.column(0), b.column(1), b.column(2), strict=True):
-                data, rows, held = content.as_py() or b"", [], 0
-                for place in index.as_py() or []:
-                    fields, block = read_record(data, place["offset"], place["length"])
-                    rows.append({"archive": name.as_py(), "offset": place["offset"], "type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "fields": list(fields.items()), "block": block})
-                    held += len(block)
-                    if held > ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
-    return normal.select("archive", "content", "index").mapInArrow(run, "archive string, offset long, type string, id string, fields map<string, string>, block binary")
+def rewritten_records(df: DataFrame, name_col: str, header_col: str, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """read_records of normalise of write_archives, in one pass: archives stay in the Python task that made them."""
+    return df.select(name_col, header_col, payload_col).mapInArrow(lambda b: _read(_normalised(_written(b, archive_bytes))), _RECORD_COLUMNS)
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
@@ -208,7 +222,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     empty; null ids stay null; repeated rows each get a record; an empty table gives an empty one.
     """
     r = page_records(pages, id_col, url_col, html_col)
-    back = read_records(normalise(write_archives(r, "id", "header", "payload")))
+    back = rewritten_records(r, "id", "header", "payload")
     # Header values of null ids are empty.
     number = lambda c: F.when(c.startswith("urn:page:"), F.substring(c, 10, 40)).try_cast("long")
     field = lambda k: F.element_at("fields", k)

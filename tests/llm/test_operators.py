@@ -214,6 +214,9 @@ def test_warc_query(spark):
         assert (r.payload_bytes, r.payload_digest) == (len(pay), hashlib.sha1(pay).hexdigest())
         assert (r.record_type, r.refers_to) == (("revisit", top) if revisit else ("response", None))
     assert warc.warc_round_trip(df.limit(0)).count() == 0
+    r = warc.page_records(df)
+    steps = warc.read_records(warc.normalise(warc.write_archives(r, "id", "header", "payload")))
+    assert sorted((x.id, bytes(x.block)) for x in steps.collect()) == sorted((x.id, bytes(x.block)) for x in warc.rewritten_records(r, "id", "header", "payload").collect())
     bad = spark.createDataFrame([("a", bytearray(b"junk")), ("b", None)], "archive string, content binary")
     assert {r.archive: (r.content is None, bool(r.error)) for r in warc.normalise(bad).collect()} == {"a": (True, True), "b": (False, False)}
 
