@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -45,40 +46,78 @@ def swapped(words: set[str]) -> set[str]:
     return {SWAP.get(w, w) for w in words}
 
 
+def word_features(word: str) -> list[str]:
+    """The word, and its runs of 4 to 6 letters, the word's start being marked; insults come with many endings."""
+    marked = "^" + word
+    return [word, *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))]
+
+
+def features(words: set[str]) -> set[str]:
+    return set().union(*map(word_features, words))
+
+
+#: Words whose features a task remembers.
+_REMEMBERED = 200_000
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Weights of at most `max_features` words, and a bias."""
+    """Weights of at most `max_features` words and parts of words, and a bias."""
 
     weights: dict[str, float]
     bias: float
+    _of: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False)
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights.get(w, 0.0) for w in sorted(tokens(text) & self.weights.keys()))
+        found: set[str] = set()
+        for w in tokens(text):
+            got = self._of.get(w)
+            if got is None:
+                got = tuple(f for f in word_features(w) if f in self.weights)
+                if len(self._of) >= _REMEMBERED:
+                    self._of.clear()
+                self._of[w] = got
+            if got:
+                found.update(got)
+        z = self.bias + sum(self.weights[f] for f in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _word_rows(texts: DataFrame, vocabulary: dict[str, int] | None) -> DataFrame:
-    """texts: (y, text). Without a vocabulary (y, word) for each distinct word of a text; with one (y, x, c): places of its words, and of the counterfactual text's."""
+def _counts(texts: DataFrame) -> DataFrame:
+    """texts: (y, text). (word, n, p): in how many texts, and in how many of label 1, a feature occurs; summed by batch already."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                found = [(y, w) for y, t in zip(part.column(0).to_pylist(), part.column(1), strict=True) for w in tokens(t.as_py() or "")]
-                yield pa.record_batch([pa.array([y for y, _ in found], pa.int32()), pa.array([w for _, w in found], pa.string())], names=["y", "word"])
+                part, n, p = b.slice(k, 500), Counter(), Counter()
+                for y, t in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    found = features(tokens(t.as_py() or ""))
+                    n.update(found)
+                    if y:
+                        p.update(found)
+                yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([p[w] for w in n], pa.int64())], names=["word", "n", "p"])
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda ws: sorted(vocabulary[w] for w in ws if w in vocabulary)
-        for b in batches:
-            found = [tokens(t.as_py() or "") for t in b.column(1)]
-            lists = [pa.array([of(f(x)) for x in found], pa.list_(pa.int32())) for f in (set, swapped)]
-            yield pa.record_batch([b.column(0), *lists], names=["y", "x", "c"])
+    return texts.mapInArrow(run, "word string, n long, p long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+
+
+def _places(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """texts: (y, text). (y, x, c): places in the vocabulary of a text's features, and of those of its counterfactual."""
+    of = lambda words: sorted(vocabulary[f] for f in features(words) if f in vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                b = batch.slice(k, 500)
+                found = [tokens(t.as_py() or "") for t in b.column(1)]
+                lists = [pa.array([of(f(x)) for x in found], pa.list_(pa.int32())) for f in (set, swapped)]
+                yield pa.record_batch([b.column(0), *lists], names=["y", "x", "c"])
 
-    return texts.mapInArrow(words, "y int, word string") if vocabulary is None else texts.mapInArrow(places, "y int, x array<int>, c array<int>")
+    return texts.mapInArrow(run, "y int, x array<int>, c array<int>")
 
 
-def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray], n_features: int, penalty: float, ridge: float, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on word presence with penalty * mean((z - z')^2), z' the margin of the text with its identity terms swapped. Adam on all rows at once."""
+def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray], n_features: int, penalty: float, ridge: float, positive: float = 3.0, steps: int = 250) -> tuple[np.ndarray, float]:
+    """Logistic regression on word presence with penalty * mean((z - z')^2), z' the margin of the text with its identity terms swapped.
+    Rows of label 1, the rarer one, count `positive` times. Adam on all rows at once."""
     sizes = np.array([len(r) for r in rows], np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
     col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -86,11 +125,12 @@ def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray],
     dat = np.concatenate([*(np.full(len(rows[i]) + len(twins[i]), k) for k, i in enumerate(pairs)), np.zeros(0, np.int64)]).astype(np.int64)
     dcol = np.concatenate([*(np.concatenate([rows[i], twins[i]]) for i in pairs), np.zeros(0, np.int64)]).astype(np.int64)
     dval = np.concatenate([*(np.concatenate([np.ones(len(rows[i])), -np.ones(len(twins[i]))]) for i in pairs), np.zeros(0)])
+    weight = np.where(y > 0, positive, 1.0)
     w, b, n = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), max(1, len(y))
     m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for t in range(1, steps + 1):
         z = b + np.bincount(at, w[col], len(rows))
-        g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         grad = np.bincount(col, g[at], n_features) / n + ridge * w
         if len(pairs):
             d = np.bincount(dat, dval * w[dcol], len(pairs))
@@ -102,8 +142,8 @@ def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray],
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 20_000, max_features: int = 4096, penalty: float = 1.0, ridge: float = 2e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    """Learn from at most `max_rows` labelled documents (a hash of the id picks them where there are more), with at most `max_features` words.
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 20_000, max_features: int = 4096, penalty: float = 1.0, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    """Learn from at most `max_rows` labelled documents (a hash of the id picks them where there are more), with at most `max_features` words and parts of words.
 
     learn: a condition on id_col; rows of labels that don't meet it are never looked at. Word counts by label are aggregated in Spark; the words with the largest
     chi-square stay. The bounded matrix is then fitted on the driver. Null labels, null ids and labels without a document teach nothing; without any
@@ -120,13 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
         totals = texts.agg(F.count("*").alias("n"), F.sum("y").alias("p")).first()
         if not totals.n:
             return ToxicityModel({}, -1e3)
-        counts = _word_rows(texts, None).groupBy("word").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+        counts = _counts(texts)
         n, p = float(totals.n), float(totals.p)
         expected = F.col("n") * p / n
         chi = (F.col("p") - expected) ** 2 / (expected * (1 - F.col("n") / n) + 0.5)
         words = [r["word"] for r in counts.where("n >= 3").orderBy(chi.desc(), "word").limit(max_features).select("word").collect()]
         vocabulary = {w: i for i, w in enumerate(words)}
-        got = _word_rows(texts, vocabulary).toPandas()
+        got = _places(texts, vocabulary).toPandas()
     finally:
         texts.unpersist()
     order = sorted(range(len(got)), key=lambda i: (got.y[i], list(got.x[i])))  # the same sums in any run
