@@ -101,7 +101,7 @@ def _counts(texts: DataFrame) -> DataFrame:
 
 
 def _places(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
-    """texts: (y, text). (y, x, c): places in the vocabulary of a text's features, and of those of its counterfactual."""
+    """texts: (y, text). (y, x, c): places in the vocabulary of a text's features, and of those of its counterfactual, null if they are the same."""
     of = lambda words: sorted(vocabulary[f] for f in features(words) if f in vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,21 +109,22 @@ def _places(texts: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
             for k in range(0, batch.num_rows, 500):
                 b = batch.slice(k, 500)
                 found = [tokens(t.as_py() or "") for t in b.column(1)]
-                lists = [pa.array([of(f(x)) for x in found], pa.list_(pa.int32())) for f in (set, swapped)]
-                yield pa.record_batch([b.column(0), *lists], names=["y", "x", "c"])
+                own, twin = [of(x) for x in found], [of(swapped(x)) for x in found]
+                other = [None if a == c else c for a, c in zip(own, twin, strict=True)]
+                yield pa.record_batch([b.column(0), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["y", "x", "c"])
 
     return texts.mapInArrow(run, "y int, x array<int>, c array<int>")
 
 
-def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray], n_features: int, penalty: float, ridge: float, positive: float = 3.0, steps: int = 250) -> tuple[np.ndarray, float]:
+def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray | None], n_features: int, penalty: float, ridge: float, positive: float = 3.0, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression on word presence with penalty * mean((z - z')^2), z' the margin of the text with its identity terms swapped.
     Rows of label 1, the rarer one, count `positive` times. Adam on all rows at once."""
     sizes = np.array([len(r) for r in rows], np.int64)
-    at = np.repeat(np.arange(len(rows)), sizes)
-    col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    pairs = [i for i in range(len(rows)) if not np.array_equal(rows[i], twins[i])]
-    dat = np.concatenate([*(np.full(len(rows[i]) + len(twins[i]), k) for k, i in enumerate(pairs)), np.zeros(0, np.int64)]).astype(np.int64)
-    dcol = np.concatenate([*(np.concatenate([rows[i], twins[i]]) for i in pairs), np.zeros(0, np.int64)]).astype(np.int64)
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+    col = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32)
+    pairs = [i for i in range(len(rows)) if twins[i] is not None]
+    dat = np.concatenate([*(np.full(len(rows[i]) + len(twins[i]), k, np.int32) for k, i in enumerate(pairs)), np.zeros(0, np.int32)])
+    dcol = np.concatenate([*(np.concatenate([rows[i], twins[i]]) for i in pairs), np.zeros(0, np.int32)]).astype(np.int32)
     dval = np.concatenate([*(np.concatenate([np.ones(len(rows[i])), -np.ones(len(twins[i]))]) for i in pairs), np.zeros(0)])
     weight = np.where(y > 0, positive, 1.0)
     w, b, n = np.zeros(n_features), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))), max(1, len(y))
@@ -142,7 +143,7 @@ def fit_weights(y: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray],
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 20_000, max_features: int = 4096, penalty: float = 1.0, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_rows: int = 8_000, max_features: int = 2048, penalty: float = 1.0, ridge: float = 1e-4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Learn from at most `max_rows` labelled documents (a hash of the id picks them where there are more), with at most `max_features` words and parts of words.
 
     learn: a condition on id_col; rows of labels that don't meet it are never looked at. Word counts by label are aggregated in Spark; the words with the largest
@@ -171,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
         texts.unpersist()
     order = sorted(range(len(got)), key=lambda i: (got.y[i], list(got.x[i])))  # the same sums in any run
     y = got.y.to_numpy(float)[order]
-    w, b = fit_weights(y, [np.asarray(got.x[i], np.int64) for i in order], [np.asarray(got.c[i], np.int64) for i in order], len(words), penalty, ridge)
+    w, b = fit_weights(y, [np.asarray(got.x[i], np.int32) for i in order], [None if got.c[i] is None else np.asarray(got.c[i], np.int32) for i in order], len(words), penalty, ridge)
     return ToxicityModel({k: float(x) for k, x in zip(words, w, strict=True)}, b)
 
 
