@@ -16,6 +16,8 @@ from filmspark.llm.common import blocks
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+#: Bytes of text whose words are sorted and segmented together.
+_SLICE = 1 << 20
 #: A word with the space before it, a word after a line end, a line end, or a space alone.
 _UNITS = re.compile(r" ?[^ \n]+|[ \n]")
 
@@ -129,7 +131,7 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for b in blocks(batches, "__text"):
+        for b in blocks(batches, "__text", _SLICE):
             texts = [t.as_py() for t in b.column(b.num_columns - 1)]
             units = [_UNITS.findall(" " + t) if t else [] for t in texts]
             distinct = sorted(set().union(*units))
