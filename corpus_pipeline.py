@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmspark.llm import mixing, simhash, suffix, toxicity, viterbi
+from filmspark.llm import mixing, shingles, simhash, suffix, toxicity, viterbi
 from filmspark.llm.common import table, written
 
 
@@ -16,8 +16,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each SimHash group. Rows without an id stay; rows that share the least id all stay."""
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"))
+    """The document with the least id of each group of near copies. Rows without an id stay; rows that share the least id all stay.
+
+    SimHash of five words drops copies and light edits first. No distance of 64 bits covers a similarity of 0.8, so what is left is grouped by all pairs whose
+    shingle sets are that similar, checked exactly: no two documents of that similarity stay.
+    """
+    groups = simhash.simhash_groups(docs.select("doc_id", "text"), width=5)
+    docs = written(_without(docs, groups), "simhash-kept")
+    return _without(docs, shingles.similar_groups(docs, width=5, least=0.8))
+
+
+def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
