@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A replica count is at most this; the mean repetition rate is kept low enough that a count beyond it has a chance under 1e-12.
+from filmspark.llm.common import written
+
+#: One inversion gives at most MOST_COPIES; its mean is at most MOST_RATE, so that a count beyond has a chance under 1e-12. Larger means are sums of inversions.
 MOST_COPIES = 128
 MOST_RATE = 60.0
+#: Copies of a row of such a mean that one row stands for until they are dealt.
+_RUN = 1024
+
+
+def _uniform(salt: Column, ident: Column) -> Column:
+    return (F.conv(F.substring(F.md5(F.concat(salt, ident).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _inverted(rate: Column, u: Column) -> Column:
+    """The least k with CDF(k) >= u: terms are added while the sum is below u."""
+    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
+    step = lambda a, i: F.when(a["sum"] >= u, a).otherwise(F.struct((a["term"] * rate / i).alias("term"), (a["sum"] + a["term"] * rate / i).alias("sum"), i.alias("k")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES)), start, step, lambda a: a["k"])
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, total: float | None = None, seed: int = 11, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -20,40 +36,47 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     from seed and id; it is exploded by its count. Returns the input's columns, copy (0, 1, ...) and shuffle_key; rows are dealt to tasks and
     sorted within them by the key, a hash of seed, id and copy.
 
-    Null sources are a source of their own (key None in weights). Rows with null ids hash as the text "null"; repeated rows get equal counts. Rates above 60 raise
-    ValueError. Clashing columns named copy or shuffle_key are replaced. An empty table gives an empty one.
-    Sources are counted by a partial aggregate; at most 10,000 sources come to the driver, more raise ValueError. Text moves once, in the final shuffle,
-    by a hash that no source or group of copies can make uneven.
+    A mean over 60 is split into equal means of at most 60, and the count is the sum of their counts, each at a number of its own (hashed from seed, part and id).
+
+    Null sources are a source of their own (key None in weights). Rows with null ids hash as the text "null"; repeated rows get equal counts. A `total` over 60 times
+    the rows that come in raises ValueError. Clashing columns named copy or shuffle_key are replaced. An empty table gives an empty one.
+    Sources are counted by a partial aggregate and joined as a table, so their number is free. Text moves once, in the final shuffle,
+    by a hash that no source or group of copies can make uneven; a row with a mean over 60 is dealt in runs of copies before it is copied.
     """
-    counted = docs.groupBy(F.col(source_col).alias("s")).count().limit(10_001).collect()
-    if len(counted) > 10_000:
-        raise ValueError("more than 10,000 sources")
-    rows = {r["s"]: r["count"] for r in counted}
-    share = {s: 1.0 if weights is None else float(weights.get(s, 0.0)) for s in rows}
-    whole = sum(share.values())
-    goal = float(sum(rows.values())) if total is None else float(total)
-    rates = {s: goal * share[s] / whole / n if whole else 0.0 for s, n in rows.items()}
-    if (worst := max(rates.values(), default=0.0)) > MOST_RATE:
-        raise ValueError(f"a source would be repeated {worst:.1f} times on average")
+    spark = docs.sparkSession
+    counted = written(docs.groupBy(F.col(source_col).alias("__s")).agg(F.count("*").alias("__rows")), "sources")
+    rows = counted.agg(F.sum("__rows")).first()[0] or 0
+    goal = float(rows) if total is None else float(total)
+    if rows and goal / rows > MOST_RATE:
+        raise ValueError(f"documents would be repeated {goal / rows:.1f} times on average")
+    shared = counted.withColumn("__share", F.lit(1.0))
+    if weights is not None:
+        given = spark.createDataFrame([(s if s is None else str(s), float(w)) for s, w in weights.items()], "__w string, __share double")
+        shared = counted.join(given, F.col("__s").cast("string").eqNullSafe(F.col("__w"))).where("__share > 0")
+    # a sum of the caller's own weights; equal ones are counted
+    whole = (float(counted.count()) if weights is None else math.fsum(r[0] for r in shared.select("__share").collect())) or 1.0
+    rates = shared.select("__s", (F.lit(goal) * F.col("__share") / F.lit(whole) / F.col("__rows")).alias("__rate"))
+    worst = rates.agg(F.max("__rate")).first()[0] or 0.0
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), ident).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    named = {s: r for s, r in rates.items() if s is not None}
-    by = F.create_map(*[F.lit(x) for s, r in named.items() for x in (s, r)]) if named else F.lit(None).cast("map<string,double>")
-    rate = F.when(F.col(source_col).isNull(), F.lit(rates.get(None, 0.0))).otherwise(F.try_element_at(by, F.col(source_col).cast("string")))
-    # the least k with CDF(k) >= u: add terms while the sum is below u
-    start = F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).alias("k"))
-    step = lambda a, i: F.when(a["sum"] >= u, a).otherwise(F.struct((a["term"] * rate / i).alias("term"), (a["sum"] + a["term"] * rate / i).alias("sum"), i.alias("k")))
-    count = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_COPIES)), start, step, lambda a: a["k"])
+    rate = F.col("__rate")
     kept = docs.drop("copy", "shuffle_key")
-    narrow = kept.withColumn("__n", F.when(rate > 0, count).otherwise(0)).where("__n > 0")
-    copies = narrow.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    rated = kept.join(rates, F.col(source_col).eqNullSafe(F.col("__s")))
+    narrow = rated.where(rate <= MOST_RATE).withColumn("__n", _inverted(rate, _uniform(F.lit(f"{seed}:"), ident))).where("__n > 0")
+    copies = narrow.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(*kept.columns, "copy")
+    if worst > MOST_RATE:
+        parts = F.ceil(rate / MOST_RATE).cast("int")
+        each = lambda n, j: n + _inverted(rate / parts, _uniform(F.concat(F.lit(f"{seed}+"), j.cast("string"), F.lit(":")), ident))
+        many = rated.where(rate > MOST_RATE).withColumn("__n", F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), each)).where("__n > 0")
+        runs = many.withColumn("__at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(_RUN)))).repartition(ident, F.col("__at"))
+        last = F.least(F.col("__at") + _RUN, F.col("__n")) - 1
+        copies = copies.union(runs.withColumn("copy", F.explode(F.sequence(F.col("__at"), last))).select(*kept.columns, "copy"))
     key = F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("copy").cast("string")).cast("binary"))
     keyed = copies.withColumn("shuffle_key", key)
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
 
 
 def poisson_sql(seed: int = 11) -> str:
-    """The same counts and keys for equal weights, in DuckDB SQL over `documents`."""
+    """The same counts and keys for equal weights, in DuckDB SQL over `documents`, where no source has a mean over 60."""
     return f"""
 WITH RECURSIVE d AS (
   SELECT *, (CAST('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u FROM documents),
