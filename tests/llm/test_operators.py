@@ -363,35 +363,57 @@ def unit_vectors(rng):
     out = [b + 0.05 * rng.standard_normal(16) for b in base[:10] for _ in range(8)] + list(base) + [base[0] * 3, base[0] * 3]
     return [v.astype(np.float32) for v in out]
 
+def brute_links(rows, threshold=0.95):
+    """n_links and component of every row (by place), all pairs in double precision."""
+    ok = [i for i, (r, v) in enumerate(rows) if r is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    x = {i: np.array(rows[i][1], np.float32).astype(np.float64) for i in ok}
+    x = {i: v / np.linalg.norm(v) for i, v in x.items()}
+    links = {i: {j for j in ok if j != i and len(x[i]) == len(x[j]) and x[i] @ x[j] >= threshold} for i in ok}
+    comp = {}
+    for i in ok:
+        if i not in comp:
+            seen, todo = {i}, [i]
+            while todo:
+                todo += (new := links[todo.pop()] - seen)
+                seen |= new
+            for j in seen:
+                comp[j] = min(rows[s][0] for s in seen)
+    return [(r, len(links.get(i, ())), comp.get(i, r)) for i, (r, _) in enumerate(rows)]
+
+
+def checked_links(spark, rows, **more):
+    df = spark.createDataFrame([(i, v, "x", 1.0) for i, v in rows], "vec_id long, embedding array<float>, hash string, cos double").repartition(4)
+    got = sorted(((r.vec_id is None, r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in nndescent.near_duplicates(df, **more).collect()))
+    assert got == sorted((i is None, i or 0, n, c or 0, i is None or i == c) for i, n, c in brute_links(rows))
+
 
 def test_near_duplicates(spark):
     vec = unit_vectors(np.random.default_rng(2))
     rows = [(1000 - i, v.tolist()) for i, v in enumerate(vec)]
     odd = [(5000, None), (5001, [0.0] * 16), (5002, [float("nan")] + [1.0] * 15), (5003, []), (5004, [1.0, 2.0]), (5005, [1.0, None]), (None, vec[0].tolist())]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").repartition(4)
-    got = {r.vec_id: r for r in nndescent.near_duplicates(df).collect()}
-    x = np.array([v.astype(np.float64) / np.linalg.norm(v.astype(np.float64)) for v in vec])
-    near = x @ x.T >= 0.95
-    ids = [i for i, _ in rows]
-    comp = closure(range(len(ids)), lambda a, b: near[a, b])
-    least = {}
-    for k, c in comp.items():
-        least[c] = min(least.get(c, 1 << 60), ids[k])
-    for k, i in enumerate(ids):
-        assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[k].sum() - 1, least[comp[k]], least[comp[k]] == i)
-    for i, _ in odd:
-        assert (got[i].n_links, got[i].component_id) == (0, i)
-    assert nndescent.near_duplicates(df.limit(0)).count() == 0
-
-
-def test_exact_links_go_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nndescent, "_EXACT", 3)
-    monkeypatch.setattr(nndescent, "_BLOCK", 8)
+    checked_links(spark, rows + odd + rows[:3])
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, text string")
+    assert nndescent.near_duplicates(empty).count() == 0
+
+
+def test_an_id_with_two_vectors_keeps_its_links(spark):
+    checked_links(spark, [(5, [1.0, 0.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0, 0.0]), (6, [1.0, 0.1, 0.0, 0.0]), (7, [0.1, 1.0, 0.0, 0.0])])
+
+
+@pytest.mark.parametrize("exact,part", [(256, 256), (3, 8)])
+def test_hubs_and_dense_groups(spark, monkeypatch, exact, part):
+    """Two groups of mutually close vectors, joined by looser links only; a hub; a chain; large groups counted by cells and by blocks."""
+    for name, value in (("_EXACT", exact), ("_PART", part), ("_BLOCK", 32)):
+        monkeypatch.setattr(nndescent, name, value)
     rng = np.random.default_rng(3)
-    b = rng.standard_normal(16)
-    vec = [(b + 0.02 * rng.standard_normal(16)).tolist() for _ in range(40)]
-    df = spark.createDataFrame(list(enumerate(vec)), "vec_id long, embedding array<double>")
-    assert {(r.n_links, r.component_id) for r in nndescent.near_duplicates(df).collect()} == {(39, 0)}
+    e = np.eye(24)
+    turn = lambda a, b, deg: np.cos(np.radians(deg)) * a + np.sin(np.radians(deg)) * b
+    near = lambda c, n, s: [c + s * rng.standard_normal(24) for _ in range(n)]
+    vec = near(e[0], 30, 0.004) + near(turn(e[0], e[1], 17.0), 30, 0.004)
+    vec += [turn(e[2], e[3 + i], 17.5) for i in range(12)] + [e[2]]
+    vec += [turn(e[16], e[17], 9.0 * i) for i in range(12)]
+    vec += near(e[20], 40, 0.03) + list(rng.standard_normal((60, 24)))
+    checked_links(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(vec)])
 
 
 def brute_base(texts, train):
