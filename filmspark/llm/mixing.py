@@ -58,18 +58,24 @@ def poisson_mix(docs: DataFrame, weights: Mapping[str, float] | None = None, tot
     rates = shared.select("__s", (F.lit(goal) * F.col("__share") / F.lit(whole) / F.col("__rows")).alias("__rate"))
     worst = rates.agg(F.max("__rate")).first()[0] or 0.0
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    rate = F.col("__rate")
     kept = docs.drop("copy", "shuffle_key")
-    rated = kept.join(rates, F.col(source_col).eqNullSafe(F.col("__s")))
-    narrow = rated.where(rate <= MOST_RATE).withColumn("__n", _inverted(rate, _uniform(F.lit(f"{seed}:"), ident))).where("__n > 0")
-    copies = narrow.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).select(*kept.columns, "copy")
+    # names of columns that only live here must not be those of the input
+    tag = "__mix"
+    while any(c.startswith(tag) for c in kept.columns):
+        tag += "_"
+    count, start, rate_name = f"{tag}_count", f"{tag}_start", f"{tag}_rate"
+    rate, n = F.col(rate_name), F.col(count)
+    rates = rates.select(F.col("__s").alias(f"{tag}_source"), F.col("__rate").alias(rate_name))
+    rated = kept.join(rates, F.col(source_col).eqNullSafe(F.col(f"{tag}_source")))
+    narrow = rated.where(rate <= MOST_RATE).withColumn(count, _inverted(rate, _uniform(F.lit(f"{seed}:"), ident))).where(n > 0)
+    copies = narrow.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1))).select(*kept.columns, "copy")
     if worst > MOST_RATE:
         parts = F.ceil(rate / MOST_RATE).cast("int")
         each = lambda n, j: n + _inverted(rate / parts, _uniform(F.concat(F.lit(f"{seed}+"), j.cast("string"), F.lit(":")), ident))
-        many = rated.where(rate > MOST_RATE).withColumn("__n", F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), each)).where("__n > 0")
-        runs = many.withColumn("__at", F.explode(F.sequence(F.lit(0), F.greatest(F.col("__n") - 1, F.lit(0)), F.lit(_RUN)))).repartition(ident, F.col("__at"))
-        last = F.least(F.col("__at") + _RUN, F.col("__n")) - 1
-        copies = copies.union(runs.withColumn("copy", F.explode(F.sequence(F.col("__at"), last))).select(*kept.columns, "copy"))
+        many = rated.where(rate > MOST_RATE).withColumn(count, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), each)).where(n > 0)
+        runs = many.withColumn(start, F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(_RUN)))).repartition(ident, F.col(start))
+        last = F.least(F.col(start) + _RUN, n) - 1
+        copies = copies.union(runs.withColumn("copy", F.explode(F.sequence(F.col(start), last))).select(*kept.columns, "copy"))
     key = F.md5(F.concat(F.lit(f"{seed}/"), ident, F.lit("/"), F.col("copy").cast("string")).cast("binary"))
     keyed = copies.withColumn("shuffle_key", key)
     return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

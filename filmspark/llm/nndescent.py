@@ -184,15 +184,22 @@ def _enlarged(classes: DataFrame, lists: DataFrame, links: DataFrame, kind: str,
     cells = written(_tables(classes, kind, bits, tables), "cells")
     for r in range(most):
         known = classes.join(member, "cid", "left").join(full, "cid", "left").select("cid", "vec", "dim", F.coalesce("component", "cid").alias("component"), F.coalesce("saturated", F.lit(False)).alias("saturated"))
-        far = written(_lists(_joined(cells, known, kind, 2, foreign=True), k), "far")
+        known = written(known, "known")
+        open_ = cells.join(cells.join(full.select("cid"), "cid", "left_semi").select("key").distinct(), "key", "left_semi")
+        far = written(_lists(_joined(open_, known, kind, 2, foreign=True), k), "far")
         # only what is near the threshold leads further
         close = far.where(F.col("cos") >= math.cos(1.5 * math.acos(threshold))).select("v", "u")
-        more = _joined(_pools(close.union(lists.join(close.select("u").distinct().withColumnRenamed("u", "v"), "v", "left_semi").select("v", "u")), classes, r), known, kind, 2, foreign=True)
+        theirs = lists.join(close.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("v", "u")
+        more = _joined(_pools(close.union(theirs), full, r), known, kind, 2, foreign=True)
         fresh = written(far.union(more).where(F.col("cos") >= threshold).select("u", "v").distinct(), "fresh")
         if fresh.isEmpty():
             return links, member
         links = written(links.union(fresh), "links")
         member = written(components(links).withColumnsRenamed({"vertex": "cid"}), "member")
+        # a list is looked at again only if its component has grown: from an unchanged one the same cells give nothing new
+        ends = fresh.select(F.col("u").alias("cid")).union(fresh.select(F.col("v").alias("cid"))).distinct()
+        grown = member.join(ends, "cid", "left_semi").select("component").distinct()
+        full = written(full.join(member.join(grown, "component", "left_semi").select("cid"), "cid", "left_semi"), "saturated")
     raise RuntimeError(f"saturated lists still found new links after {most} rounds")
 
 

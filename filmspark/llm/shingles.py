@@ -43,17 +43,17 @@ def needed(n: int, least: float) -> int:
     return math.ceil(least * n - 1e-9)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, cls, n, hashes): cls is a hash of the set."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None) -> DataFrame:
+    """(id, row, cls, n, hashes): cls is a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            sets = [shingle_set((t.as_py() or "").encode(), width) for t in b.column(1)]
+            sets = [shingle_set((t.as_py() or "").encode(), width) for t in b.column(2)]
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "cls", "n", "hashes"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "row", "cls", "n", "hashes"])
 
-    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return src.mapInArrow(run, "id long, cls long, n int, hashes binary")
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), F.col(text_col).alias("text"))
+    return src.mapInArrow(run, "id long, row long, cls long, n int, hashes binary")
 
 
 def _keys(classes: DataFrame, least: float, late: bool = False, whole: bool = False) -> DataFrame:
@@ -165,15 +165,15 @@ def _in_cells(members: DataFrame, classes: DataFrame, least: float) -> DataFrame
     return m.groupBy("key", "a", "b").applyInPandas(run, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = 64) -> DataFrame:
-    """(id_col, component_id) of every row with an id: component_id is the least id reachable by links of a Jaccard similarity of at least `least` between the texts' shingle sets.
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = 64, row_col: str | None = None) -> DataFrame:
+    """(id, row, component, component_id) of every row with an id: component tells groups apart even where ids are repeated, row is `row_col` (a long, or null), component_id is the least id reachable by links of a Jaccard similarity of at least `least` between the texts' shingle sets.
 
     No link is missed: a prefix of each set, rare shingles first, holds a shingle that both ends share, and what shares one is checked on the whole sets.
     Keys of up to `most` sets give pairs. For others the texts themselves meet, which gives spanning links only: first by the commonest key of each, then by
     the keys that still hold several components. Equal sets are one class (known by 64-bit hashes, as shingles are); texts without words are one class.
     Repeated rows each get a row; an empty table gives an empty one.
     """
-    rows = written(_sets(docs, id_col, text_col, width), "shingle-sets")
+    rows = written(_sets(docs, id_col, text_col, width, row_col), "shingle-sets")
     equal = written(rows.groupBy("cls").count().where("count > 1").select("cls"), "equal-sets")
     one = rows.join(equal, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("hashes").alias("hashes"))
     classes = rows.join(equal, "cls", "left_anti").select("cls", F.col("id").alias("least"), "n", "hashes").union(written(one, "shingle-classes"))
@@ -191,4 +191,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = components(links).withColumnRenamed("vertex", "cls")
     of = classes.select("cls", "least").join(linked, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     first = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "cls").join(of.join(first, "component").select("cls", "component_id"), "cls").select(F.col("id").alias(id_col), "component_id")
+    return rows.select("id", "row", "cls").join(of.join(first, "component").select("cls", "component", "component_id"), "cls").drop("cls")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8, most: int = 64) -> DataFrame:
+    """(id_col, component_id) of every row with an id; see similar_rows."""
+    return similar_rows(docs, id_col, text_col, width, least, most).select(F.col("id").alias(id_col), "component_id")

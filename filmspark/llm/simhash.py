@@ -53,16 +53,17 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp long) of each row; null texts are empty. Narrow: no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """(id, row, fp long) of each row; row is `row_col`, a long, or null without one. Null texts are empty. Narrow: no shuffle."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint((t.as_py() or "").encode(), width) for t in b.column(1)], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint((t.as_py() or "").encode(), width) for t in b.column(2)], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "row", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    row = (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row")
+    return docs.select(F.col(id_col).alias("id"), row, F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, row long, fp long")
 
 
 # The binary Golay code of length 23 as a cyclic code; its generator is a fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -149,17 +150,21 @@ def close_pairs(fps: DataFrame, most_in_group: int = 256) -> DataFrame:
     return pairs(light).union(pairs(heavy)).distinct()
 
 
+def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_in_group: int = 256, row_col: str | None = None) -> DataFrame:
+    """(id, row, fp, component, component_id) of every row: component tells groups apart even where ids are repeated, component_id is the least id of the group."""
+    fps = written(fingerprints(docs, id_col, text_col, width, row_col), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    linked = components(close_pairs(classes.select("fp"), most_in_group))
+    of = classes.join(linked.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(of.join(first, "component").select("fp", "component", "component_id"), "fp").select("id", "row", "fp", "component", "component_id")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most_in_group: int = 256) -> DataFrame:
     """One row per input row: id_col, fingerprint (16 hex digits), component_id (least id reachable by links of at most 2 bits).
 
     Equal fingerprints are one class, so copies never meet in pairs. Null and empty texts have fingerprint zero and link like any
-    other. Repeated rows each get a row. Null ids are never a component's id unless it has no other. Extra columns are ignored; an empty table gives an empty one.
+    other. Repeated rows each get a row; an id that comes with several texts has the group of each. Null ids are never a component's id unless it has no other. Extra columns are ignored; an empty table gives an empty one.
     """
-    fps = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = components(close_pairs(classes.select("fp"), most_in_group))
-    of = classes.join(linked.withColumnRenamed("vertex", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = of.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = of.join(first, "component").select("fp", "component_id")
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    rows = grouped_rows(docs, id_col, text_col, width, most_in_group)
+    return rows.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,6 +7,7 @@ and gives one row for each page. Tag numbers and codes are those of the TIFF 6.0
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from filmspark.llm.common import BLOCK_BYTES, blocks, text_bytes
 
@@ -23,6 +25,9 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 _SIZES = {1: "B", 3: "H", 4: "I"}
+#: Samples that a byte of a segment can stand for: LZW codes of 9 to 12 bits have at most 3,839 samples, deflate has 1,032 and PackBits 64.
+_MOST_GAIN = 4096
+_MOST_SEGMENT = 1 << 26
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -40,73 +45,75 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def pack_bits(row: bytes) -> bytes:
-    """Runs of 3 or more equal bytes are repeats, the rest literals of at most 128 bytes."""
-    a = np.frombuffer(row, np.uint8)
-    if not len(a):
-        return b""
-    starts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    lengths = np.diff(np.append(starts, len(a)))
+    """Runs of 3 to 128 equal bytes are repeats, the rest literals of at most 128 bytes."""
     out, literal = bytearray(), 0
-    for at, n in zip(starts[lengths >= 3].tolist(), lengths[lengths >= 3].tolist(), strict=True):
-        for k in range(literal, at, 128):
-            piece = row[k : min(at, k + 128)]
+
+    def copied(stop: int) -> None:
+        for k in range(literal, stop, 128):
+            piece = row[k : min(stop, k + 128)]
             out.append(len(piece) - 1)
-            out += piece
-        literal = at + n
-        while n > 0:
-            m = min(n, 128)
-            if m == 1:
-                out += bytes((0, row[at]))
-            else:
-                out += bytes((257 - m, row[at]))
-            n -= m
-    for k in range(literal, len(row), 128):
-        piece = row[k : k + 128]
-        out.append(len(piece) - 1)
-        out += piece
+            out.extend(piece)
+
+    for run in _RUN.finditer(row):
+        at, end = run.span()
+        copied(at)
+        out += bytes((257 - (end - at), row[at]))
+        literal = end
+    copied(len(row))
     return bytes(out)
 
 
+def pack_rows(part: np.ndarray) -> bytes:
+    """The rows of a segment, each packed alone; most have no run of 3 and are one literal."""
+    h, w = part.shape
+    if not 3 <= w <= 128:
+        return b"".join(pack_bits(r.tobytes()) for r in part)
+    runs = ((part[:, 2:] == part[:, 1:-1]) & (part[:, 1:-1] == part[:, :-2])).any(axis=1).tolist()
+    whole = np.concatenate([np.full((h, 1), w - 1, np.uint8), part], axis=1)
+    return b"".join(pack_bits(part[i].tobytes()) if run else whole[i].tobytes() for i, run in enumerate(runs))
+
+
 _CLEAR, _EOI = 256, 257
 
 
 def lzw_encode(data: bytes) -> bytes:
-    codes, table, size, bits, widths = [_CLEAR], {bytes((i,)): i for i in range(256)}, 258, 9, [9]
-    w = b""
-    for i in range(len(data)):
-        c = data[i : i + 1]
-        if w + c in table:
-            w += c
+    """Strings are known by the code of all but their last byte, and that byte."""
+    codes, widths, table, size, bits, w = [_CLEAR], [9], {}, 258, 9, -1
+    for c in data:
+        if w < 0:
+            w = c
+            continue
+        key = w << 8 | c
+        known = table.get(key)
+        if known is not None:
+            w = known
             continue
-        codes.append(table[w])
+        codes.append(w)
         widths.append(bits)
-        table[w + c] = size
+        table[key] = size
         size += 1
         if size == 4095:
             codes.append(_CLEAR)
             widths.append(bits)
-            table, size, bits = {bytes((i,)): i for i in range(256)}, 258, 9
-        else:
-            bits += size >> bits
+            table, size, bits = {}, 258, 9
+        elif size >> bits:
+            bits += 1
         w = c
-    if w:
-        codes.append(table[w])
+    if w >= 0:
+        codes.append(w)
         widths.append(bits)
         size += 1
         bits += size >> bits
     codes.append(_EOI)
     widths.append(bits)
-    value, held, out = 0, 0, bytearray()
-    for c, n in zip(codes, widths, strict=True):
-        value, held = value << n | c, held + n
-        while held >= 8:
-            held -= 8
-            out.append(value >> held & 255)
-        value &= (1 << held) - 1
-    if held:
-        out.append(value << 8 - held & 255)
-    return bytes(out)
+    n, places = np.array(widths), np.arange(12)
+    # the bits of each code, most significant first
+    each = np.array(codes)[:, None] >> np.maximum(n[:, None] - 1 - places, 0) & 1
+    return np.packbits(each[places < n[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -161,8 +168,9 @@ def read_pages(content: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarra
         end = ">"
     else:
         raise ValueError("not a TIFF file")
-    (at,), seen = struct.unpack_from(end + "I", content, 4), set()
+    seen: set[int] = set()
     try:
+        (at,) = struct.unpack_from(end + "I", content, 4)
         while at:
             if at in seen:
                 raise ValueError("the directories form a loop")
@@ -172,6 +180,8 @@ def read_pages(content: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarra
             for k in range(n):
                 tag, kind, count = struct.unpack_from(end + "HHI", content, at + 2 + 12 * k)
                 if kind in _SIZES:
+                    if count > len(content):
+                        raise ValueError(f"tag {tag} has more values than the file has bytes")
                     form = f"{end}{count}{_SIZES[kind]}"
                     place = at + 10 + 12 * k
                     if struct.calcsize(form) > 4:
@@ -179,7 +189,7 @@ def read_pages(content: bytes) -> Iterator[tuple[dict[int, list[int]], np.ndarra
                     tags[tag] = list(struct.unpack_from(form, content, place))
             yield tags, _samples(content, tags)
             (at,) = struct.unpack_from(end + "I", content, at + 2 + 12 * n)
-    except (struct.error, KeyError, IndexError) as e:
+    except (struct.error, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError, zlib.error) as e:
         raise ValueError(f"damaged directory: {e!r}") from e
 
 
@@ -190,9 +200,17 @@ def _samples(content: bytes, tags: dict[int, list[int]]) -> np.ndarray:
         raise ValueError("only interleaved 8-bit samples are read")
     tiled = TILE_OFFSETS in tags
     tw, th = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (w, min(h, one(ROWS_PER_STRIP, h)))
-    out = np.zeros((h, w, channels), np.uint8)
+    if min(w, h, channels, tw, th) < 1:
+        raise ValueError("an image or a segment without samples")
     across = -(-w // tw)
-    for k, (at, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True)):
+    places, sizes = tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS]
+    if len(places) != len(sizes) or len(places) < across * -(-h // th):
+        raise ValueError("segments are missing")
+    # no codec here makes more than this of a byte, so a header that promises more is damaged; nothing is allocated for it
+    if w * h * channels > _MOST_GAIN * sum(min(size, len(content)) for size in sizes) or tw * th * channels > max(_MOST_SEGMENT, w * h * channels):
+        raise ValueError("the header promises more samples than the file can hold")
+    out = np.zeros((h, w, channels), np.uint8)
+    for k, (at, size) in enumerate(zip(places[: across * -(-h // th)], sizes, strict=False)):
         y, x = k // across * th, k % across * tw
         rows = th if tiled else min(th, h - y)
         part = np.frombuffer(decode_segment(content[at : at + size], one(COMPRESSION, NONE)), np.uint8)
@@ -209,7 +227,7 @@ def _samples(content: bytes, tags: dict[int, list[int]]) -> np.ndarray:
 
 def encode_tiff(pages: list[np.ndarray], compression: int, predictor: int = 1, tile: tuple[int, int] | None = None, rows_per_strip: int = 64) -> bytes:
     """A little-endian file with one gray image (height x width) for each page, in strips, or in tiles (height, width), padded with zeros."""
-    pack = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}[compression]
+    pack = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: bytes}[compression]
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for page in pages:
         h, w = page.shape
@@ -222,7 +240,7 @@ def encode_tiff(pages: list[np.ndarray], compression: int, predictor: int = 1, t
         for part in parts:
             if predictor == 2:
                 part = np.diff(part, axis=1, prepend=np.zeros((len(part), 1), np.uint8))
-            data = b"".join(pack(r.tobytes()) for r in part) if compression == PACKBITS else pack(np.ascontiguousarray(part).tobytes())
+            data = pack_rows(part) if compression == PACKBITS else pack(np.ascontiguousarray(part).tobytes())
             places.append(len(out))
             sizes.append(len(data))
             out += data + b"\0" * (len(data) & 1)
@@ -247,20 +265,18 @@ def encode_tiff(pages: list[np.ndarray], compression: int, predictor: int = 1, t
 
 
 UNIT, _W, _H = 576, 96, 192
+#: Every codec with both predictors.
+_KINDS = [(c, p) for c in (DEFLATE, PACKBITS, LZW) for p in (1, 2)]
 
 
 def payload_tiff(payload: bytes) -> bytes:
-    """A payload of whole 576-byte units as pages of 96 columns (6 rows a unit) and at most 192 rows. Its checksum picks the codec, so equal payloads give equal files."""
+    """A payload of whole 576-byte units as pages of 96 columns (6 rows a unit) and at most 192 rows. Its checksum picks codec, predictor and strips or tiles, all alike often, so equal
+    payloads give equal files."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, _W)
     pages = [rows[y : y + _H] for y in range(0, len(rows), _H)]
-    pick = zlib.crc32(payload) % 16
-    if pick == 0:
-        return encode_tiff(pages, LZW, predictor=1)
-    if pick < 4:
-        return encode_tiff(pages, PACKBITS, tile=(64, 64))
-    if pick < 8:
-        return encode_tiff(pages, DEFLATE, predictor=2, tile=(96, 32))
-    return encode_tiff(pages, DEFLATE, predictor=1 + pick % 2)
+    pick = zlib.crc32(payload)
+    codec, predictor = _KINDS[pick % 6]
+    return encode_tiff(pages, codec, predictor, [None, (64, 64), (96, 32)][pick // 6 % 3])
 
 
 def text_tiffs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,7 +312,7 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str, keep: list[str] |
                 try:
                     found = [(t, p) for t, p in read_pages(media.as_py() or b"")]
                     got = [(k, len(found), p.shape[1], p.shape[0], p.shape[2], p.tobytes(), None) for k, (_, p) in enumerate(found)]
-                except ValueError as e:
+                except (ValueError, MemoryError) as e:
                     got = [(-1, 0, None, None, None, None, str(e))]
                 for x in got:
                     rows.append(i)
@@ -357,6 +373,6 @@ def tiff_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], schema=schema)
 
     names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [to_arrow_type(docs.schema[id_col].dataType), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     schema = pa.schema(list(zip(names, kinds, strict=True)))
     return pages.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

@@ -171,6 +171,40 @@ def test_tiff_pages(spark):
     assert all(r.page == -1 and r.error for r in got if r.id > 16) and {r.id for r in got} == set(range(21))
 
 
+def test_damaged_tiff_files_give_error_rows(spark):
+    page = np.arange(60, dtype=np.uint8).reshape(6, 10)
+    good = tiff.encode_tiff([page], tiff.DEFLATE, 1, None, 4)
+    at = int.from_bytes(good[4:8], "little") + 2
+
+    def with_tag(tag, value):
+        b = bytearray(good)
+        k = next(k for k in range(10) if int.from_bytes(b[at + 12 * k : at + 12 * k + 2], "little") == tag)
+        b[at + 12 * k + 8 : at + 12 * k + 12] = value.to_bytes(4, "little")
+        return bytes(b)
+
+    files = [good, b"II*\0", b"MM\0*\0", with_tag(tiff.WIDTH, 0), with_tag(tiff.HEIGHT, 0), with_tag(tiff.WIDTH, (1 << 31) - 1), with_tag(tiff.HEIGHT, (1 << 32) - 1), with_tag(tiff.ROWS_PER_STRIP, 0), with_tag(tiff.ROWS_PER_STRIP, 1)]
+    files += [good[:k] for k in range(0, len(good), 7)]
+    df = spark.createDataFrame([(i, f, "e") for i, f in enumerate(files)], "id short, media binary, error string")
+    got = {int(r.id): r for r in tiff.tiff_pages(df.select("id", "media"), "id", "media").collect()}
+    assert len(got) == len(files) and bytes(got[0].pixels) == page.tobytes()
+    assert all(r.page == -1 and r.error and r.pixels is None for i, r in got.items() if i)
+
+
+def test_tiff_round_trip_of_repeats_and_other_ids(spark):
+    rows = [("a", "x" * 700), ("a", "x" * 700), (None, None), ("b", "")]
+    for kind, ident in (("string", str), ("short", lambda x: None if x is None else ord(x)), ("double", lambda x: None if x is None else float(ord(x)))):
+        df = spark.createDataFrame([(None if i is None else ident(i), t, 1) for i, t in rows], f"doc_id {kind}, text string, media int")
+        got = tiff.tiff_round_trip(df).drop("doc_id").collect()
+        assert len(got) == 4 and len(set(got)) == 2
+        assert dict(tiff.tiff_round_trip(df).dtypes)["doc_id"] == dict(df.dtypes)["doc_id"]
+
+
+def test_every_codec_is_used():
+    rng = random.Random(4)
+    seen = {(tags[tiff.COMPRESSION][0], tags[tiff.PREDICTOR][0], tiff.TILE_WIDTH in tags) for _ in range(200) for tags, _ in tiff.read_pages(tiff.payload_tiff(rng.randbytes(576)))}
+    assert len(seen) == 12
+
+
 def test_tiff_round_trip(spark, docs, texts):
     got = {r.doc_id: r for r in tiff.tiff_round_trip(docs).collect()}
     assert got.keys() == texts.keys()
@@ -235,6 +269,19 @@ def test_mixing(spark, docs):
         mixing.poisson_mix(docs, total=1e6)
 
 
+def test_mixing_edge_rows(spark):
+    rows = [(None, "a", "en", "s0", 1, 7, "k")] * 3 + [(5, None, None, None, None, 8, "k")] * 2
+    df = spark.createDataFrame(rows, DOCS + ", copy int, shuffle_key string")
+    got = mixing.poisson_mix(df, total=60.0).collect()
+    by = {}
+    for r in got:
+        by.setdefault((r.doc_id, r.shuffle_key), []).append(r.copy)
+    # equal rows get equal counts
+    assert all(len(v) == (3 if k[0] is None else 2) for k, v in by.items()) and got[0].shuffle_key != "k"
+    own = df.select("*", *[df.source.alias(c) for c in ("__n", "__rate", "__at")])
+    assert {r["__n"] for r in mixing.poisson_mix(own, total=60.0).collect()} <= {"s0", None}
+
+
 def test_mixing_counts_invert_the_distribution(spark, docs):
     rate = {r.source: 240 / 4 / r["count"] for r in docs.groupBy("source").count().collect()}
     want = {}

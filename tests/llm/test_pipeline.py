@@ -40,3 +40,17 @@ def test_null_rows(spark):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
         now = stage(spark, now, SF)
     assert sorted((r.doc_id or 0, r.text or "") for r in now.collect()) == [(0, ""), (0, "kept text"), (3, "")]
+    mixed = corpus_pipeline.mix_sources(spark, odd, SF)
+    assert mixed.columns == docs.columns
+    out = corpus_pipeline.tokenise(spark, odd.union(odd), SF).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens == 0) for r in out) == [(0, False), (0, False), (0, True), (0, True), (3, True), (3, True)]
+
+
+def test_repeated_ids_lose_copies_only(spark):
+    """An id that comes with several texts loses those that are copies of a smaller id's, and no other."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(1, a), (2, a), (2, b), (3, "x y z"), (3, "x y z"), (1, "quite another text of some words")]
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (2, b), (3, "x y z"), (1, "quite another text of some words")])
