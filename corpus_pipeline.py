@@ -10,40 +10,47 @@ from filmspark.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't predict as toxic; it learns as in query op1. Rows without an id stay if their text passes."""
+    """Documents that the classifier doesn't predict as toxic; it learns as in query op1. Rows without an id stay if their text passes; null texts count as empty; repeated rows are
+    judged each; an empty table gives an empty one."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 5) != 0)
     return docs.where(~toxicity.is_toxic(docs["text"], model))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies. Rows without an id stay; rows that share the least id all stay.
+    """One row of each group of near copies: that with the least id, one of them where it comes more than once. Rows without an id stay. Verdicts are by row,
+    so an id that comes with several texts loses only those that are copies. Null and empty texts are one group. An empty table gives an empty one.
 
     SimHash of five words drops copies and light edits first. No distance of 64 bits covers a similarity of 0.8, so what is left is grouped by all pairs whose
     shingle sets are that similar, checked exactly: no two documents of that similarity stay.
     """
-    groups = simhash.simhash_groups(docs.select("doc_id", "text"), width=5)
-    docs = written(_without(docs, groups), "simhash-kept")
-    return _without(docs, shingles.similar_groups(docs, width=5, least=0.8))
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = written(_one_of_each(rows, simhash.grouped_rows(rows, width=5, row_col="__row")), "simhash-kept")
+    return _one_of_each(rows, shingles.similar_rows(rows, width=5, least=0.8, row_col="__row")).select(docs.columns)
 
 
-def _without(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def _one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups: (id, row, component). The rows but for those that aren't the first of their group; rows without an id all stay."""
+    groups = groups.where("id is not null").select("id", "row", "component")
+    first = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).where("n > 1")
+    gone = groups.join(first, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
+    return rows.join(gone, "__row", "left_anti").select(rows.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 100 bytes or more that a document with a smaller id has too; every document stays, if with an empty text."""
+    """Texts without passages of 100 bytes or more that a document with a smaller id has too; every document stays, if with an empty text. Null texts stay null; rows without an id stay
+    as they are; rows with one id are one document; an empty table gives an empty one."""
     out = suffix.without_repeats(docs, length=100)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every source alike, with as many rows in all as come in; copies of a document are rows of their own."""
+    """Every source alike, with as many rows in all as come in; copies of a document are rows of their own. Null sources are a source; rows with null ids hash as the text "null";
+    repeated rows get equal counts; an empty table gives an empty one."""
     return mixing.poisson_mix(docs).select(docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, token_ids."""
+    """doc_id, lang, source, n_tokens, token_ids of every row. Null and empty texts have no tokens; repeated rows are encoded each; an empty table gives an empty one."""
     return viterbi.encode(docs, ["doc_id", "lang", "source"]).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
