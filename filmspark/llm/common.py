@@ -22,23 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a temporary one of this machine in local mode (tests), and an error on a cluster, whose executors wouldn't see it."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir")
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back, which cuts its lineage.
+def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back, which cuts its lineage. row_group: bytes of a row group, for tables of large rows, which are read a group at a time.
 
-    The table survives the loss of any executor, and what reads it later starts from files instead of running `df` again.
+    The table survives the loss of any executor, and what reads it later starts from files instead of running `df` again. It stays until the folder is cleared, as the result may be read at any time.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df.write
+    if row_group:
+        out = out.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4)
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

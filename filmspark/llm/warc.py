@@ -4,7 +4,8 @@ A record-compressed archive holds one gzip member for each record, so a record c
 archives in the wild are one monolithic stream instead. `normalise` inflates such a stream once, front to back, cuts it into
 records, writes each record as a member of its own and lists every member's place in a sidecar index.
 
-Archives travel as rows (archive, content): as Spark's binaryFile source reads them, or as `write_archives` makes them.
+Archives are rows (archive, content): as Spark's binaryFile source reads them, or as `write_archives` makes them. The query stores three tables in the
+shared folder: the monolithic archives, the normalised ones, and the sidecar index with a row for each record.
 """
 
 from __future__ import annotations
@@ -13,12 +14,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An archive is closed once this many bytes of records are in it.
-ARCHIVE_BYTES = 4 << 20
+from filmspark.llm.common import written
+
+#: An archive is closed once this many bytes of records, headers included, are in it.
+ARCHIVE_BYTES = 1 << 20
+_ROW_GROUP = 16 << 20
 _PIECE = 1 << 18
+# Fixed value of the format: the profile of revisits with an identical payload.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
 
@@ -111,22 +118,26 @@ _RECORD = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("type",
 
 
 def _written(batches: Batches, archive_bytes: int) -> Batches:
-    squeeze, parts, held, name = None, [], 0, None
+    task = TaskContext.get()
+    part, n = (task.partitionId() if task else 0), 0
+    squeeze, parts, held = None, [], 0
 
     def closed() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([name]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())], names=["archive", "content"])
+        # the same name if the task runs again, and no other task's
+        return pa.record_batch([pa.array([f"part-{part:06d}-{n:06d}.warc.gz"]), pa.array([b"".join([*parts, squeeze.flush()])], pa.binary())], names=["archive", "content"])
 
     for b in batches:
         for k in range(b.num_rows):
-            fields = [(x["key"], x["value"]) for x in b.column(1)[k].as_py()]
-            payload = b.column(2)[k].as_py() or b""
+            fields = [(x["key"], x["value"]) for x in b.column(0)[k].as_py()]
+            payload = b.column(1)[k].as_py() or b""
             if squeeze is None:
-                squeeze, parts, held, name = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0, str(b.column(0)[k].as_py())
-            parts.append(squeeze.compress(header_bytes([*fields, ("Content-Length", str(len(payload)))]) + payload + _END))
-            held += len(payload)
+                squeeze, parts, held = zlib.compressobj(1, zlib.DEFLATED, 31), [], 0
+            head = header_bytes([*fields, ("Content-Length", str(len(payload)))])
+            parts += [squeeze.compress(head), squeeze.compress(payload), squeeze.compress(_END)]
+            held += len(head) + len(payload) + len(_END)
             if held >= archive_bytes:
                 yield closed()
-                squeeze = None
+                squeeze, n = None, n + 1
     if squeeze is not None:
         yield closed()
 
@@ -161,12 +172,13 @@ def _read(batches: Batches) -> Batches:
 _RECORD_COLUMNS = "archive string, offset long, type string, id string, fields map<string, string>, block binary"
 
 
-def write_archives(df: DataFrame, name_col: str, header_col: str, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(df: DataFrame, header_col: str, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Pack rows into archives, each one gzip stream: rows (archive, content). header_col: array of (key, value) structs without Content-Length.
 
-    Rows keep their order within a task; an archive is closed at `archive_bytes`, so a task holds about one archive. A null payload is empty.
+    Rows keep their order within a task; an archive is closed once it holds `archive_bytes`, headers included, so a task holds about one archive. A null payload is empty; repeated rows are
+    records each; an empty table gives no archive.
     """
-    return df.select(name_col, header_col, payload_col).mapInArrow(lambda b: _written(b, archive_bytes), "archive string, content binary")
+    return df.select(header_col, payload_col).mapInArrow(lambda b: _written(b, archive_bytes), "archive string, content binary")
 
 
 def normalise(archives: DataFrame) -> DataFrame:
@@ -183,52 +195,57 @@ def read_records(normal: DataFrame) -> DataFrame:
     return normal.select("archive", "content", "index").mapInArrow(_read, _RECORD_COLUMNS)
 
 
-def rewritten_records(df: DataFrame, name_col: str, header_col: str, payload_col: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """read_records of normalise of write_archives, in one pass: archives stay in the Python task that made them."""
-    return df.select(name_col, header_col, payload_col).mapInArrow(lambda b: _read(_normalised(_written(b, archive_bytes))), _RECORD_COLUMNS)
+def sidecar(normal: DataFrame) -> DataFrame:
+    """The index of normalised archives, a row for each record: archive, offset, length, type, id, digest."""
+    return normal.select("archive", F.explode("index").alias("i")).select("archive", "i.*")
 
 
-def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000) -> DataFrame:
-    """Header fields and payload of a record for each page: id, header, payload.
+def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Header fields and payload of a WARC/1.1 record for each page: id, header, payload. date: the WARC-Date of all (pages don't tell when they were fetched).
 
     Of pages with equal payloads of at least `least_bytes`, the one with the largest id is a response and the others revisit it; smaller ones are
     all responses. Rows that share the largest id are all responses. Only (digest, largest id) pairs of repeated payloads are gathered, by a partial
-    aggregate; the join that gives them back is one whose large side Spark can split if a payload is very common.
+    aggregate; they are joined to the pages that are large enough, a join whose large side Spark can split if a payload is very common. The other pages move nowhere.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     p = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
-    keyed = p.withColumn("same", F.when(F.col("size") >= least_bytes, F.sha2("payload", 256)))
-    repeated = keyed.where("same is not null").groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    r = keyed.join(repeated, "same", "left")
+    large = p.where(F.col("size") >= least_bytes).withColumn("same", F.sha2("payload", 256))
+    repeated = large.groupBy("same").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
+    small = p.where(F.col("size") < least_bytes).withColumn("first", F.lit(None).cast(p.schema["id"].dataType))
+    r = large.join(repeated, "same", "left").drop("same").unionByName(small)
     r = r.withColumn("refers_to", F.when(F.col("id") < F.col("first"), F.col("first")))
-    kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
+    again = F.col("refers_to").isNotNull()
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
-    uri = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("")))
-    head = F.array(
-        pair("WARC-Type", kind), pair("WARC-Record-ID", uri(F.col("id"))), pair("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
-        pair("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), pair("WARC-Payload-Length", F.col("size")), pair("WARC-Refers-To", F.coalesce(uri(F.col("refers_to")), F.lit(""))),
-    )
-    head = F.filter(head, lambda x: (x["key"] != "WARC-Refers-To") | F.col("refers_to").isNotNull())
+    uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    head = [
+        pair("WARC-Type", F.when(again, "revisit").otherwise("response")), pair("WARC-Record-ID", uri(F.col("id"))), pair("WARC-Date", F.lit(date)),
+        pair("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")), pair("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), pair("Content-Type", F.lit("text/html; charset=utf-8")),
+    ]
+    # the format has no field for the size of a payload that is elsewhere, so an extension field carries it
+    more = [pair("WARC-Profile", F.lit(REVISIT)), pair("WARC-Refers-To", uri(F.col("refers_to"))), pair("X-Payload-Length", F.col("size"))]
     # a revisit record has no payload of its own
-    return r.select("id", head.alias("header"), F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"))
+    return r.select("id", F.when(again, F.array(*head, *more)).otherwise(F.array(*head)).alias("header"), F.when(~again, F.col("payload")).alias("payload"))
 
 
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record for each page into monolithic archives, normalise these, read every record back by its index.
+    """Write a record for each page into monolithic archives, normalise these, read every record back by its index. Archives, normalised archives and sidecar index are tables in the shared folder.
 
     Returns id_col, payload_bytes, payload_digest (bare SHA-1), record_type, refers_to, archive, member_offset. Size and digest of a response are
     computed from the payload that was read back; those of a revisit are the ones that its header carries. A null html is
-    empty; null ids stay null; repeated rows each get a record; an empty table gives an empty one.
+    empty; null ids stay null; repeated rows each get a record; extra columns are ignored; an empty table gives an empty one. A damaged archive ends the query.
     """
-    r = page_records(pages, id_col, url_col, html_col)
-    back = rewritten_records(r, "id", "header", "payload")
-    # Header values of null ids are empty.
-    number = lambda c: F.when(c.startswith("urn:page:"), F.substring(c, 10, 40)).try_cast("long")
+    archives = written(write_archives(page_records(pages, id_col, url_col, html_col), "header", "payload"), "archives", _ROW_GROUP)
+    normal = written(normalise(archives), "normalised", _ROW_GROUP)
+    index = written(sidecar(normal), "sidecar")
+    places = F.array_sort(F.collect_list(F.struct("offset", "length", "type", "id", "digest")))
+    by_index = normal.select("archive", "content", F.assert_true(F.col("error").isNull(), F.col("error")).alias("ok")).join(index.groupBy("archive").agg(places.alias("index")), "archive")
+    back = read_records(by_index)
+    number = lambda c: F.when(c.startswith("<urn:page:"), F.substring(c, 11, F.length(c) - 11)).try_cast("long")
     field = lambda k: F.element_at("fields", k)
     response = F.col("type") == "response"
     return back.select(
-        number(F.col("id")).alias(id_col), F.when(response, F.octet_length("block").cast("long")).otherwise(field("warc-payload-length").cast("long")).alias("payload_bytes"),
+        number(F.col("id")).alias(id_col), F.when(response, F.octet_length("block").cast("long")).otherwise(field("x-payload-length").cast("long")).alias("payload_bytes"),
         F.when(response, F.sha1("block")).otherwise(F.substring(field("warc-payload-digest"), 6, 40)).alias("payload_digest"), F.col("type").alias("record_type"),
         number(field("warc-refers-to")).alias("refers_to"), "archive", F.col("offset").alias("member_offset"),
     )
