@@ -20,6 +20,10 @@ def reference_pairs(bw_files: DataFrame, color_files: DataFrame) -> DataFrame:
     return a.join(color_files.select("rel_path", F.col("path").alias("color_path")), "rel_path")
 
 
+def _sum(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, axis=1)[:, -1]
+
+
 class _Side:
     """Features of one side of a part as matrices."""
 
@@ -30,8 +34,9 @@ class _Side:
         self.hist = {}
         for c in _HISTS:
             x = np.stack(pdf[c].to_numpy()).astype(float)
-            x = x - x.mean(1, keepdims=True)
-            self.hist[c] = (x, (x * x).sum(1))
+            # sums in index order, so that a pair's score doesn't hang on how rows are dealt
+            x = x - _sum(x)[:, None] / x.shape[1]
+            self.hist[c] = (x, _sum(x * x))
 
 
 def _scores(a: _Side, k: int, b: _Side, rows: np.ndarray, bits: int) -> np.ndarray:
@@ -44,14 +49,14 @@ def _scores(a: _Side, k: int, b: _Side, rows: np.ndarray, bits: int) -> np.ndarr
         (x, xx), (y, yy) = a.hist[c], b.hist[c]
         low = xx[k] * yy[rows]
         with np.errstate(divide="ignore", invalid="ignore"):
-            r = np.where(low > 1e-12, (y[rows] @ x[k]) / np.sqrt(low), 1.0)
+            r = np.where(low > 1e-12, _sum(y[rows] * x[k]) / np.sqrt(low), 1.0)
         part[c] = np.where(np.isnan(low), 1.0, np.clip(1 - r, 0, 2))
     return sum(w * part[c] for c, w in REUSE.items())
 
 
 def reuse_references(shots: DataFrame, library: DataFrame, threshold: float = 0.025, bits: int = 256) -> DataFrame:
     """shots: shot_id and features; library: path and features. shot_id, path, score: for each shot the library still with the least score, if that is at most `threshold`; the least path of equals.
-    Scores are compared with nine decimals.
+    Scores are compared with nine decimals, and given whole.
 
     No term of the score is negative, and the gray distance is at least the difference of the mean lumas. So only stills within 255 * threshold / (gray + luma weight) of a
     shot's luma can match: both sides are put into luma buckets of that width, a still into its own and both next ones, and meet by bucket. Common lumas make large buckets: both
@@ -79,13 +84,15 @@ def reuse_references(shots: DataFrame, library: DataFrame, threshold: float = 0.
                 rows = np.flatnonzero(np.abs(b.luma - a.luma[k]) <= width)
                 rows = rows[np.bitwise_count(b.hash[rows] ^ a.hash[k]).sum(1) <= most_bits]
                 if len(rows):
-                    s = np.round(_scores(a, k, b, rows, bits), 9)
-                    least = s.min()
-                    if least <= threshold:
-                        out.append((x.shot_id.iloc[k], min(path[rows[s == least]]), float(least)))
+                    s = _scores(a, k, b, rows, bits)
+                    rounded = np.round(s, 9)
+                    if rounded.min() <= threshold:
+                        best = min(np.flatnonzero(rounded == rounded.min()), key=lambda i: path[rows[i]])
+                        out.append((x.shot_id.iloc[k], path[rows[best]], float(s[best])))
         return pd.DataFrame(out, columns=["shot_id", "path", "score"])
 
     lib = lib.toDF(*lib.columns)  # both sides may come from one table
     keys = ["b", "p", "q"]
     best = mine.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(meet, f"shot_id {kind}, path string, score double")
-    return best.groupBy("shot_id").agg(F.min(F.struct("score", "path")).alias("m")).select("shot_id", "m.path", "m.score")
+    order = F.struct(F.round("score", 9), "path", "score")
+    return best.groupBy("shot_id").agg(F.min(order).alias("m")).select("shot_id", "m.path", "m.score")

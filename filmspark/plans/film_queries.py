@@ -170,7 +170,28 @@ def refine_boundary(spark, d):
     return H.refine_boundaries(H.fade_spans(x), x)
 
 
-@query()
+# The rules of a cut as facts of one sample, then a state (last boundary, its anchor, an open fade) that goes from sample to sample. A film here has 4 samples a second, so the least
+# length is 4, the distance of soft boundaries 6, that of dissolves 16 and that of gradual changes 32.
+SHOTS = SCORES | {
+    "w": f"SELECT i.video_id, i.frame, CASE WHEN i.frame = 0 OR i.frame = i.n - 1 THEN 0.0 ELSE {_score('a', 'b', D.TRANSITION)} END AS dissolve FROM (SELECT video_id, frame, count(*) OVER (PARTITION BY video_id) AS n FROM c) i JOIN c a ON a.video_id = i.video_id AND a.frame = greatest(0, i.frame - 6) JOIN c b ON b.video_id = i.video_id AND b.frame = least(i.n - 1, i.frame + 6)",
+    "mid": "SELECT video_id, quantile_cont(score, 0.5) AS m FROM s WHERE score > 0 GROUP BY 1",
+    "lim": "SELECT s.video_id, greatest(0.075, any_value(m) + 2.4 * greatest(1.4826 * quantile_cont(abs(score - m), 0.5), 0.001)) AS t FROM s JOIN mid USING (video_id) WHERE score > 0 GROUP BY 1",
+    "around": "SELECT s.video_id, s.frame, score, dissolve, coalesce(lag(score) OVER o, 0) AS sb, coalesce(lead(score) OVER o, 0) AS sa, coalesce(lag(dissolve) OVER o, 0) AS db, coalesce(lead(dissolve) OVER o, 0) AS da, coalesce(t, 0.075) AS t FROM s JOIN w ON w.video_id = s.video_id AND w.frame = s.frame LEFT JOIN lim ON lim.video_id = s.video_id WINDOW o AS (PARTITION BY s.video_id ORDER BY s.frame)",
+    "fact": "SELECT a.video_id, a.frame, a.score, c.black_ratio >= 0.72 OR c.mean_luma <= 18 AS dark, (score >= sb AND score >= sa AND score >= t AND score - greatest(sb, sa) >= 0.01) OR score >= 1.8 * t AS hard, dissolve >= db AND dissolve >= da AND dissolve >= 0.2 AS crossed FROM around a JOIN c USING (video_id, frame)",
+    "far": f"SELECT b.video_id, a.frame AS anchor, b.frame FROM c a JOIN c b ON b.video_id = a.video_id AND b.frame > a.frame WHERE {_score('a', 'b', D.TRANSITION)} >= 0.5",
+    "fx": "SELECT fact.*, list(anchor) AS fars FROM fact LEFT JOIN far USING (video_id, frame) GROUP BY ALL",
+    "st": """SELECT video_id, frame, dark, 0::BIGINT AS last, 0::BIGINT AS anchor, NULL::BIGINT AS opened, 0::BIGINT AS made FROM fx WHERE frame = 0
+  UNION ALL SELECT video_id, frame, dark, coalesce(made, last), CASE WHEN made IS NULL THEN anchor ELSE frame END, CASE WHEN ends OR (made IS NOT NULL) THEN NULL WHEN starts THEN frame ELSE opened END, made FROM (
+    SELECT *, CASE WHEN ends THEN CASE WHEN best_fade - last >= 6 THEN best_fade END WHEN frame - last < 4 THEN NULL WHEN hard THEN frame WHEN cross_ok THEN CASE WHEN frame - last >= 6 THEN frame END WHEN slow AND best_near - last >= 6 THEN best_near END AS made FROM (
+      SELECT f.video_id, f.frame, f.dark, f.hard, p.last, p.anchor, p.opened, f.dark AND NOT p.dark AND p.opened IS NULL AS starts, p.opened IS NOT NULL AND p.dark AND NOT f.dark AS ends,
+        (SELECT arg_max(g.frame, struct_pack(s := g.score, f := -g.frame)) FROM s g WHERE g.video_id = f.video_id AND g.frame > p.opened AND g.frame <= f.frame) AS best_fade,
+        (SELECT arg_max(g.frame, struct_pack(s := g.score, f := -g.frame)) FROM s g WHERE g.video_id = f.video_id AND g.frame > f.frame - 3 AND g.frame <= f.frame) AS best_near,
+        f.crossed AND f.frame - p.last >= 16 AS cross_ok, f.frame - p.last >= 32 AND f.score >= 0.004 AND list_contains(f.fars, p.anchor) AS slow
+      FROM st p JOIN fx f ON f.video_id = p.video_id AND f.frame = p.frame + 1))""",
+}
+
+
+@query(S.sql("px vectors", "SELECT video_id, made AS boundary FROM st WHERE made IS NOT NULL", **SHOTS))
 def detect_shots(spark, d):
     return H.detect_shots(S.vector_samples(spark, d), _films(spark, d), H.ShotParams(), BITS)
 

@@ -72,71 +72,36 @@ def test_stitch_map_covers_the_film(spark):
     assert all(r.n == r.d == r.m + 1 == want[r.video_id] for r in got) and len(got) == 40
 
 
-def scan(samples, fps, total, p):
-    """The cut rules as one loop over a film's samples: (frame, mean luma, black share, score to the last, dissolve score, score to sample k)."""
-    half = lambda s: int(np.rint(s * fps))
-    least, dedupe = max(1, half(p.min_shot_seconds)), max(1, half(p.boundary_dedupe_seconds))
-    gap = max(least, half(p.dissolve_min_gap_seconds))
-    score, dis, dark = [s["score"] for s in samples], [s["dissolve"] for s in samples], [s["black_ratio"] >= p.fade_black_ratio or s["mean_luma"] <= p.fade_luma for s in samples]
-    pos = [x for x in score if x > 0]
-    med = float(np.median(pos)) if pos else 0
-    limit = max(p.shot_threshold, med + p.dynamic_threshold_scale * max(1.4826 * float(np.median(np.abs(np.array(pos) - med))), 0.001)) if pos else p.shot_threshold
-    out, last, anchor, opened = [0], 0, 0, None
-    at = lambda a, i: a[i] if 0 <= i < len(a) else 0.0
-    best = lambda a, b: samples[max(range(a + 1, b + 1), key=lambda i: score[i])]["frame"]
-    for i in range(1, len(samples)):
-        f = samples[i]["frame"]
-        if dark[i] and not dark[i - 1] and opened is None:
-            opened = i
-        if opened is not None and dark[i - 1] and not dark[i]:
-            b = best(opened, i)
-            if b - last >= least and b - last >= dedupe:
-                out.append(b)
-                last, anchor = b, i
-            opened = None
-            continue
-        peak = score[i] >= at(score, i - 1) and score[i] >= at(score, i + 1)
-        margin = score[i] - max(at(score, i - 1), at(score, i + 1))
-        hard = (peak and score[i] >= limit and margin >= p.peak_margin) or score[i] >= 1.8 * limit
-        cross = dis[i] >= at(dis, i - 1) and dis[i] >= at(dis, i + 1) and dis[i] >= p.dissolve_threshold and f - last >= gap
-        gradual = f - last >= half(p.anchor_min_seconds) and score[i] >= p.anchor_adjacent_floor and H.frame_score(samples[anchor], samples[i], 63) >= p.anchor_threshold
-        if f - last >= least and (hard or cross or gradual):
-            b, apart = (f, least) if hard else (f, dedupe) if cross else (best(max(0, i - 3), i), dedupe)
-            if b - last >= least and b - last >= apart:
-                out.append(b)
-                last, anchor, opened = b, i, None
-    return out
-
-
-def test_detect_shots_restates_the_loop(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for v in range(8):
-        base, level = rng.integers(60, 200, 64), 0
-        for f in range(90):
-            if rng.random() < 0.06:
-                base = rng.integers(20, 230, 64)
-            if rng.random() < 0.05:
-                level = rng.integers(3, 9)
-            level = max(0, level - 1)
-            px = np.clip(base + rng.integers(-6, 7, 64), 0, 255) * (0.03 if level else 1)
-            drift = np.clip(px + (f * 2 if v % 2 else 0), 0, 255).astype(int)
-            rows.append((v, f, drift.tolist()))
+def test_detect_shots_on_built_films(spark):
+    """Films of plain scenes whose cuts are known; the rules of every sample are checked by the query's SQL."""
     from filmspark.plans.standins import with_features
 
+    rng = np.random.default_rng(5)
+    scenes = [rng.integers(60, 200, 64) for _ in range(6)]
+    frames = {
+        0: [(20, 0), (27, 1), (23, 2)],  # hard cuts at 20 and 47
+        1: [(30, 0), (5, None), (25, 3)],  # black from 30 to 34: both of its edges are hard cuts
+        2: [(60, 4)],
+        3: [(20, 0), (2, 5), (30, 1)],  # the second cut is under a second after the first
+    }
+    rows = []
+    for v, parts in frames.items():
+        f = 0
+        for n, k in parts:
+            for _ in range(n):
+                px = np.zeros(64, int) if k is None else np.clip(scenes[k] + rng.integers(-1, 2, 64), 0, 255)
+                rows.append((v, f, px.tolist()))
+                f += 1
     s = with_features(spark.createDataFrame(rows, "video_id long, frame long, px array<int>"))
-    films = spark.createDataFrame([(v, 4.0, 90) for v in range(8)], "video_id long, fps double, total_frames long")
-    p = H.ShotParams(anchor_min_seconds=2.0, dissolve_min_gap_seconds=1.5, anchor_threshold=0.3)
-    scored = H.adjacent_scores(H.dissolve_scores(s, films, p.dissolve_window_seconds, 63), 63).orderBy("frame").collect()
-    got = {}
-    for r in H.detect_shots(s, films, p, 63).collect():
-        got.setdefault(r.video_id, []).append(r.boundary)
-    for v in range(8):
-        mine = [{k: np.asarray(x) if isinstance(x, list) else x for k, x in r.asDict().items()} for r in scored if r.video_id == v]
-        assert sorted(got[v]) == scan(mine, 4.0, 90, p)
-    assert sum(map(len, got.values())) > 30
-    again = H.detect_shots(s.repartition(7), films, p, 63)
-    assert sorted(map(tuple, again.collect())) == sorted((v, b) for v, bs in got.items() for b in bs)
+    films = spark.createDataFrame([(v, 4.0, 60) for v in frames], "video_id long, fps double, total_frames long")
+    for df in (s, s.repartition(7)):
+        got = {}
+        for r in H.detect_shots(df, films, H.ShotParams(dissolve_threshold=0.0), 63).collect():
+            got.setdefault(r.video_id, []).append(r.boundary)
+        assert {v: sorted(b) for v, b in got.items()} == {0: [0, 20, 47], 1: [0, 30, 35], 2: [0], 3: [0, 20]}
+    # the wider score sees a cut six samples ahead, but only sixteen after the last boundary
+    soft = sorted(tuple(r) for r in H.detect_shots(s, films, H.ShotParams(), 63).collect())
+    assert [b for v, b in soft if v == 0] == [0, 16, 20, 47]
 
 
 def test_reuse_pruning_loses_nothing(spark):
@@ -157,7 +122,7 @@ def test_reuse_pruning_loses_nothing(spark):
         return sum(w * d[k] for k, w in REUSE.items())
 
     for x in rows(a):
-        best = min((round(score(x, y), 9), y["path"]) for y in rows(b))
+        best = min((round(score(x, y), 9), y["path"]) for y in rows(b))  # ties at nine decimals
         if best[0] <= 0.05 - 1e-9:
             assert got[x["shot_id"]][0] == best[1] and got[x["shot_id"]][1] == pytest.approx(best[0])
         else:
@@ -204,6 +169,23 @@ def test_fades(spark):
     assert (r.fade_to_next, r.crossfade_seconds) == ("true", "0.5")
 
 
+def test_descriptions(spark):
+    """Expected texts of built cases."""
+    from filmspark.functions.prompts import compact_description
+
+    cases = {
+        "# Colour Palette and Restoration Style: warm\n\n- **Skin tones**: pale\n* shadows: deep  blue": "warm pale deep blue",
+        "## Skin tone: pale\n  - Clothing colours: red. This description should help you.\nmore": "pale red.",
+        "restoration style\nplain THIS PALETTE AND STYLE SHOULD BE APPLIED to all": "plain",
+        "a-b * c # d": "a-b * c # d", "": "", "   \n ": "", "**": "*", "-": "",
+        "aaaa bbbb, cccc": "aaaa bbbb, cccc", "aaaa bbbb, ccccc": "aaaa bbbb.", "aaaaaaaaaaaaaaaaaaaa": "aaaaaaaaaaaaaaa.", "aaaa bbbb ccccc d": "aaaa bbbb.", "aaa ;: , bbbbbbbbbbbb": "aaa.",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    long = [k for k in cases if len(k) <= 21 and k and k[0] == "a" and "*" not in k]
+    for r in df.select("t", "want", compact_description(F.col("t")).alias("whole"), compact_description(F.col("t"), 15).alias("cut")).collect():
+        assert (r.cut if r.t in long else r.whole) == r.want, r
+
+
 def test_pixels():
     up, down = X.lift_table(), X.restore_table()
     assert up[0] == 5 and np.abs(down[up].astype(int) - np.arange(256)).max() <= 1
