@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from filmspark.llm.common import blocks, written
+
 #: Buckets for each partition, so that hashing buckets to partitions comes out even.
 BUCKETS_EACH = 8
 
@@ -46,3 +48,25 @@ def sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def raw(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind) for x in column]
+
+
+def packed_blocks(docs: DataFrame, text_col: str, size: int) -> DataFrame:
+    """(block, batch): about `size` bytes of text and all other columns of its rows, as a compressed Arrow batch.
+
+    Later steps answer to blocks instead of documents: they move few and large rows, and find a block's contents again without a
+    shuffle by document. The table is written, so a block's number stands for the same rows whatever executor is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = block_ids()
+        for b in blocks(batches, text_col, size):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([next(numbers)]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "batch"])
+
+    return written(docs.mapInArrow(run, "block long, batch binary"), "blocks", 16 << 20)
+
+
+def unpacked(blob: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()

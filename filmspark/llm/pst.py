@@ -1,4 +1,10 @@
-"""Language-model scoring by a probabilistic suffix tree over words."""
+"""Language-model scoring by a probabilistic suffix tree over words.
+
+The top of the tree, contexts of one and two of the most frequent words, is bounded and known to every task. The rest has a context for every word, pair or triple of words of the corpus
+that passes the divergence test, so it grows with the corpus. It is a table by context: all that follows a context in any text meets in the bucket of its hash, where the context's
+counts are added, the test is made, and every text gets the sum of its corrections. Contexts are as long as they must be: a word alone if it is not among the most
+frequent, else with the word before, and with two if even the pair is that frequent.
+"""
 
 from __future__ import annotations
 
@@ -23,15 +29,18 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
 @dataclass(frozen=True)
 class Limits:
-    """Shares of all training tokens. They bound what is broadcast, whatever the corpus: at most 1/share entries of each kind.
+    """Shares of all training tokens. They bound what is broadcast, whatever the corpus: at most 1/share entries of each kind. They decide where a count is kept, not whether.
 
-    word: words whose counts tasks know beforehand; the rest meet their counts in a shuffle. context: words that contexts and their explicit next
-    symbols are made of. gram: the least share of an explicit context with its next symbol.
+    word: words whose counts tasks know beforehand; the rest meet their counts in a shuffle. context: words that the top of the tree is
+    made of. gram: the least share of an explicit context with its next symbol there. tokens: a context that stands for more tokens than that is made longer, whatever its share.
+    least: a symbol is explicit after a context of the rest of the tree from so many occurrences on.
     """
 
     word: float = 1e-5
     context: float = 1e-4
     gram: float = 2e-6
+    tokens: int = 1 << 25
+    least: int = 2
 
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -78,6 +87,9 @@ class Model:
     alphabet: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # the more frequent ones, of which contexts are made
     states: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: codes of retained contexts, log of the share left to shorter contexts
     grams: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by depth: codes of context and next symbol, log probability
+    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # codes of pairs of them that are as frequent
+    least: int = 2
+    word: float = 1e-5
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10(c + 1.0)
@@ -230,14 +242,15 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", limits: Limits =
     found = written(_counted(texts, _word_counts, limits.word, parts), "words")
     stats = dict(found.where("kind = 0").groupBy("key").agg(F.sum("n").alias("n")).collect())
     n, v, n1, n2 = (stats.get(k, 0) for k in range(4))
-    model = Model(n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
+    model = Model(n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5, least=limits.least, word=limits.word)
     if not n:
         return model
     often = found.where((F.col("kind") == 1) & (F.col("n") >= limits.word * n)).select("key", "n").toPandas()  # at most 1 / limits.word rows
     keys, c = often.key.to_numpy(np.int64).view(np.uint64), often.n.to_numpy(np.int64)
     order = np.argsort(keys)
     model.words, model.counts = keys[order], c[order]
-    model.alphabet = model.words[model.counts >= limits.context * n]
+    hot = min(limits.context * n, limits.tokens)
+    model.alphabet = model.words[model.counts >= hot]
     found = _counted(texts, _gram_counts(model.alphabet), limits.gram, parts)
     often = found.where((F.col("kind") == 1) & (F.col("n") >= max(2.0, limits.gram * n))).select("key", "n").toPandas()  # at most 1 / limits.gram rows a depth
     keys = often.key.to_numpy(np.int64).view(np.uint64) * _GATHER
@@ -247,19 +260,31 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", limits: Limits =
         k, x = code[depth == d], c[depth == d]
         order = np.argsort(k)
         grams.append((k[order], x[order]))
+    model.pairs = grams[0][0][grams[0][1] >= hot]
     grow(model, grams)
     return model
 
 
-def _local(model: Model, texts: pa.Array, is_train: np.ndarray):
-    """What a task can score alone: by text (tokens, known ones, base, score); and its rare tokens: hashes, count in training texts, texts and counts of each."""
+@dataclass
+class _Block:
+    """A block of texts as numbers: of every token its text, its word's number, and its log10 probability after the top of the tree (`rare` words: without their own share)."""
+
+    hashes: np.ndarray
+    tokens: np.ndarray
+    starts: np.ndarray
+    within: np.ndarray
+    text: np.ndarray
+    often: np.ndarray
+    place: np.ndarray
+    logs: np.ndarray
+    symbol: np.ndarray
+
+
+def _placed(model: Model, texts: pa.Array) -> _Block:
     h, tokens, starts = _hashed(texts)
-    n = len(texts)
     at = _find(model.words, h)
     c = np.where(at >= 0, model.counts[at] if len(model.counts) else 0, 0)
-    often = (at >= 0)[tokens]
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    root = np.where(often, model.root(c)[tokens], 0.0)
+    root = np.where((at >= 0)[tokens], model.root(c)[tokens], 0.0)
     m = len(model.alphabet)
     symbol = _find(model.alphabet, h)[tokens]
     first = _within(starts)
@@ -273,13 +298,129 @@ def _local(model: Model, texts: pa.Array, is_train: np.ndarray):
         one[1:] = symbol[:-1]
         one[first == 0] = -1
         logs = np.where(context >= 0, _log(model, depth - 1, context, symbol, root), _log(model, 0, one, symbol, root))
-    base = np.where(often, model.base(c)[tokens], 0.0)
-    by = lambda x: np.bincount(doc, x, n)
+    return _Block(h, tokens, starts, first, np.repeat(np.arange(len(texts)), np.diff(starts)), (at >= 0)[tokens], at, logs, symbol)
+
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def long_contexts(model: Model, b: _Block) -> np.ndarray:
+    """Hash of the context of each token: the word before; if that is of the alphabet the pair before; if that is one of the frequent pairs the triple before. 0: the text begins too late for one."""
+    n, m, key = len(b.tokens), len(model.alphabet), np.zeros(len(b.tokens), np.uint64)
+    word = b.hashes[b.tokens]
+    before = []
+    for k in (1, 2, 3):
+        w, s = np.zeros(n, np.uint64), np.full(n, -1, np.int64)
+        w[k:], s[k:] = word[: max(0, n - k)], b.symbol[: max(0, n - k)]
+        before.append((w, np.where(b.within >= k, s, -1), b.within >= k))
+    (w1, s1, in1), (w2, s2, in2), (w3, _, in3) = before
+    frequent = (s1 >= 0) & (s2 >= 0)
+    frequent[frequent] = _find(model.pairs, s2[frequent] * m + s1[frequent]) >= 0
+    one = in1 & (s1 < 0)
+    two = in2 & (s1 >= 0) & ~frequent
+    three = in3 & frequent
+    key[one] = w1[one]
+    key[two] = w1[two] * _MIX[0] + w2[two] * _MIX[1] + np.uint64(1)
+    key[three] = w1[three] * _MIX[0] + w2[three] * _MIX[1] + w3[three] * _MIX[2] + np.uint64(2)
+    key ^= key >> np.uint64(29)
+    key *= _MIX[2]
+    key ^= key >> np.uint64(32)
+    key[~(one | two | three)] = 0
+    return key
+
+
+def _bound(model: Model) -> float:
+    """Log10 of the most that a word without a known count can have of all tokens."""
+    return float(np.log10(min(1.0, max(model.word, 1.0 / max(1, model.n)))))
+
+
+def _flags(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
+_LONG = "bucket int, block long, keys binary, sizes binary, symbols binary, rare binary, counts binary, before binary, texts_of binary, texts binary, times binary"
+_LONG_KINDS = [np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.float32, np.uint32, np.uint32, np.uint32]
+
+
+def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buckets: int) -> Iterator[tuple]:
+    """What a block tells the buckets of its contexts: symbols after each (the place of a frequent word, or a rare word's hash), their training counts, their log probability without the context, and
+    the texts that they occur in."""
+    key = long_contexts(model, b)
+    at = np.flatnonzero(key)
+    if not len(at):
+        return
+    key, word = key[at], b.tokens[at]
+    bucket = key % np.uint64(n_buckets)
+    order = np.lexsort((word, key, bucket))  # stable: texts stay in order
+    at, key, word, bucket = at[order], key[order], word[order], bucket[order]
+    text, often = b.text[at], b.often[at]
+    new_key = _flags(key)
+    new_gram = new_key | _flags(word)
+    new_text = new_gram | _flags(text)
+    gram, pair = np.flatnonzero(new_gram), np.flatnonzero(new_text)
+    count = np.add.reduceat(is_train[text].astype(np.int64), gram)
+    times = np.diff(np.append(pair, len(at)))
+    texts_of = np.diff(np.append(np.searchsorted(pair, gram), len(pair)))
+    contexts = np.flatnonzero(new_key)
+    sizes = np.diff(np.append(np.searchsorted(gram, contexts), len(gram)))
+    before = b.logs[at[gram]] + np.where(often[gram], 0.0, _bound(model))
+    place, hashes, rare = b.place[word[gram]], b.hashes[word[gram]], ~often[gram]
+    cuts = np.flatnonzero(_flags(bucket))
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist(), strict=True):
+        c, g, t = (slice(*np.searchsorted(x, (lo, hi))) for x in (contexts, gram, pair))
+        r = rare[g]
+        symbols = np.where(r, (1 << 31) + np.cumsum(r) - 1, place[g])
+        values = [key[contexts[c]], sizes[c], symbols, hashes[g][r], count[g], before[g], texts_of[g], text[pair[t]], times[t]]
+        yield (int(bucket[lo]), block, *(np.ascontiguousarray(x, k).tobytes() for x, k in zip(values, _LONG_KINDS, strict=True)))
+
+
+def corrections(key: np.ndarray, symbol: np.ndarray, count: np.ndarray, before: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each (context, symbol) entry adds to the log10 probability that it has without its context, and whether it is explicit. Entries of one pair may come more than once; before is log10.
+
+    A symbol is explicit after a context if it occurs `least` times there and the log-likelihood gained (count times log of the ratio) exceeds half a log of the training size. The context is retained if
+    what its explicit symbols gain, less what the others lose, is more than that cost for each. Explicit symbols give up half a count; the share left is scaled to what the others have without it.
+    """
+    order = np.lexsort((symbol, key))
+    k, s = key[order], symbol[order]
+    new_key = _flags(k)
+    gram = np.flatnonzero(new_key | _flags(s))
+    total = np.add.reduceat(count[order], gram)
+    old = np.minimum(before[order][gram].astype(np.float64), 0.0)
+    context = np.cumsum(new_key)[gram] - 1
+    size = int(context[-1]) + 1
+    by = lambda x: np.bincount(context, x, size)
+    all_ = by(total)
+    cost = 0.5 * np.log(max(2, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = np.maximum(total - 0.5, 0.25) / np.maximum(all_, 1)[context]
+        gain = total * (np.log(p) - old * np.log(10))
+        explicit = (total >= least) & (gain > cost)
+        told, known = by(np.where(explicit, p, 0.0)), by(np.where(explicit, 10**old, 0.0))
+        left = (1 - told) / (1 - known)
+        net = by(np.where(explicit, gain - cost, 0.0)) + (all_ - by(np.where(explicit, total, 0))) * np.log(left)
+        kept = (by(explicit) > 0) & (told < 1 - 1e-9) & (known < 1 - 1e-9) & (net > 0)
+        value = np.where(kept[context], np.where(explicit, np.log10(p) - old, np.log10(left)[context]), 0.0)
+    explicit &= kept[context]
+    of = np.cumsum(new_key | _flags(s)) - 1
+    out, mark = np.empty(len(key)), np.empty(len(key), bool)
+    out[order], mark[order] = value[of], explicit[of]
+    return out, mark
+
+
+def _local(model: Model, b: _Block, is_train: np.ndarray):
+    """What a task can score alone: by text (tokens, known ones, base, score); and its rare tokens: hashes, count in training texts, texts and counts of each."""
+    n = len(b.starts) - 1
+    c = np.where(b.place >= 0, model.counts[b.place] if len(model.counts) else 0, 0)
+    base = np.where(b.often, model.base(c)[b.tokens], 0.0)
+    by = lambda x: np.bincount(b.text, x, n)
     # rare tokens, once for each text and word
-    rare = ~often
-    pair, times = np.unique(tokens[rare] * np.int64(n) + doc[rare], return_counts=True)
+    rare = ~b.often
+    pair, times = np.unique(b.tokens[rare] * np.int64(n) + b.text[rare], return_counts=True)
     word, of = pair // max(1, n), pair % max(1, n)
-    return (np.diff(starts), by(often).astype(np.int64), by(base), by(logs)), (h[word], np.where(is_train[of], times, 0), of.astype(np.uint32), times.astype(np.uint32))
+    return (np.diff(b.starts), by(b.often).astype(np.int64), by(base), by(b.logs)), (b.hashes[word], np.where(is_train[of], times, 0), of.astype(np.uint32), times.astype(np.uint32))
 
 
 _SENT = "bucket int, block long, words binary, train binary, sizes binary, texts binary, times binary, ids binary, local binary"
@@ -289,42 +430,104 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; ids must be of type long.
 
     Tokens are words (ASCII letters lowered, cut at ASCII white space) and one end. base_score is the add-one unigram of the contract. score is
-    the tree's log10 probability; like the base it has one symbol for all words unknown in training. Contexts have up to two
-    words. Words are known by 64-bit hashes. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
-    scored each. Without training texts every score is 0. An empty table gives an empty one.
+    the tree's log10 probability; like the base it has one symbol for all words unknown in training. Contexts have up to three
+    words. Words and contexts are known by 64-bit hashes. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
+    scored each; extra columns are ignored. Without training texts every score is 0. An empty table gives an empty one.
 
-    Frequent words and contexts are broadcast, bounded by `limits`. All other words of all texts go to the task of their hash,
-    which counts them in training texts and sends each text its sum; a word there has under limits.word of all tokens, so none makes a task large.
+    Frequent words and the top of the tree are broadcast, bounded by `limits`. All other words of all texts go to the task of their hash,
+    which counts them in training texts and sends each text its sum; so do all contexts with what follows them. A word without a known count counts with the most that it
+    can have where a context's gain is judged, so that the gain is never overstated. A word that is explicit after its context is not to have its own share too: it is taken back where the word is counted.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     is_train = F.coalesce(train, F.lit(False))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     model = fit(docs, is_train, text_col, limits, total)
-    held = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), is_train.alias("train"))
+    src = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), is_train.alias("train"))
+    held = packed.packed_blocks(src, "text", _BLOCK)
     # few and large tasks: a text gets one sum from each
-    parts = max(12, -(-total // (96 << 20)))
+    parts = max(12, -(-total // (32 << 20)))
     n_buckets = parts * packed.BUCKETS_EACH
-    shared = src.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names, kinds = zip(*(x.split() for x in _SENT.split(", ")), strict=True)
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    sent_schema = pa.schema([(k, types[t]) for k, t in zip(names, kinds, strict=True)])
+    long_schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _LONG.split(", ")])
+    met_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, _Block]]:
+        for rows in batches:
+            for block, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+                b = packed.unpacked(blob)
+                yield block, b, b.column("train").to_numpy(zero_copy_only=False).astype(bool), _placed(shared.value, b.column("text"))
+
+    def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, flag, b in read(batches):
+            rows = list(_long_rows(shared.value, b, flag, block, n_buckets))
+            for k in range(0, len(rows), 256):
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), long_schema.types, strict=True)], schema=long_schema)
+
+    def meet_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, blocks_of, held = shared.value, [], []
+        for b in batches:
+            cols = [packed.raw(b.column(i + 2), k) for i, k in enumerate(_LONG_KINDS)]
+            for i, block in enumerate(b.column(1).to_pylist()):
+                key, size, symbol, rare, *rest = (c[i] for c in cols)
+                full = symbol.astype(np.uint64)
+                full[symbol >> 31 > 0] = rare
+                blocks_of.append(block)
+                held.append((np.repeat(key, size), full, symbol >> 31 > 0, *rest))
+        if not held:
+            return
+        key, symbol, rare, count, before, texts_of = (np.concatenate([x[i] for x in held]) for i in range(6))
+        # a rare word's hash and a frequent one's place are different symbols
+        value, explicit = corrections(key, np.where(rare, symbol | np.uint64(1 << 63), symbol), count.astype(np.int64), before, model.n, model.least)
+        # what a rare word has of its own is added where it is counted
+        value += np.where(rare & explicit, _bound(model), 0.0)
+        back = rare & explicit
+        start = np.cumsum([0, *(len(x[1]) for x in held)])
+        of = np.repeat(np.array(blocks_of), np.diff(start))
+        texts, times = (np.concatenate([x[i] for x in held]) for i in (6, 7))
+        entry = np.repeat(np.arange(len(key)), texts_of)
+        some = value[entry] != 0
+        e, t, n = entry[some], texts[some], times[some].astype(np.float64)
+        order = np.lexsort((t, of[e]))
+        e, t, n = e[order], t[order], n[order]
+        new = _flags(of[e]) | _flags(t) if len(e) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(n * value[e], first) if len(e) else np.zeros(0)
+        owner, t = of[e][first], t[first]
+        cuts = np.flatnonzero(_flags(owner)) if len(owner) else []
+        rows = []
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(owner)).astype(int) if len(cuts) else [], strict=True):
+            rows.append((0, 0, int(owner[lo]), None, None, np.ascontiguousarray(t[lo:hi], np.uint32).tobytes(), None, np.ascontiguousarray(sums[lo:hi], np.float32).tobytes()))
+        if back.any():
+            some = back[entry]
+            e, t, n = entry[some], texts[some], times[some]
+            w = symbol[e]
+            bucket = (w % np.uint64(n_buckets)).astype(np.int64)
+            order = np.lexsort((w, of[e], bucket))
+            e, t, n, w, bucket = e[order], t[order], n[order], w[order], bucket[order]
+            new = np.flatnonzero(_flags(bucket) | _flags(of[e]))
+            for lo, hi in zip(new.tolist(), np.append(new[1:], len(e)).tolist(), strict=True):
+                f = np.flatnonzero(_flags(w[lo:hi]))
+                size = np.diff(np.append(f, hi - lo))
+                rows.append((1, int(bucket[lo]), int(of[e[lo]]), w[lo:hi][f].tobytes(), *(np.ascontiguousarray(x, np.uint32).tobytes() for x in (size, t[lo:hi], n[lo:hi])), None))
+        for k in range(0, len(rows), 256):
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[k : k + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = zip(*(x.split() for x in _SENT.split(", ")), strict=True)
-        schema = pa.schema([(k, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for k, t in zip(names, kinds, strict=True)])
-        numbers = packed.block_ids()
-        for b in blocks(batches, "text", _BLOCK):
-            block = next(numbers)
-            flag = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            local, (word, trained, of, times) = _local(shared.value, b.column(0), flag)
-            ids = b.column(1)
+        for block, batch, flag, b in read(batches):
+            local, (word, trained, of, times) = _local(shared.value, b, flag)
+            ids = batch.column("id")
             whole = np.stack([*(x.astype(np.float64) for x in local), flag.astype(np.float64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.float64)])
             rows = [(block % n_buckets, block, b"", b"", b"", b"", b"", pc.fill_null(ids, 0).to_numpy().tobytes(), whole.tobytes())]
             for k, at in packed.by_bucket(word, n_buckets):
                 w = word[at]
                 order = np.argsort(w, kind="stable")
                 w, t = w[order], at[order]
-                first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+                first = np.flatnonzero(_flags(w))
                 sizes = np.diff(np.append(first, len(w))).astype(np.uint32)
                 rows.append((k, block, w[first].tobytes(), np.add.reduceat(trained[t], first).astype(np.uint32).tobytes(), sizes.tobytes(), of[t].tobytes(), times[t].tobytes(), None, None))
-            yield pa.record_batch([pa.array(x) if i > 1 else pa.array(x, schema.types[i]) for i, x in enumerate(zip(*rows, strict=True))], schema=schema)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), sent_schema.types, strict=True)], schema=sent_schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held = shared.value, []
@@ -336,13 +539,17 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 if b.column(8)[i].is_valid:
                     yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), b.column(7).slice(i, 1), b.column(8).slice(i, 1)], schema=schema)
                 else:
-                    held.append((block, *(c[i] for c in cols)))
+                    # without training counts: words that are explicit after their context, so their own share is taken back
+                    held.append((block, *(c[i] for c in cols), not b.column(3)[i].is_valid))
         if not held:
             return
-        keys, c = packed.sums(np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held]).astype(np.int64))
-        for block, words, _, sizes, of, times in held:
+        told = [x for x in held if not x[6]]
+        keys, c = packed.sums(np.concatenate([x[1] for x in told]), np.concatenate([x[2] for x in told]).astype(np.int64))
+        for block, words, _, sizes, of, times, back in held:
             n = np.repeat(c[np.searchsorted(keys, words)], sizes)
-            out.setdefault(block, []).append((of, np.stack([times * (n > 0), times * model.base(n), times * model.root(n)])))
+            root = times * model.root(n)
+            values = np.stack([np.zeros(len(n)), np.zeros(len(n)), -root]) if back else np.stack([times * (n > 0), times * model.base(n), root])
+            out.setdefault(block, []).append((of, values))
         for block, got in out.items():
             of, values = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got], axis=1)
             texts, place = np.unique(of, return_inverse=True)
@@ -355,16 +562,25 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         head = pdf[pdf.local.notna()].iloc[0]
         ids = np.frombuffer(head.ids, np.int64)
         tokens, known, base, score, flag, valid = np.frombuffer(head.local, np.float64).reshape(6, -1).copy()
-        for r in pdf[pdf.local.isna()].sort_values("texts").itertuples():
-            at, sums = np.frombuffer(r.texts, np.uint32), np.frombuffer(r.sums, np.float64).reshape(3, -1)
-            known[at] += sums[0]
-            base[at] += sums[1]
-            score[at] += sums[2]
+        for r in pdf[pdf.local.isna()].sort_values(["long", "texts", "sums"]).itertuples():
+            at = np.frombuffer(r.texts, np.uint32)
+            if r.long:
+                score[at] += np.frombuffer(r.sums, np.float32)
+            else:
+                sums = np.frombuffer(r.sums, np.float64).reshape(3, -1)
+                known[at] += sums[0]
+                base[at] += sums[1]
+                score[at] += sums[2]
         out = pd.DataFrame({"id": pd.array(ids, "Int64"), "train": flag > 0, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": n, "base_score": base - tokens * np.log10(n + v + 1), "score": score})
         out.loc[valid == 0, "id"] = pd.NA
         return out
 
-    sent = packed.deal(held.mapInArrow(send, _SENT), parts)
-    met = sent.mapInArrow(meet, "block long, texts binary, sums binary, ids binary, local binary")
-    done = met.groupBy("block").applyInPandas(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    long = packed.deal(held.mapInArrow(send_long, _LONG), max(12, -(-total // (16 << 20)))).mapInArrow(meet_long, "kind int, bucket int, block long, words binary, sizes binary, texts binary, times binary, sums binary")
+    long = written(long, "contexts")
+    none = F.lit(None).cast("binary")
+    back = long.where("kind = 1").select("bucket", "block", "words", none.alias("train"), "sizes", "texts", "times", none.alias("ids"), none.alias("local"))
+    sent = packed.deal(held.mapInArrow(send, _SENT).unionByName(back), parts)
+    met = sent.mapInArrow(meet, "block long, texts binary, sums binary, ids binary, local binary").withColumn("long", F.lit(False))
+    extra = long.where("kind = 0").select("block", "texts", "sums", none.alias("ids"), none.alias("local"), F.lit(True).alias("long"))
+    done = met.unionByName(extra).groupBy("block").applyInPandas(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

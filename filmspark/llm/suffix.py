@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmspark.llm import packed
-from filmspark.llm.common import blocks, text_bytes, written
+from filmspark.llm.common import text_bytes, written
 
 _GRAM = 16
 _GROUP_BYTES = 128 << 10
@@ -229,27 +229,9 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-def packed_blocks(docs: DataFrame, text_col: str) -> DataFrame:
-    """(block, batch): about 2 MB of text and all other columns of its rows, as a compressed Arrow batch.
-
-    Later steps answer to blocks instead of documents: they move few and large rows, and find a block's contents again without a
-    shuffle by document. The table is written, so a block's number stands for the same rows whatever executor is lost.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = packed.block_ids()
-        for b in blocks(batches, text_col, _BLOCK):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(b)
-            yield pa.record_batch([pa.array([next(numbers)]), pa.array([sink.getvalue().to_pybytes()])], names=["block", "batch"])
-
-    return written(docs.mapInArrow(run, "block long, batch binary"), "blocks")
-
-
 def _unpacked(blob: pa.Scalar, id_col: str, text_col: str) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
     """The batch, its ids (null: 0), and its texts as bytes, empty where the id is null."""
-    b = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+    b = packed.unpacked(blob)
     ids = b.column(id_col).cast(pa.int64())
     text = b.column(text_col)
     data, at = text_bytes(pc.if_else(ids.is_valid(), text, pa.scalar(None, text.type)))
@@ -436,7 +418,7 @@ def repeated_spans(docs: DataFrame, length: int, id_col: str, text_col: str, hot
     """The table of packed blocks, and (block, spans): arrays of packed (row, start, stop). Each byte in a span is covered by `length` bytes that also start in a document with a
     smaller id. Blocks without any don't appear."""
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    held = packed_blocks(docs, text_col)
+    held = packed.packed_blocks(docs, text_col, _BLOCK)
     # a task's share stays the same as the input grows
     partitions = max(12, -(-total // (16 << 20)))
     n_buckets = partitions * packed.BUCKETS_EACH
@@ -507,7 +489,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for blob, packs in zip(rows.column(0), rows.column(1).to_pylist(), strict=True):
-                b = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+                b = packed.unpacked(blob)
                 data, at = text_bytes(b.column("text"))
                 out = []
                 for i, s in enumerate(_by_row(packs, b.num_rows)):
@@ -532,7 +514,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for blob, packs in zip(rows.column(0), rows.column(1).to_pylist(), strict=True):
-                b = pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+                b = packed.unpacked(blob)
                 old = b.column(text_col)
                 texts = [cut(t.as_py().encode(), s) if len(s) else t.as_py() for t, s in zip(old, _by_row(packs, b.num_rows), strict=True)]
                 yield b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(texts, old.type))
