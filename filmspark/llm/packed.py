@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import struct
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -70,3 +73,28 @@ def packed_blocks(docs: DataFrame, text_col: str, size: int) -> DataFrame:
 
 def unpacked(blob: pa.Scalar) -> pa.RecordBatch:
     return pa.ipc.open_stream(blob.as_buffer()).read_next_batch()
+
+
+_WIDTHS = [np.uint8, np.uint16, np.uint32, np.uint64, np.float32]
+
+
+def squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned integers, each array in the least width that holds it, and 32-bit floats, compressed together."""
+    parts = []
+    for x in arrays:
+        if x.dtype == np.float32:
+            code = 4
+        else:
+            top = int(x.max()) if len(x) else 0
+            code = next(k for k in range(4) if top <= np.iinfo(_WIDTHS[k]).max)
+        parts += [struct.pack("<BI", code, len(x)), np.ascontiguousarray(x, _WIDTHS[code]).tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def stretched(blob: bytes) -> list[np.ndarray]:
+    body, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(body):
+        code, n = struct.unpack_from("<BI", body, at)
+        out.append(np.frombuffer(body, _WIDTHS[code], n, at + 5))
+        at += 5 + n * np.dtype(_WIDTHS[code]).itemsize
+    return out

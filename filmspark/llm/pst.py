@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from filmspark.llm import packed
 from filmspark.llm.common import blocks, partitions_for, text_bytes, written
 
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 #: The token after the last word; no word holds a line end.
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
@@ -36,7 +36,7 @@ class Limits:
     least: a symbol is explicit after a context of the rest of the tree from so many occurrences on.
     """
 
-    word: float = 1e-5
+    word: float = 2e-6
     context: float = 1e-4
     gram: float = 2e-6
     tokens: int = 1 << 25
@@ -304,8 +304,8 @@ def _placed(model: Model, texts: pa.Array) -> _Block:
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def long_contexts(model: Model, b: _Block) -> np.ndarray:
-    """Hash of the context of each token: the word before; if that is of the alphabet the pair before; if that is one of the frequent pairs the triple before. 0: the text begins too late for one."""
+def long_contexts(model: Model, b: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the context of each token, and whether it is a single word: the word before; if that is of the alphabet the pair before; if that is one of the frequent pairs the triple before. 0: the text begins too late for one."""
     n, m, key = len(b.tokens), len(model.alphabet), np.zeros(len(b.tokens), np.uint64)
     word = b.hashes[b.tokens]
     before = []
@@ -326,7 +326,7 @@ def long_contexts(model: Model, b: _Block) -> np.ndarray:
     key *= _MIX[2]
     key ^= key >> np.uint64(32)
     key[~(one | two | three)] = 0
-    return key
+    return key, one
 
 
 def _bound(model: Model) -> float:
@@ -341,23 +341,23 @@ def _flags(values: np.ndarray) -> np.ndarray:
     return out
 
 
-_LONG = "bucket int, block long, keys binary, sizes binary, symbols binary, rare binary, counts binary, before binary, texts_of binary, texts binary, times binary"
-_LONG_KINDS = [np.uint64, np.uint32, np.uint32, np.uint64, np.uint32, np.float32, np.uint32, np.uint32, np.uint32]
+#: Within its bucket a context is known by 40 bits.
+_SHORT = np.uint64(24)
 
 
 def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buckets: int) -> Iterator[tuple]:
-    """What a block tells the buckets of its contexts: symbols after each (the place of a frequent word, or a rare word's hash), their training counts, their log probability without the context, and
-    the texts that they occur in."""
-    key = long_contexts(model, b)
+    """What a block tells the buckets of its contexts: the symbols after each (the place of a frequent word, or a rare word's hash), their training counts, their log probability without the context
+    where that isn't the word's own, and the texts that they occur in. Contexts are in order, and each is told by its distance from the one before."""
+    key, single = long_contexts(model, b)
     at = np.flatnonzero(key)
     if not len(at):
         return
-    key, word = key[at], b.tokens[at]
+    key, word, single = key[at], b.tokens[at], single[at]
     bucket = key % np.uint64(n_buckets)
-    order = np.lexsort((word, key, bucket))  # stable: texts stay in order
-    at, key, word, bucket = at[order], key[order], word[order], bucket[order]
+    order = np.lexsort((word, key >> _SHORT, bucket))  # stable: texts stay in order
+    at, key, word, bucket, single = at[order], key[order], word[order], bucket[order], single[order]
     text, often = b.text[at], b.often[at]
-    new_key = _flags(key)
+    new_key = _flags(key >> _SHORT) | _flags(bucket)
     new_gram = new_key | _flags(word)
     new_text = new_gram | _flags(text)
     gram, pair = np.flatnonzero(new_gram), np.flatnonzero(new_text)
@@ -366,15 +366,29 @@ def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buck
     texts_of = np.diff(np.append(np.searchsorted(pair, gram), len(pair)))
     contexts = np.flatnonzero(new_key)
     sizes = np.diff(np.append(np.searchsorted(gram, contexts), len(gram)))
-    before = b.logs[at[gram]] + np.where(often[gram], 0.0, _bound(model))
-    place, hashes, rare = b.place[word[gram]], b.hashes[word[gram]], ~often[gram]
+    before = (b.logs[at[gram]] + np.where(often[gram], 0.0, _bound(model))).astype(np.float32)
+    place, hashes, rare, single = b.place[word[gram]], b.hashes[word[gram]], ~often[gram], single[gram]
     cuts = np.flatnonzero(_flags(bucket))
     for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(at)).tolist(), strict=True):
         c, g, t = (slice(*np.searchsorted(x, (lo, hi))) for x in (contexts, gram, pair))
         r = rare[g]
-        symbols = np.where(r, (1 << 31) + np.cumsum(r) - 1, place[g])
-        values = [key[contexts[c]], sizes[c], symbols, hashes[g][r], count[g], before[g], texts_of[g], text[pair[t]], times[t]]
-        yield (int(bucket[lo]), block, *(np.ascontiguousarray(x, k).tobytes() for x, k in zip(values, _LONG_KINDS, strict=True)))
+        # a symbol is 0 where a rare word's hash follows, else one more than its place
+        short = key[contexts[c]] >> _SHORT
+        values = [np.diff(short, prepend=np.uint64(0)), sizes[c], single[g], np.where(r, 0, place[g] + 1), hashes[g][r], count[g], before[g][~single[g]], texts_of[g], text[pair[t]], times[t]]
+        yield int(bucket[lo]), block, packed.squeezed([x.astype(np.uint8) if x.dtype == bool else x for x in values])
+
+
+def _entries(model: Model, blob: bytes) -> list[np.ndarray]:
+    """Of each entry of such a row the context, the symbol, whether that is a rare word, its count, its log probability before, and its number of texts; then the texts and times of all."""
+    key, sizes, single, symbol, hashes, count, before, texts_of, texts, times = packed.stretched(blob)
+    rare, single = symbol == 0, single > 0
+    full = symbol.astype(np.uint64)
+    full[rare] = hashes
+    own = np.full(len(symbol), _bound(model), np.float32)
+    if len(model.counts):
+        own = np.where(rare, own, model.root(model.counts[np.maximum(symbol.astype(np.int64) - 1, 0)])).astype(np.float32)
+    own[~single] = before
+    return [np.repeat(np.cumsum(key, dtype=np.uint64), sizes), full, rare, count.astype(np.int64), own, texts_of.astype(np.int64), texts.astype(np.uint32), times.astype(np.uint32)]
 
 
 def corrections(key: np.ndarray, symbol: np.ndarray, count: np.ndarray, before: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -431,7 +445,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     Tokens are words (ASCII letters lowered, cut at ASCII white space) and one end. base_score is the add-one unigram of the contract. score is
     the tree's log10 probability; like the base it has one symbol for all words unknown in training. Contexts have up to three
-    words. Words and contexts are known by 64-bit hashes. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
+    words. Words are known by 64-bit hashes, contexts by 40 bits and their bucket. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
     scored each; extra columns are ignored. Without training texts every score is 0. An empty table gives an empty one.
 
     Frequent words and the top of the tree are broadcast, bounded by `limits`. All other words of all texts go to the task of their hash,
@@ -446,11 +460,12 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     # few and large tasks: a text gets one sum from each
     parts = max(12, -(-total // (32 << 20)))
     n_buckets = parts * packed.BUCKETS_EACH
+    long_parts = max(12, -(-total // (16 << 20)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, kinds = zip(*(x.split() for x in _SENT.split(", ")), strict=True)
     types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     sent_schema = pa.schema([(k, types[t]) for k, t in zip(names, kinds, strict=True)])
-    long_schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in _LONG.split(", ")])
+    long_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.binary())])
     met_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, _Block]]:
@@ -461,31 +476,26 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, flag, b in read(batches):
-            rows = list(_long_rows(shared.value, b, flag, block, n_buckets))
+            rows = list(_long_rows(shared.value, b, flag, block, long_parts * 2))
             for k in range(0, len(rows), 256):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), long_schema.types, strict=True)], schema=long_schema)
 
     def meet_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, blocks_of, held = shared.value, [], []
         for b in batches:
-            cols = [packed.raw(b.column(i + 2), k) for i, k in enumerate(_LONG_KINDS)]
-            for i, block in enumerate(b.column(1).to_pylist()):
-                key, size, symbol, rare, *rest = (c[i] for c in cols)
-                full = symbol.astype(np.uint64)
-                full[symbol >> 31 > 0] = rare
-                blocks_of.append(block)
-                held.append((np.repeat(key, size), full, symbol >> 31 > 0, *rest))
+            blocks_of += b.column(1).to_pylist()
+            held += [_entries(model, x.as_buffer()) for x in b.column(2)]
         if not held:
             return
-        key, symbol, rare, count, before, texts_of = (np.concatenate([x[i] for x in held]) for i in range(6))
+        sizes = [len(x[1]) for x in held]
+        of = np.repeat(np.array(blocks_of), sizes)
+        key, symbol, rare, count, before, texts_of, texts, times = (np.concatenate([x[i] for x in held]) for i in range(8))
+        held.clear()
         # a rare word's hash and a frequent one's place are different symbols
-        value, explicit = corrections(key, np.where(rare, symbol | np.uint64(1 << 63), symbol), count.astype(np.int64), before, model.n, model.least)
+        value, explicit = corrections(key, np.where(rare, symbol | np.uint64(1 << 63), symbol), count, before, model.n, model.least)
         # what a rare word has of its own is added where it is counted
         value += np.where(rare & explicit, _bound(model), 0.0)
         back = rare & explicit
-        start = np.cumsum([0, *(len(x[1]) for x in held)])
-        of = np.repeat(np.array(blocks_of), np.diff(start))
-        texts, times = (np.concatenate([x[i] for x in held]) for i in (6, 7))
         entry = np.repeat(np.arange(len(key)), texts_of)
         some = value[entry] != 0
         e, t, n = entry[some], texts[some], times[some].astype(np.float64)
@@ -575,7 +585,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         out.loc[valid == 0, "id"] = pd.NA
         return out
 
-    long = packed.deal(held.mapInArrow(send_long, _LONG), max(12, -(-total // (16 << 20)))).mapInArrow(meet_long, "kind int, bucket int, block long, words binary, sizes binary, texts binary, times binary, sums binary")
+    long = packed.deal(held.mapInArrow(send_long, "bucket int, block long, entries binary"), long_parts).mapInArrow(meet_long, "kind int, bucket int, block long, words binary, sizes binary, texts binary, times binary, sums binary")
     long = written(long, "contexts")
     none = F.lit(None).cast("binary")
     back = long.where("kind = 1").select("bucket", "block", "words", none.alias("train"), "sizes", "texts", "times", none.alias("ids"), none.alias("local"))
