@@ -336,7 +336,7 @@ def _bound(model: Model) -> float:
 
 def _flags(values: np.ndarray) -> np.ndarray:
     """Where a new value begins."""
-    out = np.ones(len(values), bool)
+    out = np.ones(len(values), bool)  # of no values: none
     out[1:] = values[1:] != values[:-1]
     return out
 
@@ -424,6 +424,43 @@ def corrections(key: np.ndarray, symbol: np.ndarray, count: np.ndarray, before:
     return out, mark
 
 
+def _answers(model: Model, messages: list[tuple[int, bytes]], n_buckets: int) -> list[tuple]:
+    """One bucket of contexts. messages: (block, packed entries). Rows (0, 0, block, -, -, texts, -, sums): what a block's texts are to add; and (1, bucket of words, block, words, number of texts of each, texts, times, -):
+    rare words that are explicit after their context, whose own share is to be taken back where they are counted."""
+    held = [_entries(model, x) for _, x in messages]
+    of = np.repeat(np.array([block for block, _ in messages]), [len(x[1]) for x in held])
+    key, symbol, rare, count, before, texts_of, texts, times = (np.concatenate([x[i] for x in held]) for i in range(8))
+    held.clear()
+    # a rare word's hash and a frequent one's place are different symbols
+    value, explicit = corrections(key, np.where(rare, symbol | np.uint64(1 << 63), symbol), count, before, model.n, model.least)
+    back = rare & explicit
+    # the bound stood for a share that such a word is given where it is counted
+    value[back] += _bound(model)
+    entry, rows = np.repeat(np.arange(len(key), dtype=np.int32), texts_of), []
+    some = value[entry] != 0
+    e, t, n = entry[some], texts[some], times[some]
+    order = np.lexsort((t, of[e]))
+    e, t, n = e[order], t[order], n[order]
+    first = np.flatnonzero(_flags(of[e]) | _flags(t))
+    sums = np.add.reduceat(n * value[e], first) if len(e) else np.zeros(0)
+    owner, t = of[e][first], t[first]
+    cuts = np.flatnonzero(_flags(owner))
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(owner)).tolist(), strict=len(cuts) > 0):
+        rows.append((0, 0, int(owner[lo]), None, None, np.ascontiguousarray(t[lo:hi], np.uint32).tobytes(), None, np.ascontiguousarray(sums[lo:hi], np.float32).tobytes()))
+    some = back[entry]
+    e, t, n = entry[some], texts[some], times[some]
+    w = symbol[e]
+    bucket = (w % np.uint64(n_buckets)).astype(np.int64)
+    order = np.lexsort((w, of[e], bucket))
+    e, t, n, w, bucket = e[order], t[order], n[order], w[order], bucket[order]
+    new = np.flatnonzero(_flags(bucket) | _flags(of[e]))
+    for lo, hi in zip(new.tolist(), np.append(new[1:], len(e)).tolist(), strict=len(new) > 0):
+        f = np.flatnonzero(_flags(w[lo:hi]))
+        size = np.diff(np.append(f, hi - lo))
+        rows.append((1, int(bucket[lo]), int(of[e[lo]]), w[lo:hi][f].tobytes(), *(np.ascontiguousarray(x, np.uint32).tobytes() for x in (size, t[lo:hi], n[lo:hi])), None))
+    return rows
+
+
 def _local(model: Model, b: _Block, is_train: np.ndarray):
     """What a task can score alone: by text (tokens, known ones, base, score); and its rare tokens: hashes, count in training texts, texts and counts of each."""
     n = len(b.starts) - 1
@@ -476,53 +513,20 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, flag, b in read(batches):
-            rows = list(_long_rows(shared.value, b, flag, block, long_parts * 2))
+            rows = list(_long_rows(shared.value, b, flag, block, long_parts * 4))
             for k in range(0, len(rows), 256):
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), long_schema.types, strict=True)], schema=long_schema)
 
     def meet_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, blocks_of, held = shared.value, [], []
+        # messages stay compressed until their bucket's turn
+        by_bucket: dict[int, list] = {}
         for b in batches:
-            blocks_of += b.column(1).to_pylist()
-            held += [_entries(model, x.as_buffer()) for x in b.column(2)]
-        if not held:
-            return
-        sizes = [len(x[1]) for x in held]
-        of = np.repeat(np.array(blocks_of), sizes)
-        key, symbol, rare, count, before, texts_of, texts, times = (np.concatenate([x[i] for x in held]) for i in range(8))
-        held.clear()
-        # a rare word's hash and a frequent one's place are different symbols
-        value, explicit = corrections(key, np.where(rare, symbol | np.uint64(1 << 63), symbol), count, before, model.n, model.least)
-        # what a rare word has of its own is added where it is counted
-        value += np.where(rare & explicit, _bound(model), 0.0)
-        back = rare & explicit
-        entry = np.repeat(np.arange(len(key)), texts_of)
-        some = value[entry] != 0
-        e, t, n = entry[some], texts[some], times[some].astype(np.float64)
-        order = np.lexsort((t, of[e]))
-        e, t, n = e[order], t[order], n[order]
-        new = _flags(of[e]) | _flags(t) if len(e) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        sums = np.add.reduceat(n * value[e], first) if len(e) else np.zeros(0)
-        owner, t = of[e][first], t[first]
-        cuts = np.flatnonzero(_flags(owner)) if len(owner) else []
-        rows = []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(owner)).astype(int) if len(cuts) else [], strict=True):
-            rows.append((0, 0, int(owner[lo]), None, None, np.ascontiguousarray(t[lo:hi], np.uint32).tobytes(), None, np.ascontiguousarray(sums[lo:hi], np.float32).tobytes()))
-        if back.any():
-            some = back[entry]
-            e, t, n = entry[some], texts[some], times[some]
-            w = symbol[e]
-            bucket = (w % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((w, of[e], bucket))
-            e, t, n, w, bucket = e[order], t[order], n[order], w[order], bucket[order]
-            new = np.flatnonzero(_flags(bucket) | _flags(of[e]))
-            for lo, hi in zip(new.tolist(), np.append(new[1:], len(e)).tolist(), strict=True):
-                f = np.flatnonzero(_flags(w[lo:hi]))
-                size = np.diff(np.append(f, hi - lo))
-                rows.append((1, int(bucket[lo]), int(of[e[lo]]), w[lo:hi][f].tobytes(), *(np.ascontiguousarray(x, np.uint32).tobytes() for x in (size, t[lo:hi], n[lo:hi])), None))
-        for k in range(0, len(rows), 256):
-            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[k : k + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
+            for k, block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                by_bucket.setdefault(k, []).append((block, x))
+        for k in sorted(by_bucket):
+            rows = _answers(shared.value, by_bucket.pop(k), n_buckets)
+            for i in range(0, len(rows), 256):
+                yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[i : i + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, flag, b in read(batches):
