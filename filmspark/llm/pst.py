@@ -125,6 +125,11 @@ def _within(starts: np.ndarray) -> np.ndarray:
     return np.arange(starts[-1]) - np.repeat(starts[:-1], np.diff(starts))
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Keys in order, each as its distance from the one before."""
+    return np.diff(keys, prepend=np.uint64(0))
+
+
 def _counted(docs: DataFrame, make, least: float, partitions: int) -> DataFrame:
     """Sums of (key, count) pairs that `make` gives for each block of training texts: (kind, key, n). kind 1: keys with at least `least` of their task's sum,
     0: key 0 tokens, 1 distinct keys, 2 keys counted once, 3 twice."""
@@ -133,17 +138,19 @@ def _counted(docs: DataFrame, make, least: float, partitions: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", _BLOCK):
             keys, n = make(b.column(0))
-            rows = [(k, keys[at].tobytes(), n[at].astype(np.uint32).tobytes()) for k, at in packed.by_bucket(keys, n_buckets)]
+            order = np.argsort(keys)
+            keys, n = keys[order], n[order]
+            rows = [(k, packed.squeezed([_steps(keys[at]), n[at]])) for k, at in packed.by_bucket(keys, n_buckets)]
             if rows:
-                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())]))
+                yield pa.record_batch([pa.array(x) for x in zip(*rows, strict=True)], schema=pa.schema([("bucket", pa.int32()), ("entries", pa.binary())]))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         held = 0
         for b in batches:
-            for k, c in zip(packed.raw(b.column(1), np.uint64), packed.raw(b.column(2), np.uint32), strict=True):
-                parts.append((k, c.astype(np.int64)))
+            for k, c in (packed.stretched(x.as_buffer()) for x in b.column(1)):
+                parts.append((np.cumsum(k, dtype=np.uint64), c.astype(np.int64)))
                 held += len(k)
                 if held > 2 * len(keys) + (1 << 20):
                     keys, n = packed.sums(np.concatenate([keys, *(p[0] for p in parts)]), np.concatenate([n, *(p[1] for p in parts)]))
@@ -156,7 +163,7 @@ def _counted(docs: DataFrame, make, least: float, partitions: int) -> DataFrame:
             c = np.concatenate([[total, len(keys), (n == 1).sum(), (n == 2).sum()], n[often]]).astype(np.int64)
             yield pa.record_batch([pa.array(np.concatenate([np.zeros(4, np.int32), np.ones(int(often.sum()), np.int32)])), pa.array(k), pa.array(c)], names=["kind", "key", "n"])
 
-    sent = packed.deal(docs.mapInArrow(count, "bucket int, keys binary, n binary"), partitions)
+    sent = packed.deal(docs.mapInArrow(count, "bucket int, entries binary"), partitions)
     return sent.mapInArrow(add, "kind int, key long, n long")
 
 
@@ -341,8 +348,9 @@ def _flags(values: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Within its bucket a context is known by 40 bits.
-_SHORT = np.uint64(24)
+#: Within its bucket a context is known by 36 bits, and a rare word after a context by 40.
+_SHORT = np.uint64(28)
+_WORD = np.uint64(24)
 
 
 def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buckets: int) -> Iterator[tuple]:
@@ -374,7 +382,7 @@ def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buck
         r = rare[g]
         # a symbol is 0 where a rare word's hash follows, else one more than its place
         short = key[contexts[c]] >> _SHORT
-        values = [np.diff(short, prepend=np.uint64(0)), sizes[c], single[g], np.where(r, 0, place[g] + 1), hashes[g][r], count[g], before[g][~single[g]], texts_of[g], text[pair[t]], times[t]]
+        values = [_steps(short), sizes[c], single[g], np.where(r, 0, place[g] + 1), hashes[g][r] >> _WORD, count[g], before[g][~single[g]], texts_of[g], text[pair[t]], times[t]]
         yield int(bucket[lo]), block, packed.squeezed([x.astype(np.uint8) if x.dtype == bool else x for x in values])
 
 
@@ -424,9 +432,9 @@ def corrections(key: np.ndarray, symbol: np.ndarray, count: np.ndarray, before:
     return out, mark
 
 
-def _answers(model: Model, messages: list[tuple[int, bytes]], n_buckets: int) -> list[tuple]:
-    """One bucket of contexts. messages: (block, packed entries). Rows (0, 0, block, -, -, texts, -, sums): what a block's texts are to add; and (1, bucket of words, block, words, number of texts of each, texts, times, -):
-    rare words that are explicit after their context, whose own share is to be taken back where they are counted."""
+def _answers(model: Model, messages: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """One bucket of contexts. messages: (block, packed entries). (block, text, sum): what texts are to add; and (block, text, word, times): rare words that are explicit after their
+    context, whose own share is to be taken back where they are counted."""
     held = [_entries(model, x) for _, x in messages]
     of = np.repeat(np.array([block for block, _ in messages]), [len(x[1]) for x in held])
     key, symbol, rare, count, before, texts_of, texts, times = (np.concatenate([x[i] for x in held]) for i in range(8))
@@ -436,29 +444,36 @@ def _answers(model: Model, messages: list[tuple[int, bytes]], n_buckets: int) ->
     back = rare & explicit
     # the bound stood for a share that such a word is given where it is counted
     value[back] += _bound(model)
-    entry, rows = np.repeat(np.arange(len(key), dtype=np.int32), texts_of), []
+    entry = np.repeat(np.arange(len(key), dtype=np.int32), texts_of)
     some = value[entry] != 0
-    e, t, n = entry[some], texts[some], times[some]
-    order = np.lexsort((t, of[e]))
-    e, t, n = e[order], t[order], n[order]
-    first = np.flatnonzero(_flags(of[e]) | _flags(t))
-    sums = np.add.reduceat(n * value[e], first) if len(e) else np.zeros(0)
-    owner, t = of[e][first], t[first]
-    cuts = np.flatnonzero(_flags(owner))
-    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(owner)).tolist(), strict=len(cuts) > 0):
-        rows.append((0, 0, int(owner[lo]), None, None, np.ascontiguousarray(t[lo:hi], np.uint32).tobytes(), None, np.ascontiguousarray(sums[lo:hi], np.float32).tobytes()))
+    e, t = entry[some], texts[some]
+    sums = _summed(of[e], t, times[some] * value[e])
     some = back[entry]
-    e, t, n = entry[some], texts[some], times[some]
-    w = symbol[e]
-    bucket = (w % np.uint64(n_buckets)).astype(np.int64)
-    order = np.lexsort((w, of[e], bucket))
-    e, t, n, w, bucket = e[order], t[order], n[order], w[order], bucket[order]
-    new = np.flatnonzero(_flags(bucket) | _flags(of[e]))
-    for lo, hi in zip(new.tolist(), np.append(new[1:], len(e)).tolist(), strict=len(new) > 0):
-        f = np.flatnonzero(_flags(w[lo:hi]))
-        size = np.diff(np.append(f, hi - lo))
-        rows.append((1, int(bucket[lo]), int(of[e[lo]]), w[lo:hi][f].tobytes(), *(np.ascontiguousarray(x, np.uint32).tobytes() for x in (size, t[lo:hi], n[lo:hi])), None))
-    return rows
+    e = entry[some]
+    return sums, [of[e], texts[some], symbol[e], times[some]]
+
+
+def _summed(block: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((text, block))
+    block, text, value = block[order], text[order], value[order]
+    first = np.flatnonzero(_flags(block) | _flags(text))
+    return [block[first], text[first], np.add.reduceat(value, first) if len(first) else value]
+
+
+def _ranges(*sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run in which all arrays stay the same."""
+    n = len(sorted_[0])
+    if n:
+        first = np.flatnonzero(np.logical_or.reduce([_flags(x) for x in sorted_]))
+        yield from zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True)
+
+
+def _packed_words(word: np.ndarray, trained: np.ndarray | None, text: np.ndarray, times: np.ndarray) -> bytes:
+    """Words in order with the texts that have them: each word once, its training count, its number of texts, and the texts and times of all."""
+    first = np.flatnonzero(_flags(word))
+    sizes = np.diff(np.append(first, len(word)))
+    count = np.zeros(0, np.uint32) if trained is None else np.add.reduceat(trained, first)
+    return packed.squeezed([_steps(word[first]), count, sizes, text, times])
 
 
 def _local(model: Model, b: _Block, is_train: np.ndarray):
@@ -474,7 +489,7 @@ def _local(model: Model, b: _Block, is_train: np.ndarray):
     return (np.diff(b.starts), by(b.often).astype(np.int64), by(base), by(b.logs)), (b.hashes[word], np.where(is_train[of], times, 0), of.astype(np.uint32), times.astype(np.uint32))
 
 
-_SENT = "bucket int, block long, words binary, train binary, sizes binary, texts binary, times binary, ids binary, local binary"
+_SENT = "bucket int, block long, back boolean, entries binary, ids binary, local binary"
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -482,7 +497,7 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     Tokens are words (ASCII letters lowered, cut at ASCII white space) and one end. base_score is the add-one unigram of the contract. score is
     the tree's log10 probability; like the base it has one symbol for all words unknown in training. Contexts have up to three
-    words. Words are known by 64-bit hashes, contexts by 40 bits and their bucket. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
+    words. Words are known by 64-bit hashes, contexts by 36 bits and their bucket. Null texts count as empty: one end. Null ids never train. Repeated rows train and are
     scored each; extra columns are ignored. Without training texts every score is 0. An empty table gives an empty one.
 
     Frequent words and the top of the tree are broadcast, bounded by `limits`. All other words of all texts go to the task of their hash,
@@ -500,10 +515,10 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     long_parts = max(12, -(-total // (16 << 20)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, kinds = zip(*(x.split() for x in _SENT.split(", ")), strict=True)
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     sent_schema = pa.schema([(k, types[t]) for k, t in zip(names, kinds, strict=True)])
     long_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.binary())])
-    met_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("sizes", pa.binary()), ("texts", pa.binary()), ("times", pa.binary()), ("sums", pa.binary())])
+    met_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.binary()), ("sums", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, _Block]]:
         for rows in batches:
@@ -523,47 +538,59 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         for b in batches:
             for k, block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 by_bucket.setdefault(k, []).append((block, x))
+        sums, back = [], []
         for k in sorted(by_bucket):
-            rows = _answers(shared.value, by_bucket.pop(k), n_buckets)
-            for i in range(0, len(rows), 256):
-                yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[i : i + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
+            one, two = _answers(shared.value, by_bucket.pop(k))
+            sums.append(one)
+            back.append(two)
+        if not sums:
+            return
+        block, text, value = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+        sums.clear()
+        rows = [(0, 0, int(block[lo]), np.ascontiguousarray(text[lo:hi], np.uint32).tobytes(), np.ascontiguousarray(value[lo:hi], np.float32).tobytes()) for lo, hi in _ranges(block)]
+        block, text, word, times = (np.concatenate(x) for x in zip(*back, strict=True))
+        back.clear()
+        bucket = (word % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((word, block, bucket))
+        block, text, word, times, bucket = (x[order] for x in (block, text, word, times, bucket))
+        rows += [(1, int(bucket[lo]), int(block[lo]), _packed_words(word[lo:hi], None, text[lo:hi], times[lo:hi]), None) for lo, hi in _ranges(bucket, block)]
+        for i in range(0, len(rows), 256):
+            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[i : i + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, flag, b in read(batches):
             local, (word, trained, of, times) = _local(shared.value, b, flag)
             ids = batch.column("id")
             whole = np.stack([*(x.astype(np.float64) for x in local), flag.astype(np.float64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.float64)])
-            rows = [(block % n_buckets, block, b"", b"", b"", b"", b"", pc.fill_null(ids, 0).to_numpy().tobytes(), whole.tobytes())]
-            for k, at in packed.by_bucket(word, n_buckets):
-                w = word[at]
-                order = np.argsort(w, kind="stable")
-                w, t = w[order], at[order]
-                first = np.flatnonzero(_flags(w))
-                sizes = np.diff(np.append(first, len(w))).astype(np.uint32)
-                rows.append((k, block, w[first].tobytes(), np.add.reduceat(trained[t], first).astype(np.uint32).tobytes(), sizes.tobytes(), of[t].tobytes(), times[t].tobytes(), None, None))
+            rows = [(block % n_buckets, block, False, None, pc.fill_null(ids, 0).to_numpy().tobytes(), whole.tobytes())]
+            order = np.argsort(word, kind="stable")
+            word, trained, of, times = (x[order] for x in (word, trained, of, times))
+            rows += [(k, block, False, _packed_words(word[at], trained[at], of[at], times[at]), None, None) for k, at in packed.by_bucket(word >> _WORD, n_buckets)]
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), sent_schema.types, strict=True)], schema=sent_schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, held = shared.value, []
         schema = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("sums", pa.binary()), ("ids", pa.binary()), ("local", pa.binary())])
-        out: dict[int, list] = {}
         for b in batches:
-            cols = [packed.raw(b.column(i), k) for i, k in ((2, np.uint64), (3, np.uint32), (4, np.uint32), (5, np.uint32), (6, np.uint32))]
-            for i, block in enumerate(b.column(1).to_pylist()):
-                if b.column(8)[i].is_valid:
-                    yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), b.column(7).slice(i, 1), b.column(8).slice(i, 1)], schema=schema)
+            for i, (block, back) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if b.column(5)[i].is_valid:
+                    yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), b.column(4).slice(i, 1), b.column(5).slice(i, 1)], schema=schema)
                 else:
-                    # without training counts: words that are explicit after their context, so their own share is taken back
-                    held.append((block, *(c[i] for c in cols), not b.column(3)[i].is_valid))
-        if not held:
+                    held.append((block, back, b.column(3)[i].as_py()))
+        told = [packed.stretched(x)[:2] for _, back, x in held if not back]
+        if not told:
             return
-        told = [x for x in held if not x[6]]
-        keys, c = packed.sums(np.concatenate([x[1] for x in told]), np.concatenate([x[2] for x in told]).astype(np.int64))
-        for block, words, _, sizes, of, times, back in held:
-            n = np.repeat(c[np.searchsorted(keys, words)], sizes)
+        keys, c = packed.sums(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in told]), np.concatenate([x for _, x in told]).astype(np.int64))
+        told.clear()
+        short = keys >> _WORD
+        out: dict[int, list] = {}
+        for block, back, x in held:
+            words, _, sizes, of, times = packed.stretched(x)
+            words, times = np.cumsum(words, dtype=np.uint64), times.astype(np.float64)
+            n = np.repeat(c[np.searchsorted(short if back else keys, words)], sizes)
             root = times * model.root(n)
             values = np.stack([np.zeros(len(n)), np.zeros(len(n)), -root]) if back else np.stack([times * (n > 0), times * model.base(n), root])
-            out.setdefault(block, []).append((of, values))
+            out.setdefault(block, []).append((of.astype(np.uint32), values))
         for block, got in out.items():
             of, values = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got], axis=1)
             texts, place = np.unique(of, return_inverse=True)
@@ -589,10 +616,10 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         out.loc[valid == 0, "id"] = pd.NA
         return out
 
-    long = packed.deal(held.mapInArrow(send_long, "bucket int, block long, entries binary"), long_parts).mapInArrow(meet_long, "kind int, bucket int, block long, words binary, sizes binary, texts binary, times binary, sums binary")
+    long = packed.deal(held.mapInArrow(send_long, "bucket int, block long, entries binary"), long_parts).mapInArrow(meet_long, "kind int, bucket int, block long, texts binary, sums binary")
     long = written(long, "contexts")
     none = F.lit(None).cast("binary")
-    back = long.where("kind = 1").select("bucket", "block", "words", none.alias("train"), "sizes", "texts", "times", none.alias("ids"), none.alias("local"))
+    back = long.where("kind = 1").select("bucket", "block", F.lit(True).alias("back"), F.col("texts").alias("entries"), none.alias("ids"), none.alias("local"))
     sent = packed.deal(held.mapInArrow(send, _SENT).unionByName(back), parts)
     met = sent.mapInArrow(meet, "block long, texts binary, sums binary, ids binary, local binary").withColumn("long", F.lit(False))
     extra = long.where("kind = 0").select("block", "texts", "sums", none.alias("ids"), none.alias("local"), F.lit(True).alias("long"))
