@@ -362,7 +362,9 @@ def _long_rows(model: Model, b: _Block, is_train: np.ndarray, block: int, n_buck
         return
     key, word, single = key[at], b.tokens[at], single[at]
     bucket = key % np.uint64(n_buckets)
-    order = np.lexsort((word, key >> _SHORT, bucket))  # stable: texts stay in order
+    # stable, so texts stay in order: by context and word, then by bucket
+    order = np.argsort((key >> _SHORT) << np.uint64(22) | word.astype(np.uint64), kind="stable")
+    order = order[np.argsort(bucket[order].astype(np.uint16 if n_buckets <= 1 << 16 else np.uint32), kind="stable")]
     at, key, word, bucket, single = at[order], key[order], word[order], bucket[order], single[order]
     text, often = b.text[at], b.often[at]
     new_key = _flags(key >> _SHORT) | _flags(bucket)
@@ -433,10 +435,10 @@ def corrections(key: np.ndarray, symbol: np.ndarray, count: np.ndarray, before:
 
 
 def _answers(model: Model, messages: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """One bucket of contexts. messages: (block, packed entries). (block, text, sum): what texts are to add; and (block, text, word, times): rare words that are explicit after their
-    context, whose own share is to be taken back where they are counted."""
+    """One bucket of contexts. messages: (number of a block, packed entries). (place, sum): what texts are to add, place being the block's number and the text's; and (place, word, times): rare words that
+    are explicit after their context, whose own share is to be taken back."""
     held = [_entries(model, x) for _, x in messages]
-    of = np.repeat(np.array([block for block, _ in messages]), [len(x[1]) for x in held])
+    of = np.repeat(np.array([block for block, _ in messages], np.int64), [len(x[1]) for x in held])
     key, symbol, rare, count, before, texts_of, texts, times = (np.concatenate([x[i] for x in held]) for i in range(8))
     held.clear()
     # a rare word's hash and a frequent one's place are different symbols
@@ -446,18 +448,11 @@ def _answers(model: Model, messages: list[tuple[int, bytes]]) -> tuple[list[np.n
     value[back] += _bound(model)
     entry = np.repeat(np.arange(len(key), dtype=np.int32), texts_of)
     some = value[entry] != 0
-    e, t = entry[some], texts[some]
-    sums = _summed(of[e], t, times[some] * value[e])
+    e = entry[some]
+    sums = [of[e] << 32 | texts[some].astype(np.int64), times[some] * value[e]]
     some = back[entry]
     e = entry[some]
-    return sums, [of[e], texts[some], symbol[e], times[some]]
-
-
-def _summed(block: np.ndarray, text: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
-    order = np.lexsort((text, block))
-    block, text, value = block[order], text[order], value[order]
-    first = np.flatnonzero(_flags(block) | _flags(text))
-    return [block[first], text[first], np.add.reduceat(value, first) if len(first) else value]
+    return sums, [of[e] << 32 | texts[some].astype(np.int64), symbol[e], times[some]]
 
 
 def _ranges(*sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -468,12 +463,11 @@ def _ranges(*sorted_: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(first.tolist(), np.append(first[1:], n).tolist(), strict=True)
 
 
-def _packed_words(word: np.ndarray, trained: np.ndarray | None, text: np.ndarray, times: np.ndarray) -> bytes:
+def _packed_words(word: np.ndarray, trained: np.ndarray, text: np.ndarray, times: np.ndarray) -> bytes:
     """Words in order with the texts that have them: each word once, its training count, its number of texts, and the texts and times of all."""
     first = np.flatnonzero(_flags(word))
     sizes = np.diff(np.append(first, len(word)))
-    count = np.zeros(0, np.uint32) if trained is None else np.add.reduceat(trained, first)
-    return packed.squeezed([_steps(word[first]), count, sizes, text, times])
+    return packed.squeezed([_steps(word[first]), np.add.reduceat(trained, first), sizes, text, times])
 
 
 def _local(model: Model, b: _Block, is_train: np.ndarray):
@@ -489,7 +483,20 @@ def _local(model: Model, b: _Block, is_train: np.ndarray):
     return (np.diff(b.starts), by(b.often).astype(np.int64), by(base), by(b.logs)), (b.hashes[word], np.where(is_train[of], times, 0), of.astype(np.uint32), times.astype(np.uint32))
 
 
-_SENT = "bucket int, block long, back boolean, entries binary, ids binary, local binary"
+#: kind 0: what a block scored alone; 1: its rare words; 2: its contexts.
+_SENT = "kind int, bucket int, block long, entries binary, ids binary, local binary"
+#: kind 0: what a block scored alone; 1: sums for its texts; 2: words to be taken back, by the bucket of the word; 3: counts of words.
+_MET = "kind int, bucket int, block long, entries binary, ids binary, local binary, base binary, score binary"
+
+
+def _schema(columns: str) -> pa.Schema:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    return pa.schema([(x.split()[0], types[x.split()[1]]) for x in columns.split(", ")])
+
+
+def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 256):
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), schema.types, strict=True)], schema=schema)
 
 
 def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -502,126 +509,134 @@ def scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     Frequent words and the top of the tree are broadcast, bounded by `limits`. All other words of all texts go to the task of their hash,
     which counts them in training texts and sends each text its sum; so do all contexts with what follows them. A word without a known count counts with the most that it
-    can have where a context's gain is judged, so that the gain is never overstated. A word that is explicit after its context is not to have its own share too: it is taken back where the word is counted.
+    can have where a context's gain is judged, so that the gain is never overstated. A word that is explicit after its context is not to have its own share too: it is taken back once its count is known.
     """
     is_train = F.coalesce(train, F.lit(False))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     model = fit(docs, is_train, text_col, limits, total)
     src = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), is_train.alias("train"))
-    held = packed.packed_blocks(src, "text", _BLOCK)
-    # few and large tasks: a text gets one sum from each
-    parts = max(12, -(-total // (32 << 20)))
-    n_buckets = parts * packed.BUCKETS_EACH
-    long_parts = max(12, -(-total // (16 << 20)))
+    parts = max(12, -(-total // (16 << 20)))
+    word_buckets, long_buckets = parts * 2, parts * 4
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, kinds = zip(*(x.split() for x in _SENT.split(", ")), strict=True)
-    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
-    sent_schema = pa.schema([(k, types[t]) for k, t in zip(names, kinds, strict=True)])
-    long_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("entries", pa.binary())])
-    met_schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("block", pa.int64()), ("texts", pa.binary()), ("sums", pa.binary())])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, _Block]]:
-        for rows in batches:
-            for block, blob in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-                b = packed.unpacked(blob)
-                yield block, b, b.column("train").to_numpy(zero_copy_only=False).astype(bool), _placed(shared.value, b.column("text"))
-
-    def send_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, flag, b in read(batches):
-            rows = list(_long_rows(shared.value, b, flag, block, long_parts * 4))
-            for k in range(0, len(rows), 256):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), long_schema.types, strict=True)], schema=long_schema)
-
-    def meet_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # messages stay compressed until their bucket's turn
-        by_bucket: dict[int, list] = {}
-        for b in batches:
-            for k, block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                by_bucket.setdefault(k, []).append((block, x))
-        sums, back = [], []
-        for k in sorted(by_bucket):
-            one, two = _answers(shared.value, by_bucket.pop(k))
-            sums.append(one)
-            back.append(two)
-        if not sums:
-            return
-        block, text, value = _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
-        sums.clear()
-        rows = [(0, 0, int(block[lo]), np.ascontiguousarray(text[lo:hi], np.uint32).tobytes(), np.ascontiguousarray(value[lo:hi], np.float32).tobytes()) for lo, hi in _ranges(block)]
-        block, text, word, times = (np.concatenate(x) for x in zip(*back, strict=True))
-        back.clear()
-        bucket = (word % np.uint64(n_buckets)).astype(np.int64)
-        order = np.lexsort((word, block, bucket))
-        block, text, word, times, bucket = (x[order] for x in (block, text, word, times, bucket))
-        rows += [(1, int(bucket[lo]), int(block[lo]), _packed_words(word[lo:hi], None, text[lo:hi], times[lo:hi]), None) for lo, hi in _ranges(bucket, block)]
-        for i in range(0, len(rows), 256):
-            yield pa.record_batch([pa.array(c, x) for c, x in zip(zip(*rows[i : i + 256], strict=True), met_schema.types, strict=True)], schema=met_schema)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, batch, flag, b in read(batches):
+        schema, numbers = _schema(_SENT), packed.block_ids()
+        for batch in blocks(batches, "text", _BLOCK):
+            block, flag = next(numbers), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            b = _placed(shared.value, batch.column(0))
             local, (word, trained, of, times) = _local(shared.value, b, flag)
-            ids = batch.column("id")
+            ids = batch.column(1)
             whole = np.stack([*(x.astype(np.float64) for x in local), flag.astype(np.float64), ids.is_valid().to_numpy(zero_copy_only=False).astype(np.float64)])
-            rows = [(block % n_buckets, block, False, None, pc.fill_null(ids, 0).to_numpy().tobytes(), whole.tobytes())]
+            rows = [(0, block % word_buckets, block, None, pc.fill_null(ids, 0).to_numpy().tobytes(), whole.tobytes())]
             order = np.argsort(word, kind="stable")
             word, trained, of, times = (x[order] for x in (word, trained, of, times))
-            rows += [(k, block, False, _packed_words(word[at], trained[at], of[at], times[at]), None, None) for k, at in packed.by_bucket(word >> _WORD, n_buckets)]
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), sent_schema.types, strict=True)], schema=sent_schema)
+            rows += [(1, k, block, _packed_words(word[at], trained[at], of[at], times[at]), None, None) for k, at in packed.by_bucket(word >> _WORD, word_buckets)]
+            yield from _batches(rows, schema)
+            yield from _batches([(2, k, block, x, None, None) for k, block, x in _long_rows(shared.value, b, flag, block, long_buckets)], schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held = shared.value, []
-        schema = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("sums", pa.binary()), ("ids", pa.binary()), ("local", pa.binary())])
+        model, schema = shared.value, _schema(_MET)
+        # messages stay compressed until their bucket's turn
+        words: list[tuple[int, bytes]] = []
+        contexts: dict[int, list] = {}
+        place: dict[int, int] = {}
+        for b in batches:
+            for i, (kind, bucket, block) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)):
+                if kind == 0:
+                    yield pa.record_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([None], pa.binary()), b.column(4).slice(i, 1), b.column(5).slice(i, 1), *(pa.array([None], pa.binary()),) * 2], schema=schema)
+                    continue
+                at = place.setdefault(block, len(place))
+                (words if kind == 1 else contexts.setdefault(bucket, [])).append((at, b.column(3)[i].as_py()))
+        names = np.array(list(place), np.int64)
+        # what each text is to add: number of known words, base, score
+        spot, known, base, score, back = [], [], [], [], []
+        if words:
+            told = [packed.stretched(x)[:2] for _, x in words]
+            keys, c = packed.sums(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in told]), np.concatenate([x for _, x in told]).astype(np.int64))
+            told.clear()
+            for at, x in words:
+                w, _, sizes, of, times = packed.stretched(x)
+                n, times = np.repeat(c[np.searchsorted(keys, np.cumsum(w, dtype=np.uint64))], sizes), times.astype(np.float64)
+                spot.append(np.int64(at) << 32 | of.astype(np.int64))
+                known.append(times * (n > 0))
+                base.append(times * model.base(n))
+                score.append(times * model.root(n))
+            short = keys >> _WORD
+            for k, at in packed.by_bucket(short, word_buckets):
+                yield from _batches([(3, k, None, packed.squeezed([_steps(short[at]), c[at]]), None, None, None, None)], schema)
+        for k in sorted(contexts):
+            (at, value), taken = _answers(model, contexts.pop(k))
+            spot.append(at)
+            known.append(np.zeros(len(at)))
+            base.append(np.zeros(len(at)))
+            score.append(value)
+            back.append(taken)
+        if not spot:
+            return
+        at = np.concatenate(spot)
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        first = np.flatnonzero(_flags(at))
+        known, base, score = (np.add.reduceat(np.concatenate(x)[order], first) if len(first) else np.zeros(0) for x in (known, base, score))
+        at = at[first]
+        rows = [(1, 0, int(names[at[lo] >> 32]), packed.squeezed([at[lo:hi] & 0xFFFFFFFF, known[lo:hi].astype(np.int64)]), None, None, base[lo:hi].tobytes(), score[lo:hi].astype(np.float32).tobytes()) for lo, hi in _ranges(at >> 32)]
+        yield from _batches(rows, schema)
+        if not back:
+            return
+        at, word, times = (np.concatenate(x) for x in zip(*back, strict=True))
+        back.clear()
+        bucket = (word % np.uint64(word_buckets)).astype(np.int64)
+        order = np.lexsort((word, bucket))
+        at, word, times, bucket = at[order], word[order], times[order], bucket[order]
+        # one row for each bucket of words, whatever blocks they are for
+        rows = []
+        for lo, hi in _ranges(bucket):
+            used, block = np.unique(at[lo:hi] >> 32, return_inverse=True)
+            rows.append((2, int(bucket[lo]), None, packed.squeezed([names[used].astype(np.uint64), block, at[lo:hi] & 0xFFFFFFFF, _steps(word[lo:hi]), times[lo:hi]]), None, None, None, None))
+        yield from _batches(rows, schema)
+
+    def take_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, schema, told, asked = shared.value, _schema(_MET), [], []
         for b in batches:
-            for i, (block, back) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if b.column(5)[i].is_valid:
-                    yield pa.record_batch([pa.array([block]), pa.array([None], pa.binary()), pa.array([None], pa.binary()), b.column(4).slice(i, 1), b.column(5).slice(i, 1)], schema=schema)
-                else:
-                    held.append((block, back, b.column(3)[i].as_py()))
-        told = [packed.stretched(x)[:2] for _, back, x in held if not back]
-        if not told:
+            for kind, x in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
+                (told if kind == 3 else asked).append(x)
+        if not asked:
             return
-        keys, c = packed.sums(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in told]), np.concatenate([x for _, x in told]).astype(np.int64))
-        told.clear()
-        short = keys >> _WORD
-        out: dict[int, list] = {}
-        for block, back, x in held:
-            words, _, sizes, of, times = packed.stretched(x)
-            words, times = np.cumsum(words, dtype=np.uint64), times.astype(np.float64)
-            n = np.repeat(c[np.searchsorted(short if back else keys, words)], sizes)
-            root = times * model.root(n)
-            values = np.stack([np.zeros(len(n)), np.zeros(len(n)), -root]) if back else np.stack([times * (n > 0), times * model.base(n), root])
-            out.setdefault(block, []).append((of.astype(np.uint32), values))
-        for block, got in out.items():
-            of, values = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got], axis=1)
-            texts, place = np.unique(of, return_inverse=True)
-            sums = np.stack([np.bincount(place, v, len(texts)) for v in values])
-            yield pa.record_batch([pa.array([block]), pa.array([texts.tobytes()]), pa.array([sums.tobytes()]), pa.array([None], pa.binary()), pa.array([None], pa.binary())], schema=schema)
+        told = [packed.stretched(x) for x in told]
+        keys, c = np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in told]), np.concatenate([x.astype(np.int64) for _, x in told])
+        order = np.argsort(keys, kind="stable")
+        keys, c = keys[order], c[order]
+        blocks_, texts, values = [], [], []
+        for x in asked:
+            names, block, text, word, times = packed.stretched(x)
+            n = c[np.searchsorted(keys, np.cumsum(word, dtype=np.uint64))]
+            blocks_.append(names.astype(np.int64)[block])
+            texts.append(text.astype(np.int64))
+            values.append(-times.astype(np.float64) * model.root(n))
+        block, text, value = np.concatenate(blocks_), np.concatenate(texts), np.concatenate(values)
+        order = np.lexsort((text, block))
+        block, text, value = block[order], text[order], value[order]
+        first = np.flatnonzero(_flags(block) | _flags(text))
+        block, text, value = block[first], text[first], np.add.reduceat(value, first)
+        rows = [(1, 0, int(block[lo]), packed.squeezed([text[lo:hi], np.zeros(hi - lo, np.int64)]), None, None, np.zeros(hi - lo).tobytes(), value[lo:hi].astype(np.float32).tobytes()) for lo, hi in _ranges(block)]
+        yield from _batches(rows, schema)
 
     n, v = model.n, model.v
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[pdf.local.notna()].iloc[0]
+        head = pdf[pdf.kind == 0].iloc[0]
         ids = np.frombuffer(head.ids, np.int64)
         tokens, known, base, score, flag, valid = np.frombuffer(head.local, np.float64).reshape(6, -1).copy()
-        for r in pdf[pdf.local.isna()].sort_values(["long", "texts", "sums"]).itertuples():
-            at = np.frombuffer(r.texts, np.uint32)
-            if r.long:
-                score[at] += np.frombuffer(r.sums, np.float32)
-            else:
-                sums = np.frombuffer(r.sums, np.float64).reshape(3, -1)
-                known[at] += sums[0]
-                base[at] += sums[1]
-                score[at] += sums[2]
+        for r in pdf[pdf.kind == 1].sort_values(["entries", "score"]).itertuples():
+            at, more = packed.stretched(r.entries)
+            known[at] += more
+            base[at] += np.frombuffer(r.base, np.float64)
+            score[at] += np.frombuffer(r.score, np.float32)
         out = pd.DataFrame({"id": pd.array(ids, "Int64"), "train": flag > 0, "n_tokens": tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": n, "base_score": base - tokens * np.log10(n + v + 1), "score": score})
         out.loc[valid == 0, "id"] = pd.NA
         return out
 
-    long = packed.deal(held.mapInArrow(send_long, "bucket int, block long, entries binary"), long_parts).mapInArrow(meet_long, "kind int, bucket int, block long, texts binary, sums binary")
-    long = written(long, "contexts")
-    none = F.lit(None).cast("binary")
-    back = long.where("kind = 1").select("bucket", "block", F.lit(True).alias("back"), F.col("texts").alias("entries"), none.alias("ids"), none.alias("local"))
-    sent = packed.deal(held.mapInArrow(send, _SENT).unionByName(back), parts)
-    met = sent.mapInArrow(meet, "block long, texts binary, sums binary, ids binary, local binary").withColumn("long", F.lit(False))
-    extra = long.where("kind = 0").select("block", "texts", "sums", none.alias("ids"), none.alias("local"), F.lit(True).alias("long"))
-    done = met.unionByName(extra).groupBy("block").applyInPandas(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    met = written(packed.deal(src.mapInArrow(send, _SENT), parts).mapInArrow(meet, _MET), "met")
+    back = packed.deal(met.where("kind >= 2"), max(12, parts // 8)).mapInArrow(take_back, _MET)
+    done = met.where("kind < 2").unionByName(back).groupBy("block").applyInPandas(finish, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.select(F.col("id").alias(id_col), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
