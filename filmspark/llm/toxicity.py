@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
 
     learn: a condition on id_col; rows of labels that don't meet it are never looked at. Word counts by label are aggregated in Spark; the words with the largest
     chi-square stay. The bounded matrix is then fitted on the driver. Null labels, null ids and labels without a document teach nothing; without any
-    labelled row the model scores every text 0.
+    labelled row, or with empty tables, the model scores every text 0. An id that is labelled twice counts with its larger label; one that has several documents teaches with each.
     """
     picked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     if learn is not None:
@@ -177,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_row
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, score (0 to 1), predicted (1 if score >= 0.5). Reads whole texts; null ones count as empty and get the bias's score. Narrow: no shuffle."""
+    """id_col, score (0 to 1), predicted (1 if score >= 0.5). Reads whole texts; null ones count as empty and get the bias's score. Narrow: no shuffle. Extra columns, whatever their names, are
+    ignored; repeated rows are scored each; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,7 +191,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id
 
 
 def is_toxic(text: Column, model: ToxicityModel, threshold: float = 0.5) -> Column:
-    """Whether a whole text scores at least `threshold`; a null text counts as empty."""
+    """Whether a whole text scores at least `threshold`; a null text counts as empty. Repeated rows are judged each; of an empty table there is nothing to judge."""
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text whose words are sorted and segmented together.
 _SLICE = 1 << 20
-#: A word with the space before it, a word after a line end, a line end, or a space alone.
-_UNITS = re.compile(r" ?[^ \n]+|[ \n]")
+#: A word with all the spaces before it, a line end, or spaces that no word follows. No piece goes on beyond a word, so the best segmentation of a text is those of its units.
+_UNITS = re.compile(r" *[^ \n]+|\n| +")
+#: A unit of more characters is segmented alone, with a trace of a few bytes for each.
+_LONG = 4096
 
 
 class Pieces:
@@ -43,11 +46,10 @@ class Pieces:
                 self.raw[i] = bytes((b,))
             elif not skip[i]:
                 self.raw[i] = name.replace(MARK, " ").encode()
-                if MARK not in name[1:]:
-                    node = self.tree
-                    for c in name.replace(MARK, " "):
-                        node = node[0].setdefault(c, [{}, -1, 0.0])
-                    node[1], node[2] = i, sp.get_score(i)
+                node = self.tree
+                for c in name.replace(MARK, " "):
+                    node = node[0].setdefault(c, [{}, -1, 0.0])
+                node[1], node[2] = i, sp.get_score(i)
         self.sizes = np.array([len(r) for r in self.raw], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
@@ -62,6 +64,9 @@ class Pieces:
         best, back, ids, open_at = [0.0], [0], [-1], [[]]
         last, out = "", []
         for unit in units:
+            if len(unit) > _LONG:
+                out.append(self._encode_long(unit))
+                continue
             n = min(len(unit), len(last))
             d = 0
             while d < n and unit[d] == last[d]:
@@ -98,6 +103,33 @@ class Pieces:
             out.append(found)
         return out
 
+    def _encode_long(self, unit: str) -> np.ndarray:
+        """The same for one unit of any length: only the open pieces at the present character are held, and the trace as packed numbers."""
+        best, back, ids, open_ = array("d", [0.0]), array("q", [0]), array("i", [-1]), []
+        for d, c in enumerate(unit):
+            alive, top, at, piece = [], -1e300, d, -1
+            for i, node in (*open_, (d, self.tree)):
+                child = node[0].get(c)
+                if child is not None:
+                    alive.append((i, child))
+                    if child[1] >= 0 and best[i] + child[2] > top:
+                        top, at, piece = best[i] + child[2], i, child[1]
+            child = self.tree[0].get(c)
+            if (child is None or child[1] < 0) and best[d] + self.unknown > top:
+                top, at, piece = best[d] + self.unknown, d, -1
+            best.append(top)
+            back.append(at)
+            ids.append(piece)
+            open_ = alive
+        found, j = array("i"), len(unit)
+        while j:
+            if ids[j] >= 0:
+                found.append(ids[j])
+            else:
+                found.extend(self.byte_ids[b] for b in reversed(unit[back[j] : j].encode()))
+            j = back[j]
+        return np.frombuffer(found, np.int32)[::-1]
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of one sequence, without the space that encoding puts first."""
         return _gather(self.flat, self.starts[ids], self.sizes[ids])[1:].tobytes()
@@ -118,12 +150,18 @@ def pieces(path: str) -> Pieces:
     return _LOADED[path]
 
 
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
 def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model: str = MODEL) -> DataFrame:
     """The columns to keep and token_ids. A space is put before a text, as this family of models does; null and empty texts have no tokens.
 
-    Words are told apart by the space before them, which belongs to the word, and by line ends. Each slice of text is segmented through its distinct
+    Words are told apart by the spaces before them, which belong to the word, and by line ends. Each slice of text is segmented through its distinct
     words in sorted order. Characters without a piece become byte pieces, so every text decodes to itself. Narrow: no shuffle. A kept column named
-    token_ids is replaced.
+    token_ids is replaced; repeated rows are encoded each; an empty table gives an empty one.
     """
     keep = [c for c in keep if c != "token_ids"]
     kinds = dict(docs.dtypes)
@@ -131,7 +169,7 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for b in blocks(batches, "__text", _SLICE):
+        for b in blocks(batches, name, _SLICE):
             texts = [t.as_py() for t in b.column(b.num_columns - 1)]
             units = [_UNITS.findall(" " + t) if t else [] for t in texts]
             distinct = sorted(set().union(*units))
@@ -147,7 +185,8 @@ def encode(docs: DataFrame, keep: list[str], text_col: str = "text", model: str
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch([*b.columns[:-1], lists], names=[*keep, "token_ids"])
 
-    return docs.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    name = _free("__text", keep)
+    return docs.select(*keep, F.col(text_col).alias(name)).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
@@ -164,7 +203,7 @@ def decode(tokens: DataFrame, keep: list[str], model: str = MODEL) -> DataFrame:
                 texts = [p.decode(x.values.to_numpy()).decode("utf-8", "replace") if x.is_valid else "" for x in b.column(b.num_columns - 1)]
                 yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "decoded"])
 
-    return tokens.select(*keep, F.col("token_ids").alias("__ids")).mapInArrow(run, schema)
+    return tokens.select(*keep, F.col("token_ids").alias(_free("__ids", keep))).mapInArrow(run, schema)
 
 
 def encoded_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:

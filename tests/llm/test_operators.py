@@ -351,6 +351,38 @@ def test_viterbi_is_optimal():
     assert p.encode_units(units[5:6]) == [p.encode_units(units)[5]]
 
 
+def test_viterbi_is_optimal_on_whole_texts():
+    """Over texts with runs of spaces, whatever the units."""
+    p = viterbi.pieces(viterbi.MODEL)
+    by_id = {i: s for i, s in scored(p)}
+    for text in ("a   b", "  x = 1\n    y  \n\n", " " * 20 + "end", "tail   ", "one  two \n three", "aaaaaaaa▁ b"):
+        units = viterbi._UNITS.findall(" " + text)
+        assert "".join(units) == " " + text
+        order = sorted(set(units))
+        ids = dict(zip(order, p.encode_units(order), strict=True))
+        flat = [i for u in units for i in ids[u]]
+        want, names = best_score(p, " " + text)
+        unknown = sum(c not in names for c in " " + text)
+        assert p.decode(np.array(flat)).decode() == text
+        assert sum(by_id.get(i, 0.0) for i in flat) + unknown * p.unknown == pytest.approx(want)
+
+
+def test_viterbi_long_words_repeats_and_clashing_columns(spark, monkeypatch):
+    p = viterbi.pieces(viterbi.MODEL)
+    units = sorted(["therefore" * 30, "é世" * 40, "x"])
+    plain = p.encode_units(units)
+    monkeypatch.setattr(viterbi, "_LONG", 10)
+    assert [list(x) for x in p.encode_units(units)] == plain
+    monkeypatch.undo()
+    word = "abcdefghij" * 100_000
+    rows = [(1, word, "a", "b", [1]), (2, "x", "a", "b", [1]), (2, "x", "a", "b", [1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, __ids string, token_ids array<int>")
+    got = viterbi.encode(df, df.columns)
+    assert [len(r.token_ids) > 0 and r["__text"] == "a" for r in got.collect()] == [True] * 3
+    back = viterbi.decode(got, ["doc_id", "__ids"]).collect()
+    assert sorted((r.doc_id, r.decoded) for r in back) == sorted((r[0], r[1]) for r in rows)
+
+
 def test_viterbi_round_trip(spark, docs, texts):
     got = viterbi.encoded_documents(docs).collect()
     assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got) and len(got) == len(texts)
@@ -384,6 +416,49 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert docs.where(toxicity.is_toxic(docs["text"], held)).count() == sum(r.predicted for r in got.values())
 
 
+def test_toxicity_equals_a_plain_fit(spark):
+    """Counts, choice of features, places, gradient and score, restated with sets and dense matrices."""
+    rng = random.Random(13)
+    rows, labels = [], []
+    for i in range(150):
+        bad = rng.random() < 0.35
+        rows.append((i, f"{words(rng, 12)} {rng.choice(['women', 'muslims'] if bad else ['men', 'women', 'men'])} {'idiot!! scum' if bad else 'kind friend'} {words(rng, 3)}", "x", 0.5))
+        labels.append((i, int(bad)))
+    rows += [(150, None, "x", 0.5), (151, "", "x", 0.5), rows[0]]
+    labels += [(150, 0), (151, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string, score double").repartition(3)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), max_features=250, penalty=2.0)
+    y_of = dict(labels)
+    sets = [(y_of[i], toxicity.features(toxicity.tokens(t or "")), toxicity.features({toxicity.SWAP.get(w, w) for w in toxicity.tokens(t or "")})) for i, t, _, _ in rows]
+    n, p = len(sets), sum(y for y, _, _ in sets)
+    seen = {}
+    for y, own, _ in sets:
+        for f in own:
+            a, b = seen.get(f, (0, 0))
+            seen[f] = (a + 1, b + y)
+    chi = lambda f: (seen[f][1] - seen[f][0] * p / n) ** 2 / (seen[f][0] * p / n * (1 - seen[f][0] / n) + 0.5)
+    chosen = sorted(model.weights)
+    left = [chi(f) for f in seen if seen[f][0] >= 3 and f not in model.weights]
+    assert len(chosen) == 250 and all(seen[f][0] >= 3 for f in chosen) and min(map(chi, chosen)) >= max(left) - 1e-9
+    x = np.array([[f in own for f in chosen] for _, own, _ in sets], float)
+    c = np.array([[f in twin for f in chosen] for _, _, twin in sets], float)
+    y = np.array([v for v, _, _ in sets], float)
+    d, weight = (x - c)[(x != c).any(axis=1)], np.where(y > 0, 3.0, 1.0)
+    assert len(d) > 20
+    w, b = np.zeros(len(chosen)), np.log((p + 0.5) / (n - p + 0.5))
+    m = v = np.zeros(len(chosen) + 1)
+    for t in range(1, 251):
+        g = weight * (1 / (1 + np.exp(-(b + x @ w))) - y)
+        grad = np.append(x.T @ g / n + 1e-4 * w + 2 * 2.0 / max(1, len(d)) * d.T @ (d @ w), g.sum() / n)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        step = 0.1 * (1 - 0.9 * t / 250) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    want = sorted(zip([i for i, *_ in rows], (1 / (1 + np.exp(-(b + x @ w)))).tolist(), strict=True))
+    got = sorted((r.doc_id, r.score, r.predicted) for r in toxicity.toxicity_scores(docs, model).collect())
+    assert [(i, s) for i, s, _ in got] == [(i, pytest.approx(s, abs=1e-6)) for i, s in want] and all(k == (s >= 0.5) for _, s, k in got)
+    assert toxicity.toxicity_scores(docs.limit(0), model).count() == 0
+
+
 def brute_spans(texts, length):
     raw = {i: (t or "").encode() for i, t in texts.items()}
     first = {}
