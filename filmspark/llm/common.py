@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame
     The table survives the loss of any executor, and what reads it later starts from files instead of running `df` again. It stays until the folder is cleared, as the result may be read at any time.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    out = df.write
+    out = df.write.option("compression", "zstd")
     if row_group:
         out = out.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4)
     out.parquet(path)

@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filmspark.llm import packed
 from filmspark.llm.common import blocks, written
 from filmspark.llm.components import components
 from filmspark.llm.simhash import SEED, word_parts
@@ -20,6 +21,18 @@ from filmspark.llm.simhash import SEED, word_parts
 _CELL = 1 << 19
 
 
+#: A shingle is known by the upper 48 bits of its hash.
+_BITS = np.uint64(16)
+
+
+def _packed(s: np.ndarray) -> bytes:
+    return packed.squeezed([np.diff(s, prepend=0).astype(np.uint64)])
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(packed.stretched(blob)[0], dtype=np.int64)
+
+
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """The distinct shingle hashes of a text in order. Fewer words than `width`: the whole sequence is the only shingle. No words: none."""
     h, got, carried, n = xxhash.xxh64_intdigest, [], [], 0
@@ -35,7 +48,7 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
         carried = words[-(width - 1) :] if width > 1 else []
     if not n:
         got = [np.array([h(b" ".join(carried), SEED)] if carried else [], np.uint64)]
-    return np.unique(np.concatenate(got)).view(np.int64)
+    return np.unique(np.concatenate(got) >> _BITS).view(np.int64)
 
 
 def needed(n: int, least: float) -> int:
@@ -50,7 +63,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str
         for b in blocks(batches, "text"):
             sets = [shingle_set((t.as_py() or "").encode(), width) for t in b.column(2)]
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "row", "cls", "n", "hashes"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cls), pa.array([len(s) for s in sets], pa.int32()), pa.array([_packed(s) for s in sets], pa.binary())], names=["id", "row", "cls", "n", "hashes"])
 
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, "id long, row long, cls long, n int, hashes binary")
@@ -67,7 +80,7 @@ def _keys(classes: DataFrame, least: float, late: bool = False, whole: bool = Fa
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 cls, n = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                sets = [np.frombuffer(r, np.int64) for r in part.column(2).to_pylist()]
+                sets = [_unpacked(r) for r in part.column(2).to_pylist()]
                 if late:
                     sets = [s[np.argsort(np.isin(s, np.array(x, np.int64)), kind="stable")] for s, x in zip(sets, part.column(3).to_pylist(), strict=True)]
                 if not whole:
@@ -114,7 +127,7 @@ def _candidates(light: DataFrame, least: float) -> DataFrame:
 def _checked(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(r, np.int64) for r in b.column(k).to_pylist()] for k in (2, 3))
+            x, y = ([_unpacked(r) for r in b.column(k).to_pylist()] for k in (2, 3))
             ok = [bool(_alike(len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q), least)) for p, q in zip(x, y, strict=True)]
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
@@ -158,7 +171,7 @@ def _in_cells(members: DataFrame, classes: DataFrame, least: float) -> DataFrame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         cls = pdf.cls.to_numpy()
-        links = spanning_links([np.frombuffer(r, np.int64) for r in pdf.hashes], least)
+        links = spanning_links([_unpacked(r) for r in pdf.hashes], least)
         u, v = np.array(links, np.int64).reshape(-1, 2).T
         return pd.DataFrame({"u": cls[u], "v": cls[v]})
 
@@ -170,7 +183,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     No link is missed: a prefix of each set, rare shingles first, holds a shingle that both ends share, and what shares one is checked on the whole sets.
     Keys of up to `most` sets give pairs. For others the texts themselves meet, which gives spanning links only: first by the commonest key of each, then by
-    the keys that still hold several components. Equal sets are one class (known by 64-bit hashes, as shingles are); texts without words are one class.
+    the keys that still hold several components. Equal sets are one class (known by 64-bit hashes; shingles by 48 bits); texts without words are one class.
     Repeated rows each get a row; an empty table gives an empty one.
     """
     rows = written(_sets(docs, id_col, text_col, width, row_col), "shingle-sets")
