@@ -24,16 +24,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     shingle sets are that similar, checked exactly: no two documents of that similarity stay.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    rows = written(_one_of_each(rows, simhash.grouped_rows(rows, width=5, row_col="__row")), "simhash-kept")
-    return _one_of_each(rows, shingles.similar_rows(rows, width=5, least=0.8, row_col="__row")).select(docs.columns)
+    copies = written(_later(simhash.grouped_rows(rows, width=5, row_col="__row")), "copies")
+    left = rows.join(copies, "__row", "left_anti")
+    near = written(_later(shingles.similar_rows(left, width=5, least=0.8, row_col="__row")), "near-copies")
+    return left.join(near, "__row", "left_anti").select(docs.columns)
 
 
-def _one_of_each(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """groups: (id, row, component). The rows but for those that aren't the first of their group; rows without an id all stay."""
+def _later(groups: DataFrame) -> DataFrame:
+    """groups: (id, row, component). The rows that have an id and aren't the first of their group, as column __row."""
     groups = groups.where("id is not null").select("id", "row", "component")
     first = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).where("n > 1")
-    gone = groups.join(first, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
-    return rows.join(gone, "__row", "left_anti").select(rows.columns)
+    return groups.join(first, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
