@@ -43,6 +43,8 @@ def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame
     if row_group:
         out = out.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4)
     out.parquet(path)
+    # what was shuffled for this table isn't needed any more: Spark frees such files once the driver has collected its garbage, which with long chains of tables is late
+    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
