@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmspark.llm import packed
-from filmspark.llm.common import blocks, written
+from filmspark.llm.common import blocks, partitions_for, written
 from filmspark.llm.components import components
 from filmspark.llm.simhash import SEED, word_parts
 
@@ -21,6 +21,9 @@ from filmspark.llm.simhash import SEED, word_parts
 _CELL = 1 << 19
 
 
+#: Bytes of text in a block whose shingles are sent together, and bytes of text for each bucket of shingles.
+_BLOCK, _BUCKET = 8 << 20, 32 << 20
+
 #: A shingle is known by the upper 48 bits of its hash.
 _BITS = np.uint64(16)
 
@@ -56,6 +59,79 @@ def needed(n: int, least: float) -> int:
     return math.ceil(least * n - 1e-9)
 
 
+def _sent(sets: list[np.ndarray], rows: np.ndarray, block: int, nb: int, least: float) -> Iterator[tuple]:
+    """(bucket, block, keys, info) of one block: its prefixes' shingles by bucket, each once, with its text's place from 1 on, or 0 if several texts of the block have it."""
+    need = np.array([needed(len(s), least) for s in sets], np.int64)
+    half = (need + 1) // 2
+    sets = [s[: len(s) - a + t] for s, a, t in zip(sets, need.tolist(), half.tolist(), strict=True)]
+    keys, place = np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(keys, kind="stable")
+    keys, place = keys[order], place[order]
+    keys, first, inverse, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    own = np.bincount(place[(count > 1)[inverse]], minlength=len(sets))
+    place = np.where(count > 1, 0, place[first] + 1)
+    info = packed.squeezed([rows.view(np.uint64), half, own])
+    at = block % nb
+    for bucket, of in packed.by_bucket(keys, nb):
+        gap = np.diff(keys[of] // np.uint64(nb), prepend=np.uint64(0))
+        yield bucket, block, packed.squeezed([gap & np.uint64(0xFFFFFFFF), gap >> np.uint64(32), place[of]]), info if bucket == at else None
+        at = -1 if bucket == at else at
+    if at >= 0:
+        yield at, block, None, info
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one bucket: how many shingles of each text more than one block has."""
+    keys, places = [], []
+    for blob in pdf["keys"]:
+        low, high, place = packed.stretched(blob) if blob is not None else [np.zeros(0, np.uint8)] * 3
+        keys.append(np.cumsum(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)))
+        places.append(place)
+    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    hit, at, out = (count > 1)[inverse], 0, []
+    for place in places:
+        found = place[hit[at : at + len(place)]]
+        at += len(place)
+        out.append(packed.squeezed(list(np.unique(found[found > 0], return_counts=True))) if found.any() else None)
+    got = pd.DataFrame({"block": pdf["block"], "shared": out, "info": pdf["info"]})
+    return got[got["shared"].notna() | got["info"].notna()]
+
+
+def _enough(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one block: the rows that share at least half of what a similar text would share."""
+    rows, half, own = packed.stretched(pdf["info"].dropna().iloc[0])
+    count = own.astype(np.int64)
+    for blob in pdf["shared"].dropna():
+        place, more = packed.stretched(blob)
+        count[place.astype(np.int64) - 1] += more
+    return pd.DataFrame({"row": rows.astype(np.uint64).view(np.int64)[count >= half]})
+
+
+def shared_enough(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
+    """(row) of the rows with an id that can be similar to another at all: every row with a similar one is there, and few others.
+
+    Two sets of similarity `least` or more share at least needed(n) shingles of each. So of the first n - needed(n) + t in hash order, t at least are
+    in both; t is half of needed(n). Rows with fewer shingles that another row's first ones have too can't be similar to any.
+    The shingles travel packed, each once a block of texts, so a common one costs an entry a block. Null and empty texts need nothing and stay. Repeated
+    rows stay; an empty table gives an empty one.
+    """
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(row_col).cast("long").alias("row"), F.col(text_col).alias("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    nb = partitions_for(docs, total, _BUCKET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = packed.block_ids()
+        for b in blocks(batches, "text", _BLOCK):
+            sets = [shingle_set((t.as_py() or "").encode(), width) for t in b.column(1)]
+            rows = b.column(0).to_numpy(zero_copy_only=False)
+            for bucket, block, keys, info in _sent(sets, rows, next(numbers), nb, least):
+                yield pa.record_batch([pa.array([bucket], pa.int32()), pa.array([block]), pa.array([keys], pa.binary()), pa.array([info], pa.binary())], names=["bucket", "block", "keys", "info"])
+
+    sent = src.mapInArrow(run, "bucket int, block long, keys binary, info binary")
+    shared = sent.groupBy("bucket").applyInPandas(_shared, "block long, shared binary, info binary")
+    return shared.groupBy("block").applyInPandas(_enough, "row long")
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None) -> DataFrame:
     """(id, row, cls, n, hashes): cls is a hash of the set."""
 

@@ -64,5 +64,22 @@ def test_stage_leaves_no_near_copies(spark):
     assert left == set(brute(rows).values())
 
 
+@pytest.mark.parametrize("block", [1 << 10, 8 << 20])
+def test_rows_with_a_similar_one_share_enough(spark, monkeypatch, block):
+    monkeypatch.setattr(shingles, "_BLOCK", block)
+    rows = planted(seed=7, bases=8, copies=3) + [(100 + i, t) for i, t in planted(seed=8, bases=20, copies=0)] + [(None, "a b c d e f g")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, r long").repartition(3)
+    got = {r.row for r in shingles.shared_enough(docs, "r").collect()}
+    of = brute([x for x in rows if x[0] is not None])
+    sizes = {c: sum(v == c for v in of.values()) for c in of.values()}
+    linked = {k for k, (i, _) in enumerate(rows) if i is not None and sizes[of[i]] > 1}
+    assert linked <= got
+    assert not any(100 <= rows[k][0] < 120 for k in got)
+
+
+def test_shared_enough_of_nothing(spark):
+    assert shingles.shared_enough(spark.createDataFrame([], "doc_id long, text string, r long"), "r").count() == 0
+
+
 def test_shingle_set_across_parts():
     assert np.array_equal(shingles.shingle_set(b"a b c d e f " * 200000, 5), shingles.shingle_set(b"a b c d e f " * 3, 5))
