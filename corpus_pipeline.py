@@ -21,12 +21,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     so an id that comes with several texts loses only those that are copies. Null and empty texts are one group. An empty table gives an empty one.
 
     SimHash of five words drops copies and light edits first. No distance of 64 bits covers a similarity of 0.8, so what is left is grouped by all pairs whose
-    shingle sets are that similar, checked exactly: no two documents of that similarity stay.
+    shingle sets are that similar, checked exactly: no two documents of that similarity stay. Texts that share too few shingles with all others together
+    can't be similar to one, and are left out of that search.
     """
     rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     copies = written(_later(simhash.grouped_rows(rows, width=5, row_col="__row")), "copies")
     left = rows.join(copies, "__row", "left_anti")
-    near = written(_later(shingles.similar_rows(left, width=5, least=0.8, row_col="__row")), "near-copies")
+    able = written(shingles.shared_enough(left, "__row", width=5, least=0.8).select(F.col("row").alias("__row")), "sharing")
+    near = written(_later(shingles.similar_rows(left.join(able, "__row", "left_semi"), width=5, least=0.8, row_col="__row")), "near-copies")
     return left.join(near, "__row", "left_anti").select(docs.columns)
 
 
