@@ -65,28 +65,45 @@ def adjacent_scores(samples: DataFrame, bits: int = 256) -> DataFrame:
     return x.withColumn("score", F.when(F.col("__g").isNull(), 0.0).otherwise(_score("__g", "__f", bits))).drop("__f", "__g")
 
 
+def _level(mid: Column, deviation: Column, floor: float, scale: float) -> Column:
+    level = F.greatest(F.lit(floor), mid + scale * F.greatest(deviation * 1.4826, F.lit(0.001)))
+    return F.coalesce(F.when(mid.isNotNull(), level), F.lit(floor))
+
+
 def adaptive_threshold(scores: DataFrame, floor: float = 0.075, scale: float = 2.4) -> DataFrame:
     """video_id, threshold: median plus a multiple of the scaled median deviation of a film's positive scores, `floor` at least. Medians are exact."""
     s = scores.select("video_id", F.when(F.col("score") > 0, F.col("score")).alias("s"))
     mid = s.groupBy("video_id").agg(F.percentile("s", F.lit(0.5)).alias("m"))
     dev = s.join(mid, "video_id").groupBy("video_id").agg(F.first("m").alias("m"), F.percentile(F.abs(F.col("s") - F.col("m")), F.lit(0.5)).alias("d"))
-    level = F.greatest(F.lit(floor), F.col("m") + scale * F.greatest(F.col("d") * 1.4826, F.lit(0.001)))
-    return dev.select("video_id", F.coalesce(F.when(F.col("m").isNotNull(), level), F.lit(floor)).alias("threshold"))
+    return dev.select("video_id", _level(F.col("m"), F.col("d"), floor, scale).alias("threshold"))
+
+
+def _with_threshold(scores: DataFrame, floor: float, scale: float) -> DataFrame:
+    """adaptive_threshold as a column of the samples: the same medians as windows, so that samples already dealt by film don't move again."""
+    film = Window.partitionBy("video_id")
+    x = scores.withColumn("__s", F.when(F.col("score") > 0, F.col("score"))).withColumn("__m", F.percentile("__s", F.lit(0.5)).over(film))
+    x = x.withColumn("__d", F.percentile(F.abs(F.col("__s") - F.col("__m")), F.lit(0.5)).over(film))
+    return x.withColumn("threshold", _level(F.col("__m"), F.col("__d"), floor, scale)).drop("__s", "__m", "__d")
+
+
+def _dissolve(x: DataFrame, window_seconds: float, bits: int) -> DataFrame:
+    """x: samples with their film's fps. Samples w apart are neighbours in the lane of their position modulo w, so each finds both by a window and none is joined."""
+    x = x.withColumn("__f", _features()).withColumn("__i", F.row_number().over(_film()).cast("long") - 1)
+    x = x.withColumn("__lane", F.col("__i") % F.greatest(F.lit(1).cast("long"), nearest(window_seconds * F.col("fps"))))
+    whole = _film().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lane = Window.partitionBy("video_id", "__lane").orderBy("frame", "__i")
+    x = x.withColumns({"__n": F.count("*").over(whole), "__first": F.first("__f").over(whole), "__last": F.last("__f").over(whole)})
+    x = x.withColumns({"__b": F.coalesce(F.lag("__f").over(lane), "__first"), "__a": F.coalesce(F.lead("__f").over(lane), "__last")})
+    edge = (F.col("__i") == 0) | (F.col("__i") == F.col("__n") - 1)
+    return x.withColumn("dissolve", F.when(edge, 0.0).otherwise(_score("__b", "__a", bits))).drop("__f", "__i", "__lane", "__n", "__first", "__last", "__b", "__a")
 
 
 def dissolve_scores(samples: DataFrame, videos: DataFrame, window_seconds: float = 1.5, bits: int = 256) -> DataFrame:
     """Adds dissolve: the transition score between the samples w before and w after, clamped to the film; 0 at either end.
 
-    w is a number of frames but counts samples, which differs where sampling is sparse. Both neighbours are found by position, so
-    a row meets two others whatever w is.
+    w is a number of frames but counts samples, which differs where sampling is sparse. Samples are dealt once, by film.
     """
-    x = samples.join(videos.select("video_id", "fps"), "video_id").withColumn("__i", F.row_number().over(_film()).cast("long") - 1)
-    x = x.withColumn("__n", F.count("*").over(Window.partitionBy("video_id"))).withColumn("__w", F.greatest(F.lit(1).cast("long"), nearest(window_seconds * F.col("fps"))))
-    x = x.withColumns({"__b": F.greatest(F.lit(0).cast("long"), F.col("__i") - F.col("__w")), "__a": F.least(F.col("__n") - 1, F.col("__i") + F.col("__w"))})
-    f = x.select("video_id", F.col("__i").alias("__k"), _features().alias("__f"))
-    x = x.join(f.withColumnsRenamed({"__k": "__b", "__f": "__fb"}), ["video_id", "__b"]).join(f.withColumnsRenamed({"__k": "__a", "__f": "__fa"}), ["video_id", "__a"])
-    edge = (F.col("__b") == F.col("__i")) | (F.col("__a") == F.col("__i"))
-    return x.withColumn("dissolve", F.when(edge, 0.0).otherwise(_score("__fb", "__fa", bits))).drop("__i", "__n", "__w", "__a", "__b", "__fa", "__fb", "fps")
+    return _dissolve(samples.join(videos.select("video_id", "fps"), "video_id"), window_seconds, bits).drop("fps")
 
 
 def local_peaks(scores: DataFrame) -> DataFrame:
@@ -179,13 +196,14 @@ def detect_shots(samples: DataFrame, videos: DataFrame, params: ShotParams = Sho
     wider score. A gradual change is far from the sample at the last boundary. Boundaries keep a least distance. The scan reads a film in frame order as Arrow
     batches come, so its memory doesn't grow with the film.
     """
-    x = local_peaks(adjacent_scores(dissolve_scores(samples, videos, params.dissolve_window_seconds, bits), bits))
+    x = samples.join(videos.select("video_id", "fps"), "video_id")
+    x = local_peaks(adjacent_scores(_dissolve(x, params.dissolve_window_seconds, bits), bits))
     x = fade_flags(x, params.fade_black_ratio, params.fade_luma)
     x = x.withColumn("dissolve_peak", F.col("dissolve") >= F.greatest(F.lag("dissolve", 1, 0.0).over(_film()), F.lead("dissolve", 1, 0.0).over(_film())))
-    limits = adaptive_threshold(x, params.shot_threshold, params.dynamic_threshold_scale)
-    x = x.join(limits, "video_id").join(videos.select("video_id", "fps"), "video_id")
+    x = _with_threshold(x, params.shot_threshold, params.dynamic_threshold_scale)
     x = x.select("video_id", "frame", "fps", "score", "local_peak", "peak_margin", "dissolve", "dissolve_peak", "is_fade", "threshold", *FEATURES)
-    ordered = x.repartition("video_id").sortWithinPartitions("video_id", "frame")
+    # the windows have dealt the samples by film, so a film lies whole in one partition
+    ordered = x.sortWithinPartitions("video_id", "frame")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         film, state = None, None
