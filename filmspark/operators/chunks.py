@@ -32,7 +32,8 @@ def chunk_ranges_custom(videos: DataFrame, custom: DataFrame, chunk_seconds: flo
     """As chunk_ranges, with custom: (video_id, chunk_index, custom_seconds text) lengths for some chunks; blank or bad text is the default length.
 
     variant `script`: a default of 0 is one chunk, and a custom 0 one frame. variant `gui`: a length of 0 is all that remains. A start is the sum of the steps before it, so
-    enough indices are laid out, summed, and cut where the film ends.
+    enough indices are laid out, summed, and cut where the film ends. A chunk moves on by a frame at least, so indices from total_frames on are beyond any film's end.
+    Of rows with one index that with the greatest length text counts, where no column `row_index` tells which is the last.
     """
     total = F.col("total_frames")
     if variant == "script" and chunk_seconds <= 0:
@@ -40,11 +41,14 @@ def chunk_ranges_custom(videos: DataFrame, custom: DataFrame, chunk_seconds: flo
     size = lambda s: F.greatest(F.lit(1).cast("long"), nearest(s * F.col("fps")))
     sized = (lambda s: F.when(s <= 0, total).otherwise(size(s))) if variant == "gui" else size
     step = lambda n: F.greatest(F.lit(1).cast("long"), n - F.greatest(_zero(), F.least(F.lit(overlap).cast("long"), n - 1)))
-    known = custom.groupBy("video_id").agg((F.max("chunk_index") + 1).cast("long").alias("__k"))
+    order = "row_index" if "row_index" in custom.columns else "custom_seconds"
+    custom = custom.join(videos.select("video_id", "total_frames"), "video_id").where("chunk_index >= 0 and chunk_index < total_frames")
+    custom = custom.groupBy("video_id", F.col("chunk_index").cast("long").alias("chunk_index")).agg(F.max_by("custom_seconds", order).alias("custom_seconds"))
+    known = custom.groupBy("video_id").agg((F.max("chunk_index") + 1).alias("__k"))
     x = videos.where("total_frames > 0").join(known, "video_id", "left")
     enough = F.coalesce("__k", _zero()) + F.ceil(total / step(sized(F.lit(float(chunk_seconds))))).cast("long")
     x = x.withColumn("chunk_index", F.explode(F.sequence(_zero(), enough))).drop("__k")
-    own = custom.select("video_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.trim("custom_seconds").try_cast("double").alias("__s"))
+    own = custom.select("video_id", "chunk_index", F.trim("custom_seconds").try_cast("double").alias("__s"))
     x = x.join(own, ["video_id", "chunk_index"], "left").withColumn("__n", sized(F.coalesce("__s", F.lit(float(chunk_seconds)))))
     w = _film("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("start_frame", F.coalesce(F.sum(step(F.col("__n"))).over(w), _zero())).withColumn("end_frame", F.least(total, F.col("start_frame") + F.col("__n")))

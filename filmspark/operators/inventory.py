@@ -85,9 +85,8 @@ def expected_vs_existing(expected: list[DataFrame], files: DataFrame) -> DataFra
     want = expected[0].select("path")
     for e in expected[1:]:
         want = want.unionByName(e.select("path"))
-    have = files.select("path")
-    out = want.intersect(have).withColumn("state", F.lit("made"))
-    return out.union(want.subtract(have).withColumn("state", F.lit("to make"))).union(have.subtract(want).withColumn("state", F.lit("unexpected")))
+    x = want.distinct().withColumn("__w", F.lit(True)).join(files.select("path").distinct().withColumn("__h", F.lit(True)), "path", "full_outer")
+    return x.select("path", F.when(F.col("__w") & F.col("__h"), "made").when(F.col("__w"), "to make").otherwise("unexpected").alias("state"))
 
 
 def delete_candidates(files: DataFrame, place: str, stem_prefix: str = "") -> DataFrame:

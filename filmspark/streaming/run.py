@@ -9,18 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a temporary one in local mode (tests), and an error on a cluster, whose executors wouldn't see it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-stream-")
 
 
 def run_now(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run `stream` until its present input is used up. Complete mode keeps the last result, append mode all rows. Results go to files in the shared folder, never through the driver."""
+    """Run `stream` until its present input is used up. Complete mode keeps the last result, append mode all rows. Results go to files in the shared folder, never through the driver.
+    In append mode a batch has a folder of its own by its number, so a batch that runs again replaces its rows."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    write = "overwrite" if mode == "complete" else "append"
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode(write).parquet(f"{base}/rows")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/" + ("batch=0" if mode == "complete" else f"batch={number}"))
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(stream.columns)
