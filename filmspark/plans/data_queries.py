@@ -60,7 +60,7 @@ def manifest_write(spark, d):
 )
 def manifest_read(spark, d):
     t = _texts(spark, d).select(F.col("video_id").cast("string").alias("path"), "text")
-    return SM.manifest_rows(t, SM.SHOT_COLUMNS).drop("header")
+    return SM.manifest_rows(t, SM.SHOT_COLUMNS).drop("header", "extra")
 
 
 @query(

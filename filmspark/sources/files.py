@@ -30,6 +30,18 @@ def read_signatures(spark: SparkSession, paths: str | list[str], ending: str = "
     return x.select(F.expr(f"substring(p, 1, length(p) - {len(ending)})").alias("path"), F.when(F.try_parse_json("t").isNotNull(), F.col("t")).alias("signature"))
 
 
+def write_signatures(signatures: DataFrame, path: str) -> None:
+    """signatures: path, signature (JSON text). Appends them with the time to a table; later ones of a path count. Rows without a path or with text that isn't JSON are no signatures."""
+    x = signatures.where(F.col("path").isNotNull() & F.try_parse_json("signature").isNotNull())
+    x.select("path", "signature", F.current_timestamp().alias("written_at")).write.mode("append").parquet(path)
+
+
+def stored_signatures(spark: SparkSession, path: str) -> DataFrame:
+    """path, signature: the last one written for each path by write_signatures; the greatest text of those written at once."""
+    x = spark.read.schema("path string, signature string, written_at timestamp").parquet(path)
+    return x.groupBy("path").agg(F.max(F.struct("written_at", "signature")).alias("m")).select("path", "m.signature")
+
+
 def normalize_probe(df: DataFrame, json: Column) -> DataFrame:
     """Adds flat text columns of a probe document: first video stream, first audio stream, container. What is unknown is null."""
     p = F.from_json(json, PROBE)

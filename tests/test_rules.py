@@ -12,11 +12,13 @@ from filmspark.operators import chunks as C
 from filmspark.operators import edits as E
 from filmspark.operators import frames as R
 from filmspark.operators import inventory as I
+from filmspark.operators import resume as W
 from filmspark.operators import reuse as U
 from filmspark.operators import shots as H
 from filmspark.operators import timeline as T
 from filmspark.sources import files as SF
 from filmspark.sources import manifests as M
+from filmspark.streaming.run import run_now
 
 
 def one(spark, *cols):
@@ -130,6 +132,17 @@ def test_reuse_pruning_loses_nothing(spark):
     assert len(got) > 10
 
 
+def test_features_move_once(spark):
+    """Samples are dealt by film once, whatever is scored, and aren't joined with one another."""
+    params = H.ShotParams()
+    kinds = "video_id long, frame long, hist array<double>, color_hist array<double>, edge_hist array<double>, gray_small array<long>, dhash array<long>, mean_luma double, black_ratio double"
+    samples = spark.createDataFrame([], kinds).repartition(2, "frame")
+    videos = spark.createDataFrame([], "video_id long, fps double")
+    for df in (H.dissolve_scores(samples, videos), H.detect_shots(samples, videos, params)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(video_id") == 2 and plan.count("Join") == 1
+
+
 def test_manifest_files_round_trip(spark, tmp_path):
     rows = spark.createDataFrame(
         [(1, i, 1.5 * (i + 1), "true", f"s{i}.png", "", 'say "hi", you\nthere' if i == 1 else "", "false", "") for i in range(3)],
@@ -145,6 +158,57 @@ def test_manifest_files_round_trip(spark, tmp_path):
     assert [(r.chunk_index, r.seed, r.guide_image) for r in M.read_chunk_manifests(spark, str(tmp_path / "c.csv")).collect()] == [(0, "3", "c")]
 
 
+def test_unknown_columns_survive(spark):
+    text = '# source_video=in/a.mp4\nenabled,note,end,"my, own"\ntrue,first,0:00:01,x\nfalse,"a ""b""",0:00:02,\n'
+    got = M.manifest_rows(spark.createDataFrame([("1", text)], "path string, text string"), M.SHOT_COLUMNS)
+    rows = got.withColumns({"video_id": F.lit(1).cast("long"), "shot_index": F.col("row_index"), "end_seconds": F.col("row_index") + 1.0})
+    videos = spark.createDataFrame([(1, "in/a.mp4", 9.0)], "video_id long, source string, duration double")
+    source, again = M.parse_manifest(M.manifest_texts(rows, videos).first().text)
+    assert source == "in/a.mp4" and list(again[0]) == [*M.SHOT_COLUMNS, "my, own", "note"]
+    assert [(r["enabled"], r["end"], r["note"], r["my, own"]) for r in again] == [("true", "0:00:01", "first", "x"), ("false", "0:00:02", 'a "b"', "")]
+
+
+def test_chunk_manifests_are_written_once(spark, tmp_path):
+    rows = lambda seed: spark.createDataFrame([(1, 0, "7", "a,b", "p.mp4"), (1, 1, "8", 'q"', None), (2, 0, seed, "", "")], "video_id long, chunk_index long, seed string, prompt_suffix string, other string")
+    path = tmp_path / "c"
+    M.write_chunk_manifests(rows("1"), str(path))
+    files = lambda v: {f.name for f in (path / f"video_id={v}").glob("*.txt")}
+    first = files(1), files(2)
+    got = {(r.path.split("video_id=")[1][0], r.chunk_index): (r.seed, r.prompt_suffix, r.raw_path) for r in M.read_chunk_manifests(spark, f"{path}/video_id=*").collect()}
+    assert got == {("1", 0): ("7", "a,b", ""), ("1", 1): ("8", 'q"', ""), ("2", 0): ("1", "", "")}
+    M.write_chunk_manifests(rows("2"), str(path))
+    assert files(1) == first[0] and files(2) != first[1]
+    assert sorted(r.seed for r in M.read_chunk_manifests(spark, f"{path}/video_id=*").collect()) == ["2", "7", "8"]
+
+
+def test_signatures_are_found_again(spark, tmp_path):
+    signed = lambda *rows: spark.createDataFrame(rows, "path string, signature string")
+    SF.write_signatures(signed(("a", '{"x":1}'), ("b", '{"x":2}'), ("c", "no json"), (None, "{}")), str(tmp_path / "s"))
+    SF.write_signatures(signed(("b", '{"x":3}')), str(tmp_path / "s"))
+    stored = SF.stored_signatures(spark, str(tmp_path / "s"))
+    assert {(r.path, r.signature) for r in stored.collect()} == {("a", '{"x":1}'), ("b", '{"x":3}')}
+    want = signed(("a", '{ "x": 1 }'), ("b", '{"x":2}'), ("c", "{}"))
+    match = W.signature_match(want, stored, signed(("a", ""), ("b", ""), ("c", "")).select("path"))
+    assert {r.path for r in W.resume_worklist(want, match).collect()} == {"b", "c"}
+
+
+def test_wild_and_repeated_chunk_rows(spark):
+    videos = spark.createDataFrame([(1, 25.0, 1000)], "video_id long, fps double, total_frames long")
+    custom = lambda *rows: spark.createDataFrame(rows, "video_id long, chunk_index long, custom_seconds string, row_index long")
+    ranges = lambda c: [(r.chunk_index, r.start_frame, r.end_frame) for r in C.chunk_ranges_custom(videos, c).orderBy("chunk_index").collect()]
+    want = [(0, 0, 50), (1, 42, 542), (2, 534, 1000)]
+    assert ranges(custom((1, 0, "2", 0))) == want
+    assert ranges(custom((1, 0, "9", 0), (1, 0, "2", 1), (1, 10**12, "1", 2), (1, -1, "1", 3), (1, None, "1", 4), (7, 0, "1", 5))) == want
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    spark.createDataFrame([(k, f"t{k}") for k in range(20)], "k long, t string").repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, t string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).where("k % 2 = 0")
+    got = run_now(stream, "append", "rows")
+    assert got.columns == ["k", "t"] and sorted(r.k for r in got.collect()) == list(range(0, 20, 2))
+    assert all("/batch=" in f for f in got.inputFiles())
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"abc")
     (tmp_path / "a.bin.sig.json").write_text('{"b": 1}')
