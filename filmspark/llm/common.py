@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once.
 BLOCK_BYTES = 4 << 20
+#: Spark's own setting by which an execution frees its shuffle files at its end.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,14 @@ def written(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame
     out = df.write.option("compression", "zstd")
     if row_group:
         out = out.option("parquet.block.size", row_group).option("parquet.block.size.row.check.min", 4).option("parquet.page.size.row.check.min", 4)
-    out.parquet(path)
-    # what was shuffled for this table isn't needed any more: Spark frees such files once the driver has collected its garbage, which with long chains of tables is late
-    df.sparkSession.sparkContext._jvm.java.lang.System.gc()
+    # what was shuffled for this table isn't needed once it is written, and with long chains of tables would pile up until the driver collects its garbage
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, "false")
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        out.parquet(path)
+    finally:
+        conf.set(_FREE_SHUFFLES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

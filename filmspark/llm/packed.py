@@ -19,13 +19,13 @@ BUCKETS_EACH = 8
 
 
 def by_bucket(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) of 64-bit hashes: which of them fall into each bucket, in their order."""
-    bucket = (keys % np.uint64(n_buckets)).astype(np.int64)
-    order = np.argsort(bucket.astype(np.int32), kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    for k in range(n_buckets):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    """(bucket, places) of 64-bit hashes: which of them fall into each bucket, in their order. The work is bound by the hashes at hand, however many buckets there are."""
+    bucket = (keys % np.uint64(n_buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else order
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=False):
+        yield int(bucket[a]), order[a:z]
 
 
 def deal(df: DataFrame, partitions: int) -> DataFrame:
