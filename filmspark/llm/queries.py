@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmspark.llm import feistel, mixing, nndescent, pst, simhash, suffix, tiff, toxicity, viterbi, warc
+from filmspark.llm import feistel, mixing, nndescent, periodic, pst, quality, simhash, suffix, tiff, toxicity, variants, viterbi, warc
 from filmspark.llm.common import table
 
 
@@ -52,11 +52,26 @@ def op10_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("archive", "member_offset")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"), planted=True)
+
+
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), toxicity.remainder("doc_id", 5) != 0)
+    return quality.quality_verdicts(docs, model)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), every=199)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_nn_descent_near_dedup, op3_sentencepiece_viterbi, op4_poisson_mixing, op5_feistel_sharding,
         op6_tiff_pages, op7_suffix_array_dedup, op8_simhash_near_dedup, op9_suffix_tree_scoring, op10_warc_normaliser,
+        op11_periodic_runs, op12_quality_trees, op13_spelling_variants,
     )
 }
 # all pairs, and the closure of their links
