@@ -1,7 +1,7 @@
 """Frame tables: features of pixels, and blends of layers.
 
-frames: video_id, frame, width, height, channels, pixels (row-major bytes). All of these are narrow maps over small Arrow batches: pixels enter a task and features
-or new pixels leave it, and nothing with pixels in it is exchanged. To blend layers that are tables of their own, store them bucketed by video_id and frame.
+frames: video_id, frame, width, height, channels, pixels (row-major bytes). Most of these are narrow maps over small Arrow batches: pixels enter a task and features
+or new pixels leave it. Layers that are tables of their own are joined by film and frame; stored by sources.layers, they meet without an exchange.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,17 @@ def black_mask_stats(frames: DataFrame, threshold: int = 4) -> DataFrame:
 
 
 def _mapped(frames: DataFrame, table: np.ndarray) -> DataFrame:
-    return _map(frames, _IMAGE, lambda r: (r.video_id, r.frame, r.width, r.height, r.channels, table[image(r)].tobytes()))
+    """Frames with their samples looked up in `table`; other columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("pixels")
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                done = [None if x is None else table[np.frombuffer(x, np.uint8)].tobytes() for x in part.column(at).to_pylist()]
+                yield part.set_column(at, part.schema.field(at), pa.array(done, part.schema.field(at).type))
+
+    return frames.where("pixels is not null").mapInArrow(run, frames.schema)
 
 
 def black_lift(frames: DataFrame, lift: float = 0.018, gamma: float = 1.06) -> DataFrame:
@@ -111,6 +122,23 @@ def black_restore(frames: DataFrame, lift: float = 0.018, gamma: float = 1.06) -
     return _mapped(frames, X.restore_table(lift, gamma))
 
 
+def resize_frames(frames: DataFrame, sizes: DataFrame) -> DataFrame:
+    """sizes: video_id, frame, width, height. Frames scaled to the size that is wanted of them, and never cut; those without one, or that have it already, stay as they are."""
+    want = sizes.select("video_id", "frame", F.col("width").alias("__w"), F.col("height").alias("__h"))
+    x = frames.join(want.hint("merge"), ["video_id", "frame"], "left").where("pixels is not null")
+    differs = (F.col("__w") != F.col("width")) | (F.col("__h") != F.col("height"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), 16):
+                part = pdf.iloc[k : k + 16]
+                done = [(r.video_id, r.frame, r.to_w, r.to_h, r.channels, X.resize_lanczos(image(r), int(r.to_w), int(r.to_h)).tobytes() if r.scale else bytes(r.pixels)) for r in part.itertuples(index=False)]
+                yield pd.DataFrame(done, columns=["video_id", "frame", "width", "height", "channels", "pixels"])
+
+    x = x.select("video_id", "frame", "width", "height", "channels", "pixels", F.coalesce("__w", "width").cast("int").alias("to_w"), F.coalesce("__h", "height").cast("int").alias("to_h"), F.coalesce(differs, F.lit(False)).alias("scale"))
+    return x.mapInPandas(run, _IMAGE)
+
+
 def tone_level(level: Column, lift: float = 0.018, gamma: float = 1.06) -> tuple[Column, Column]:
     """The lifted and the restored value of a sample, as expressions: what the tables hold."""
     v, lift, gamma = level / 255.0, min(0.25, max(0.0, lift)), max(0.1, gamma)
@@ -130,7 +158,8 @@ def pad_canvas(frames: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def _layer(df: DataFrame, tag: str) -> DataFrame:
-    return df.select("video_id", "frame", F.struct("width", "height", "channels", "pixels").alias(tag))
+    # by merging, as images are no table to broadcast
+    return df.select("video_id", "frame", F.struct("width", "height", "channels", "pixels").alias(tag)).hint("merge")
 
 
 def _of(s: dict | None) -> np.ndarray | None:
@@ -142,7 +171,8 @@ def _of(s: dict | None) -> np.ndarray | None:
 
 
 def composite(plate: DataFrame, source: DataFrame, color: DataFrame | None = None, feather: int = 80, saturation: float = 0.82, temperature: float = -0.015, opacity: float = 1.0) -> DataFrame:
-    """One frame from the frames of two or three layers with the same video_id and frame; see functions.pixels.composite. Frames without a source are the plate's."""
+    """One frame from the frames of two or three layers with the same video_id and frame; see functions.pixels.composite. Frames without a source are the plate's.
+    Layers that sources.layers has stored in one number of buckets are joined as they lie."""
     x = _layer(plate, "p").join(_layer(source, "s"), ["video_id", "frame"], "left")
     x = x.join(_layer(color, "c"), ["video_id", "frame"], "left") if color is not None else x.withColumn("c", F.lit(None).cast(x.schema["p"].dataType))
 
@@ -159,7 +189,7 @@ def composite(plate: DataFrame, source: DataFrame, color: DataFrame | None = Non
 
 
 def guide_composite(guides: DataFrame, canvas: DataFrame) -> DataFrame:
-    """A guide image laid under each canvas frame; see functions.pixels.guide_composite."""
+    """A guide image laid under each canvas frame; see functions.pixels.guide_composite. Layers that sources.layers has stored in one number of buckets are joined as they lie."""
     x = _layer(guides, "g").join(_layer(canvas, "c"), ["video_id", "frame"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

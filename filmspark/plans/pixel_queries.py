@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmspark.functions.distances import TRANSITION
@@ -9,6 +12,7 @@ from filmspark.operators import frames as R
 from filmspark.plans import standins as S
 from filmspark.plans.data_queries import DONE, LINES
 from filmspark.plans.film_queries import BITS, CENTRED, _score
+from filmspark.sources.layers import read_frames, write_frames
 from filmspark.streaming import live, run
 
 QUERIES, ORACLES = {}, {}
@@ -72,12 +76,43 @@ def frame_histograms(spark, d):
     return f.select("video_id", "frame", F.posexplode("hist").alias("bin", "share")).select("video_id", "frame", F.col("bin").cast("long").alias("bin"), F.round(F.col("share").cast("double"), 5).alias("share"))
 
 
-@query()
+_IN = lambda y, x: f"px[greatest(0, least(7, {y})) * 8 + greatest(0, least(7, {x})) + 1]"
+_M = lambda y, x: f"(CASE WHEN {y} BETWEEN 0 AND 7 AND {x} BETWEEN 0 AND 7 THEN m[({y}) * 8 + {x} + 1] ELSE 0 END)"
+_Y, _X = "i // 8", "i % 8"
+
+
+def _gradient(along: str) -> str:
+    """3 x 3 gradient at pixel i; borders repeat."""
+    at = (lambda k, s: _IN(f"{_Y} + {k}", f"{_X} + {s}")) if along == "x" else (lambda k, s: _IN(f"{_Y} + {s}", f"{_X} + {k}"))
+    return f"list_transform(range(64), lambda i: {at(-1, 1)} + 2 * {at(0, 1)} + {at(1, 1)} - {at(-1, -1)} - 2 * {at(0, -1)} - {at(1, -1)})"
+
+
+EDGES = {
+    "g": f"SELECT video_id, frame, {_gradient('x')} AS dx, {_gradient('y')} AS dy FROM px",
+    "mg": "SELECT *, list_transform(range(1, 65), lambda i: abs(dx[i]) + abs(dy[i])) AS m, list_transform(range(1, 65), lambda i: ((round_even(atan2(dy[i]::DOUBLE, dx[i]::DOUBLE) / (pi() / 4), 0)::INTEGER % 4) + 4) % 4) AS a FROM g",
+    "th": f"SELECT *, list_transform(range(64), lambda i: m[i + 1] > {_M(f'({_Y} - (a[i + 1] > 0)::INTEGER)', f'({_X} - CASE a[i + 1] WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END)')} AND m[i + 1] >= {_M(f'({_Y} + (a[i + 1] > 0)::INTEGER)', f'({_X} + CASE a[i + 1] WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END)')}) AS thin FROM mg",
+    "wk": "SELECT video_id, frame, list_transform(range(1, 65), lambda i: thin[i] AND m[i] > 60) AS weak, list_transform(range(1, 65), lambda i: thin[i] AND m[i] > 140) AS strong FROM th",
+    # what is weak and touches an edge is one, until nothing changes
+    "gr": f"SELECT video_id, frame, weak, strong AS e FROM wk UNION SELECT video_id, frame, weak, list_transform(range(64), lambda i: e[i + 1] OR (weak[i + 1] AND len(list_filter(range(9), lambda k: {_Y} + k // 3 - 1 BETWEEN 0 AND 7 AND {_X} + k % 3 - 1 BETWEEN 0 AND 7 AND e[greatest(0, least(63, ({_Y} + k // 3 - 1) * 8 + {_X} + k % 3 - 1)) + 1])) > 0)) FROM gr",
+    "ne": "SELECT video_id, frame, max(len(list_filter(e, lambda x: x))) AS n FROM gr GROUP BY 1, 2",
+}
+
+
+@query(S.sql("px", "SELECT video_id, frame, bin::BIGINT AS bin, round((CASE bin WHEN 0 THEN 64 - n WHEN 15 THEN n ELSE 0 END / sqrt((64 - n) * (64 - n) + n * n))::FLOAT::DOUBLE, 5) AS share FROM ne, range(16) t(bin)", **EDGES))
 def edge_histogram(spark, d):
-    return R.edge_histogram(gray_frames(spark, d), 16, 16).select("video_id", "frame", F.round(F.col("edge_hist")[0].cast("double"), 5).alias("flat"), F.round(F.col("edge_hist")[15].cast("double"), 5).alias("edges"))
+    e = R.edge_histogram(gray_frames(spark, d), 8, 8).select("video_id", "frame", F.posexplode("edge_hist").alias("bin", "share"))
+    return e.select("video_id", "frame", F.col("bin").cast("long").alias("bin"), F.round(F.col("share").cast("double"), 5).alias("share"))
 
 
-@query()
+# a cell of the 17 x 16 reduction covers parts of four columns, in 32nds of a sample, and one row
+HASH = {
+    "t": "SELECT video_id, frame, list_transform(range(272), lambda j: round_even(list_sum(list_transform(range(8), lambda c: px[(j // 17 // 2) * 8 + c + 1] * greatest(0, least(32 * (j % 17 + 1), 68 * (c + 1)) - greatest(32 * (j % 17), 68 * c))))::DOUBLE / 32, 0)::INTEGER) AS t FROM px",
+    "b": "SELECT video_id, frame, list_transform(range(256), lambda k: t[k // 16 * 17 + k % 16 + 2] > t[k // 16 * 17 + k % 16 + 1]) AS b FROM t",
+}
+_WORD = lambda i: f"(SELECT (CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END)::BIGINT FROM (SELECT list_sum(list_transform(range(64), lambda k: CASE WHEN b[{64 * i} + k + 1] THEN 1::HUGEINT << k ELSE 0 END))::HUGEINT AS u)) AS word_{i}"
+
+
+@query(S.sql("px", f"SELECT video_id, frame, {', '.join(map(_WORD, range(4)))} FROM b", **HASH))
 def frame_dhash(spark, d):
     h = R.frame_dhash(gray_frames(spark, d), 32, 32)
     return h.select("video_id", "frame", *[F.col("dhash")[i].alias(f"word_{i}") for i in range(4)])
@@ -132,29 +167,85 @@ def feather_mask(spark, d):
     return x.select("video_id", "x", F.round(R.feather_alpha(F.col("x"), F.col("w"), 9), 6).alias("alpha"))
 
 
-@query()
+def _stored(frames: DataFrame) -> DataFrame:
+    """The frames as a layer of their own in the shared folder."""
+    spark, name = frames.sparkSession, f"layer_{uuid.uuid4().hex}"
+    write_frames(frames, name, 16, f"{run.shared_dir(spark).rstrip('/')}/{name}")
+    return read_frames(spark, name)
+
+
+# the plate is the lifted frame on a canvas of 16 x 8, the source the frame itself with sides two samples wide, the colour layer every other plate
+_UV = lambda c, d, y: f"(({c} - {y}) / {d})"
+LAYERS = RGB | {
+    "lut": "SELECT list(greatest(0, least(255, round_even(255 * (0.018::DOUBLE + (1 - 0.018::DOUBLE) * power(v / 255::DOUBLE, 1 / 1.06::DOUBLE)), 0)))::INTEGER ORDER BY v) AS up FROM range(256) t(v)",
+    "cells": "SELECT video_id, frame, p, p // 16 AS y, p % 16 - 4 AS x FROM rgb, range(128) t(p)",
+    "pt": "SELECT video_id, frame, p, x, coalesce(up[s[1] + 1], 0) AS pr, coalesce(up[s[2] + 1], 0) AS pg, coalesce(up[s[3] + 1], 0) AS pb, s FROM (SELECT cells.*, CASE WHEN x BETWEEN 0 AND 7 THEN [r[y * 8 + x + 1], g[y * 8 + x + 1], b[y * 8 + x + 1]] END AS s FROM cells JOIN rgb USING (video_id, frame)), lut",
+    "mx": "SELECT *, CASE WHEN x < 2 THEN 127.5 * x WHEN x > 6 THEN 127.5 * (8 - x) ELSE 255 END::DOUBLE / 255 AS o FROM pt",
+    "mb": "SELECT *, " + ", ".join(f"CASE WHEN s IS NULL THEN p{c} ELSE round_even(s[{k}] * o + p{c} * (1 - o), 0)::INTEGER END AS m{c}" for k, c in enumerate("rgb", 1)) + " FROM mx",
+    "yy": "SELECT *, 0.299::DOUBLE * mr + 0.587::DOUBLE * mg + 0.114::DOUBLE * mb AS y, 0.299::DOUBLE * pr + 0.587::DOUBLE * pg + 0.114::DOUBLE * pb AS cy FROM mb",
+    "tn": "SELECT *, " + _UV("pb", "1.772::DOUBLE", "cy") + " * 0.82::DOUBLE AS tu, " + _UV("pr", "1.402::DOUBLE", "cy") + " * 0.82::DOUBLE AS tv FROM yy",
+    "tr": "SELECT *, greatest(0, least(255, round_even(cy + 1.402::DOUBLE * tv, 0))) AS ar, greatest(0, least(255, round_even(cy - 0.344136::DOUBLE * tu - 0.714136::DOUBLE * tv, 0))) AS ag, least(255, greatest(0, least(255, round_even(cy + 1.772::DOUBLE * tu, 0))) + 255 * 0.015::DOUBLE / 2) AS ab FROM tn",
+    "ty": "SELECT *, 0.299::DOUBLE * ar + 0.587::DOUBLE * ag + 0.114::DOUBLE * ab AS ay FROM tr",
+    "tc": "SELECT *, " + _UV("ab", "1.772::DOUBLE", "ay") + " AS fu, " + _UV("ar", "1.402::DOUBLE", "ay") + " AS fv FROM ty",
+    "oc": "SELECT video_id, frame, p, " + ", ".join(f"CASE WHEN frame % 2 = 0 THEN greatest(0, least(255, round_even({e}, 0)))::INTEGER ELSE m{c} END AS o_{c}" for c, e in (("r", "y + 1.402::DOUBLE * fv"), ("g", "y - 0.344136::DOUBLE * fu - 0.714136::DOUBLE * fv"), ("b", "y + 1.772::DOUBLE * fu"))) + " FROM tc",
+}
+
+
+@query(S.sql("px", "SELECT video_id, frame, 16 AS width, 8 AS height, string_agg(printf('%02X%02X%02X', o_r, o_g, o_b), '' ORDER BY p) AS pixels FROM oc GROUP BY 1, 2", **LAYERS))
 def composite_frames(spark, d):
+    """Three stored layers; odd frames have no colour layer and are the merged plate."""
     rgb = rgb_frames(spark, d)
-    plate = R.pad_canvas(rgb, 16, 8)
-    out = R.composite(plate, rgb, plate.where("frame % 2 = 0"), feather=2)
-    return out.select("video_id", "frame", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"))
+    plate = _stored(R.pad_canvas(R.black_lift(rgb), 16, 8))
+    out = R.composite(plate, _stored(rgb), plate.where("frame % 2 = 0"), feather=2)
+    return out.select("video_id", "frame", "width", "height", F.hex("pixels").alias("pixels"))
 
 
 @query()
 def guide_composite(spark, d):
     rgb = rgb_frames(spark, d)
-    out = R.guide_composite(rgb, R.pad_canvas(rgb, 20, 12))
+    out = R.guide_composite(_stored(rgb), _stored(R.pad_canvas(rgb, 20, 12)))
     return out.select("video_id", "frame", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"))
 
 
-@query()
-def black_lift_restore(spark, d):
-    """Every frame lifted and restored again, with the largest change of a sample."""
+def _sinc_weights(name: str, m: int) -> dict[str, str]:
+    """Weights of m cells of 8 samples, from the definition of the windowed sinc."""
+    scale, wide = f"(8::DOUBLE / {m})", max(1.0, 8 / m)
+    lobe = lambda d: f"(CASE WHEN {d} = 0 THEN 1.0 ELSE sin(pi() * {d}) / (pi() * {d}) END)"
+    raw = f"SELECT o, i, (i + 0.5::DOUBLE - (o + 0.5::DOUBLE) * {scale}) / {wide}::DOUBLE AS d FROM range({m}) a(o), range(8) b(i)"
+    w = f"SELECT o, i, {lobe('d')} * {lobe('(d / 3)')} AS w FROM ({raw}) WHERE abs(d) < 3 AND i >= floor((o + 0.5::DOUBLE) * {scale} - {3 * wide}::DOUBLE + 0.5::DOUBLE) AND i < floor((o + 0.5::DOUBLE) * {scale} + {3 * wide}::DOUBLE + 0.5::DOUBLE)"
+    return {name: f"SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM ({w})"}
+
+
+_ROUND = lambda e: f"greatest(0, least(255, floor(round({e}, 6) + 0.5::DOUBLE)))"
+
+
+@query(
+    S.sql(
+        "px",
+        "SELECT video_id, frame, 5::BIGINT AS width, 9::BIGINT AS height, string_agg(printf('%02X', v::INTEGER), '' ORDER BY y, x) AS pixels FROM v GROUP BY 1, 2",
+        **_sinc_weights("wx", 5),
+        **_sinc_weights("wy", 9),
+        h=f"SELECT video_id, frame, r, o AS x, {_ROUND('sum(px[r * 8 + i + 1] * w)')} AS v FROM px, range(8) t(r), wx GROUP BY 1, 2, 3, 4",
+        v=f"SELECT video_id, frame, x, o AS y, {_ROUND('sum(h.v * w)')} AS v FROM h JOIN wy ON wy.i = h.r GROUP BY 1, 2, 3, 4",
+    )
+)
+def resize_frames(spark, d):
     g = gray_frames(spark, d)
-    back = R.black_restore(R.black_lift(g)).select("video_id", "frame", F.col("pixels").alias("back"))
+    wanted = g.select("video_id", "frame", F.lit(5).alias("width"), F.lit(9).alias("height"))
+    out = R.resize_frames(_stored(g), wanted)
+    return out.select("video_id", "frame", F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"), F.hex("pixels").alias("pixels"))
+
+
+_LIFTED = "round_even(255 * (0.018::DOUBLE + (1 - 0.018::DOUBLE) * power(v / 255::DOUBLE, 1 / 1.06::DOUBLE)), 0)"
+
+
+@query(S.sql("px", f"SELECT video_id, frame, list_max(list_transform(list_transform(px, lambda v: struct_pack(v := v, u := {_LIFTED})), lambda s: abs(s.v - CASE WHEN s.u / 255::DOUBLE < 0.018::DOUBLE THEN 0 ELSE round_even(255 * power((s.u / 255::DOUBLE - 0.018::DOUBLE) / (1 - 0.018::DOUBLE), 1.06::DOUBLE), 0) END)))::BIGINT AS largest_change FROM px"))
+def black_lift_restore(spark, d):
+    """Every frame lifted and restored again, with the largest change of a sample; what it was travels with it, so nothing is joined."""
+    back = R.black_restore(R.black_lift(gray_frames(spark, d).withColumn("was", F.col("pixels"))))
     at = lambda c, i: F.conv(F.hex(F.substring(F.col(c), i, F.lit(1))), 16, 10).cast("long")
-    worst = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.abs(at("pixels", i) - at("back", i))))
-    return g.join(back, ["video_id", "frame"]).select("video_id", "frame", worst.alias("largest_change"))
+    worst = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.abs(at("pixels", i) - at("was", i))))
+    return back.select("video_id", "frame", worst.alias("largest_change"))
 
 
 # ---- streams
