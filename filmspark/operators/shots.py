@@ -1,7 +1,7 @@
 """Cutting films into shots from frame features, and picking a frame for each shot.
 
-samples: video_id, frame (0, 1, ... or sparser), and the features of functions.distances. Films are spread over tasks by key. Per-sample scores are windows;
-the scan that turns them into boundaries reads a film's rows in order, a batch at a time, with a small state.
+samples: video_id, frame (0, 1, ... or sparser), and the features of functions.distances. Films are spread over tasks by key. Features are large (about 16 KB a sample), so
+what needs several samples' features reads a film's rows once in order, and keeps a ring of them; only scores go further.
 """
 
 from __future__ import annotations
@@ -10,12 +10,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmspark.functions.distances import TRANSITION, centred, centred_distance, transition_score
-from filmspark.functions.scalar import nearest
 
 FEATURES = [*TRANSITION]
 _HISTS = ["hist", "color_hist", "edge_hist"]
@@ -78,32 +77,136 @@ def adaptive_threshold(scores: DataFrame, floor: float = 0.075, scale: float = 2
     return dev.select("video_id", _level(F.col("m"), F.col("d"), floor, scale).alias("threshold"))
 
 
-def _with_threshold(scores: DataFrame, floor: float, scale: float) -> DataFrame:
-    """adaptive_threshold as a column of the samples: the same medians as windows, so that samples already dealt by film don't move again."""
-    film = Window.partitionBy("video_id")
-    x = scores.withColumn("__s", F.when(F.col("score") > 0, F.col("score"))).withColumn("__m", F.percentile("__s", F.lit(0.5)).over(film))
-    x = x.withColumn("__d", F.percentile(F.abs(F.col("__s") - F.col("__m")), F.lit(0.5)).over(film))
-    return x.withColumn("threshold", _level(F.col("__m"), F.col("__d"), floor, scale)).drop("__s", "__m", "__d")
-
-
-def _dissolve(x: DataFrame, window_seconds: float, bits: int) -> DataFrame:
-    """x: samples with their film's fps. Samples w apart are neighbours in the lane of their position modulo w, so each finds both by a window and none is joined."""
-    x = x.withColumn("__f", _features()).withColumn("__i", F.row_number().over(_film()).cast("long") - 1)
-    x = x.withColumn("__lane", F.col("__i") % F.greatest(F.lit(1).cast("long"), nearest(window_seconds * F.col("fps"))))
-    whole = _film().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lane = Window.partitionBy("video_id", "__lane").orderBy("frame", "__i")
-    x = x.withColumns({"__n": F.count("*").over(whole), "__first": F.first("__f").over(whole), "__last": F.last("__f").over(whole)})
-    x = x.withColumns({"__b": F.coalesce(F.lag("__f").over(lane), "__first"), "__a": F.coalesce(F.lead("__f").over(lane), "__last")})
-    edge = (F.col("__i") == 0) | (F.col("__i") == F.col("__n") - 1)
-    return x.withColumn("dissolve", F.when(edge, 0.0).otherwise(_score("__b", "__a", bits))).drop("__f", "__i", "__lane", "__n", "__first", "__last", "__b", "__a")
+# ---- the ordered pass
+
+
+_VECTORS = ["hist", "color_hist", "edge_hist", "gray_small", "dhash"]
+
+
+def _in_order(samples: DataFrame, videos: DataFrame, *more: str) -> DataFrame:
+    """Samples by film and frame, each film led by a row with its fps, which spares a join: the only exchange of features, and their only sort for each reading. Films stay whole because
+    repartition() says so, which adaptive execution keeps."""
+    head = videos.select("video_id", F.col("fps").cast("double").alias("fps"), F.lit(0).alias("kind"))
+    both = head.unionByName(samples.select("video_id", "frame", *FEATURES, *more, F.lit(1).alias("kind")), allowMissingColumns=True)
+    # the condition that a later join by film would add, so that both readings have one exchange
+    return both.where("video_id is not null").repartition("video_id").sortWithinPartitions("video_id", "kind", "frame")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    if not pa.types.is_list(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def pair_scores(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: int = 256) -> np.ndarray:
+    """transition_score of row i of a and row i of b, for all i. Histograms are centred already."""
+    total = 0.0
+    for name, weight in TRANSITION.items():
+        x, y = a[name], b[name]
+        if name in _HISTS:
+            low = (x * x).sum(1) * (y * y).sum(1)
+            part = np.clip(1 - np.where(low > 1e-12, (x * y).sum(1) / np.sqrt(np.where(low > 1e-12, low, 1)), 1.0), 0, 2)
+            part = np.where(np.isnan(low), 1.0, part)
+        elif name == "gray_small":
+            part = np.abs(x.astype(np.int64) - y).sum(1) / x.shape[1] / 255
+        elif name == "dhash":
+            part = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(1) / bits
+        else:
+            part = np.abs(x - y) / (255 if name == "mean_luma" else 1)
+        total = total + weight * part
+    return total
+
+
+class _Film:
+    """One film as its samples come: the features of those that are still needed, and the scores so far, which are narrow."""
+
+    def __init__(self, video_id: object, fps: float | None, window_seconds: float, bits: int) -> None:
+        self.video_id, self.fps, self.bits = video_id, fps, bits
+        self.reach = max(1, int(np.rint(window_seconds * fps))) if fps is not None else 1
+        self.held: dict[str, np.ndarray] = {}
+        self.base = 0  # place of the first sample held
+        self.frames: list[int] = []
+        self.scores: list[float] = []
+        self.dissolves: list[float] = []
+
+    def features(self, at: np.ndarray) -> dict[str, np.ndarray]:
+        return {k: v[at - self.base] for k, v in self.held.items()}
+
+    def add(self, frames: list[int], features: dict[str, np.ndarray]) -> None:
+        run = [*self.frames[-1:], *frames]
+        if any(x > y for x, y in zip(run, run[1:], strict=False)):
+            raise RuntimeError("a film's samples must come in the order of their frames")
+        new = {k: v - v.mean(1, keepdims=True) if k in _HISTS else v for k, v in features.items()}
+        self.held = {k: np.concatenate([self.held[k], v]) if self.held else v for k, v in new.items()}
+        here = np.arange(len(self.frames), len(self.frames) + len(frames))
+        score = pair_scores(self.features(np.maximum(here - 1, 0)), self.features(here), self.bits)
+        score[here == 0] = 0.0
+        self.frames += frames
+        self.scores += score.tolist()
+
+    def dissolve(self, last: bool = False) -> None:
+        """The wider scores of samples whose partners have come; of all that are left, clamped to the film's last sample, if it is over."""
+        n = len(self.frames)
+        at = np.arange(len(self.dissolves), n if last else n - self.reach)
+        if len(at):
+            score = pair_scores(self.features(np.maximum(at - self.reach, 0)), self.features(np.minimum(at + self.reach, n - 1)), self.bits)
+            score[(at == 0) | (last & (at == n - 1))] = 0.0
+            self.dissolves += score.tolist()
+
+    def drop(self, before: int) -> None:
+        """Forget the features of samples before this place, but for those that later scores need."""
+        cut = max(0, min(before, len(self.frames) - 1) - self.base)
+        self.held = {k: v[cut:] for k, v in self.held.items()}
+        self.base += cut
+
+
+def _films(batches: Iterator[pa.RecordBatch], window_seconds: float, bits: int, part: int = 256) -> Iterator[tuple[_Film, pa.RecordBatch | None]]:
+    """(film, samples just added) as rows of _in_order come, and (film, None) when it is over. Films that no leading row names, or that have no fps, are passed over."""
+    film = None
+    for batch in batches:
+        for k in range(0, batch.num_rows, part):
+            b = batch.slice(k, part)
+            names, kinds = b.column("video_id").to_pylist(), b.column("kind").to_pylist()
+            cuts = [i for i in range(len(names)) if i == 0 or (names[i], kinds[i]) != (names[i - 1], kinds[i - 1])]
+            for a, z in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                if film is not None and film.video_id != names[a]:
+                    yield film, None
+                    film = None
+                if kinds[a] == 0:
+                    film = film or _Film(names[a], b.column("fps")[a].as_py(), window_seconds, bits)
+                elif film is not None and film.fps is not None:
+                    rows = b.slice(a, z - a)
+                    film.add(rows.column("frame").to_pylist(), {c: _matrix(rows.column(c)) for c in FEATURES})
+                    yield film, rows
+    if film is not None:
+        yield film, None
+
+
+def _median_level(scores: np.ndarray, floor: float, scale: float) -> float:
+    """adaptive_threshold of one film's scores."""
+    s = scores[scores > 0]
+    if not len(s):
+        return floor
+    mid = np.median(s)
+    return max(floor, float(mid + scale * max(1.4826 * np.median(np.abs(s - mid)), 0.001)))
 
 
 def dissolve_scores(samples: DataFrame, videos: DataFrame, window_seconds: float = 1.5, bits: int = 256) -> DataFrame:
-    """Adds dissolve: the transition score between the samples w before and w after, clamped to the film; 0 at either end.
+    """video_id, frame, dissolve: the transition score between the samples w before and w after, clamped to the film; 0 at either end. Samples of films that `videos` lacks are left out.
 
-    w is a number of frames but counts samples, which differs where sampling is sparse. Samples are dealt once, by film.
+    w is a number of frames but counts samples, which differs where sampling is sparse. A film is read once in order; the features of its last 2 w samples are all that is kept.
     """
-    return _dissolve(samples.join(videos.select("video_id", "fps"), "video_id"), window_seconds, bits).drop("fps")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for film, rows in _films(batches, window_seconds, bits):
+            film.dissolve(last=rows is None)
+            if rows is not None:
+                film.drop(len(film.dissolves) - film.reach)
+            elif film.frames:
+                yield pa.record_batch([pa.array([film.video_id] * len(film.frames)), pa.array(film.frames), pa.array(film.dissolves)], names=["video_id", "frame", "dissolve"])
+
+    return _in_order(samples, videos).mapInArrow(run, f"video_id {dict(samples.dtypes)['video_id']}, frame {dict(samples.dtypes)['frame']}, dissolve double")
 
 
 def local_peaks(scores: DataFrame) -> DataFrame:
@@ -138,7 +241,7 @@ def _distance(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def frame_score(a: dict, b: dict, bits: int = 256) -> float:
-    """transition_score on numpy features, for the scan's comparisons with its anchor."""
+    """transition_score of two samples."""
     differing = sum(int(x ^ y).bit_count() if x >= 0 and y >= 0 else ((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(a["dhash"].tolist(), b["dhash"].tolist(), strict=True))
     part = {
         "color_hist": _distance(a["color_hist"], b["color_hist"]), "hist": _distance(a["hist"], b["hist"]), "edge_hist": _distance(a["edge_hist"], b["edge_hist"]),
@@ -149,23 +252,42 @@ def frame_score(a: dict, b: dict, bits: int = 256) -> float:
 
 
 class _Scan:
-    """State of one film's scan: the last boundary, its anchor sample, an open fade with its best frame, and the last few scores."""
+    """State of one film's scan: the last boundary, the features of its anchor sample, an open fade with its best frame, and the last few scores."""
 
-    def __init__(self, row: dict, params: ShotParams) -> None:
-        self.p, fps = params, row["fps"]
-        half = lambda s: int(np.rint(s * fps))
+    def __init__(self, film: _Film, threshold: float, params: ShotParams) -> None:
+        self.film, self.threshold, self.p = film, threshold, params
+        half = lambda s: int(np.rint(s * film.fps))
         self.least = max(1, half(params.min_shot_seconds))
         self.dedupe = max(1, half(params.boundary_dedupe_seconds))
         self.gap = max(self.least, half(params.dissolve_min_gap_seconds))
         self.anchor_gap = half(params.anchor_min_seconds)
-        self.last, self.anchor, self.before, self.dark = 0, row, row["is_fade"], None
-        self.recent: list[tuple[int, float]] = []
-
-    def step(self, row: dict, bits: int) -> int | None:
-        """The boundary that this sample makes, if any."""
-        p, frame, score, found = self.p, row["frame"], row["score"], None
-        self.recent = [*self.recent[-2:], (frame, score)]
-        dark, before, self.before = row["is_fade"], self.before, row["is_fade"]
+        self.at, self.last, self.dark = 0, 0, None
+        self.fades: list[bool] = []
+        self.anchor: dict[str, np.ndarray] = {}
+
+    def steps(self, stop: int) -> list[int]:
+        """Boundaries of the samples up to place `stop`, whose scores and next scores are known."""
+        out = []
+        for i in range(self.at, stop):
+            if i == 0:
+                out.append(0)
+                self.anchor = self.film.features(np.array([0]))
+            elif (at := self._step(i)) is not None:
+                out.append(at)
+        self.at = max(self.at, stop)
+        return out
+
+    @staticmethod
+    def _margin(scores: list[float], i: int) -> float:
+        return scores[i] - max(scores[i - 1] if i else 0.0, scores[i + 1] if i + 1 < len(scores) else 0.0)
+
+    def _found(self, at: int, i: int) -> int:
+        self.last, self.anchor = at, self.film.features(np.array([i]))
+        return at
+
+    def _step(self, i: int) -> int | None:
+        p, film = self.p, self.film
+        frame, score, dissolve, dark, before = film.frames[i], film.scores[i], film.dissolves[i], self.fades[i], self.fades[i - 1]
         if self.dark is not None and (self.dark[1] is None or score > self.dark[1]):
             self.dark = (frame, score)
         if dark and not before and self.dark is None:
@@ -173,51 +295,63 @@ class _Scan:
             self.dark = (frame, None)
         if self.dark is not None and before and not dark:
             at, self.dark = self.dark[0], None
-            if at - self.last >= max(self.least, self.dedupe):
-                self.last, self.anchor, found = at, row, at
-            return found
+            return self._found(at, i) if at - self.last >= max(self.least, self.dedupe) else None
         if frame - self.last < self.least:
             return None
-        hard = (row["local_peak"] and score >= row["threshold"] and row["peak_margin"] >= p.peak_margin) or score >= row["threshold"] * 1.8
-        cross = p.dissolve_threshold > 0 and row["dissolve_peak"] and row["dissolve"] >= p.dissolve_threshold and frame - self.last >= self.gap
-        gradual = not (hard or cross) and p.anchor_threshold > 0 and frame - self.last >= self.anchor_gap and score >= p.anchor_adjacent_floor and frame_score(self.anchor, row, bits) >= p.anchor_threshold
+        margin = self._margin(film.scores, i)
+        hard = (margin >= 0 and score >= self.threshold and margin >= p.peak_margin) or score >= self.threshold * 1.8
+        cross = p.dissolve_threshold > 0 and dissolve >= p.dissolve_threshold and frame - self.last >= self.gap and self._margin(film.dissolves, i) >= 0
+        gradual = not (hard or cross) and p.anchor_threshold > 0 and frame - self.last >= self.anchor_gap and score >= p.anchor_adjacent_floor
+        if gradual:
+            gradual = float(pair_scores(self.anchor, film.features(np.array([i])), film.bits)[0]) >= p.anchor_threshold
         if not (hard or cross or gradual):
             return None
-        at = max(self.recent, key=lambda x: (x[1], -x[0]))[0] if gradual else frame
-        if at - self.last >= max(self.least, 0 if hard else self.dedupe):
-            self.last, self.anchor, self.dark, found = at, row, None, at
-        return found
+        # of the last three samples, the one that changed most, the first of equals
+        at = max(range(max(0, i - 2), i + 1), key=lambda k: (film.scores[k], -k)) if gradual else i
+        if film.frames[at] - self.last >= max(self.least, 0 if hard else self.dedupe):
+            self.dark = None
+            return self._found(film.frames[at], i)
+        return None
 
 
 def detect_shots(samples: DataFrame, videos: DataFrame, params: ShotParams = ShotParams(), bits: int = 256) -> DataFrame:
-    """video_id, boundary: first frames of shots, 0 included. Scores, peaks and thresholds are windows; an ordered scan of each film applies the rules.
+    """video_id, boundary: first frames of shots, 0 included. Samples of films that `videos` lacks are left out.
 
     A cut is a local peak above the film's threshold with a margin, or 1.8 times it. A fade puts its boundary at its strongest change. A dissolve is a peak of the
-    wider score. A gradual change is far from the sample at the last boundary. Boundaries keep a least distance. The scan reads a film in frame order as Arrow
-    batches come, so its memory doesn't grow with the film.
+    wider score. A gradual change is far from the sample at the last boundary. Boundaries keep a least distance.
+
+    The features are exchanged once and read twice in order, without windows: once for the film's scores, whose median gives its threshold, and once for the scan,
+    which meets that one number by a hash of films. Both keep a ring of samples and a film's scores, never its features.
     """
-    x = samples.join(videos.select("video_id", "fps"), "video_id")
-    x = local_peaks(adjacent_scores(_dissolve(x, params.dissolve_window_seconds, bits), bits))
-    x = fade_flags(x, params.fade_black_ratio, params.fade_luma)
-    x = x.withColumn("dissolve_peak", F.col("dissolve") >= F.greatest(F.lag("dissolve", 1, 0.0).over(_film()), F.lead("dissolve", 1, 0.0).over(_film())))
-    x = _with_threshold(x, params.shot_threshold, params.dynamic_threshold_scale)
-    x = x.select("video_id", "frame", "fps", "score", "local_peak", "peak_margin", "dissolve", "dissolve_peak", "is_fade", "threshold", *FEATURES)
-    # the windows have dealt the samples by film, so a film lies whole in one partition
-    ordered = x.sortWithinPartitions("video_id", "frame")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        film, state = None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.to_dict("records"):
-                if row["video_id"] != film:
-                    film, state = row["video_id"], _Scan(row, params)
-                    out.append((film, 0))
-                elif (at := state.step(row, bits)) is not None:
-                    out.append((film, at))
-            yield pd.DataFrame(out, columns=["video_id", "boundary"]).astype("int64")
-
-    return ordered.mapInPandas(scan, "video_id long, boundary long")
+    kind = dict(samples.dtypes)["video_id"]
+    x = _in_order(fade_flags(samples, params.fade_black_ratio, params.fade_luma), videos, "is_fade")
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for film, rows in _films(batches, params.dissolve_window_seconds, bits):
+            if rows is not None:
+                film.drop(len(film.frames))
+            elif film.frames:
+                yield pa.record_batch([pa.array([film.video_id]), pa.array([_median_level(np.array(film.scores), params.shot_threshold, params.dynamic_threshold_scale)])], names=["video_id", "threshold"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for film, rows in _films(batches, params.dissolve_window_seconds, bits):
+            film.dissolve(last=rows is None)
+            if rows is not None:
+                if state is None or state.film is not film:
+                    state = _Scan(film, rows.column("threshold")[0].as_py(), params)
+                state.fades += rows.column("is_fade").to_pylist()
+                # the next sample's scores decide on peaks
+                found = state.steps(len(film.dissolves) - 1)
+                film.drop(min(state.at, len(film.dissolves) - film.reach))
+            else:
+                found = state.steps(len(film.frames)) if film.frames else []
+            if found:
+                yield pa.record_batch([pa.array([film.video_id] * len(found)), pa.array(found, pa.int64())], names=["video_id", "boundary"])
+
+    levels = x.mapInArrow(level, f"video_id {kind}, threshold double")
+    read = x.join(levels.hint("shuffle_hash"), "video_id").sortWithinPartitions("video_id", "kind", "frame")
+    return read.mapInArrow(scan, f"video_id {kind}, boundary long")
 
 
 def shots_from_boundaries(boundaries: DataFrame, videos: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Fixed cases, loops restated plainly, and properties."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -132,15 +133,46 @@ def test_reuse_pruning_loses_nothing(spark):
     assert len(got) > 10
 
 
+SAMPLES = "video_id long, frame long, hist array<double>, color_hist array<double>, edge_hist array<double>, gray_small array<long>, dhash array<long>, mean_luma double, black_ratio double"
+
+
 def test_features_move_once(spark):
-    """Samples are dealt by film once, whatever is scored, and aren't joined with one another."""
-    params = H.ShotParams()
-    kinds = "video_id long, frame long, hist array<double>, color_hist array<double>, edge_hist array<double>, gray_small array<long>, dhash array<long>, mean_luma double, black_ratio double"
-    samples = spark.createDataFrame([], kinds).repartition(2, "frame")
-    videos = spark.createDataFrame([], "video_id long, fps double")
-    for df in (H.dissolve_scores(samples, videos), H.detect_shots(samples, videos, params)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning(video_id") == 2 and plan.count("Join") == 1
+    """Features pass one exchange, are sorted once for each reading, and see no window; the scan's reading is of the same exchange."""
+    samples, videos = spark.createDataFrame([], SAMPLES), spark.createDataFrame([], "video_id long, fps double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (H.dissolve_scores(samples, videos), H.detect_shots(samples, videos, H.ShotParams()))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert not any("Window" in p or "SortMergeJoin" in p for p in plans)
+    assert [len(re.findall(r"[+:]- Exchange ", p)) for p in plans] == [1, 2] and [p.count("ReusedExchange") for p in plans] == [0, 1]
+    assert [len(re.findall(r"\bSort \[", p)) for p in plans] == [1, 2]
+
+
+def test_scores_in_pieces(spark):
+    """Films longer than a batch, with reaches longer than a film, against whole arrays; unknown films and films without samples are left out."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for v, n in ((1, 700), (2, 1), (3, 5), (4, 300), (9, 4)):
+        for f in range(n):
+            rows.append((v, 2 * f, *(rng.random(4).tolist() for _ in range(3)), rng.integers(0, 256, 6).tolist(), [int(rng.integers(-(1 << 62), 1 << 62))], float(rng.random() * 255), float(rng.random())))
+    samples = spark.createDataFrame(rows, SAMPLES).repartition(7)
+    videos = spark.createDataFrame([(1, 24.0), (2, 24.0), (3, 1000.0), (4, 0.1), (5, 24.0)], "video_id long, fps double")
+    names = [c.split()[0] for c in SAMPLES.split(", ")]
+    film = {v: [dict(zip(names, r, strict=True)) for r in rows if r[0] == v] for v in (1, 2, 3, 4)}
+    plain = lambda r: {k: np.array(x) if isinstance(x, list) else x for k, x in r.items()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.video_id, r.frame): r.dissolve for r in H.dissolve_scores(samples, videos).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 1006
+    for v, fps in ((1, 24.0), (2, 24.0), (3, 1000.0), (4, 0.1)):
+        w, n = max(1, round(1.5 * fps)), len(film[v])
+        for i in range(n):
+            want = 0.0 if i in (0, n - 1) else H.frame_score(plain(film[v][max(0, i - w)]), plain(film[v][min(n - 1, i + w)]))
+            assert got[v, 2 * i] == pytest.approx(want, abs=1e-9)
 
 
 def test_manifest_files_round_trip(spark, tmp_path):
