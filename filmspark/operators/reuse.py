@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filmspark.functions.distances import REUSE
+from filmspark.functions.distances import REUSE, hash_distance
+from filmspark.operators.shots import centred_rows, matrix, pair_scores
 
-_HISTS = ["hist", "color_hist", "edge_hist"]
-_PART = 2048
 _SLACK = 1e-6
 
 
@@ -20,79 +22,94 @@ def reference_pairs(bw_files: DataFrame, color_files: DataFrame) -> DataFrame:
     return a.join(color_files.select("rel_path", F.col("path").alias("color_path")), "rel_path")
 
 
-def _sum(x: np.ndarray) -> np.ndarray:
-    return np.cumsum(x, axis=1)[:, -1]
+def hash_segments(bits: int, most: int, errors: int = 2) -> list[tuple[int, int]]:
+    """(first bit, last + 1) of the fewest equal segments of a hash such that of two hashes that differ in at most `most` bits some segment differs in at most `errors`; of
+    at most 60 bits each. None if all bits may differ."""
+    if most >= bits:
+        return []
+    n = max(most // (errors + 1) + 1, -(-bits // 60))
+    edges = [bits * k // n for k in range(n + 1)]
+    return list(itertools.pairwise(edges))
+
+
+def hash_keys(words: np.ndarray, segments: list[tuple[int, int]], flips: bool) -> list[np.ndarray]:
+    """For each segment the keys of n hashes (n x words of 64 bits), as an array n x keys: the segment's bits, and with flips also those with one bit turned."""
+    bits = np.unpackbits(np.ascontiguousarray(words.astype("<i8")).view(np.uint8), axis=1, bitorder="little")
+    out = []
+    for k, (a, z) in enumerate(segments):
+        own = bits[:, a:z].astype(np.uint64) @ (np.uint64(1) << np.arange(z - a, dtype=np.uint64))
+        near = own[:, None] ^ (np.uint64(1) << np.arange(z - a, dtype=np.uint64))[None, :] if flips else own[:, None][:, :0]
+        # segments have keys of their own: a mix with the segment's number
+        keys = np.concatenate([own[:, None], near], axis=1)
+        out.append(((keys * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64((k + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)).view(np.int64))
+    return out
+
+
+def _classes(df: DataFrame, ident: str) -> tuple[DataFrame, DataFrame]:
+    """(cls, features...) of distinct rows of features, and (cls, ident): frames that are copies of one another are compared once."""
+    cls = F.md5(F.to_json(F.struct(*REUSE))).alias("cls")
+    members = df.select(cls, ident)
+    return df.select(cls, *REUSE).groupBy("cls").agg(*[F.first(c).alias(c) for c in REUSE]), members
 
 
-class _Side:
-    """Features of one side of a part as matrices."""
+def _keyed(classes: DataFrame, segments: list[tuple[int, int]], flips: bool, name: str) -> DataFrame:
+    """(key, name): the hash keys of each class."""
+    src = classes.select("cls", "dhash")
+    if not segments:
+        return src.select(F.lit(0).cast("long").alias("key"), F.col("cls").alias(name))
 
-    def __init__(self, pdf: pd.DataFrame) -> None:
-        self.luma, self.black = pdf.mean_luma.to_numpy(float), pdf.black_ratio.to_numpy(float)
-        self.gray = np.stack(pdf.gray_small.to_numpy()).astype(np.int32)
-        self.hash = np.stack(pdf.dhash.to_numpy()).astype(np.int64).view(np.uint64)
-        self.hist = {}
-        for c in _HISTS:
-            x = np.stack(pdf[c].to_numpy()).astype(float)
-            # sums in index order, so that a pair's score doesn't hang on how rows are dealt
-            x = x - _sum(x)[:, None] / x.shape[1]
-            self.hist[c] = (x, _sum(x * x))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = matrix(b.column("dhash"))
+            for keys in hash_keys(words, segments, flips) if b.num_rows else []:
+                yield pa.record_batch([pa.array(keys.ravel()), b.column("cls").take(pa.array(np.repeat(np.arange(b.num_rows), keys.shape[1])))], names=["key", name])
 
+    return src.mapInArrow(run, f"key long, {name} string")
 
-def _scores(a: _Side, k: int, b: _Side, rows: np.ndarray, bits: int) -> np.ndarray:
-    """reuse_score of a's row k and the given rows of b."""
-    part = {
-        "gray_small": np.abs(b.gray[rows] - a.gray[k]).sum(1) / a.gray.shape[1] / 255, "dhash": np.bitwise_count(b.hash[rows] ^ a.hash[k]).sum(1) / bits,
-        "mean_luma": np.abs(b.luma[rows] - a.luma[k]) / 255, "black_ratio": np.abs(b.black[rows] - a.black[k]),
-    }
-    for c in _HISTS:
-        (x, xx), (y, yy) = a.hist[c], b.hist[c]
-        low = xx[k] * yy[rows]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            r = np.where(low > 1e-12, _sum(y[rows] * x[k]) / np.sqrt(low), 1.0)
-        part[c] = np.where(np.isnan(low), 1.0, np.clip(1 - r, 0, 2))
-    return sum(w * part[c] for c, w in REUSE.items())
+
+def _could_match(threshold: float, bits: int) -> Column:
+    """A lower bound of the score from narrow columns: no term is negative, and the gray distance is at least the difference of the mean lumas."""
+    luma = (REUSE["gray_small"] + REUSE["mean_luma"]) * F.abs(F.col("a.mean_luma") - F.col("b.mean_luma")) / 255
+    black = REUSE["black_ratio"] * F.abs(F.col("a.black_ratio") - F.col("b.black_ratio"))
+    return luma + black + REUSE["dhash"] * hash_distance(F.col("a.dhash"), F.col("b.dhash"), bits) <= threshold + _SLACK
+
+
+def reuse_candidates(shots: DataFrame, library: DataFrame, threshold: float, bits: int = 256, errors: int = 2) -> DataFrame:
+    """(shot, still): every pair of classes (columns cls and features) whose score can be at most `threshold`.
+
+    Then at most threshold / (weight of the hash) of its bits differ: 29 of 256 at 0.025. Of n segments one differs in at most `errors` bits (n = 10 for 2 of 29), so both sides put each segment into an
+    index, with errors >= 2 with each bit turned on both sides, with 1 on the shots' side only, and meet by equal keys of about 25 bits. What meets is checked on hash, luma and black share
+    before any vector moves. Where the threshold lets all bits differ, everything meets.
+    """
+    segments = hash_segments(bits, int((threshold + _SLACK) / REUSE["dhash"] * bits), errors)
+    mine, lib = _keyed(shots, segments, errors >= 1, "shot"), _keyed(library, segments, errors >= 2, "still")
+    met = mine.join(lib, "key").select("shot", "still").distinct()
+    narrow = lambda df, key, name: df.select(F.col("cls").alias(key), F.struct("mean_luma", "black_ratio", "dhash").alias(name))
+    both = met.join(narrow(shots, "shot", "a"), "shot").join(narrow(library, "still", "b"), "still")
+    return both.where(_could_match(threshold, bits)).select("shot", "still")
 
 
-def reuse_references(shots: DataFrame, library: DataFrame, threshold: float = 0.025, bits: int = 256) -> DataFrame:
+def reuse_references(shots: DataFrame, library: DataFrame, threshold: float = 0.025, bits: int = 256, errors: int = 2) -> DataFrame:
     """shots: shot_id and features; library: path and features. shot_id, path, score: for each shot the library still with the least score, if that is at most `threshold`; the least path of equals.
     Scores are compared with nine decimals, and given whole.
 
-    No term of the score is negative, and the gray distance is at least the difference of the mean lumas. So only stills within 255 * threshold / (gray + luma weight) of a
-    shot's luma can match: both sides are put into luma buckets of that width, a still into its own and both next ones, and meet by bucket. Common lumas make large buckets: both
-    sides of one are dealt over parts of about 2,048 rows, and every part of one side meets every part of the other. In a task hash bits prune further before vectors are compared.
+    Equal features are one class on either side. reuse_candidates finds the pairs of classes that can match by their hashes alone; only those fetch their vectors and are scored.
     """
-    width = 255 * (threshold + _SLACK) / (REUSE["gray_small"] + REUSE["mean_luma"])
-    most_bits = (threshold + _SLACK) / REUSE["dhash"] * bits
-    bucket = F.floor(F.col("mean_luma") / width)
-    mine = shots.select("shot_id", *REUSE).withColumn("b", bucket)
-    lib = library.select("path", *REUSE).withColumn("b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    parts = lambda df, name: df.groupBy("b").agg(F.ceil(F.count("*") / _PART).cast("int").alias(name))
-    sizes = parts(mine, "n").join(parts(lib, "m"), "b")
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = mine.join(sizes, "b").withColumn("p", part("shot_id", "n")).withColumn("q", every("m")).drop("n", "m")
-    lib = lib.join(sizes, "b").withColumn("q", part("path", "m")).withColumn("p", every("n")).drop("n", "m")
-    kind = dict(shots.dtypes)["shot_id"]
-
-    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            a, b = _Side(x), _Side(y)
-            path = y.path.to_numpy(object)
-            for k in range(len(x)):
-                rows = np.flatnonzero(np.abs(b.luma - a.luma[k]) <= width)
-                rows = rows[np.bitwise_count(b.hash[rows] ^ a.hash[k]).sum(1) <= most_bits]
-                if len(rows):
-                    s = _scores(a, k, b, rows, bits)
-                    rounded = np.round(s, 9)
-                    if rounded.min() <= threshold:
-                        best = min(np.flatnonzero(rounded == rounded.min()), key=lambda i: path[rows[i]])
-                        out.append((x.shot_id.iloc[k], path[rows[best]], float(s[best])))
-        return pd.DataFrame(out, columns=["shot_id", "path", "score"])
-
-    lib = lib.toDF(*lib.columns)  # both sides may come from one table
-    keys = ["b", "p", "q"]
-    best = mine.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInPandas(meet, f"shot_id {kind}, path string, score double")
-    order = F.struct(F.round("score", 9), "path", "score")
-    return best.groupBy("shot_id").agg(F.min(order).alias("m")).select("shot_id", "m.path", "m.score")
+    a, a_of = _classes(shots, "shot_id")
+    b, b_of = _classes(library, "path")
+    pairs = reuse_candidates(a, b, threshold, bits, errors)
+    wide = lambda df, key, name: df.select(F.col("cls").alias(key), F.struct(*REUSE).alias(name))
+    fetched = pairs.join(wide(a, "shot", "a"), "shot").join(wide(b, "still", "b"), "still").select("shot", "still", "a", "b")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                x, y = (centred_rows({c: matrix(part.column(n).field(c)) for c in REUSE}) for n in ("a", "b"))
+                yield pa.record_batch([part.column("shot"), part.column("still"), pa.array(pair_scores(x, y, bits, REUSE))], names=["shot", "still", "score"])
+
+    scored = fetched.mapInArrow(score, "shot string, still string, score double").where(F.round("score", 9) <= threshold)
+    least = b_of.groupBy("cls").agg(F.min("path").alias("path")).withColumnRenamed("cls", "still")
+    order = F.struct(F.round("score", 9).alias("r"), "path", "score")
+    best = scored.join(least, "still").groupBy("shot").agg(F.min(order).alias("m"))
+    return a_of.join(best, F.col("cls") == F.col("shot")).select("shot_id", "m.path", "m.score")

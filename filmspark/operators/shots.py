@@ -92,17 +92,22 @@ def _in_order(samples: DataFrame, videos: DataFrame, *more: str) -> DataFrame:
     return both.where("video_id is not null").repartition("video_id").sortWithinPartitions("video_id", "kind", "frame")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of lists of one length, as an array."""
     if not pa.types.is_list(column.type):
         return column.to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
-def pair_scores(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: int = 256) -> np.ndarray:
-    """transition_score of row i of a and row i of b, for all i. Histograms are centred already."""
+def centred_rows(features: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: v - v.mean(1, keepdims=True) if k in _HISTS else v for k, v in features.items()}
+
+
+def pair_scores(a: dict[str, np.ndarray], b: dict[str, np.ndarray], bits: int = 256, weights: dict[str, float] = TRANSITION) -> np.ndarray:
+    """transition_score (or another sum of weights) of row i of a and row i of b, for all i. Histograms are centred already."""
     total = 0.0
-    for name, weight in TRANSITION.items():
+    for name, weight in weights.items():
         x, y = a[name], b[name]
         if name in _HISTS:
             low = (x * x).sum(1) * (y * y).sum(1)
@@ -137,7 +142,7 @@ class _Film:
         run = [*self.frames[-1:], *frames]
         if any(x > y for x, y in zip(run, run[1:], strict=False)):
             raise RuntimeError("a film's samples must come in the order of their frames")
-        new = {k: v - v.mean(1, keepdims=True) if k in _HISTS else v for k, v in features.items()}
+        new = centred_rows(features)
         self.held = {k: np.concatenate([self.held[k], v]) if self.held else v for k, v in new.items()}
         here = np.arange(len(self.frames), len(self.frames) + len(frames))
         score = pair_scores(self.features(np.maximum(here - 1, 0)), self.features(here), self.bits)
@@ -177,7 +182,7 @@ def _films(batches: Iterator[pa.RecordBatch], window_seconds: float, bits: int,
                     film = film or _Film(names[a], b.column("fps")[a].as_py(), window_seconds, bits)
                 elif film is not None and film.fps is not None:
                     rows = b.slice(a, z - a)
-                    film.add(rows.column("frame").to_pylist(), {c: _matrix(rows.column(c)) for c in FEATURES})
+                    film.add(rows.column("frame").to_pylist(), {c: matrix(rows.column(c)) for c in FEATURES})
                     yield film, rows
     if film is not None:
         yield film, None

@@ -92,3 +92,58 @@ def test_resize_frames(spark):
     got = {r.frame: (r.width, r.height, bytes(r.pixels)) for r in R.resize_frames(spark.createDataFrame(rows, FRAMES), sizes).collect()}
     want = {f: X.resize_lanczos(image(1, f, 10, 12), w, h) for f, (w, h) in {0: (6, 5), 1: (12, 10), 2: (12, 10), 3: (24, 10)}.items()}
     assert got == {f: (a.shape[1], a.shape[0], a.tobytes()) for f, a in want.items()}
+
+
+# ---- the index of hashes
+
+
+def test_hash_keys_lose_no_pair():
+    from filmspark.operators import reuse as U
+
+    rng = np.random.default_rng(9)
+    for bits, most, errors in ((256, 29, 2), (256, 29, 1), (256, 29, 0), (63, 5, 2), (63, 2, 2), (128, 0, 2)):
+        segments = U.hash_segments(bits, most, errors)
+        assert segments[0][0] == 0 and segments[-1][1] == bits and max(z - a for a, z in segments) <= 60
+        for differing in range(most + 1):
+            a = rng.integers(0, 2, (40, 256)).astype(np.uint8)
+            a[:, bits:] = 0
+            b = a.copy()
+            for row in b:
+                row[rng.choice(bits, differing, replace=False)] ^= 1
+            x, y = (np.packbits(v, axis=1, bitorder="little").view("<i8") for v in (a, b))
+            mine, lib = U.hash_keys(x, segments, errors >= 1), U.hash_keys(y, segments, errors >= 2)
+            for i in range(40):
+                assert any(set(p[i].tolist()) & set(q[i].tolist()) for p, q in zip(mine, lib, strict=True)), (bits, most, errors, differing)
+    assert U.hash_segments(63, 63) == [] and U.hash_segments(63, 90) == []
+
+
+def test_candidates_grow_with_matches(spark):
+    """Stills that all have one luma: pairs beside the planted ones don't come out of the index."""
+    from filmspark.operators import reuse as U
+
+    rng = np.random.default_rng(12)
+    n = 400
+    hashes = rng.integers(-(1 << 63), (1 << 63) - 1, (n, 4))
+    gray = rng.integers(90, 110, (n, 30))
+
+    def row(key, i, flips):
+        h = np.unpackbits(hashes[i].astype("<i8").view(np.uint8), bitorder="little")
+        h[rng.choice(256, flips, replace=False)] ^= 1
+        hist = [float(x) for x in np.bincount(gray[i] // 8, minlength=32)]
+        return (key, hist, hist, [1.0, 2.0, 0.0], gray[i].tolist(), np.packbits(h, bitorder="little").view("<i8").tolist(), 100.0, 0.1)
+
+    shape = "hist array<double>, color_hist array<double>, edge_hist array<double>, gray_small array<long>, dhash array<long>, mean_luma double, black_ratio double"
+    shots = spark.createDataFrame([row(i, i, i % 30) for i in range(0, n, 2)], f"shot_id long, {shape}")
+    # every still comes twice under two names, and every fifth once more, not quite equal
+    stills = [row(f"b{i:03d}", i, 0) for i in range(n)]
+    stills += [(f"a{r[0]}", *r[1:]) for r in stills] + [row(f"c{i:03d}", i, 3) for i in range(0, n, 5)]
+    library = spark.createDataFrame(stills, f"path string, {shape}")
+    a, _ = U._classes(shots, "shot_id")
+    b, _ = U._classes(library, "path")
+    assert (a.count(), b.count()) == (n // 2, n + n // 5)
+    pairs = U.reuse_candidates(a, b, 0.025).count()
+    assert n // 2 <= pairs <= n // 2 + n // 10
+    got = {r.shot_id: (r.path, round(r.score, 9)) for r in U.reuse_references(shots, library, 0.025).collect()}
+    assert len(got) == n // 2
+    for i, (path, score) in got.items():
+        assert path in (f"ab{i:03d}", f"c{i:03d}") and score <= round(0.22 * (i % 30) / 256, 9)
