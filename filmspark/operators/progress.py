@@ -33,6 +33,14 @@ def log_counters(lines: DataFrame, prefixes: list[str], marker: str) -> DataFram
     return lines.groupBy("run_id").agg(F.count_if(starts_with_any(F.col("line"), prefixes)).alias("n_matching"), F.coalesce(first, F.lit(0)).cast("long").alias("first_number"))
 
 
+def line_counts(lines: DataFrame, marker: str, done_prefixes: list[str]) -> DataFrame:
+    """Adds to each line: done (1 if it reports a finished chunk), current and total (a and b of a `<marker>a/b:` line, else 0)."""
+    pattern = rf"\Q{marker}\E\s*([0-9]+)\s*/\s*([0-9]+)\s*(?::|$)"
+    part = lambda k: F.coalesce(F.regexp_extract("line", pattern, k).try_cast("long"), F.lit(0).cast("long"))
+    done = F.coalesce(starts_with_any(F.col("line"), done_prefixes), F.lit(False)).cast("long")
+    return lines.withColumns({"done": done, "current": part(1), "total": part(2)})
+
+
 def chunk_counts(marker: str, done_prefixes: list[str]) -> list[Column]:
     """Aggregates of a run: finished chunks, and the largest a and b of `<marker>a/b:` lines."""
     pattern = rf"\Q{marker}\E\s*([0-9]+)\s*/\s*([0-9]+)\s*(?::|$)"

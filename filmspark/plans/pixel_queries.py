@@ -268,13 +268,14 @@ def _stream(spark, d, name):
 def stream_progress(spark, d):
     k, kind = F.col("event_id"), F.col("event_type")
     text = F.when(kind == "click", F.concat(F.lit("Render chunk "), (k % 9 + 1).cast("string"), F.lit("/"), (10 + k % 3).cast("string"), F.lit(": frames"))).when(kind == "view", "Wrote raw chunk: c").when(kind == "error", "Waiting for server")
-    lines = _stream(spark, d, "events").select(F.col("user_id").alias("run_id"), k.alias("line_no"), text.when(kind == "signup", "Preparing canvas").otherwise("Reuse raw chunk: c").alias("line"))
-    return run.run_now(live.stream_progress(lines, "Render chunk ", DONE), "complete", "progress")
+    lines = _stream(spark, d, "events").select(F.col("user_id").alias("run_id"), "ts", text.when(kind == "signup", "Preparing canvas").otherwise("Reuse raw chunk: c").alias("line"))
+    # events aren't in the order of their times: the watermark must not pass any
+    return run.run_now(live.live_progress(lines, "Render chunk ", DONE, "3650 days"), "update", "progress", ["run_id"]).select("run_id", "done", "current", "total")
 
 
 @query(S.sql("px vectors", f"SELECT b.video_id, b.vec_id AS frame, round(CASE WHEN a.frame IS NULL THEN 0.0 ELSE {_score('a', 'b', TRANSITION)} END, 6) AS score FROM c b LEFT JOIN c a ON a.video_id = b.video_id AND a.frame = b.frame - 1", **CENTRED))
 def stream_cut_scores(spark, d):
     e = _stream(spark, d, "embeddings")
     px = F.transform("embedding", lambda x: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (x.cast("double") + 0.6) * 212))).cast("int"))
-    x = S.with_features(e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame"), px.alias("px")))
-    return run.run_now(live.stream_cut_scores(x, 0.3, BITS), "append", "cuts").select("video_id", "frame", F.round("score", 6).alias("score"))
+    x = S.with_features(e.select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame"), F.timestamp_seconds(F.col("vec_id") + 1).alias("ts"), px.alias("px")))
+    return run.run_now(live.stream_cut_scores(x, 0.3, BITS, "0 seconds"), "append", "cuts").select("video_id", "frame", F.round("score", 6).alias("score"))

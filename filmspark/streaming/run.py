@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,9 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-stream-")
 
 
-def run_now(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run `stream` until its present input is used up. Complete mode keeps the last result, append mode all rows. Results go to files in the shared folder, never through the driver.
-    In append mode a batch has a folder of its own by its number, so a batch that runs again replaces its rows."""
+def run_now(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run `stream` until its present input is used up. Complete mode keeps the last result, append mode all rows, update mode the last row of each of `keys`. Results go to files in the shared folder, never
+    through the driver. But for complete mode a batch has a folder of its own by its number, so a batch that runs again replaces its rows."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -29,4 +31,8 @@ def run_now(stream: DataFrame, mode: str, name: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/rows/" + ("batch=0" if mode == "complete" else f"batch={number}"))
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(stream.columns)
+    if mode != "update":
+        return spark.read.schema(stream.schema).parquet(f"{base}/rows").select(stream.columns)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/rows")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("__last"))
+    return last.select("__last.*")
