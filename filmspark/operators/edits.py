@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,18 +94,44 @@ def set_fades(manifest: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def continuity_references(rows: DataFrame, files: DataFrame, count: int, manual: DataFrame | None = None) -> DataFrame:
-    """rows: video_id, shot_index, output. video_id, shot_index, place, path: for each row up to `count` references that exist: manual ones (video_id, place, path) first, then the outputs of
-    the nearest earlier rows, each once."""
+    """rows: video_id, shot_index, output. video_id, shot_index, place, path: for each row up to `count` references that exist (0: all): manual ones (video_id, place, path) first, then the outputs of
+    the nearest earlier rows, each once.
+
+    A film's rows are read in order with a list of its last distinct outputs, as many as can be asked for; so the work grows with the rows, not with their square.
+    """
+    kind = dict(rows.dtypes)["video_id"]
     have = files.select(F.col("path").alias("output")).distinct()
-    made = rows.join(have.withColumn("__ok", F.lit(True)), "output", "left").withColumn("__o", F.when(F.col("__ok"), F.col("output")))
-    # outputs may repeat, so any earlier row can follow; a film's shots are few
-    before = F.array_distinct(F.reverse(F.collect_list("__o").over(_film().rowsBetween(Window.unboundedPreceding, -1))))
-    x = made.withColumn("__b", before)
+    made = rows.join(have.withColumn("__ok", F.lit(True)), "output", "left")
+    both = made.select("video_id", "shot_index", F.when(F.col("__ok"), F.col("output")).alias("output"), F.lit(1).alias("kind"))
     if manual is not None:
         own = manual.join(have.withColumnRenamed("output", "path"), "path", "left_semi")
-        own = own.groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda s: s["path"]).alias("__m"))
-        x = x.join(own, "video_id", "left").withColumn("__m", F.coalesce("__m", F.array().cast("array<string>")))
-        x = x.withColumn("__b", F.concat("__m", F.array_except("__b", "__m")))
-    if count > 0:
-        x = x.withColumn("__b", F.slice("__b", 1, count))
-    return x.select("video_id", "shot_index", F.posexplode("__b").alias("place", "path")).withColumn("place", F.col("place").cast("long"))
+        # manual references come before a film's rows, in their own order
+        both = both.unionByName(own.select("video_id", F.col("place").cast("long").alias("shot_index"), F.col("path").alias("output"), F.lit(0).alias("kind")))
+    ordered = both.repartition("video_id").sortWithinPartitions("video_id", "kind", "shot_index", "output")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        film, hand, last = None, [], {}
+        for pdf in batches:
+            out = []
+            for video, shot, output, k in zip(pdf.video_id.tolist(), pdf.shot_index.tolist(), pdf.output.tolist(), pdf.kind.tolist(), strict=True):
+                if video != film:
+                    film, hand, last = video, [], {}
+                if k == 0:
+                    hand.append(output)
+                    continue
+                found = hand[:count] if count else list(hand)
+                for path in reversed(last):
+                    if count and len(found) >= count:
+                        break
+                    if path not in hand:
+                        found.append(path)
+                out += [(video, shot, i, path) for i, path in enumerate(found)]
+                if output is not None:
+                    # a dict keeps the order of insertion: the newest output is last
+                    last.pop(output, None)
+                    last[output] = None
+                    if count and len(last) > count + len(hand):
+                        del last[next(iter(last))]
+            yield pd.DataFrame(out, columns=["video_id", "shot_index", "place", "path"])
+
+    return ordered.mapInPandas(run, f"video_id {kind}, shot_index long, place long, path string")

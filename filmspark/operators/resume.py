@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmspark.sources.shared import shared_dir
+
 
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and no blanks, so that documents compare without regard to key order; null for what isn't JSON."""
@@ -38,20 +43,39 @@ def resume_worklist(expected: DataFrame, reusable: DataFrame, force: bool = Fals
     return expected if force else expected.join(reusable.where("matches").select("path").distinct(), "path", "left_anti")
 
 
+def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """df as a table of the shared folder that is bucketed by `key`: joins by it need no exchange of it."""
+    spark, name = df.sparkSession, f"stale_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def stale_outputs(outputs: DataFrame, inputs: DataFrame, stages: int) -> DataFrame:
     """outputs: path, stage (1 to stages), matches; inputs: path, input_path. path, stage, stale, own_fault: an output is stale if its own signature differs or an output that it was made
-    from is stale. Stages are few and in a fixed order, so each is one join with what is known of the earlier ones."""
-    known = None
+    from, of an earlier stage, is stale.
+
+    Outputs and inputs are dealt by path and by input once, and each stage is written once. Only paths move after that: those that a stage's stale outputs were used for go to where those outputs
+    lie. So a stage costs one exchange of marks, however many stages were before it, and nothing is computed twice.
+    """
+    buckets = int(outputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = outputs.where(F.col("stage").between(1, stages)).select("path", "stage", (~F.col("matches")).alias("own_fault"))
+    own = _dealt(own.repartition(buckets, "path"), "path", buckets)
+    used = _dealt(inputs.select("path", "input_path").repartition(buckets, "input_path"), "input_path", buckets)
+    done, marks = [], None
     for k in range(1, stages + 1):
-        now = outputs.where(F.col("stage") == k).select("path", "stage", (~F.col("matches")).alias("own_fault"))
-        if known is None:
+        now = own.where(F.col("stage") == k)
+        if marks is None:
             now = now.withColumn("stale", F.col("own_fault"))
         else:
-            bad = inputs.join(known.where("stale").select(F.col("path").alias("input_path")), "input_path", "left_semi").select("path").distinct().withColumn("__s", F.lit(True))
-            now = now.join(bad, "path", "left").withColumn("stale", F.col("own_fault") | F.coalesce("__s", F.lit(False))).drop("__s")
-        now = now.select("path", "stage", "stale", "own_fault")
-        known = now if known is None else known.union(now)
-    return known
+            now = now.join(marks.hint("merge"), "path", "left").withColumn("stale", F.coalesce(F.col("own_fault"), F.lit(False)) | F.col("__s").isNotNull())
+        now = _dealt(now.select("path", "stage", "stale", "own_fault"), "path", buckets)
+        done.append(now)
+        if k < stages:
+            stale = now.where("stale").select(F.col("path").alias("input_path"))
+            hit = used.join(stale.hint("merge"), "input_path", "left_semi").select("path")
+            hit = hit if marks is None else hit.union(marks.select("path"))
+            marks = _dealt(hit.groupBy("path").agg(F.lit(True).alias("__s")), "path", buckets)
+    return functools.reduce(DataFrame.union, done)
 
 
 def row_references(rows: DataFrame, files: DataFrame) -> DataFrame:

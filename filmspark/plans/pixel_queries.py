@@ -13,6 +13,7 @@ from filmspark.plans import standins as S
 from filmspark.plans.data_queries import DONE, LINES
 from filmspark.plans.film_queries import BITS, CENTRED, _score
 from filmspark.sources.layers import read_frames, write_frames
+from filmspark.sources.shared import shared_dir
 from filmspark.streaming import live, run
 
 QUERIES, ORACLES = {}, {}
@@ -170,7 +171,7 @@ def feather_mask(spark, d):
 def _stored(frames: DataFrame) -> DataFrame:
     """The frames as a layer of their own in the shared folder."""
     spark, name = frames.sparkSession, f"layer_{uuid.uuid4().hex}"
-    write_frames(frames, name, 16, f"{run.shared_dir(spark).rstrip('/')}/{name}")
+    write_frames(frames, name, 16, f"{shared_dir(spark).rstrip('/')}/{name}")
     return read_frames(spark, name)
 
 

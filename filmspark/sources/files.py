@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmspark.functions.scalar import format_duration, human_bitrate, nearest, parse_rate
+from filmspark.sources.named import hashed_files, indented, located, write_named
 
 STREAM = "struct<codec_type:string,codec_name:string,width:string,height:string,avg_frame_rate:string,r_frame_rate:string,nb_frames:string,pix_fmt:string,color_space:string,color_transfer:string,color_primaries:string,color_range:string,bit_rate:string,sample_rate:string,channels:string,duration:string>"
 PROBE = f"struct<streams:array<{STREAM}>,format:struct<duration:string,format_name:string,bit_rate:string>>"
@@ -18,16 +22,32 @@ def fingerprint(content: Column | str) -> Column:
 
 
 def fingerprint_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, size, mtime, sha256 of each file, hashed once. A row holds a whole file, so files above 2 GB need a streamed hash outside."""
-    f = spark.read.format("binaryFile").load(paths)
-    return f.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), fingerprint("content").alias("sha256"))
+    """path, size, mtime, mtime_ns, sha256 of each file, hashed once, in pieces: files may be of any size."""
+    return hashed_files(spark, paths)
 
 
-def read_signatures(spark: SparkSession, paths: str | list[str], ending: str = ".sig.json") -> DataFrame:
-    """path (of the output that a signature file stands beside), signature (JSON text, null where it isn't JSON)."""
-    x = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.regexp_replace("value", "^﻿", "").alias("t"))
+def read_signatures(spark: SparkSession, paths: str | list[str], ending: str = ".sig.json", root: str | None = None) -> DataFrame:
+    """path (of the output that a signature file stands beside; with `root`, relative to that folder), signature (JSON text, null where it isn't JSON)."""
+    x = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("p"), F.regexp_replace("value", "^\ufeff", "").alias("t"))
     x = x.where(F.col("p").endswith(ending))
-    return x.select(F.expr(f"substring(p, 1, length(p) - {len(ending)})").alias("path"), F.when(F.try_parse_json("t").isNotNull(), F.col("t")).alias("signature"))
+    path = F.expr(f"substring(p, 1, length(p) - {len(ending)})")
+    if root is not None:
+        head = located(root)[1].rstrip("/") + "/"
+        plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+        path = F.substring_index(plain, head, -1)
+    return x.select(path.alias("path"), F.when(F.try_parse_json("t").isNotNull(), F.col("t")).alias("signature"))
+
+
+def write_signature_files(signatures: DataFrame, root: str, ending: str = ".sig.json") -> None:
+    """signatures: path (of an output, relative to `root`), signature (JSON text). Puts each beside its output, as `<output><ending>`, indented; one that is there is replaced as a whole. Rows without a path or with
+    text that isn't JSON are no signatures. read_signatures(spark, root, root=root) gives them back."""
+    x = signatures.where(F.col("path").isNotNull() & F.try_parse_json("signature").isNotNull())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf.path + ending, "text": [indented(t) for t in pdf.signature]})
+
+    write_named(x.select("path", "signature").mapInPandas(run, "path string, text string"), root)
 
 
 def write_signatures(signatures: DataFrame, path: str) -> None:

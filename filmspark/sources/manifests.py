@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filmspark.functions.scalar import format_time, is_enabled
+from filmspark.sources.named import write_named
 
 # Columns of the two kinds of file.
 SHOT_COLUMNS = ["enabled", "end", "source_reference", "color_reference", "prompt", "fade_to_next", "crossfade_seconds"]
@@ -84,13 +85,13 @@ def _by_shot(a: Column, b: Column) -> Column:
 def manifest_texts(rows: DataFrame, videos: DataFrame) -> DataFrame:
     """rows: video_id, shot_index, end_seconds and the text columns; videos: video_id, source, duration. video_id, text: each film's whole file, ends clamped to the film's duration.
 
-    A column `extra` (map of text), as the reader gives it, adds the columns that a film's rows name there, in the order of their names.
+    A column `extra` (map of text), as the reader gives it, adds the columns that a film's rows name there, in the order in which they come: those of the file first, new ones after them.
     """
     x = rows.join(videos.select("video_id", "source", "duration"), "video_id").withColumn("end", format_time(F.least("end_seconds", "duration")))
     line = F.concat_ws(",", *[_quoted(F.coalesce(F.col(c), F.lit(""))) for c in SHOT_COLUMNS])
     extra = F.coalesce("extra", F.create_map().cast("map<string,string>")) if "extra" in rows.columns else F.create_map().cast("map<string,string>")
     g = x.groupBy("video_id").agg(F.first("source").alias("source"), F.array_sort(F.collect_list(F.struct("shot_index", line.alias("line"), extra.alias("extra"))), _by_shot).alias("l"))
-    g = g.withColumn("more", F.array_sort(F.array_distinct(F.flatten(F.transform("l", lambda s: F.map_keys(s["extra"]))))))
+    g = g.withColumn("more", F.array_distinct(F.flatten(F.transform("l", lambda s: F.map_keys(s["extra"])))))
     rest = lambda s: F.array_join(F.transform("more", lambda k: F.concat(F.lit(","), _quoted(F.coalesce(F.try_element_at(s["extra"], k), F.lit(""))))), "")
     body = F.array_join(F.transform("l", lambda s: F.concat(s["line"], rest(s))), "\n")
     head = F.array_join(F.concat(F.array(*[F.lit(c) for c in SHOT_COLUMNS]), F.transform("more", _quoted)), ",")
@@ -102,6 +103,20 @@ def write_shot_manifests(rows: DataFrame, videos: DataFrame, path: str) -> None:
     manifest_texts(rows, videos).repartition("video_id").write.partitionBy("video_id").text(path)
 
 
+def _named(texts: DataFrame, names: DataFrame) -> DataFrame:
+    return texts.join(names.select("video_id", F.col("manifest").alias("path")), "video_id").select("path", "text")
+
+
+def write_shot_manifest_files(rows: DataFrame, videos: DataFrame, root: str) -> None:
+    """One file for each film, exactly at `videos.manifest` (a path relative to `root`), replaced as a whole; see manifest_texts. Films without a manifest path get no file."""
+    write_named(_named(manifest_texts(rows, videos), videos), root)
+
+
+def write_chunk_manifest_files(rows: DataFrame, videos: DataFrame, root: str) -> None:
+    """As write_shot_manifest_files, for chunk manifests; see chunk_manifest_texts."""
+    write_named(_named(chunk_manifest_texts(rows), videos), root)
+
+
 def chunk_manifest_texts(rows: DataFrame) -> DataFrame:
     """rows: video_id, chunk_index and any of the chunk columns. video_id, text: each film's whole file with all chunk columns, blank where there is no value; other columns are left out."""
     cell = lambda c: _quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) if c in rows.columns else F.lit("")

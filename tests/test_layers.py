@@ -147,3 +147,50 @@ def test_candidates_grow_with_matches(spark):
     assert len(got) == n // 2
     for i, (path, score) in got.items():
         assert path in (f"ab{i:03d}", f"c{i:03d}") and score <= round(0.22 * (i % 30) / 256, 9)
+
+
+# ---- stale outputs, references of earlier shots
+
+
+def test_stale_outputs_follow_their_inputs(spark):
+    import random
+
+    from filmspark.operators import resume as W
+
+    rng = random.Random(4)
+    outs = [(f"o{i}", i % 5 + 1, rng.random() > 0.15) for i in range(200)]
+    stage = {p: s for p, s, _ in outs}
+    edges = [(p, q) for p in stage for q in rng.sample(sorted(stage), 3) if stage[q] < stage[p]] + [("o1", "elsewhere"), ("elsewhere", "o2")]
+    own = {p: not m for p, _, m in outs}
+    want = dict(own)
+    for k in range(1, 6):
+        for p in stage:
+            if stage[p] == k:
+                want[p] = own[p] or any(want[q] for a, q in edges if a == p and q in want)
+    got = W.stale_outputs(spark.createDataFrame(outs, "path string, stage int, matches boolean"), spark.createDataFrame(edges, "path string, input_path string"), 5)
+    assert {r.path: (r.stage, r.stale, r.own_fault) for r in got.collect()} == {p: (stage[p], want[p], own[p]) for p in stage}
+    assert sum(want.values()) > sum(own.values()) and "Exchange" not in physical(got)
+
+
+@pytest.mark.parametrize("count", [0, 1, 3])
+def test_references_of_earlier_shots(spark, count):
+    import random
+
+    from filmspark.operators import edits as E
+
+    rng = random.Random(count)
+    rows = [(v, s, f"f{rng.randint(0, 6)}") for v in range(8) for s in range(12)]
+    hand = [(v, k, f"f{rng.randint(0, 9)}x"[: rng.choice([2, 3])]) for v in range(0, 8, 2) for k in range(2)]
+    hand = list({(v, p): (v, k, p) for v, k, p in hand}.values())
+    files = {f"f{i}" for i in range(6)} | {p for _, k, p in hand if k == 0}
+    got = {}
+    df = E.continuity_references(spark.createDataFrame(rows, "video_id long, shot_index long, output string"), spark.createDataFrame([(f,) for f in files], "path string"), count, spark.createDataFrame(hand, "video_id long, place int, path string"))
+    for r in df.collect():
+        got.setdefault((r.video_id, r.shot_index), {})[r.place] = r.path
+    for v, s, _ in rows:
+        want = [p for w, k, p in sorted(hand) if w == v and p in files]
+        for e in reversed([o for w, t, o in rows if w == v and t < s and o in files]):
+            if e not in want:
+                want.append(e)
+        want = want[:count] if count else want
+        assert [got.get((v, s), {}).get(i) for i in range(len(want))] == want and len(got.get((v, s), {})) == len(want)

@@ -196,7 +196,7 @@ def test_unknown_columns_survive(spark):
     rows = got.withColumns({"video_id": F.lit(1).cast("long"), "shot_index": F.col("row_index"), "end_seconds": F.col("row_index") + 1.0})
     videos = spark.createDataFrame([(1, "in/a.mp4", 9.0)], "video_id long, source string, duration double")
     source, again = M.parse_manifest(M.manifest_texts(rows, videos).first().text)
-    assert source == "in/a.mp4" and list(again[0]) == [*M.SHOT_COLUMNS, "my, own", "note"]
+    assert source == "in/a.mp4" and list(again[0]) == [*M.SHOT_COLUMNS, "note", "my, own"]
     assert [(r["enabled"], r["end"], r["note"], r["my, own"]) for r in again] == [("true", "0:00:01", "first", "x"), ("false", "0:00:02", 'a "b"', "")]
 
 
