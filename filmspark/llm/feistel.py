@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmspark.llm.common import written
+
 ROUNDS = 8
 
 
@@ -44,44 +46,36 @@ def permuted(number: Column, n: int, seed: int) -> Column:
     return run(number)
 
 
-def row_numbers(df: DataFrame, order: list[str], buckets: int = 0) -> tuple[DataFrame, int]:
-    """Adds row_number (0, 1, ... over all rows in the order of the columns, the first a number; nulls first) and returns the row count too.
+def row_numbers(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
+    """Adds row_number (0, 1, ... over all rows in the order of the columns, of any types that sort; nulls first) and returns the row count too. A column row_number of df is replaced.
 
-    Rows fall into buckets between approximate quantiles of the first column; a bucket's first number is the count of all rows before, and
-    each bucket is numbered in its own task. Bounds are literals, so a task that runs again numbers alike. Only `df`'s own
-    columns move; give it narrow rows. At most 1,000 bounds come to the driver.
+    Rows are dealt by ranges of all the columns and, last, of their place in df, so neither one id nor many equal rows make a large range; equal rows may swap places among
+    themselves. The sorted ranges are a table in the shared folder, so places hold whatever is lost later. A row's number is its place in its range after the rows of all ranges before,
+    of which one count each comes to the driver. Only `df`'s own columns move; give it narrow rows.
     """
-    first = order[0]
-    want = buckets or min(1000, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted(set(df.approxQuantile(first, [i / want for i in range(1, want)], 0.25 / want))) if want > 1 else []
-    bounds = [int(b) for b in bounds]
-    # the bucket is the number of bounds below the value, counted by halves
-    bucket = F.coalesce(_below(F.col(first), bounds, 0), F.lit(-1))
-    dealt = df.withColumn("__bucket", bucket)
-    counts = {r["__bucket"]: r["count"] for r in dealt.groupBy("__bucket").count().collect()}  # one row for each of at most 1,001 buckets
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = written(df.drop("row_number").withColumn("__tie", F.monotonically_increasing_id()), "narrow")
+    ranged = placed.repartitionByRange(parts, *keys, "__tie").sortWithinPartitions(*keys, "__tie").drop("__tie")
+    ranged = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranged")
+    # the upper 31 bits are the range, the lower 33 the place in it
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = {r["part"]: r["count"] for r in ranged.groupBy(part.alias("part")).count().collect()}
     starts, n = {}, 0
     for k in sorted(counts):
         starts[k], n = n, n + counts[k]
-    offsets = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)]) if starts else None
-    by = Window.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    number = F.row_number().over(by).cast("long") - 1
-    numbered = dealt.withColumn("row_number", number + (F.element_at(offsets, F.col("__bucket")) if starts else F.lit(0).cast("long")))
-    return numbered.drop("__bucket"), n
-
-
-def _below(value: Column, bounds: list[int], base: int) -> Column:
-    if not bounds:
-        return F.when(value.isNotNull(), F.lit(base))
-    mid = len(bounds) // 2
-    return F.when(value < bounds[mid], _below(value, bounds[:mid], base)).otherwise(F.when(value.isNotNull(), _below(value, bounds[mid + 1 :], base + mid + 1)))
+    if not starts:
+        return ranged.withColumn("row_number", F.lit(0).cast("long")).drop("__at"), 0
+    offsets = F.create_map(*[F.lit(x) for k, v in starts.items() for x in (k, v)])
+    return ranged.withColumn("row_number", (place + F.element_at(offsets, part)).cast("long")).drop("__at"), n
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal all rows into `shards` by the permuted global row number p: shard = p mod shards, slot = p div shards.
 
     Law `rows`: shard counts differ by one at most, and slots run without gaps from 0. Returns id_col, size (UTF-8 bytes plus 16), text_crc32,
-    law, shard, slot, grown_shard (null under this law). Rows are numbered by id, then checksum and size, so equal rows may
-    swap places among themselves only. Null texts count as empty: size 16, checksum 0. Null ids come first. An empty
+    law, shard, slot, grown_shard (null under this law). Rows are numbered by id, of any type that sorts, then checksum and size, so equal rows may
+    swap places among themselves only. Null texts count as empty: size 16, checksum 0. Null ids come first. Extra columns, whatever their names, are ignored. An empty
     table gives an empty one. The text itself is never shuffled.
     """
     raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")

@@ -298,9 +298,13 @@ def tiff_pages(files: DataFrame, id_col: str, media_col: str, keep: list[str] |
     """One row for each page of each file, in file and page order within a task: id, the columns to keep, page, n_pages, width, height, channels, pixels, error.
 
     Pages of a file follow each other. A null, empty or damaged file gives one row with page -1, no pixels and the reason
-    in `error`; pages before the damage aren't given. Narrow: pixels never reach a shuffle.
+    in `error`; pages before the damage aren't given. Repeated rows give their pages each; an empty table gives an empty one. Kept columns that are called like a column of
+    the result are an error: rename them before. Narrow: pixels never reach a shuffle.
     """
     keep = keep or []
+    clash = [c for c in [id_col, *keep] if c.lower() in ("page", "n_pages", "width", "height", "channels", "pixels", "error")]
+    if clash or len({c.lower() for c in [id_col, *keep]}) <= len(keep):
+        raise ValueError(f"columns that can't be kept beside a page's own: {clash or keep}")
     kinds = dict(files.dtypes)
     schema = ", ".join([f"`{id_col}` {kinds[id_col]}", *(f"`{c}` {kinds[c]}" for c in keep), "page int, n_pages int, width int, height int, channels int, pixels binary, error string"])
 

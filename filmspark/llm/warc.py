@@ -24,6 +24,7 @@ from filmspark.llm.common import written
 ARCHIVE_BYTES = 1 << 20
 _ROW_GROUP = 16 << 20
 _PIECE = 1 << 18
+_MOST = 4 << 20
 # Fixed value of the format: the profile of revisits with an identical payload.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
@@ -42,17 +43,24 @@ def parse_header(head: bytes) -> dict[str, str]:
 
 
 def inflate(content: bytes) -> Iterator[bytes]:
-    """The bytes of a gzip file in pieces, over all its members. Raises ValueError on damaged or cut streams."""
+    """The bytes of a gzip file in pieces of at most `_MOST`, over all its members. Raises ValueError on damaged or cut streams."""
     at = 0
     while at < len(content):
         d = zlib.decompressobj(31)
         try:
             while not d.eof and at < len(content):
                 piece = content[at : at + _PIECE]
-                got = d.decompress(piece)
-                at += len(piece) - len(d.unused_data)
-                if got:
-                    yield got
+                at += len(piece)
+                got = b""
+                # a small piece may hold much, which then comes in several
+                while piece or len(got) == _MOST:
+                    got = d.decompress(piece, _MOST)
+                    piece = d.unconsumed_tail
+                    if got:
+                        yield got
+                    if d.eof:
+                        at -= len(d.unused_data)
+                        break
         except zlib.error as e:
             raise ValueError(f"damaged gzip stream: {e}") from e
         if not d.eof:
@@ -71,8 +79,12 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
         return piece is not None
 
     while True:
-        while (end := held.find(_END)) < 0 and more():
-            pass
+        seen = 0
+        while (end := held.find(_END, max(0, seen - 3))) < 0:
+            # what was searched isn't searched again
+            seen = len(held)
+            if not more():
+                break
         if end < 0:
             if held.strip(b"\r\n"):
                 raise ValueError("the last record is cut short")
@@ -185,18 +197,20 @@ def normalise(archives: DataFrame) -> DataFrame:
     """archives: (archive, content). One row for each: archive, content (a member for each record), index (the sidecar), error.
 
     index: array of (offset, length, type, id, digest). An empty or null content is an archive without records. A damaged
-    archive keeps a row with null content and the reason in `error`, so that one bad file never stops a crawl.
+    archive keeps a row with null content and the reason in `error`, so that one bad file never stops a crawl. Repeated archives are normalised each; an empty table gives an empty one.
     """
     return archives.select("archive", "content").mapInArrow(_normalised, "archive string, content binary, index array<struct<offset: long, length: long, type: string, id: string, digest: string>>, error string")
 
 
 def read_records(normal: DataFrame) -> DataFrame:
-    """Every record of normalised archives, each read alone by its place in the index: archive, offset, type, id, fields (map), block."""
+    """Every record of normalised archives, each read alone by its place in the index: archive, offset, type, id, fields (map), block. Archives that are damaged or without records give none;
+    repeated ones give theirs each; an empty table gives an empty one."""
     return normal.select("archive", "content", "index").mapInArrow(_read, _RECORD_COLUMNS)
 
 
 def sidecar(normal: DataFrame) -> DataFrame:
-    """The index of normalised archives, a row for each record: archive, offset, length, type, id, digest."""
+    """The index of normalised archives, a row for each record: archive, offset, length, type, id, digest. Archives that are damaged or without records have none; repeated ones have theirs
+    each; an empty table gives an empty one."""
     return normal.select("archive", F.explode("index").alias("i")).select("archive", "i.*")
 
 
@@ -204,7 +218,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """Header fields and payload of a WARC/1.1 record for each page: id, header, payload. date: the WARC-Date of all (pages don't tell when they were fetched).
 
     Of pages with equal payloads of at least `least_bytes`, the one with the largest id is a response and the others revisit it; smaller ones are
-    all responses. Rows that share the largest id are all responses. Only (digest, largest id) pairs of repeated payloads are gathered, by a partial
+    all responses. Rows that share the largest id are all responses. Ids may be numbers or text; rows with one id get records with one WARC-Record-ID, so the format's rule that these differ holds if ids do. Only (digest, largest id) pairs of repeated payloads are gathered, by a partial
     aggregate; they are joined to the pages that are large enough, a join whose large side Spark can split if a payload is very common. The other pages move nowhere.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
@@ -217,7 +231,8 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     r = r.withColumn("refers_to", F.when(F.col("id") < F.col("first"), F.col("first")))
     again = F.col("refers_to").isNotNull()
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
-    uri = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    # ids of any type that text can hold; what an URI can't hold is escaped, so no id looks like the mark of a missing one
+    uri = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), F.url_encode(c.cast("string")), F.lit(">")), F.lit("<urn:page::null>"))
     head = [
         pair("WARC-Type", F.when(again, "revisit").otherwise("response")), pair("WARC-Record-ID", uri(F.col("id"))), pair("WARC-Date", F.lit(date)),
         pair("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")), pair("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))), pair("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -233,7 +248,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     Returns id_col, payload_bytes, payload_digest (bare SHA-1), record_type, refers_to, archive, member_offset. Size and digest of a response are
     computed from the payload that was read back; those of a revisit are the ones that its header carries. A null html is
-    empty; null ids stay null; repeated rows each get a record; extra columns are ignored; an empty table gives an empty one. A damaged archive ends the query.
+    empty; null ids stay null, and ids keep their type; repeated rows each get a record; extra columns are ignored; an empty table gives an empty one. A damaged archive ends the query.
     """
     archives = written(write_archives(page_records(pages, id_col, url_col, html_col), "header", "payload"), "archives", _ROW_GROUP)
     normal = written(normalise(archives), "normalised", _ROW_GROUP)
@@ -241,7 +256,7 @@ def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     places = F.array_sort(F.collect_list(F.struct("offset", "length", "type", "id", "digest")))
     by_index = normal.select("archive", "content", F.assert_true(F.col("error").isNull(), F.col("error")).alias("ok")).join(index.groupBy("archive").agg(places.alias("index")), "archive")
     back = read_records(by_index)
-    number = lambda c: F.when(c.startswith("<urn:page:"), F.substring(c, 11, F.length(c) - 11)).try_cast("long")
+    number = lambda c: F.when(c.startswith("<urn:page:") & (c != "<urn:page::null>"), F.url_decode(F.substring(c, 11, F.length(c) - 11))).cast(pages.schema[id_col].dataType)
     field = lambda k: F.element_at("fields", k)
     response = F.col("type") == "response"
     return back.select(

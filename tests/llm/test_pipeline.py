@@ -54,3 +54,9 @@ def test_repeated_ids_lose_copies_only(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted([(1, a), (2, b), (3, "x y z"), (1, "quite another text of some words")])
+
+
+def test_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", "x"), (2, "one two three four five six", "y")], "doc_id long, text string, __row string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == ["doc_id", "text", "__row"] and [tuple(r) for r in got.collect()] == [(1, "one two three four five six", "x")]
