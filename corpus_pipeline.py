@@ -18,25 +18,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that with the least id, one of them where it comes more than once. Rows without an id stay. Verdicts are by row,
-    so an id that comes with several texts loses only those that are copies. Null and empty texts are one group. An empty table gives an empty one.
+    so an id that comes with several texts loses only those that are copies. Null and empty texts are one group. A column __row of the input stays as it is. An empty table gives an empty one.
 
     SimHash of five words drops copies and light edits first. No distance of 64 bits covers a similarity of 0.8, so what is left is grouped by all pairs whose
     shingle sets are that similar, checked exactly: no two documents of that similarity stay. Texts that share too few shingles with all others together
     can't be similar to one, and are left out of that search.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    copies = written(_later(simhash.grouped_rows(rows, width=5, row_col="__row")), "copies")
-    left = rows.join(copies, "__row", "left_anti")
-    able = written(shingles.shared_enough(left, "__row", width=5, least=0.8).select(F.col("row").alias("__row")), "sharing")
-    near = written(_later(shingles.similar_rows(left.join(able, "__row", "left_semi"), width=5, least=0.8, row_col="__row")), "near-copies")
-    return left.join(near, "__row", "left_anti").select(docs.columns)
-
-
-def _later(groups: DataFrame) -> DataFrame:
-    """groups: (id, row, component). The rows that have an id and aren't the first of their group, as column __row."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    rows = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    copies = written(_later(simhash.grouped_rows(rows, width=5, row_col=name), name), "copies")
+    left = rows.join(copies, name, "left_anti")
+    able = written(shingles.shared_enough(left, name, width=5, least=0.8).select(F.col("row").alias(name)), "sharing")
+    near = written(_later(shingles.similar_rows(left.join(able, name, "left_semi"), width=5, least=0.8, row_col=name), name), "near-copies")
+    return left.join(near, name, "left_anti").select(docs.columns)
+
+
+def _later(groups: DataFrame, name: str) -> DataFrame:
+    """groups: (id, row, component). The rows that have an id and aren't the first of their group, as column `name`."""
     groups = groups.where("id is not null").select("id", "row", "component")
     first = groups.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("id", "row")).alias("first")).where("n > 1")
-    return groups.join(first, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__row"))
+    return groups.join(first, "component").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(name))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
