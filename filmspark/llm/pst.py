@@ -29,11 +29,12 @@ END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
 @dataclass(frozen=True)
 class Limits:
-    """Shares of all training tokens. They bound what is broadcast, whatever the corpus: at most 1/share entries of each kind. They decide where a count is kept, not whether.
+    """Shares of all training tokens. They bound what is broadcast, whatever the corpus: at most 1/share entries of each kind.
 
-    word: words whose counts tasks know beforehand; the rest meet their counts in a shuffle. context: words that the top of the tree is
-    made of. gram: the least share of an explicit context with its next symbol there. tokens: a context that stands for more tokens than that is made longer, whatever its share.
-    least: a symbol is explicit after a context of the rest of the tree from so many occurrences on.
+    word: words whose counts tasks know beforehand; the rest meet their counts in a shuffle. context: words that contexts of the top of the tree are
+    made of; the word after such a context may be any of those with a known count. gram: the least share of a context of the top with its next word to be explicit there; a rarer one is
+    explicit only after the longer context, of that word and one or two more, which is in the table. tokens: a context that stands for more tokens than that is made longer, whatever
+    its share. least: a symbol is explicit after a context of the table from so many occurrences on.
     """
 
     word: float = 2e-6
@@ -109,14 +110,14 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
-def _codes(symbol: np.ndarray, first: np.ndarray, depth: int, m: int) -> np.ndarray:
-    """Code of the `depth` symbols before each token and the token itself, -1 where a text or the alphabet ends it. depth 0: the token."""
-    code = symbol.astype(np.int64)
+def _before(symbol: np.ndarray, first: np.ndarray, depth: int, m: int) -> np.ndarray:
+    """Code of the `depth` symbols before each token, -1 where a text or the alphabet ends it."""
+    code = np.zeros(len(symbol), np.int64)
     for k in range(1, depth + 1):
         before = np.full(len(symbol), -1, np.int64)
-        before[k:] = symbol[:-k] if k < len(symbol) else before[k:]
+        before[k:] = symbol[: max(0, len(symbol) - k)]
         before[first < k] = -1
-        code = np.where((code >= 0) & (before >= 0), code + before * m**k, -1)
+        code = np.where((code >= 0) & (before >= 0), code + before * m ** (k - 1), -1)
     return code
 
 
@@ -173,16 +174,17 @@ def _word_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return h[n > 0], n[n > 0]
 
 
-def _gram_counts(alphabet: np.ndarray):
-    m = len(alphabet)
+def _gram_counts(words: np.ndarray, alphabet: np.ndarray):
+    m, size = len(alphabet), len(words)
 
     def make(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, tokens, starts = _hashed(texts)
-        symbol, first = _find(alphabet, h)[tokens], _within(starts)
+        symbol, word, first = _find(alphabet, h)[tokens], _find(words, h)[tokens], _within(starts)
         keys = []
         for depth in (1, 2):
-            code = _codes(symbol, first, depth, m)
-            keys.append((code[code >= 0] << 2 | depth).view(np.uint64))
+            context = _before(symbol, first, depth, m)
+            some = (context >= 0) & (word >= 0)
+            keys.append((context[some] * size + word[some] << 2 | depth).view(np.uint64))
         k, n = np.unique(np.concatenate(keys), return_counts=True)
         # an odd multiplier maps codes one to one and spreads them over the buckets
         return k * _SPREAD, n
@@ -195,49 +197,52 @@ _GATHER = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def grow(model: Model, grams: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Add the contexts that pass the divergence test, shorter ones first. grams[d]: sorted codes of d + 1 context symbols and the next, and their counts.
+    """Add the contexts that pass the divergence test, shorter ones first. grams[d]: sorted codes of d + 1 context symbols and the next word, and their counts.
 
-    A context keeps explicit probabilities of its frequent next symbols, discounted by half a count; the share left goes to the next shorter retained
-    context, scaled to what that gives all other symbols. It is retained if the log-likelihood gained over that shorter
-    context (its count times the divergence) exceeds half a log of the training size for each explicit symbol.
+    A context keeps explicit probabilities of those next words whose log-likelihood gained over the next shorter retained context (count times log of the ratio) exceeds half a log of the training
+    size, discounted by half a count; the share left goes to that shorter context, scaled to what it gives all other words. It is retained if what its explicit words gain, less what the others
+    lose, is more than that cost for each: the same test as that of the table's contexts.
     """
-    m, shorter = len(model.alphabet), None
-    unigram = 10 ** model.root(model.counts[_find(model.words, model.alphabet)]) if m else np.zeros(0)
-    count = model.counts[_find(model.words, model.alphabet)] if m else np.zeros(0, np.int64)
+    cost = 0.5 * np.log(max(2, model.n))
+    m, size = len(model.alphabet), len(model.words)
+    unigram = 10 ** model.root(model.counts)
+    place = _find(model.words, model.alphabet)
     for depth, (codes, n) in enumerate(grams):
-        context, symbol = codes // m if m else codes, codes % m if m else codes
+        context, symbol = (codes // size, codes % size) if size else (codes, codes)
         start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(codes) else np.zeros(0, np.int64)
         which, state = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(codes)))), context[start]
         if depth == 0:
-            total = count[state]
+            total = model.counts[place[state]] if m else state
             before = unigram[symbol]
         else:
-            at = _find(grams[depth - 1][0], state)
+            # how often a context of two words is the first one followed by the second
+            at = _find(grams[depth - 1][0], state // m * size + place[state % m]) if m else state
             total = np.where(at >= 0, grams[depth - 1][1][at] if len(grams[depth - 1][0]) else 0, 0)
-            before = 10 ** _log(model, depth - 1, context % m**depth, symbol, np.log10(unigram[symbol]))
-        ok = total > 0
+            before = 10 ** _log(model, depth - 1, context % max(1, m**depth), symbol, np.log10(unigram[symbol]))
+        by = lambda x: np.bincount(which, x, len(start))
         p = np.maximum(n - 0.5, 0.25) / np.maximum(total, 1)[which]
-        told, known = np.bincount(which, p, len(start)), np.bincount(which, before, len(start))
-        explicit = np.bincount(which, n, len(start))
+        gain = n * np.log(p / before)
+        explicit = gain > cost
+        told, known, shown = (by(np.where(explicit, x, 0.0)) for x in (p, before, n))
         with np.errstate(divide="ignore", invalid="ignore"):
             left = (1 - told) / (1 - known)
-            gain = np.bincount(which, n * np.log(p / before), len(start)) + np.maximum(total - explicit, 0) * np.log(left)
-        keep = ok & (known < 1 - 1e-9) & (told < 1 - 1e-9) & (gain > 0.5 * np.log(max(2, model.n)) * np.bincount(which, minlength=len(start)))
-        rows = keep[which]
+            net = by(np.where(explicit, gain - cost, 0.0)) + np.maximum(total - shown, 0) * np.log(left)
+        keep = (total > 0) & (shown > 0) & (known < 1 - 1e-9) & (told < 1 - 1e-9) & (net > 0)
+        rows = keep[which] & explicit
         model.states.append((state[keep], np.log10(left[keep])))
         model.grams.append((codes[rows], np.log10(p[rows])))
 
 
 def _log(model: Model, depth: int, context: np.ndarray, symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Log probability of each symbol after its context of depth + 1 symbols (-1: none), from the longest retained suffix. root: that of the symbol alone, or 0 to leave it out."""
+    """Log probability of each word (its place, -1: unknown) after its context of depth + 1 symbols (-1: none), from the longest retained suffix. root: that of the word alone, or 0 to leave it out."""
     if depth < 0 or not len(context):
         return root
-    m = len(model.alphabet)
+    m, size = len(model.alphabet), len(model.words)
     shorter = _log(model, depth - 1, np.where(context >= 0, context % m**depth, -1) if depth else context, symbol, root)
     codes, left = model.states[depth]
     at = _find(codes, context)
     held = (at >= 0) & (context >= 0)
-    gram = _find(model.grams[depth][0], np.where(held & (symbol >= 0), context * m + symbol, -1))
+    gram = _find(model.grams[depth][0], np.where(held & (symbol >= 0), context * size + symbol, -1))
     out = np.where(held, shorter + (left[at] if len(left) else 0.0), shorter)
     return np.where(gram >= 0, model.grams[depth][1][gram] if len(model.grams[depth][1]) else 0.0, out)
 
@@ -258,7 +263,7 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", limits: Limits =
     model.words, model.counts = keys[order], c[order]
     hot = min(limits.context * n, limits.tokens)
     model.alphabet = model.words[model.counts >= hot]
-    found = _counted(texts, _gram_counts(model.alphabet), limits.gram, parts)
+    found = _counted(texts, _gram_counts(model.words, model.alphabet), limits.gram, parts)
     often = found.where((F.col("kind") == 1) & (F.col("n") >= max(2.0, limits.gram * n))).select("key", "n").toPandas()  # at most 1 / limits.gram rows a depth
     keys = often.key.to_numpy(np.int64).view(np.uint64) * _GATHER
     code, depth, c = (keys >> np.uint64(2)).astype(np.int64), (keys & np.uint64(3)).astype(np.int64), often.n.to_numpy(np.int64)
@@ -267,7 +272,9 @@ def fit(docs: DataFrame, train: Column, text_col: str = "text", limits: Limits =
         k, x = code[depth == d], c[depth == d]
         order = np.argsort(k)
         grams.append((k[order], x[order]))
-    model.pairs = grams[0][0][grams[0][1] >= hot]
+    # a pair that is so frequent is one of words of the alphabet
+    code, size = grams[0][0][grams[0][1] >= hot], len(model.words)
+    model.pairs = np.sort(code // size * len(model.alphabet) + _find(model.alphabet, model.words[code % size]))
     grow(model, grams)
     return model
 
@@ -293,18 +300,12 @@ def _placed(model: Model, texts: pa.Array) -> _Block:
     c = np.where(at >= 0, model.counts[at] if len(model.counts) else 0, 0)
     root = np.where((at >= 0)[tokens], model.root(c)[tokens], 0.0)
     m = len(model.alphabet)
-    symbol = _find(model.alphabet, h)[tokens]
+    symbol, word = _find(model.alphabet, h)[tokens], at[tokens]
     first = _within(starts)
     logs = root
     if model.states:
-        depth = len(model.states)
-        context = np.full(len(tokens), -1, np.int64)
-        context[1:] = _codes(symbol, first, depth - 1, m)[:-1]
-        context[first == 0] = -1
-        one = np.full(len(tokens), -1, np.int64)
-        one[1:] = symbol[:-1]
-        one[first == 0] = -1
-        logs = np.where(context >= 0, _log(model, depth - 1, context, symbol, root), _log(model, 0, one, symbol, root))
+        context, one = (_before(symbol, first, depth, m) for depth in (len(model.states), 1))
+        logs = np.where(context >= 0, _log(model, len(model.states) - 1, context, word, root), _log(model, 0, one, word, root))
     return _Block(h, tokens, starts, first, np.repeat(np.arange(len(texts)), np.diff(starts)), (at >= 0)[tokens], at, logs, symbol)
 
 

@@ -28,7 +28,7 @@ def brute_scores(texts, train, limits):
     often = {w for w, c in count.items() if c >= limits.word * n}
     hot = {w for w in often if count[w] >= min(limits.context * n, limits.tokens)}
     cost, bound = 0.5 * math.log(n), math.log10(min(1.0, max(limits.word, 1 / n)))
-    grams = [Counter(tuple(t[k - m : k + 1]) for t in learn for k in range(m, len(t)) if set(t[k - m : k + 1]) <= hot) for m in (1, 2)]
+    grams = [Counter(tuple(t[k - m : k + 1]) for t in learn for k in range(m, len(t)) if set(t[k - m : k]) <= hot and t[k] in often) for m in (1, 2)]
     grams = [{g: c for g, c in x.items() if c >= max(2.0, limits.gram * n)} for x in grams]
     states = [{}, {}]
 
@@ -51,13 +51,13 @@ def brute_scores(texts, train, limits):
                 continue
             p = {w: max(c - 0.5, 0.25) / total for w, c in nexts.items()}
             before = {w: 10 ** top(list(context[1:]), w) for w in nexts}
-            told, known = sum(p.values()), sum(before.values())
-            if told >= 1 - 1e-9 or known >= 1 - 1e-9:
+            gain = {w: c * math.log(p[w] / before[w]) for w, c in nexts.items()}
+            told, known, shown = (sum(x[w] for w in nexts if gain[w] > cost) for x in (p, before, nexts))
+            if not shown or told >= 1 - 1e-9 or known >= 1 - 1e-9:
                 continue
             left = (1 - told) / (1 - known)
-            gain = sum(c * math.log(p[w] / before[w]) for w, c in nexts.items()) + max(total - sum(nexts.values()), 0) * math.log(left)
-            if gain > cost * len(nexts):
-                fresh[context] = ({w: math.log10(x) for w, x in p.items()}, math.log10(left))
+            if sum(x - cost for x in gain.values() if x > cost) + max(total - shown, 0) * math.log(left) > 0:
+                fresh[context] = ({w: math.log10(x) for w, x in p.items() if gain[w] > cost}, math.log10(left))
         states[m] = fresh
 
     pairs = {g for g, c in grams[0].items() if c >= min(limits.context * n, limits.tokens)}
@@ -122,6 +122,26 @@ def test_scores_equal_brute_force(spark, limits):
         assert {k[0] for k in used} == {1, 2, 3} and {k[1] for k in used} == {True, False} and (1, True, False) in used
 
 
+def test_a_rarer_word_after_a_frequent_one(spark):
+    """A word that isn't frequent is explicit after one frequent word, and scores better there than by itself."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(300)} the zebra" if rng.random() < 0.05 else rng.choice(["the", "of", f"w{rng.randrange(300)}"]) for _ in range(60)) for _ in range(200)]
+    texts += ["w1 the zebra", "w1 w2 zebra"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    limits = pst.Limits(1e-4, 0.05, 1e-4)
+    got = {r.doc_id: r.score for r in pst.scores(df, F.col("doc_id") < 200, limits=limits).collect()}
+    want, _ = brute_scores(dict(enumerate(texts)), lambda i: i < 200, limits)
+    assert got == pytest.approx(want, rel=1e-5, abs=1e-4)
+    assert got[200] > got[201] + 1
+    few = pst.fit(df, F.col("doc_id") < 200, limits=limits)
+    place = {int(h): i for i, h in enumerate(few.words.tolist())}
+    import xxhash
+
+    ctx, nxt = (xxhash.xxh64_intdigest(w) for w in (b"the", b"zebra"))
+    code = few.alphabet.tolist().index(ctx) * len(few.words) + place[nxt]
+    assert nxt not in few.alphabet.tolist() and code in few.grams[0][0].tolist()
+
+
 def test_repeated_rows_train_and_score_each(spark):
     rows = [(1, "a b c a b c"), (1, "a b c a b c"), (8, "a b c"), (None, "a b c")]
     got = pst.scores(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()
