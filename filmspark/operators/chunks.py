@@ -42,14 +42,16 @@ def chunk_ranges_custom(videos: DataFrame, custom: DataFrame, chunk_seconds: flo
     sized = (lambda s: F.when(s <= 0, total).otherwise(size(s))) if variant == "gui" else size
     step = lambda n: F.greatest(F.lit(1).cast("long"), n - F.greatest(_zero(), F.least(F.lit(overlap).cast("long"), n - 1)))
     order = "row_index" if "row_index" in custom.columns else "custom_seconds"
-    custom = custom.join(videos.select("video_id", "total_frames"), "video_id").where("chunk_index >= 0 and chunk_index < total_frames")
-    custom = custom.groupBy("video_id", F.col("chunk_index").cast("long").alias("chunk_index")).agg(F.max_by("custom_seconds", order).alias("custom_seconds"))
-    known = custom.groupBy("video_id").agg((F.max("chunk_index") + 1).alias("__k"))
-    x = videos.where("total_frames > 0").join(known, "video_id", "left")
-    enough = F.coalesce("__k", _zero()) + F.ceil(total / step(sized(F.lit(float(chunk_seconds))))).cast("long")
-    x = x.withColumn("chunk_index", F.explode(F.sequence(_zero(), enough))).drop("__k")
-    own = custom.select("video_id", "chunk_index", F.trim("custom_seconds").try_cast("double").alias("__s"))
-    x = x.join(own, ["video_id", "chunk_index"], "left").withColumn("__n", sized(F.coalesce("__s", F.lit(float(chunk_seconds)))))
+    # dealt by film once: both sums, the join and the windows keep that layout
+    own = custom.where("chunk_index >= 0").select("video_id", F.col("chunk_index").cast("long").alias("chunk_index"), "custom_seconds", order).repartition("video_id")
+    own = own.groupBy("video_id", "chunk_index").agg(F.max_by("custom_seconds", order).alias("s"))
+    own = own.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_index", F.trim("s").try_cast("double").alias("s")))).alias("__own"))
+    x = videos.where("total_frames > 0").join(own, "video_id", "left")
+    last = F.array_max(F.filter(F.map_keys("__own"), lambda k: k < total))
+    enough = F.coalesce(last + 1, _zero()) + F.ceil(total / step(sized(F.lit(float(chunk_seconds))))).cast("long")
+    x = x.withColumn("chunk_index", F.explode(F.sequence(_zero(), enough)))
+    seconds = F.when(F.col("chunk_index") < total, F.try_element_at("__own", F.col("chunk_index")))
+    x = x.withColumn("__n", sized(F.coalesce(seconds, F.lit(float(chunk_seconds))))).drop("__own")
     w = _film("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("start_frame", F.coalesce(F.sum(step(F.col("__n"))).over(w), _zero())).withColumn("end_frame", F.least(total, F.col("start_frame") + F.col("__n")))
     x = x.withColumn("__past", F.coalesce(F.max("end_frame").over(w), F.lit(-1)))

@@ -308,3 +308,21 @@ def test_pixels():
 def test_tone_expressions_match_the_tables(spark):
     got = spark.range(256).select("id", *R.tone_level(F.col("id"))).orderBy("id").collect()
     assert [r[1] for r in got] == X.lift_table().tolist() and [r[2] for r in got] == X.restore_table().tolist()
+
+
+def test_custom_chunks_move_once(spark):
+    """Customs and films are dealt by film, and nothing after that."""
+    custom = spark.createDataFrame([(1, 0, "3"), (1, 0, "4"), (1, 2, "x"), (1, 1 << 40, "2"), (2, -1, "9")], "video_id long, chunk_index long, custom_seconds string")
+    videos = spark.createDataFrame([(1, 10.0, 100), (2, 10.0, 30)], "video_id long, fps double, total_frames long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = C.chunk_ranges_custom(videos, custom, 2.0, 5)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(re.findall(r"\bExchange ", plan)) == 2
+    got = sorted((r.video_id, r.chunk_index, r.start_frame, r.end_frame) for r in df.collect())
+    assert got[:3] == [(1, 0, 0, 40), (1, 1, 35, 55), (1, 2, 50, 70)] and got[-1] == (2, 1, 15, 30) and max(r[3] for r in got if r[0] == 1) == 100
