@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from filmspark.llm.common import written
 
 ROUNDS = 8
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+
+
+def round_keys(seed: int) -> list[int]:
+    return [int(k) for k in np.random.SeedSequence(seed).generate_state(ROUNDS, np.uint64)]
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
     """A fixed 64-bit finaliser (two multiply and shift steps) as round function."""
-    x = (x ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ np.uint64(key)) * np.uint64(MIX[0])
+    x = (x ^ x >> np.uint64(29)) * np.uint64(MIX[1])
     return x ^ x >> np.uint64(32)
 
 
@@ -26,7 +31,7 @@ def permute(x: np.ndarray, n: int, seed: int) -> np.ndarray:
     """
     half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
     mask = np.uint64((1 << int(half)) - 1)
-    keys = [int(k) for k in np.random.SeedSequence(seed).generate_state(ROUNDS, np.uint64)]
+    keys = round_keys(seed)
     out = x.astype(np.uint64)
     todo = np.arange(len(out))
     while len(todo):
@@ -86,3 +91,21 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 7, id_col: st
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), (F.col("p") % shards).cast("int").alias("shard"),
         F.floor(F.col("p") / shards).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number",
     )
+
+
+def shards_sql(shards: int = 40, seed: int = 7) -> str:
+    """shard_documents over `documents` in SQL: checksums byte by byte, and the network round by round on wide integers."""
+    wide = lambda x: f"{x}::UHUGEINT"
+    m64, key = wide(1 << 64), f"[{', '.join(wide(k) for k in round_keys(seed))}]"
+    low, step1 = f"xor(r, {key}[k + 1])", f"(x * {wide(MIX[0])}) % {m64}"
+    step2 = f"(xor(x, x >> 29) * {wide(MIX[1])}) % {m64}"
+    return f"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, (len(h) // 2 + 16)::BIGINT AS size, xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295)::BIGINT AS text_crc32 FROM d, tab),
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS num, count(*) OVER () AS n FROM c),
+s AS (SELECT num, n, greatest(1, (CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 1 END + 1) // 2)::UHUGEINT AS half, n::UHUGEINT AS wide FROM o),
+f AS (SELECT num, wide, half, 0 AS k, num::UHUGEINT >> half AS l, num::UHUGEINT & ((1::UHUGEINT << half) - 1) AS r FROM s
+  UNION ALL SELECT num, wide, half, CASE WHEN k = {ROUNDS} THEN 0 ELSE k + 1 END, CASE WHEN k = {ROUNDS} THEN l ELSE r END, CASE WHEN k = {ROUNDS} THEN r ELSE xor(l, xor(x, x >> 32) & ((1::UHUGEINT << half) - 1)) END FROM (
+    SELECT * REPLACE ({step2} AS x) FROM (SELECT * REPLACE ({step1} AS x) FROM (SELECT *, CASE WHEN k < {ROUNDS} THEN {low} ELSE 0::UHUGEINT END AS x FROM f WHERE k < {ROUNDS} OR (l << half | r) >= wide)))),
+p AS (SELECT num, (l << half | r)::BIGINT AS p FROM f WHERE k = {ROUNDS} AND (l << half | r) < wide)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {shards})::INTEGER AS shard, p // {shards} AS slot, NULL::INTEGER AS grown_shard, num AS row_number FROM o JOIN p USING (num)"""

@@ -100,4 +100,4 @@ SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(p.n_removed, 0)
 _WARC_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), s AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest, max(page_id) OVER (PARTITION BY b) AS top FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM s"""
 
-ORACLES: dict[str, str] = {"op2_nn_descent_near_dedup": _NEAR_SQL, "op4_poisson_mixing": mixing.poisson_sql(), "op7_suffix_array_dedup": _REPEATS_SQL, "op10_warc_normaliser": _WARC_SQL}
+ORACLES: dict[str, str] = {"op2_nn_descent_near_dedup": _NEAR_SQL, "op4_poisson_mixing": mixing.poisson_sql(), "op5_feistel_sharding": feistel.shards_sql(), "op7_suffix_array_dedup": _REPEATS_SQL, "op10_warc_normaliser": _WARC_SQL}

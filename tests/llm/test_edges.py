@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filmspark.llm import feistel, tiff, warc
+from filmspark.llm import feistel, packed, tiff, warc
 
 
 def test_shards_of_text_ids(spark):
@@ -61,3 +61,20 @@ def test_inflate_is_bounded(monkeypatch):
     for cut in (5, len(data) - 3):
         with pytest.raises(ValueError):
             list(warc.inflate(data[:cut]))
+
+
+def test_buckets_cost_what_is_in_them():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    for n in (1, 7, 14_300, 10_000_000):
+        got = list(packed.by_bucket(keys, n))
+        assert [k for k, _ in got] == sorted(set((keys % np.uint64(n)).tolist()))
+        assert all((keys[at] % np.uint64(n) == k).all() and (np.diff(at) > 0).all() for k, at in got) and sum(len(at) for _, at in got) == len(keys)
+    assert list(packed.by_bucket(keys[:0], 10_000_000)) == []
+    import time
+
+    began = time.perf_counter()
+    for _ in range(20):
+        list(packed.by_bucket(keys, 10_000_000))
+    # one number for each bucket would take seconds a call
+    assert time.perf_counter() - began < 10
