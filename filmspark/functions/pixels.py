@@ -228,7 +228,8 @@ def guide_composite(guide: np.ndarray, frame: np.ndarray, shift: tuple[int, int]
     if content.any():
         a = (_blur(content.astype(np.float64), edge) * content)[..., None]
         out = frame * a + out * (1 - a)
-    out = np.clip(out, 0, 255).astype(np.uint8)
+    # cut to whole numbers; what is whole but for the noise of floating sums counts as whole
+    out = np.clip(np.round(out, 6), 0, 255).astype(np.uint8)
     for axis in (0, 1):
         dark = (out <= black).all(-1)
         if not dark.any():

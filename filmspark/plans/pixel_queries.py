@@ -201,11 +201,35 @@ def composite_frames(spark, d):
     return out.select("video_id", "frame", "width", "height", F.hex("pixels").alias("pixels"))
 
 
-@query()
+def _filled(name: str, source: str, line: str, along: str) -> dict[str, str]:
+    """Dark pixels take the nearest other one of their line, the first of equals."""
+    return {
+        f"{name}n": f"SELECT h.video_id, h.frame, h.y, h.x, arg_min(struct_pack(r := q.r, g := q.g, b := q.b), struct_pack(d := abs(h.{along} - q.{along}), p := q.{along})) AS v FROM {source} h JOIN {source} q ON q.video_id = h.video_id AND q.frame = h.frame AND q.{line} = h.{line} WHERE greatest(h.r, h.g, h.b) <= 4 AND greatest(q.r, q.g, q.b) > 4 GROUP BY 1, 2, 3, 4",
+        name: f"SELECT m.video_id, m.frame, m.y, m.x, coalesce(v.r, m.r) AS r, coalesce(v.g, m.g) AS g, coalesce(v.b, m.b) AS b FROM {source} m LEFT JOIN {name}n n ON n.video_id = m.video_id AND n.frame = m.frame AND n.y = m.y AND n.x = m.x",
+    }
+
+
+# a guide of 8 x 8 on a canvas of 20 x 12 is 12 x 12, three columns in and one row down; the frame lies in the canvas's middle
+GUIDE = RGB | {
+    "pt": "SELECT video_id, frame, i // 8 AS y, i % 8 AS x, r[i + 1] AS r, g[i + 1] AS g, b[i + 1] AS b FROM rgb, range(64) t(i)",
+    "spot": "SELECT o, greatest(0.0, least(7.0, (o + 0.5::DOUBLE) * 8 / 12 - 0.5::DOUBLE))::DOUBLE AS c FROM range(12) t(o)",
+    "lw": "SELECT o, floor(c)::BIGINT AS i, 1 - (c - floor(c)) AS w FROM spot UNION ALL SELECT o, least(7, floor(c)::BIGINT + 1), c - floor(c) FROM spot",
+    "fit": "SELECT video_id, frame, wy.o + 1 AS y, wx.o + 3 AS x, " + ", ".join(f"round_even(round(sum(pt.{c} * wy.w * wx.w), 9), 0) AS {c}" for c in "rgb") + " FROM pt JOIN lw wx ON wx.i = pt.x JOIN lw wy ON wy.i = pt.y GROUP BY 1, 2, 3, 4",
+    "cv": "SELECT k.video_id, k.frame, ty.y, tx.x, coalesce(pt.r, 0) AS r, coalesce(pt.g, 0) AS g, coalesce(pt.b, 0) AS b, coalesce(greatest(pt.r, pt.g, pt.b) > 4, false)::INTEGER AS inside FROM (SELECT video_id, frame FROM rgb) k CROSS JOIN range(12) ty(y) CROSS JOIN range(20) tx(x) LEFT JOIN pt ON pt.video_id = k.video_id AND pt.frame = k.frame AND pt.y = ty.y - 2 AND pt.x = tx.x - 6",
+    "kn": "SELECT i, exp(-0.5::DOUBLE * power(i / 5::DOUBLE, 2)) / sum(exp(-0.5::DOUBLE * power(i / 5::DOUBLE, 2))) OVER () AS w FROM range(-10, 11) t(i)",
+    "b1": "SELECT cv.video_id, cv.frame, t.y, cv.x, sum(kn.w * cv.inside) AS v FROM range(12) t(y), kn, cv WHERE cv.y = greatest(0, least(11, t.y + kn.i)) GROUP BY 1, 2, 3, 4",
+    "b2": "SELECT b1.video_id, b1.frame, b1.y, t.x, sum(kn.w * b1.v) AS v FROM range(20) t(x), kn, b1 WHERE b1.x = greatest(0, least(19, t.x + kn.i)) GROUP BY 1, 2, 3, 4",
+    "mx": "SELECT video_id, frame, y, x, " + ", ".join(f"floor(greatest(0, least(255, round(cv.{c} * (b2.v * inside) + coalesce(fit.{c}, 0) * (1 - b2.v * inside), 6))))::INTEGER AS {c}" for c in "rgb") + " FROM cv JOIN b2 USING (video_id, frame, y, x) LEFT JOIN fit USING (video_id, frame, y, x)",
+    **_filled("f1", "mx", "x", "y"),
+    **_filled("f2", "f1", "y", "x"),
+}
+
+
+@query(S.sql("px", "SELECT video_id, frame, 20 AS width, 12 AS height, string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x) AS pixels FROM f2 GROUP BY 1, 2", **GUIDE))
 def guide_composite(spark, d):
     rgb = rgb_frames(spark, d)
     out = R.guide_composite(_stored(rgb), _stored(R.pad_canvas(rgb, 20, 12)))
-    return out.select("video_id", "frame", "width", "height", F.sha2("pixels", 256).alias("pixels_sha256"))
+    return out.select("video_id", "frame", "width", "height", F.hex("pixels").alias("pixels"))
 
 
 def _sinc_weights(name: str, m: int) -> dict[str, str]:
