@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from filmspark.operators import inventory as I
@@ -10,6 +12,7 @@ from filmspark.operators import resume as R
 from filmspark.plans import standins as S
 from filmspark.sources import files as SF
 from filmspark.sources import manifests as SM
+from filmspark.sources.shared import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -159,6 +162,33 @@ def signature_read(spark, d):
     return s.select("page_id", R.canonical_json(F.col("signature")).alias("signature"))
 
 
+def _sidecars(spark, d):
+    """Signature files of the pages in a folder of their own, named by page."""
+    root = f"{shared_dir(spark).rstrip('/')}/sidecars-{uuid.uuid4().hex}"
+    s = _expected(spark, d)
+    SF.write_signature_files(s.select(F.concat(F.lit("out/p"), F.col("page_id").cast("string"), F.lit(".mp4")).alias("path"), "signature"), root)
+    return root
+
+
+@query(S.sql("files", "SELECT 'out/p' || page_id || '.mp4' AS path, '{\"input\":{\"name\":\"n' || page_id || '\",\"size\":' || size || '},\"version\":2}' AS signature FROM files"))
+def signature_files(spark, d):
+    """Signatures written beside their outputs, one file each, and read back from there."""
+    root = _sidecars(spark, d)
+    return SF.read_signatures(spark, root, root=root).select("path", R.canonical_json(F.col("signature")).alias("signature"))
+
+
+@query(
+    S.sql(
+        "files",
+        "SELECT name, octet_length(encode(t))::BIGINT AS size, sha256(t) AS sha256 FROM (SELECT 'p' || page_id || '.mp4.sig.json' AS name, printf('{%s  \"version\": 2,%s  \"input\": {%s    \"size\": %d,%s    \"name\": \"n%d\"%s  }%s}%s', chr(10), chr(10), chr(10), size, chr(10), page_id, chr(10), chr(10), chr(10)) AS t FROM files)",
+    )
+)
+def file_fingerprint_streamed(spark, d):
+    """Files of a folder hashed in pieces."""
+    f = SF.fingerprint_files(spark, f"{_sidecars(spark, d)}/out")
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+
 @query(S.sql("files", "SELECT path, matches FROM sm", **MATCHES))
 def signature_match(spark, d):
     return _matches(spark, d)
