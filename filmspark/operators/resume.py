@@ -44,10 +44,13 @@ def resume_worklist(expected: DataFrame, reusable: DataFrame, force: bool = Fals
 
 
 def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """df as a table of the shared folder that is bucketed by `key`: joins by it need no exchange of it."""
+    """df as a table of the shared folder that is bucketed by `key`: joins by it need no exchange of it. The catalogue has it only while it is opened."""
     spark, name = df.sparkSession, f"stale_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(buckets, key).option("path", f"{shared_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    # its files are outside the warehouse, and stay
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def stale_outputs(outputs: DataFrame, inputs: DataFrame, stages: int) -> DataFrame:
