@@ -597,7 +597,8 @@ def test_tree_is_a_distribution():
     model = pst.Model(n, m, 0.5, h, np.bincount(s, minlength=m), h)
     grams = []
     for d in (1, 2):
-        code = pst._codes(s, np.arange(n), d, m)
+        before = pst._before(s, np.arange(n), d, m)
+        code = np.where(before >= 0, before * m + s, -1)
         k, c = np.unique(code[code >= 0], return_counts=True)
         grams.append((k[c > 20], c[c > 20]))
     pst.grow(model, grams)
