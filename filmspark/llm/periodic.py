@@ -43,10 +43,11 @@ class _Found:
         self.least = least
         self.start = self.stop = self.period = np.zeros(0, np.int64)
 
-    def add(self, start: np.ndarray, stop: np.ndarray, period: int) -> None:
-        """Stretches with this period, none of which can be extended. Those that are too short, or that a run with a smaller period holds, are none: their smallest period is another."""
-        long = stop - start >= max(self.least, 2 * period)
-        start, stop = start[long], stop[long]
+    def add(self, start: np.ndarray, stop: np.ndarray, period: np.ndarray) -> None:
+        """Stretches with these periods, none of which can be extended. Those that are too short, or that a run so far holds, are none: their smallest period is another, and as that divides
+        theirs it is at most half of it. So stretches whose periods lie within a factor of two can come together."""
+        long = stop - start >= np.maximum(self.least, 2 * period)
+        start, stop, period = start[long], stop[long], period[long]
         if not len(start):
             return
         if len(self.start):
@@ -54,9 +55,8 @@ class _Found:
             reach = np.maximum.accumulate(self.stop[order])
             k = np.searchsorted(self.start[order], start, side="right") - 1
             new = (k < 0) | (reach[k] < stop)
-            start, stop = start[new], stop[new]
-        self.start, self.stop = np.append(self.start, start), np.append(self.stop, stop)
-        self.period = np.append(self.period, np.full(len(start), period))
+            start, stop, period = start[new], stop[new], period[new]
+        self.start, self.stop, self.period = np.append(self.start, start), np.append(self.stop, stop), np.append(self.period, period)
 
 
 def _minimizers(at: np.ndarray, grams: np.ndarray, w: int) -> np.ndarray:
@@ -153,7 +153,7 @@ def runs(ids: np.ndarray, at: np.ndarray, least: int = 12) -> tuple[np.ndarray,
     small = x.astype(np.int32) if int(x.max()) < 1 << 31 else x
     for lag in range(1, min(_LAGS, longest // 2 + 1)):
         start, stop = _stretches(np.flatnonzero(small[:-lag] == small[lag:]))
-        found.add(start, stop + lag, lag)
+        found.add(start, stop + lag, np.full(len(start), lag))
     grams, size = _mixed(x.astype(np.uint64), np.uint64(0x2545F4914F6CDD1D)), 1
     places = np.arange(len(x))
     scale = _LAGS
@@ -184,9 +184,8 @@ def runs(ids: np.ndarray, at: np.ndarray, least: int = 12) -> tuple[np.ndarray,
                 # seeds come in order: the last stretch may hold this one already
                 if not have or z + q >= have[-1][1]:
                     have.append((a - _reach(x, a, q, -1), z + _reach(x, z, q, 1) + q))
-            for q in sorted(by_lag):
-                ends = np.array(by_lag[q], np.int64)
-                found.add(ends[:, 0], ends[:, 1], q)
+            ends = np.array([(a, z, q) for q, have in by_lag.items() for a, z in have], np.int64)
+            found.add(*ends.T)
         scale *= 2
     order = np.lexsort([found.period, found.start])
     start, stop, period = found.start[order], found.stop[order], found.period[order]
