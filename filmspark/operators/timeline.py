@@ -6,7 +6,7 @@ are spread over tasks by their key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filmspark.functions.scalar import is_truthy, nearest
@@ -89,8 +89,24 @@ def frame_at_time(frames: DataFrame, times: DataFrame) -> DataFrame:
     return both.where("__kind = 1").select("__row.*", F.col("__f").alias("frame"), F.col("__at").alias("time"))
 
 
+def _blocks(start: str, end: str, block: int) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block)))
+
+
 def frames_to_intervals(frames: DataFrame, intervals: DataFrame, block: int = 512) -> DataFrame:
-    """Frames with each half-open interval (start_frame, end_frame) that holds them. Intervals are cut into blocks of frames, so the join is on equal keys."""
-    cut = intervals.where("end_frame > start_frame").withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_frame") / block), F.floor((F.col("end_frame") - 1) / block))))
+    """Frames with each half-open interval (start_frame, end_frame) that holds them. Intervals are cut into blocks of frames, so the join is on equal keys. Whole runs of frames are better left as runs: see runs_to_intervals."""
+    cut = intervals.where("end_frame > start_frame").withColumn("__b", _blocks("start_frame", "end_frame", block))
     keyed = frames.withColumn("__b", F.floor(F.col("frame") / block))
-    return keyed.join(cut, ["video_id", "__b"]).where("frame >= start_frame and frame < end_frame").drop("__b")
+    # Spark takes exploded rows for as few as they were before, and would broadcast them
+    return keyed.hint("merge").join(cut.hint("merge"), ["video_id", "__b"]).where("frame >= start_frame and frame < end_frame").drop("__b")
+
+
+def runs_to_intervals(runs: DataFrame, intervals: DataFrame, block: int = 512) -> DataFrame:
+    """runs: video_id, first_frame, n_frames. The intervals' columns and frame: each frame of a run with each half-open interval (start_frame, end_frame) that holds it. Runs and intervals meet whole, in blocks
+    of frames as an equal key; frames are laid out last, where they stay, so none is moved."""
+    cut = intervals.where("end_frame > start_frame").withColumn("__b", _blocks("start_frame", "end_frame", block))
+    keyed = runs.select("video_id", F.col("first_frame").alias("__r"), (F.col("first_frame") + F.col("n_frames")).alias("__z")).where("__z > __r").withColumn("__b", _blocks("__r", "__z", block))
+    both = cut.hint("merge").join(keyed.hint("merge"), ["video_id", "__b"])
+    first = F.greatest("start_frame", "__r", F.col("__b") * block)
+    last = F.least("end_frame", "__z", (F.col("__b") + 1) * block) - 1
+    return both.withColumns({"__r": first, "__z": last}).where("__r <= __z").withColumn("frame", F.explode(F.sequence("__r", "__z"))).drop("__b", "__r", "__z")

@@ -158,9 +158,9 @@ def chunk_ranges(spark, d):
 )
 def frames_to_chunks(spark, d):
     v = S.clips(spark, d)
-    frames = v.select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame"))
+    runs = v.select("video_id", F.lit(0).cast("long").alias("first_frame"), F.col("total_frames").alias("n_frames"))
     intervals = C.chunk_ranges(v, 2.0).select("video_id", "chunk_index", "start_frame", "end_frame")
-    return T.frames_to_intervals(frames, intervals).select("video_id", "frame", "chunk_index", (F.col("frame") - F.col("start_frame")).alias("chunk_frame"))
+    return T.runs_to_intervals(runs, intervals).select("video_id", "frame", "chunk_index", (F.col("frame") - F.col("start_frame")).alias("chunk_frame"))
 
 
 CUSTOM = {
