@@ -26,3 +26,9 @@ def test_runs_meet_intervals(spark):
     films = spark.range(5).select(F.col("id").alias("video_id"), F.lit(24.0).alias("fps"), F.lit(100).cast("long").alias("total_frames"))
     assert "Broadcast" not in plan(T.frames_to_intervals(frames, C.chunk_ranges(films, 2.0)))
     assert "Broadcast" not in plan(catalog.QUERIES["frames_to_chunks"](spark, "/root/testdata/sf0.001"))
+
+
+def test_halfway_samples_of_a_composite():
+    """Chroma around 0, not around 128: these pixels lie halfway between two samples."""
+    base, tint = np.array([[[115, 127, 84], [251, 100, 96]]], np.uint8), np.array([[[158, 38, 118], [170, 50, 130]]], np.uint8)
+    assert X.composite(base, base, tint, 1).tolist() == [[[179, 81, 149], [206, 108, 176]]]
