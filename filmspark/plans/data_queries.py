@@ -93,8 +93,7 @@ def file_fingerprint(spark, d):
 
 @query(S.sql("videos", "SELECT v.video_id, i.frame FROM videos v JOIN (SELECT video_id, unnest(range(total_frames)) AS frame FROM clips) i USING (video_id) WHERE i.frame % greatest(1, CAST(round_even(0.3 * v.fps, 0) AS BIGINT)) = 0".replace("FROM videos v", "FROM videos v"), clips=S.SQL["clips"]))
 def frame_sampling(spark, d):
-    frames = S.clips(spark, d).select("video_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total_frames") - 1)).alias("frame"))
-    return SF.sample_frames(frames, S.videos(spark, d), 0.3)
+    return SF.sample_films(S.clips(spark, d), 0.3)
 
 
 @query(
