@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,15 @@ def canonical_json(text: Column) -> Column:
     return F.to_json(F.try_parse_json(text))
 
 
-def signature_match(expected: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:
-    """expected, stored: path, signature (JSON); files: path. path, matches: the output and its stored signature exist and say the same. Hashes of the canonical texts travel, not the texts."""
+def signature_match(expected: DataFrame, stored: DataFrame, files: DataFrame, on: Sequence[str] = ("path",)) -> DataFrame:
+    """expected, stored: path, signature (JSON); files: path. path, matches: the output and its stored signature exist and say the same. Hashes of the canonical texts travel, not the texts.
+    on: the columns that tell outputs apart, in all three, where a path alone doesn't; they are given back."""
     digest = F.sha2(canonical_json(F.col("signature")), 256)
-    a = expected.select("path", digest.alias("__a"))
-    b = stored.groupBy("path").agg(F.max(digest).alias("__b"))
-    f = files.select("path").distinct().withColumn("__f", F.lit(True))
-    x = a.join(b, "path", "left").join(f, "path", "left")
-    return x.select("path", F.coalesce(F.col("__f") & (F.col("__a") == F.col("__b")), F.lit(False)).alias("matches"))
+    a = expected.select(*on, digest.alias("__a"))
+    b = stored.groupBy(*on).agg(F.max(digest).alias("__b"))
+    f = files.select(*on).distinct().withColumn("__f", F.lit(True))
+    x = a.join(b, list(on), "left").join(f, list(on), "left")
+    return x.select(*on, F.coalesce(F.col("__f") & (F.col("__a") == F.col("__b")), F.lit(False)).alias("matches"))
 
 
 def media_match(outputs: DataFrame, expected: DataFrame, seconds: float = 1.5, frames: int = 3) -> DataFrame:
@@ -38,9 +40,9 @@ def media_match(outputs: DataFrame, expected: DataFrame, seconds: float = 1.5, f
     return x.select("path", (same("width") & same("height") & rest).alias("matches"))
 
 
-def resume_worklist(expected: DataFrame, reusable: DataFrame, force: bool = False) -> DataFrame:
-    """Expected outputs to make: those that aren't reusable (path, matches), or all."""
-    return expected if force else expected.join(reusable.where("matches").select("path").distinct(), "path", "left_anti")
+def resume_worklist(expected: DataFrame, reusable: DataFrame, force: bool = False, on: Sequence[str] = ("path",)) -> DataFrame:
+    """Expected outputs to make: those that aren't reusable (path, or the columns `on`, and matches), or all."""
+    return expected if force else expected.join(reusable.where("matches").select(*on).distinct(), list(on), "left_anti")
 
 
 def _dealt(df: DataFrame, key: str, buckets: int) -> DataFrame:

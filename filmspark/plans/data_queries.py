@@ -141,24 +141,25 @@ def _expected(spark, d):
 
 
 def _stored(spark, d):
+    """Signatures that were recorded. A path may stand for several pages (its scheme is cut off), so a page's number tells outputs apart."""
     f = S.files(spark, d).where("page_id % 7 <> 6")
     size = F.when(F.col("page_id") % 3 == 0, F.col("size") + 1).otherwise(F.col("size"))
     sig = F.concat(F.lit('{"input":{"name":"n'), F.col("page_id").cast("string"), F.lit('","size":'), size.cast("string"), F.lit('},"version":2}'))
-    return f.select("path", F.when(F.col("page_id") % 11 == 10, F.lit("{broken")).otherwise(sig).alias("signature"))
+    return f.select("page_id", "path", F.when(F.col("page_id") % 11 == 10, F.lit("{broken")).otherwise(sig).alias("signature"))
 
 
+_OUTPUT = ["page_id", "path"]
 MATCHES = {"sm": "SELECT page_id, path, page_id % 7 <> 6 AND page_id % 11 <> 10 AND page_id % 3 <> 0 AND page_id % 13 <> 12 AS matches FROM files"}
 
 
 def _matches(spark, d):
-    f = S.files(spark, d).where("page_id % 13 <> 12").select("path")
-    return R.signature_match(_expected(spark, d), _stored(spark, d), f)
+    f = S.files(spark, d).where("page_id % 13 <> 12").select("page_id", "path")
+    return R.signature_match(_expected(spark, d), _stored(spark, d), f, _OUTPUT)
 
 
 @query("SELECT page_id, CASE WHEN page_id % 11 = 10 THEN NULL ELSE '{\"input\":{\"name\":\"n' || page_id || '\",\"size\":' || (octet_length(encode(html)) + (page_id % 3 = 0)::INT) || '},\"version\":2}' END AS signature FROM pages WHERE page_id % 7 <> 6")
 def signature_read(spark, d):
-    s = _stored(spark, d).join(S.files(spark, d).select("path", "page_id"), "path")
-    return s.select("page_id", R.canonical_json(F.col("signature")).alias("signature"))
+    return _stored(spark, d).select("page_id", R.canonical_json(F.col("signature")).alias("signature"))
 
 
 def _sidecars(spark, d):
@@ -190,7 +191,7 @@ def file_fingerprint_streamed(spark, d):
 
 @query(S.sql("files", "SELECT path, matches FROM sm", **MATCHES))
 def signature_match(spark, d):
-    return _matches(spark, d)
+    return _matches(spark, d).select("path", "matches")
 
 
 def _media(spark, d):
@@ -212,7 +213,7 @@ def media_match(spark, d):
 
 @query(S.sql("files", "SELECT page_id, path FROM sm WHERE NOT matches", **MATCHES))
 def resume_worklist(spark, d):
-    return R.resume_worklist(_expected(spark, d), _matches(spark, d)).select("page_id", "path")
+    return R.resume_worklist(_expected(spark, d), _matches(spark, d), on=_OUTPUT).select("page_id", "path")
 
 
 STALE = """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 + 1 AS stage, o_custkey % 9 = 0 AS bad FROM orders), i AS (SELECT id, id - 1 AS src FROM o WHERE stage > 1 UNION ALL SELECT id, id - 2 FROM o WHERE stage > 2),

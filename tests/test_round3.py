@@ -32,3 +32,32 @@ def test_halfway_samples_of_a_composite():
     """Chroma around 0, not around 128: these pixels lie halfway between two samples."""
     base, tint = np.array([[[115, 127, 84], [251, 100, 96]]], np.uint8), np.array([[[158, 38, 118], [170, 50, 130]]], np.uint8)
     assert X.composite(base, base, tint, 1).tolist() == [[[179, 81, 149], [206, 108, 176]]]
+
+
+def test_outputs_that_share_a_path(spark):
+    signed = lambda *rows: spark.createDataFrame(rows, "page_id long, path string, signature string")
+    want = signed((1, "a", '{"n": 1}'), (2, "a", '{"n": 2}'), (3, "a", '{"n": 3}'), (4, "b", '{"n": 4}'))
+    stored, files = signed((1, "a", '{"n":1}'), (2, "a", '{"n":9}'), (3, "a", '{"n":3}'), (4, "b", '{"n":4}')), signed((1, "a", ""), (2, "a", ""), (4, "b", ""))
+    match = W.signature_match(want, stored, files, ["page_id", "path"])
+    assert {r.page_id: r.matches for r in match.collect()} == {1: True, 2: False, 3: False, 4: True}
+    assert {r.page_id for r in W.resume_worklist(want, match, on=["page_id", "path"]).collect()} == {2, 3}
+
+
+def test_pages_that_share_a_path(spark, tmp_path):
+    """Two schemes of one address: each page keeps its own signature."""
+    spark.createDataFrame([(k, f"{s}://x.org/{k // 2}", "y" * k) for k in range(60) for s in [("http", "https")[k % 2]]], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    q = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    good = {k for k in range(60) if k % 7 != 6 and k % 11 != 10 and k % 3 and k % 13 != 12}
+    assert sorted(r.page_id for r in q("signature_read").collect()) == [k for k in range(60) if k % 7 != 6]
+    assert sum(r.matches for r in q("signature_match").collect()) == len(good)
+    assert {r.page_id for r in q("resume_worklist").collect()} == set(range(60)) - good
+
+
+def test_samples_are_laid_out_at_their_step(spark):
+    films = spark.createDataFrame([(1, 24.0, 100), (2, 25.0, 1), (3, 30.0, 0), (4, 0.5, 5)], "video_id long, fps double, total_frames long")
+    frames = films.where("total_frames > 0").select("video_id", F.explode(F.expr("sequence(0L, total_frames - 1)")).alias("frame"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for s in (0.0, 0.3, 2.0):
+        assert rows(SF.sample_films(films, s)) == rows(SF.sample_frames(frames, films, s).select("video_id", "frame"))
+    p = plan(catalog.QUERIES["frame_sampling"](spark, "/root/testdata/sf0.001"))
+    assert "Join" not in p and "Exchange" not in p
