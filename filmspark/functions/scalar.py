@@ -41,6 +41,18 @@ def format_time(seconds: Column | str) -> Column:
     return F.when(rest > 0, F.concat(text, F.lit("."), F.lpad(rest.cast("string"), 3, "0"))).otherwise(text)
 
 
+def padded(number: Column | str, width: int) -> Column:
+    """A whole number as `%0<width>d` prints it, without a formatter's cost a row."""
+    n = _col(number).cast("long")
+    return F.when(n.between(0, 10**width - 1), F.lpad(n.cast("string"), width, "0")).when(n >= 10**width, n.cast("string")).otherwise(F.format_string(f"%0{width}d", n))
+
+
+def fixed(number: Column | str, places: int) -> Column:
+    """A number as `%.<places>f` prints it: decimals round the shortest text of a double half up, as the formatter does. What a decimal can't hold goes to the formatter."""
+    x = _col(number).cast("double")
+    return F.when((x > 0) & (x < 1e9), x.try_cast(f"decimal({places + 12},{places})").cast("string")).otherwise(F.format_string(f"%.{places}f", x))
+
+
 def format_timecode(seconds: Column | str) -> Column:
     """HH:MM:SS.mmm; negative times count as zero."""
     s = F.greatest(F.lit(0.0), _col(seconds).cast("double"))
@@ -58,15 +70,20 @@ def parse_time(text: Column | str) -> Column:
     return F.when(F.coalesce(t, F.lit("")) == "", F.lit(0.0)).otherwise(total)
 
 
-def parse_time_lenient(text: Column | str) -> Column:
-    """As parse_time, but with at most three parts, and 0 for anything else."""
-    return F.when(F.size(F.split(F.trim(_col(text)), ":")) <= 3, F.coalesce(parse_time(text), F.lit(0.0))).otherwise(F.lit(0.0))
+def _colons(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(":"), F.lit("")))
+
+
+def parse_time_lenient(text: Column | str, parsed: Column | str | None = None) -> Column:
+    """As parse_time, but with at most three parts, and 0 for anything else. parsed: the column of parse_time, where there is one already."""
+    c = _col(text)
+    return F.when(_colons(c) <= 2, F.coalesce(parse_time(c) if parsed is None else _col(parsed), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
-def parse_duration(text: Column | str) -> Column:
-    """As parse_time, but null for empty text and for more than three parts."""
+def parse_duration(text: Column | str, parsed: Column | str | None = None) -> Column:
+    """As parse_time, but null for empty text and for more than three parts. parsed: as for parse_time_lenient."""
     c = _col(text)
-    return F.when((F.coalesce(c, F.lit("")) != "") & (F.size(F.split(c, ":")) <= 3) & (F.trim(c) != ""), parse_time(c))
+    return F.when((_colons(c) <= 2) & (F.trim(c) != ""), parse_time(c) if parsed is None else _col(parsed))
 
 
 def _file_name(path: Column) -> Column:

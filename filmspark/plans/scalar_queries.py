@@ -52,7 +52,8 @@ w AS (SELECT *, CASE WHEN t = '' THEN 0.0 WHEN c = 1 THEN try_cast(p[1] AS DOUBL
 SELECT l_orderkey, l_linenumber, t AS text, strict, CASE WHEN c <= 3 THEN coalesce(strict, 0.0) ELSE 0.0 END AS lenient, CASE WHEN t <> '' AND c <= 3 THEN strict END AS duration FROM w"""
 )
 def timecode_parse(spark, d):
-    return _timed(spark, d).select("l_orderkey", "l_linenumber", F.col("t").alias("text"), X.parse_time("t").alias("strict"), X.parse_time_lenient("t").alias("lenient"), X.parse_duration("t").alias("duration"))
+    x = _timed(spark, d).withColumn("strict", X.parse_time("t"))
+    return x.select("l_orderkey", "l_linenumber", F.col("t").alias("text"), "strict", X.parse_time_lenient("t", "strict").alias("lenient"), X.parse_duration("t", "strict").alias("duration"))
 
 
 @query(
