@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filmspark.functions.scalar import nearest
+from filmspark.functions.scalar import fixed, nearest, padded
 
 
 def _film(*order: str) -> Window:
@@ -62,8 +62,8 @@ def sync_chunks(ranges: DataFrame, existing: DataFrame, seed: int = 42) -> DataF
     """Ranges with the overrides of existing rows (seed, prompt_suffix, negative_suffix, guide_image, custom_seconds; text). Rows beyond the last range go."""
     kept = ["seed", "prompt_suffix", "negative_suffix", "guide_image", "custom_seconds"]
     x = ranges.join(existing.select("video_id", "chunk_index", *kept), ["video_id", "chunk_index"], "left")
-    six = lambda c: F.format_string("%.6f", F.col(c) / F.col("fps"))
-    part = lambda kind: F.format_string(f"{kind}_%04d_%06d_%06d.mp4", "chunk_index", "start_frame", "end_frame")
+    six = lambda c: fixed(F.col(c) / F.col("fps"), 6)
+    part = lambda kind: F.concat(F.lit(f"{kind}_"), padded("chunk_index", 4), F.lit("_"), padded("start_frame", 6), F.lit("_"), padded("end_frame", 6), F.lit(".mp4"))
     own = F.when(F.coalesce("seed", F.lit("")) != "", F.col("seed")).otherwise((F.col("chunk_index") + seed).cast("string"))
     return x.withColumns({"seed": own, "start_seconds": six("start_frame"), "end_seconds": six("end_frame"), "prepared_path": part("prepared"), "raw_path": part("raw")} | {c: F.coalesce(c, F.lit("")) for c in kept[1:]})
 
