@@ -32,8 +32,7 @@ def query(sql: str | None = None):
 
 def _texts(spark, d):
     """A manifest file for each film, from the manifest stand-in."""
-    m = S.edited_manifest(spark, d).withColumn("prompt", F.when(F.col("shot_index") % 3 == 0, F.lit('warm, "old" light')).otherwise(""))
-    rows = S.manifest(spark, d).select("video_id", "shot_index", "end_seconds").join(m, ["video_id", "shot_index"])
+    rows = S.edited_manifest(spark, d, "end_seconds").withColumn("prompt", F.when(F.col("shot_index") % 3 == 0, F.lit('warm, "old" light')).otherwise(""))
     films = rows.select("video_id").distinct().select("video_id", F.concat(F.lit("in/"), F.col("video_id").cast("string"), F.lit(".mp4")).alias("source"), F.lit(120.0).alias("duration"))
     return SM.manifest_texts(rows, films)
 

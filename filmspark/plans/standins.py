@@ -39,14 +39,15 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edited_manifest(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest as its file holds it: text columns."""
+def edited_manifest(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """The manifest as its file holds it: text columns. more: further columns of the manifest."""
     m = manifest(spark, d)
     name = F.format_string("refs/cut_%04d_%s.png", "shot_index", F.regexp_replace(format_timecode(F.col("end_seconds") - 0.5), ":", "."))
     return m.select(
         "video_id", "shot_index", "enabled", format_timecode("end_seconds").alias("end"), F.when(F.col("l_partkey") % 3 != 0, name).otherwise("").alias("source_reference"),
         F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("color/"), F.col("l_partkey").cast("string"), F.lit(".png"))).otherwise("").alias("color_reference"),
         "fade_to_next", F.when(F.col("fade_to_next") == "true", F.format_string("%.1f", "crossfade_seconds")).otherwise("").alias("crossfade_seconds"),
+        *more,
     )
 
 

@@ -85,3 +85,22 @@ def test_nearest_stills_of_blocks(spark):
     least = lambda df: {r.shot: r.s for r in df.groupBy("shot").agg(F.round(F.min("score"), 9).alias("s")).collect()}
     assert least(some) == least(U._least_scores(x, y, (70, 90), 0.3, 63))
     assert some.count() < 70 * 90 / 4 and "cross" not in plan(U.reuse_references(a, b, 0.3, 63)).lower()
+
+
+def test_numbers_as_a_formatter_prints_them(spark):
+    from filmspark.functions import scalar as S
+
+    whole = spark.createDataFrame([(k,) for k in (0, 7, 9999, 10000, 123456, -5, 10**12)], "n long")
+    assert all(r.a == f"{r.n:04d}" for r in whole.select("n", S.padded("n", 4).alias("a")).collect())
+    some = spark.createDataFrame([(x,) for x in (0.0, -0.0, 0.5, 1 / 3, 2 / 3, 1e-7, 4.9999995, 2.0000005, 833.333333333, -1.25, -1e-9, 1e8 + 0.1, 1e300, float("nan"), float("inf"))], "x double")
+    assert all(r.a == r.b for r in some.select(S.fixed("x", 6).alias("a"), F.format_string("%.6f", "x").alias("b")).collect())
+    texts = spark.createDataFrame([(t,) for t in ("1:2:3", "1:2:3:4", "", " ", "5", "x:1", ":", None, " 1:2 ", "1:2:3:")], "t string")
+    x = texts.withColumn("p", S.parse_time("t"))
+    assert all(r.a == r.b and r.c == r.d for r in x.select(S.parse_time_lenient("t").alias("a"), S.parse_time_lenient("t", "p").alias("b"), S.parse_duration("t").alias("c"), S.parse_duration("t", "p").alias("d")).collect())
+    assert [(r.a, r.b) for r in texts.select(S.parse_time_lenient("t").alias("a"), S.parse_duration("t").alias("b")).collect()][:8] == [(3723.0, 3723.0), (0.0, None), (0.0, None), (0.0, None), (5.0, 5.0), (0.0, None), (0.0, None), (0.0, None)]
+
+
+def test_parsed_times_and_manifests_are_made_once(spark):
+    p = plan(catalog.QUERIES["timecode_parse"](spark, "/root/testdata/sf0.001"))
+    assert p.count("[+-]?[0-9]+") <= 3
+    assert plan(catalog.QUERIES["manifest_write"](spark, "/root/testdata/sf0.001")).count("Window ") == 1
