@@ -108,12 +108,13 @@ def hashed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, size, mtime, mtime_ns, sha256 of each file. Spark lists the files and deals them to tasks, which read them in pieces, so a file's size isn't bound by memory or by what a row can hold. Empty files are passed over, as Spark's
     file sources do."""
     listed = spark.read.format("binaryFile").load(paths).selectExpr("path", "length as size", "modificationTime as mtime")
+    # many small files are many small tasks: some of them go together, where there are far more than cores
+    listed = listed.coalesce(64 * spark.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for k in range(len(pdf)):
-                part = pdf.iloc[k : k + 1]
-                digest, ns = file_sha256(part.path.iloc[0])
-                yield part.assign(mtime_ns=ns, sha256=digest)
+            # a batch holds paths and digests, never contents
+            done = [file_sha256(path) for path in pdf.path]
+            yield pdf.assign(mtime_ns=[ns for _, ns in done], sha256=[digest for digest, _ in done])
 
     return listed.mapInPandas(run, "path string, size long, mtime timestamp, mtime_ns long, sha256 string")

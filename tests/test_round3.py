@@ -104,3 +104,18 @@ def test_parsed_times_and_manifests_are_made_once(spark):
     p = plan(catalog.QUERIES["timecode_parse"](spark, "/root/testdata/sf0.001"))
     assert p.count("[+-]?[0-9]+") <= 3
     assert plan(catalog.QUERIES["manifest_write"](spark, "/root/testdata/sf0.001")).count("Window ") == 1
+
+
+def test_many_small_files_share_tasks(spark, tmp_path):
+    import hashlib
+
+    n = 64 * spark.sparkContext.defaultParallelism + 40
+    for k in range(n):
+        (tmp_path / f"{k}.bin").write_bytes(b"x" * (k + 1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        f = SF.fingerprint_files(spark, str(tmp_path))
+        assert f.rdd.getNumPartitions() < n
+        assert {r["size"]: r.sha256 for r in f.collect()} == {k + 1: hashlib.sha256(b"x" * (k + 1)).hexdigest() for k in range(n)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
