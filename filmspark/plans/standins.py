@@ -23,13 +23,25 @@ def clips(spark: SparkSession, d: str) -> DataFrame:
     return videos(spark, d).withColumn("total_frames", 1 + F.col("total_frames") % 200)
 
 
+#: Rows of a table in one task, so that a task's sorts stay as large at any size.
+TASK_ROWS = 300_000
+
+
+def dealt(rows: DataFrame, n_rows: int, key: str) -> DataFrame:
+    """Rows dealt by key to tasks of about TASK_ROWS rows. Partitions that Spark chooses are merged up to some size in bytes, and their number is fixed from above."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // TASK_ROWS)), key)
+
+
 _FULL = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("l_orderkey").orderBy(*_FULL)
-    return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("video_id"),
+    # named before the windows, as a name given after them hides the layout from later windows and joins, which would deal the rows again
+    w = Window.partitionBy("video_id").orderBy(*_FULL)
+    rows = table(spark, d, "lineitem")
+    # the count comes from the file's footers
+    return dealt(rows.select(F.col("l_orderkey").alias("video_id"), *_FULL), rows.count(), "video_id").select(
+        "video_id",
         (F.row_number().over(w).cast("long") - 1).alias("shot_index"),
         (F.sum("l_quantity").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("l_discount")).alias("end_seconds"),
         F.when(F.col("l_returnflag") != "N", "true").otherwise("false").alias("fade_to_next"),
