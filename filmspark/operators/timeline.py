@@ -56,13 +56,17 @@ def transition_groups(plan: DataFrame) -> DataFrame:
 
 
 def xfade_offsets(groups: DataFrame) -> DataFrame:
-    """Adds fade_frames, offset_frames and offset_seconds: where in its group's rendered stream a shot's fade-in starts (0 for the first)."""
-    w = Window.partitionBy("video_id", "group_index").orderBy("shot_index")
-    x = groups.withColumn("__frames", F.col("plan_end") - F.col("plan_start"))
-    x = x.withColumn("fade_frames", F.when(F.row_number().over(w) == 1, F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.lag("transition").over(w))))
-    start = F.coalesce(F.sum("__frames").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("fade_frames").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    """Adds fade_frames, offset_frames and offset_seconds: where in its group's rendered stream a shot's fade-in starts (0 for the first). A group's shots follow one another.
+
+    Sums run over the film, less what they were at the group's start, so that one order of the film's rows serves all."""
+    w = _film("shot_index")
+    x = groups.withColumn("__frames", F.col("plan_end") - F.col("plan_start")).withColumn("__first", ~F.lag("group_index").over(w).eqNullSafe(F.col("group_index")))
+    x = x.withColumn("fade_frames", F.when(F.col("__first"), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.lag("transition").over(w))))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__at", F.coalesce(F.sum("__frames").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("fade_frames").over(upto))
+    start = F.col("__at") - F.last(F.when(F.col("__first"), F.col("__at")), ignorenulls=True).over(upto)
     x = x.withColumn("offset_frames", F.greatest(F.lit(0).cast("long"), start))
-    return x.withColumn("offset_seconds", F.col("offset_frames") / F.col("fps")).drop("__frames")
+    return x.withColumn("offset_seconds", F.col("offset_frames") / F.col("fps")).drop("__frames", "__first", "__at")
 
 
 def frame_blend_map(offsets: DataFrame) -> DataFrame:
