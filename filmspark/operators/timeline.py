@@ -75,13 +75,18 @@ def frame_blend_map(offsets: DataFrame) -> DataFrame:
     One row for each frame in a cross-fade, with the share of the later shot growing evenly from 0; and one row for each run of frames that one
     shot shows alone (shot_b null, n_frames its length). Rows grow with the fades, not with the film.
     """
-    w = Window.partitionBy("video_id", "group_index").orderBy("shot_index")
+    w = _film("shot_index")
     x = offsets.withColumn("__n", F.col("plan_end") - F.col("plan_start")).withColumn("__before", F.lag("shot_index").over(w))
+    # a group's first shot has no fade, so the next shot's fade is one of the same group
     x = x.withColumn("__next", F.coalesce(F.lead("fade_frames").over(w), F.lit(0)))
-    head = x.where("fade_frames > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("fade_frames") - 1)).alias("__l"))
-    head = head.select("video_id", "group_index", (F.col("offset_frames") + F.col("__l")).alias("out_frame"), F.lit(1).cast("long").alias("n_frames"), F.col("__before").alias("shot_a"), F.col("shot_index").alias("shot_b"), (F.col("__l") / F.col("fade_frames")).alias("weight_b"))
-    alone = x.where("__n > fade_frames + __next").select("video_id", "group_index", (F.col("offset_frames") + F.col("fade_frames")).alias("out_frame"), (F.col("__n") - F.col("fade_frames") - F.col("__next")).alias("n_frames"), F.col("shot_index").alias("shot_a"), F.lit(None).cast("long").alias("shot_b"), F.lit(0.0).alias("weight_b"))
-    return head.union(alone)
+    # frames of the fade, and one more row for what comes after it
+    x = x.withColumn("__l", F.explode(F.sequence(F.lit(0), F.col("fade_frames"))))
+    fades = F.col("__l") < F.col("fade_frames")
+    alone = F.col("__n") - F.col("fade_frames") - F.col("__next")
+    return x.where(fades | (alone > 0)).select(
+        "video_id", "group_index", (F.col("offset_frames") + F.col("__l")).alias("out_frame"), F.when(fades, F.lit(1).cast("long")).otherwise(alone).alias("n_frames"),
+        F.when(fades, F.col("__before")).otherwise(F.col("shot_index")).alias("shot_a"), F.when(fades, F.col("shot_index")).alias("shot_b"), F.when(fades, F.col("__l") / F.col("fade_frames")).otherwise(0.0).alias("weight_b"),
+    )
 
 
 def frame_at_time(frames: DataFrame, times: DataFrame) -> DataFrame:
