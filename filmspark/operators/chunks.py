@@ -31,8 +31,8 @@ def chunk_ranges(videos: DataFrame, chunk_seconds: float = 20.0, overlap: int =
 def chunk_ranges_custom(videos: DataFrame, custom: DataFrame, chunk_seconds: float = 20.0, overlap: int = 8, variant: str = "script") -> DataFrame:
     """As chunk_ranges, with custom: (video_id, chunk_index, custom_seconds text) lengths for some chunks; blank or bad text is the default length.
 
-    variant `script`: a default of 0 is one chunk, and a custom 0 one frame. variant `gui`: a length of 0 is all that remains. A start is the sum of the steps before it, so
-    enough indices are laid out, summed, and cut where the film ends. A chunk moves on by a frame at least, so indices from total_frames on are beyond any film's end.
+    variant `script`: a default of 0 is one chunk, and a custom 0 one frame. variant `gui`: a length of 0 is all that remains. Only custom chunks are rows while starts are summed: the default
+    chunks before or after one are a run with a closed form, cut where the film ends and laid out last, where they stay. A chunk moves on by a frame at least, so indices from total_frames on are beyond any film's end.
     Of rows with one index that with the greatest length text counts, where no column `row_index` tells which is the last.
     """
     total = F.col("total_frames")
@@ -41,21 +41,34 @@ def chunk_ranges_custom(videos: DataFrame, custom: DataFrame, chunk_seconds: flo
     size = lambda s: F.greatest(F.lit(1).cast("long"), nearest(s * F.col("fps")))
     sized = (lambda s: F.when(s <= 0, total).otherwise(size(s))) if variant == "gui" else size
     step = lambda n: F.greatest(F.lit(1).cast("long"), n - F.greatest(_zero(), F.least(F.lit(overlap).cast("long"), n - 1)))
-    order = "row_index" if "row_index" in custom.columns else "custom_seconds"
-    # dealt by film once: both sums, the join and the windows keep that layout
-    own = custom.where("chunk_index >= 0").select("video_id", F.col("chunk_index").cast("long").alias("chunk_index"), "custom_seconds", order).repartition("video_id")
-    own = own.groupBy("video_id", "chunk_index").agg(F.max_by("custom_seconds", order).alias("s"))
-    own = own.groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("chunk_index", F.trim("s").try_cast("double").alias("s")))).alias("__own"))
-    x = videos.where("total_frames > 0").join(own, "video_id", "left")
-    last = F.array_max(F.filter(F.map_keys("__own"), lambda k: k < total))
-    enough = F.coalesce(last + 1, _zero()) + F.ceil(total / step(sized(F.lit(float(chunk_seconds))))).cast("long")
-    x = x.withColumn("chunk_index", F.explode(F.sequence(_zero(), enough)))
-    seconds = F.when(F.col("chunk_index") < total, F.try_element_at("__own", F.col("chunk_index")))
-    x = x.withColumn("__n", sized(F.coalesce(seconds, F.lit(float(chunk_seconds))))).drop("__own")
-    w = _film("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumn("start_frame", F.coalesce(F.sum(step(F.col("__n"))).over(w), _zero())).withColumn("end_frame", F.least(total, F.col("start_frame") + F.col("__n")))
-    x = x.withColumn("__past", F.coalesce(F.max("end_frame").over(w), F.lit(-1)))
-    return x.where("start_frame < total_frames and __past < total_frames").select("video_id", "fps", "total_frames", "chunk_index", "start_frame", "end_frame")
+    order = F.col("row_index") if "row_index" in custom.columns else F.col("custom_seconds")
+    own = custom.where("chunk_index >= 0").select(F.col("video_id").alias("__v"), F.col("chunk_index").cast("long").alias("__k"), order.alias("__o"), F.when(order.isNotNull(), F.trim("custom_seconds").try_cast("double")).alias("__s"))
+    # both sides are dealt by film, and the windows keep that; broadcast, the custom rows would be dealt again
+    films = videos.where("total_frames > 0").select("video_id", "fps", "total_frames")
+    x = films.hint("merge").join(own.hint("merge"), (F.col("video_id") == F.col("__v")) & (F.col("__k") < total), "left")
+    x = x.withColumn("__later", F.lead("__k").over(_film("__k", "__o"))).where(F.coalesce(F.col("__later") != F.col("__k"), F.lit(True)))
+    w = _film("__k")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    default = F.lit(float(chunk_seconds))
+    x = x.withColumns({"__n": sized(F.coalesce("__s", default)), "__dn": sized(default), "__i": F.row_number().over(w).cast("long") - 1, "__more": F.lead("__k").over(w) - F.col("__k") - 1})
+    x = x.withColumns({"__step": step(F.col("__n")), "__dstep": step(F.col("__dn"))})
+    x = x.withColumn("__at", F.coalesce(F.sum("__step").over(before), _zero()) + (F.col("__k") - F.col("__i")) * F.col("__dstep")).withColumn("__to", F.col("__at") + F.col("__step"))
+    # ends of the default chunks before the first custom one, and of those between a custom one and the next
+    run = lambda start, n: F.when(n > 0, start + (n - 1) * F.col("__dstep") + F.col("__dn"))
+    x = x.withColumns({"__head": F.when(F.col("__i") == 0, run(_zero(), F.col("__k"))), "__end": F.col("__at") + F.col("__n")})
+    x = x.withColumn("__past", F.greatest(F.coalesce(F.max(F.greatest("__head", "__end", run(F.col("__to"), F.col("__more")))).over(before), _zero()), "__head"))
+    # so many default chunks reach the film's end from a start
+    reach = lambda start: 1 + F.greatest(_zero(), F.ceil((total - start - F.col("__dn")) / F.col("__dstep")).cast("long"))
+    run = lambda k, start, n: F.struct(k.alias("k"), start.alias("at"), n.alias("n"), F.col("__dstep").alias("step"), F.col("__dn").alias("size"))
+    one = F.struct(F.col("__k").alias("k"), F.col("__at").alias("at"), F.lit(1).cast("long").alias("n"), F.col("__step").alias("step"), F.col("__n").alias("size"))
+    pieces = F.array(
+        F.when(F.col("__i") == 0, run(_zero(), _zero(), F.least(reach(_zero()), "__k"))),
+        F.when(F.col("__k").isNotNull() & (F.col("__past") < total), one),
+        F.when(F.col("__k").isNotNull() & (F.greatest("__past", "__end") < total), run(F.col("__k") + 1, F.col("__to"), F.least(reach(F.col("__to")), "__more"))),
+    )
+    x = x.select("video_id", "fps", "total_frames", F.explode(F.filter(pieces, lambda p: p["n"] > 0)).alias("p")).withColumn("__j", F.explode(F.sequence(_zero(), F.col("p.n") - 1)))
+    start = F.col("p.at") + F.col("__j") * F.col("p.step")
+    return x.select("video_id", "fps", "total_frames", (F.col("p.k") + F.col("__j")).alias("chunk_index"), start.alias("start_frame"), F.least(total, start + F.col("p.size")).alias("end_frame"))
 
 
 def sync_chunks(ranges: DataFrame, existing: DataFrame, seed: int = 42) -> DataFrame:
