@@ -59,15 +59,22 @@ def format_timecode(seconds: Column | str) -> Column:
     return F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60)
 
 
+def _last(text: Column, mark: str, k: int) -> Column:
+    """The k-th part from the end of text cut at mark; the first, where there are fewer."""
+    return F.substring_index(F.substring_index(text, mark, -k), mark, 1) if k > 1 else F.substring_index(text, mark, -1)
+
+
 def parse_time(text: Column | str) -> Column:
-    """Seconds of [[H:]M:]S text; blank is 0. Hours and minutes must be whole; text that isn't a time gives null."""
+    """Seconds of [[H:]M:]S text; blank is 0. Hours and minutes must be whole; text that isn't a time gives null.
+
+    Each part is cut out and read at one place: an array of parts would be made for each of its uses, in code too large to be compiled."""
     t = F.trim(_col(text))
-    parts = F.split(t, ":")
-    n = F.size(parts)
-    at = lambda k: F.try_element_at(parts, F.lit(k))
+    colons = _colons(t)
+    none = F.lit(0).cast("long")
     whole = lambda c: F.when(F.trim(c).rlike(r"^[+-]?[0-9]+$"), c.try_cast("long"))
-    total = F.when(n == 1, at(-1).try_cast("double")).when(n == 2, whole(at(-2)) * 60 + at(-1).try_cast("double")).otherwise(whole(at(-3)) * 3600 + whole(at(-2)) * 60 + at(-1).try_cast("double"))
-    return F.when(F.coalesce(t, F.lit("")) == "", F.lit(0.0)).otherwise(total)
+    hours = F.when(colons > 1, whole(_last(t, ":", 3)) * 3600).otherwise(none)
+    minutes = F.when(colons > 0, whole(_last(t, ":", 2)) * 60).otherwise(none)
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit(0.0)).otherwise(hours + minutes + _last(t, ":", 1).try_cast("double"))
 
 
 def _colons(c: Column) -> Column:
@@ -87,25 +94,27 @@ def parse_duration(text: Column | str, parsed: Column | str | None = None) -> Co
 
 
 def _file_name(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/\\]*)$", 1)
+    return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)
 
 
 def file_stem(path: Column | str) -> Column:
-    """The last path part without its last suffix; a leading dot starts no suffix."""
-    return F.regexp_replace(_file_name(_col(path)), r"(?<=.)\.[^.]+$", "")
+    """The last path part without its last suffix; a leading dot starts no suffix, and a dot at the end neither."""
+    name = _file_name(_col(path))
+    n, suffix = F.length(name), F.length(F.substring_index(name, ".", -1))
+    return F.when((suffix > 0) & (n > suffix + 1), F.substring(name, F.lit(1), n - suffix - 1)).otherwise(name)
 
 
-def reference_seconds(path: Column | str) -> Column:
-    """Seconds in names like cut_0003_0.01.02.500; 0 for other names."""
-    name = file_stem(path)
-    parts = F.split(F.element_at(F.split(name, "_"), -1), r"\.")
-    n = F.size(parts)
-    part = lambda k: F.try_element_at(parts, F.lit(k))
+def reference_seconds(path: Column | str, stem: Column | str | None = None) -> Column:
+    """Seconds in names like cut_0003_0.01.02.500; 0 for other names. stem: the column of file_stem, where there is one already."""
+    name = file_stem(path) if stem is None else _col(stem)
+    last = _last(name, "_", 1)
+    three = F.substring_index(last, ".", 3)
     whole = lambda c: F.when(c.rlike(r"^[0-9]+$"), c.try_cast("long"))
-    base = whole(part(1)) * 3600 + whole(part(2)) * 60 + whole(part(3))
-    more = F.when(n > 3, F.concat(F.lit("0."), F.array_join(F.slice(parts, 4, 99), "")).try_cast("double")).otherwise(F.lit(0.0))
-    named = (F.size(F.split(name, "_")) >= 3) & (F.element_at(F.split(name, "_"), 1) == "cut")
-    return F.when(named & (n >= 3), F.coalesce(base + more, F.lit(0.0))).otherwise(F.lit(0.0))
+    base = whole(F.substring_index(last, ".", 1)) * 3600 + whole(_last(F.substring_index(last, ".", 2), ".", 1)) * 60 + whole(_last(three, ".", 1))
+    rest = F.substring(last, F.length(three) + 2, F.length(last))
+    more = F.when(F.length(last) > F.length(three), F.concat(F.lit("0."), F.replace(rest, F.lit("."), F.lit(""))).try_cast("double")).otherwise(F.lit(0.0))
+    named = name.like(r"cut\_%\_%") & (F.length(last) > F.length(F.substring_index(last, ".", 2)))
+    return F.when(named, F.coalesce(base + more, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def reference_name(index: Column | str, seconds: Column | str) -> Column:

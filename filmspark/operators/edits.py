@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filmspark.functions.scalar import format_timecode, nearest, parse_time_lenient, reference_seconds
+from filmspark.functions.scalar import file_stem, format_timecode, nearest, parse_time_lenient, reference_seconds
 
 
 def _film() -> Window:
@@ -25,17 +25,18 @@ def shot_view(manifest: DataFrame, videos: DataFrame) -> DataFrame:
     comes from the reference's name, else the middle, and stays within the shot. end_frame is the last frame, inclusive."""
     w = _film()
     x = manifest.join(videos.select("video_id", "fps"), "video_id")
-    x = x.withColumn("__e", parse_time_lenient("end"))
+    # each text is read in a step of its own, once; one large expression would read it at each use
+    x = x.withColumn("__e", parse_time_lenient("end")).withColumn("__stem", file_stem("source_reference")).withColumn("__named", reference_seconds("source_reference", "__stem")).drop("__stem")
     x = x.withColumn("end_seconds", F.coalesce(F.last(F.when(F.col("__e") != 0, F.col("__e")), ignorenulls=True).over(w), F.lit(0.0)))
     x = x.withColumn("start_seconds", F.lag("end_seconds", 1, 0.0).over(w))
-    s, e, named = F.col("start_seconds"), F.col("end_seconds"), reference_seconds("source_reference")
+    s, e, named = F.col("start_seconds"), F.col("end_seconds"), F.col("__named")
     middle = F.when(e > s, (s + e) / 2).otherwise(s)
     x = x.withColumn("selected_seconds", F.greatest(s, F.least(e, F.when(named != 0, named).otherwise(middle))))
     more = F.lead("shot_index").over(w).isNotNull()
     zero = F.lit(0).cast("long")
     return x.withColumns({
         "start_frame": nearest(s * F.col("fps")), "end_frame": F.greatest(zero, nearest(e * F.col("fps")) - 1), "can_split": e - s >= 0.1, "can_merge_next": more, "can_fade_next": more,
-    }).drop("__e")
+    }).drop("__e", "__named")
 
 
 def merge_shots(manifest: DataFrame, edits: DataFrame) -> DataFrame:
@@ -53,19 +54,23 @@ def merge_shots(manifest: DataFrame, edits: DataFrame) -> DataFrame:
 def split_shots(manifest: DataFrame, edits: DataFrame) -> DataFrame:
     """edits: video_id, at, seconds (null: the middle). Shot `at` becomes two without references, the first without a fade; shots under a tenth of a second stay whole."""
     w = _film()
-    x = manifest.withColumn("__s", F.coalesce(parse_time_lenient(F.lag("end").over(w)), F.lit(0.0))).withColumn("__e", parse_time_lenient("end"))
+    # each end is read once; a start is the end before it
+    x = manifest.withColumn("__e", parse_time_lenient("end"))
+    x = x.withColumn("__s", F.coalesce(F.lag("__e").over(w), F.lit(0.0)))
     x = x.join(edits.select("video_id", F.col("at").alias("shot_index"), F.col("seconds").alias("__t"), F.lit(True).alias("__hit")), ["video_id", "shot_index"], "left")
     s, e = F.col("__s"), F.col("__e")
-    cut = F.coalesce("__hit", F.lit(False)) & (e > s) & (e - s >= 0.1)
-    at = F.greatest(s + 0.001, F.least(e - 0.001, F.coalesce(F.col("__t"), (s + e) / 2)))
-    whole = F.struct(F.lit(0).alias("h"), F.col("end").alias("end"), "source_reference", "color_reference", "fade_to_next", "crossfade_seconds")
-    none = F.lit("")
-    one = F.struct(F.lit(0).alias("h"), format_timecode(at).alias("end"), none.alias("source_reference"), none.alias("color_reference"), F.lit("false").alias("fade_to_next"), none.alias("crossfade_seconds"))
-    two = F.struct(F.lit(1).alias("h"), F.col("end").alias("end"), none.alias("source_reference"), none.alias("color_reference"), "fade_to_next", "crossfade_seconds")
-    x = x.withColumn("__p", F.explode(F.when(cut, F.array(one, two)).otherwise(F.array(whole))))
-    kept = ["end", "source_reference", "color_reference", "fade_to_next", "crossfade_seconds"]
-    x = x.withColumns({c: F.col(f"__p.{c}") for c in kept} | {"__h": F.col("__p.h")}).drop("__p", "__s", "__e", "__t", "__hit")
-    return _renumbered(x, "__h")
+    x = x.withColumn("__cut", F.coalesce("__hit", F.lit(False)) & (e > s) & (e - s >= 0.1))
+    # numbered in the order there is, with the cuts before a shot, so that the halves needn't be sorted
+    x = x.withColumn("__n", F.row_number().over(w).cast("long") - 1 + F.coalesce(F.count_if("__cut").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("__at", F.greatest(s + 0.001, F.least(e - 0.001, F.coalesce(F.col("__t"), (s + e) / 2))))
+    x = x.withColumn("__h", F.explode(F.when(F.col("__cut"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    cut, none = F.col("__cut"), F.lit("")
+    one = cut & (F.col("__h") == 0)
+    x = x.withColumns({
+        "end": F.when(one, format_timecode("__at")).otherwise(F.col("end")), "source_reference": F.when(cut, none).otherwise(F.col("source_reference")), "color_reference": F.when(cut, none).otherwise(F.col("color_reference")),
+        "fade_to_next": F.when(one, "false").otherwise(F.col("fade_to_next")), "crossfade_seconds": F.when(one, none).otherwise(F.col("crossfade_seconds")), "__n": F.col("__n") + F.col("__h"),
+    })
+    return x.drop("shot_index", "__s", "__e", "__t", "__hit", "__cut", "__at", "__h").withColumnRenamed("__n", "shot_index")
 
 
 def move_boundaries(manifest: DataFrame, edits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filmspark.functions.scalar import format_timecode
+from filmspark.functions.scalar import format_timecode, padded
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
 def edited_manifest(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """The manifest as its file holds it: text columns. more: further columns of the manifest."""
     m = manifest(spark, d)
-    name = F.format_string("refs/cut_%04d_%s.png", "shot_index", F.regexp_replace(format_timecode(F.col("end_seconds") - 0.5), ":", "."))
+    name = F.concat(F.lit("refs/cut_"), padded("shot_index", 4), F.lit("_"), F.translate(format_timecode(F.col("end_seconds") - 0.5), ":", "."), F.lit(".png"))
     return m.select(
         "video_id", "shot_index", "enabled", format_timecode("end_seconds").alias("end"), F.when(F.col("l_partkey") % 3 != 0, name).otherwise("").alias("source_reference"),
         F.when(F.col("l_partkey") % 5 == 0, F.concat(F.lit("color/"), F.col("l_partkey").cast("string"), F.lit(".png"))).otherwise("").alias("color_reference"),

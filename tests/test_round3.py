@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from filmspark.functions import pixels as X
+from filmspark.functions import scalar as N
 from filmspark.operators import chunks as C
+from filmspark.operators import edits as E
 from filmspark.operators import resume as W
 from filmspark.operators import timeline as T
 from filmspark.plans import catalog
@@ -208,3 +210,36 @@ def test_custom_chunks_are_laid_out_last(spark):
         assert sorted(tuple(r) for r in got.select("video_id", "chunk_index", "start_frame", "end_frame").collect()) == want, (variant, default)
     kinds = re.findall(r"\b(Generate|Sort|Exchange|Window) ", plan(got))
     assert "Generate" not in kinds[kinds.index("Window") :]
+
+
+def test_halves_of_split_shots_are_not_sorted(spark, no_broadcast):
+    """Numbers come from the cuts before a shot; the halves follow each other as they are laid out."""
+    shots = [(v, k, "" if (v + k) % 7 == 6 else f"00:00:{2 * k + 2:02d}.000", f"s{k}", f"c{k}", "true", "0.5") for v in range(4) for k in range(6)]
+    manifest = spark.createDataFrame(shots, "video_id long, shot_index long, end string, source_reference string, color_reference string, fade_to_next string, crossfade_seconds string")
+    edits = spark.createDataFrame([(0, 0, None), (0, 3, 6.5), (1, 5, None), (2, 9, 1.0), (3, 1, 99.0)], "video_id long, at long, seconds double")
+    got = E.split_shots(manifest, edits)
+    text = plan(got)
+    assert "Generate" not in text[text.index("Sort [") :] and "Window" not in text[: text.index("Generate")]
+    want, cuts = [], {(0, 0): "00:00:01.000", (0, 3): "00:00:06.500", (3, 1): "00:00:03.999"}
+    for v in range(4):
+        rows = []
+        for _, k, end, source, color, fade, seconds in shots[6 * v : 6 * v + 6]:
+            if (v, k) in cuts:
+                rows += [(cuts[v, k], "", "", "false", ""), (end, "", "", fade, seconds)]
+            else:
+                rows.append((end, source, color, fade, seconds))
+        want += [(v, i, *r) for i, r in enumerate(rows)]
+    # the end of shot 5 of film 1 is blank, so it has no length and stays whole
+    assert sorted(tuple(r) for r in got.select("video_id", "shot_index", "end", "source_reference", "color_reference", "fade_to_next", "crossfade_seconds").collect()) == want
+
+
+def test_times_are_read_part_by_part(spark):
+    """No array of parts is made for each use of one, and odd texts give what they gave."""
+    assert "split(" not in plan(catalog.QUERIES["shot_view"](spark, "/root/testdata/sf0.001"))
+    times = {"": 0.0, "7": 7.0, " 1:2.5 ": 62.5, "1:02:03.25": 3723.25, "x": None, "1.5:2": None, "9:1:2:3": 3723.0, ":5": None, "5:": None, "1::2": None, "-1:0": -60.0}
+    got = spark.createDataFrame([(t,) for t in times], "t string").select("t", N.parse_time("t"), N.parse_time_lenient("t")).collect()
+    assert {r[0]: r[1] for r in got} == times and {r[0]: r[2] for r in got} == {t: 0.0 if s is None or t.count(":") > 2 else s for t, s in times.items()}
+    names = {"a/cut_0003_0.01.02.500.png": 62.5, "a\\cut_1_1.2.3.x": 3723.0, "cut_1_1.2.3.4.5.png": 3723.45, "cut_1_1.2.png": 0.0, "cut_0.01.02.500.png": 0.0, "Cut_1_0.0.1.png": 0.0, "cut__0.0.1.png": 1.0, "cut_1_0.x.1.png": 0.0, "cut_1_0.0.1.e.png": 0.0, "": 0.0}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in names], "t string").select("t", N.reference_seconds("t")).collect()} == names
+    stems = {"a/b.c.png": "b.c", ".a": ".a", "a.": "a.", "..": "..", "a/": "", "a\\b": "b", "é.ü": "é"}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in stems], "t string").select("t", N.file_stem("t")).collect()} == stems
